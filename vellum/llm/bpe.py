@@ -23,7 +23,7 @@ from vellum.llm.common import slices
 #: The pattern that splits text before the merges of byte-level vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps between batches, and bytes of new words that one pass takes.
-CACHE_WORDS, PASS_BYTES = 300_000, 2_000_000
+CACHE_WORDS, PASS_BYTES = 500_000, 2_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -73,39 +73,36 @@ class PairTable:
         return out
 
 
-class ByteBpe:
-    """Tokens are numbered by age here: the 256 bytes, then each merge in order, so a larger number was merged later."""
+class Merges:
+    """The merges of a vocabulary over bytes. Tokens are numbered by age: first the base symbols, then each merge in order, so a larger number was merged later.
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        vocab, byte = spec["model"]["vocab"], byte_of_char()
+    With ``suffix`` the last byte of a word is a symbol of its own kind, and tokens that end a word are found apart."""
+
+    def __init__(self, spec: dict):
+        vocab, byte, suffix = spec["model"]["vocab"], byte_of_char(), spec["model"].get("end_of_word_suffix") or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         by_byte = {b: c for c, b in byte.items()}
-        names = [by_byte[b] for b in range(256)] + [a + b for a, b in merges]
+        names = [by_byte[b] for b in range(256)]
+        names += [c + suffix for c in names] if suffix else []
+        self.base = len(names)
+        names += [a + b for a, b in merges]
         age = {name: i for i, name in enumerate(names)}
         if len(age) != len(names):
             raise ValueError("two merges make one token")
+        closed = [bool(suffix) and n.endswith(suffix) and len(n) > len(suffix) for n in names]
+        self.names = names
         self.ids = np.array([vocab[n] for n in names], np.uint32)
-        body = [bytes(byte[c] for c in n) for n in names]
-        self.size = np.array([len(b) for b in body], np.int32)
+        self.body = [bytes(byte[c] for c in (n[: -len(suffix)] if end else n)) for n, end in zip(names, closed, strict=True)]
+        self.size = np.array([len(b) for b in self.body], np.int32)
         self.left, self.right = np.arange(len(names), dtype=np.int32), np.arange(len(names), dtype=np.int32)
-        self.left[256:] = [age[a] for a, _ in merges]
-        self.right[256:] = [age[b] for _, b in merges]
-        grown = np.arange(256, len(names), dtype=np.int32)
-        self.pairs = PairTable(self.left[256:], self.right[256:], grown)
+        self.left[self.base :] = [age[a] for a, _ in merges]
+        self.right[self.base :] = [age[b] for _, b in merges]
+        grown = np.arange(self.base, len(names), dtype=np.int32)
+        self.pairs = PairTable(self.left[self.base :], self.right[self.base :], grown)
         usable = np.ones(len(names), bool)
-        usable[256:] = self.compatible(self.left[256:], self.right[256:], grown)
-        self._automaton(body, usable)
-        self.special = {t["content"]: int(t["id"]) for t in spec.get("added_tokens", [])}
-        self.body_of_id = {int(i): b for i, b in zip(self.ids, body, strict=True)} | {i: c.encode() for c, i in self.special.items()}
-        self.bodies = [self.body_of_id.get(i, b"") for i in range(max(self.body_of_id) + 1)]
-        self.cut = regex.compile(SPLIT)
-        self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        usable[self.base :] = self.compatible(self.left[self.base :], self.right[self.base :], grown)
+        self.suffix = suffix
+        self._automaton(usable, np.array(closed))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether a and b stay side by side: take their merges back, youngest first, and look for a merge across the boundary that would have come before the one taken back (of two alike the left one comes first)."""
@@ -115,59 +112,84 @@ class ByteBpe:
         while len(at):
             crossed = self.pairs.get(a, b) < limit
             ok[at[crossed]] = False
-            on = ~crossed & (np.maximum(a, b) >= 256)
+            on = ~crossed & (np.maximum(a, b) >= self.base)
             at, a, b = at[on], a[on], b[on]
             back = a > b
             limit = np.where(back, a, b + 1)
             a, b = np.where(back, self.right[a], a), np.where(back, b, self.left[b])
         return ok
 
-    def _automaton(self, body: list[bytes], usable: np.ndarray) -> None:
+    def _automaton(self, usable: np.ndarray, closed: np.ndarray) -> None:
         node = {b"": 0}
-        parent, edge, token = [0], [0], [-1]
-        for t, b in enumerate(body):
-            if usable[t]:
-                for j in range(1, len(b) + 1):
-                    if b[:j] not in node:
-                        node[b[:j]] = len(parent)
-                        parent.append(node[b[: j - 1]])
-                        edge.append(b[j - 1])
-                        token.append(-1)
+        parent, edge, depth, token = [0], [0], [0], [-1]
+        for t in np.flatnonzero(usable).tolist():
+            b = self.body[t][:-1] if closed[t] else self.body[t]
+            for j in range(1, len(b) + 1):
+                if b[:j] not in node:
+                    node[b[:j]] = len(parent)
+                    parent.append(node[b[: j - 1]])
+                    edge.append(b[j - 1])
+                    depth.append(j)
+                    token.append(-1)
+            if not closed[t]:
                 token[node[b]] = t
-        depth = np.zeros(len(parent), np.int32)
-        parent, edge, token = np.array(parent), np.array(edge), np.array(token, np.int32)
-        for n in range(1, len(parent)):
-            depth[n] = depth[parent[n]] + 1
+        parent, edge, depth, token = np.array(parent), np.array(edge), np.array(depth), np.array(token, np.int32)
         go = np.zeros((len(parent), 256), np.int32)
         fall = np.zeros(len(parent), np.int32)
         best = token.copy()
-        shorter = np.full(len(body), -1, np.int32)
+        self.shorter = np.full(len(self.body), -1, np.int32)
         for d in range(1, int(depth.max()) + 1):
             own = np.flatnonzero(depth == d)
             fall[own] = go[fall[parent[own]], edge[own]] if d > 1 else 0
             go[parent[own], edge[own]] = own
             go[own] = go[fall[own]]
             named = own[token[own] >= 0]
-            shorter[token[named]] = best[fall[named]]
+            self.shorter[token[named]] = best[fall[named]]
             best[own] = np.where(token[own] >= 0, token[own], best[fall[own]])
-        self.go, self.best, self.shorter = go, best, shorter
+        self.go, self.best, self.fall = go, best, fall
+        if self.suffix:
+            ends = np.flatnonzero(usable & closed)
+            at = np.array([node[self.body[t][:-1]] for t in ends.tolist()], np.int32)
+            final = np.array([self.body[t][-1] for t in ends.tolist()], np.int32)
+            self.closing = PairTable(at, final, ends)
+            deep = at > 0
+            self.shorter[ends[deep]] = self._close(fall[at[deep]], final[deep])
+
+    def _close(self, state: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """The longest token that ends a word with the byte ``final`` after the state."""
+        out, on, state = np.full(len(state), -1, np.int32), np.arange(len(state)), state.copy()
+        while len(on):
+            t = self.closing.get(state[on], final[on])
+            hit = t != NONE
+            out[on[hit]] = t[hit]
+            on = on[~hit & (state[on] > 0)]
+            state[on] = self.fall[state[on]]
+        return out
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        size = np.array([len(w) for w in words], np.int64)
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and the number of each word's ids."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
         length = size[order]
-        data = np.frombuffer(b"".join([words[i] for i in order]), np.uint8)
+        data = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
         start = np.concatenate([[0], np.cumsum(length)[:-1]])
         cell = start + np.arange(len(words))
         last = np.full(len(data) + len(words), -1, np.int32)
         state = np.zeros(len(words), np.int32)
         longest = int(length[0]) if len(length) else 0
-        reach = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
+        reach = np.searchsorted(-length, -np.arange(1, longest + 2), side="right")
         for j in range(1, longest + 1):
-            m = int(reach[j - 1])
-            state[:m] = self.go[state[:m], data[start[:m] + j - 1]]
-            pend, t = np.arange(m), self.best[state[:m]]
+            m, on = int(reach[j - 1]), int(reach[j])
+            now = data[start[:m] + j - 1]
+            if self.suffix:
+                t = np.empty(m, np.int32)
+                t[on:] = self._close(state[on:m], now[on:].astype(np.int32))
+                state[:on] = self.go[state[:on], now[:on]]
+                t[:on] = self.best[state[:on]]
+            else:
+                state[:m] = self.go[state[:m], now]
+                t = self.best[state[:m]]
+            pend = np.arange(m)
             while len(pend):
                 n = self.size[t]
                 ok = n == j
@@ -184,31 +206,58 @@ class ByteBpe:
             found.append(t)
             left = left - self.size[t]
             on, left = on[left > 0], left[left > 0]
-        word_all, found_all = np.concatenate(word)[::-1], np.concatenate(found)[::-1]
+        word_all, found_all = order[np.concatenate(word)[::-1]], np.concatenate(found)[::-1]
         by = np.argsort(word_all, kind="stable")
-        ids = self.ids[found_all[by]].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(word_all, minlength=len(words))) * 4
-        out = [b""] * len(words)
+        return self.ids[found_all[by]].astype("<u4"), np.bincount(word_all, minlength=len(words))
+
+    def passes(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode_flat`` over runs of words of bounded size."""
         at = 0
-        for i, end in zip(order.tolist(), ends.tolist(), strict=True):
-            out[i] = ids[at:end]
-            at = end
-        return out
+        while at < len(words):
+            to, n = at, 0
+            while to < len(words) and (to == at or n < PASS_BYTES):
+                n += len(words[to])
+                to += 1
+            yield self.encode_flat(words[at:to])
+            at = to
+
+    def encode_many(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        for ids, counts in self.passes(words):
+            body, at = ids.tobytes(), 0
+            for end in (4 * np.cumsum(counts)).tolist():
+                yield body[at:end]
+                at = end
+
+
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class ByteBpe(Merges):
+    """A byte-level vocabulary: texts are split by a pattern, words are encoded once and kept."""
+
+    def __init__(self, path: str):
+        spec = read_spec(path)
+        pre = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+        super().__init__(spec)
+        self.special = {t["content"]: int(t["id"]) for t in spec.get("added_tokens", [])}
+        body_of_id = {int(i): b for i, b in zip(self.ids, self.body, strict=True)} | {i: c.encode() for c, i in self.special.items()}
+        self.bodies = [body_of_id.get(i, b"") for i in range(max(body_of_id) + 1)]
+        self.cut = regex.compile(SPLIT)
+        self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cache: dict[str, bytes] = {}
 
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of words that the cache lacks into it."""
-        new = [t for t in tokens if t not in self.cache]
+        new = list(tokens - self.cache.keys())
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(tokens)
-        at = 0
-        while at < len(new):
-            part, n = [], 0
-            while at < len(new) and (not part or n < PASS_BYTES):
-                part.append(new[at])
-                n += len(new[at])
-                at += 1
-            self.cache.update(zip(part, self.encode_words([p.encode() for p in part]), strict=True))
+        self.cache.update(zip(new, self.encode_many([t.encode() for t in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers; the special tokens' strings give their ids."""
@@ -216,7 +265,7 @@ class ByteBpe:
         for text in texts:
             parts = self.special_cut.split(text) if self.special_cut else [text]
             split.append([(self.special[p], None) if i % 2 else (None, self.cut.findall(p)) for i, p in enumerate(parts)])
-        self.learn({t for parts in split for _, tokens in parts if tokens for t in tokens})
+        self.learn(set().union(*[tokens for parts in split for _, tokens in parts if tokens]))
         get = self.cache.__getitem__
         return [b"".join([np.uint32(s).tobytes() if s is not None else b"".join(map(get, tokens)) for s, tokens in parts]) for parts in split]
 

@@ -7,6 +7,7 @@ that minimise padding plus penalties; its transition takes a sliding minimum, he
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -14,22 +15,83 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import slices, text_bytes
+from vellum.llm.bpe import Merges, read_spec
+from vellum.llm.common import U64, Words, slices
 
 #: Ids in a window, id after each document, penalties of a cut (in ids of padding).
 WINDOW, END_ID, SENTENCE_CUT, FREE_CUT = 2048, 1, 6, 24
 #: Ids that one run of the dynamic programme takes; the last window of a run is left open for the next.
 RUN_IDS = 400_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ends_document boolean"
 
 
+class IdStore:
+    """Ids of words by the words' hash: an open-addressing table in numpy, emptied when it is full."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.SLOTS, U64)
+        self.at = np.full(self.SLOTS, -1, np.int32)
+        self.n, self.used = 0, 0
+        self.begin, self.count = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
+        self.ids = np.zeros(1 << 20, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        slot = (h >> U64(20)).astype(np.int64) & (self.SLOTS - 1)
+        out = self.at[slot]
+        odd = np.flatnonzero((self.keys[slot] != h) & (out >= 0))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & (self.SLOTS - 1)
+            out[odd] = self.at[slot[odd]]
+            odd = odd[(self.keys[slot[odd]] != h[odd]) & (out[odd] >= 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """``h``: distinct hashes that the store lacks."""
+        k = self.n
+        if k + len(h) > len(self.begin):  # more new words than the store holds: for this pass only
+            grown = k + len(h)
+            self.begin, self.count = np.resize(self.begin, grown), np.resize(self.count, grown)
+            while self.SLOTS < 2 * grown:
+                self.SLOTS *= 2
+            self.keys, self.at = np.zeros(self.SLOTS, U64), np.full(self.SLOTS, -1, np.int32)
+        self.begin[k : k + len(h)] = self.used + np.cumsum(count) - count
+        self.count[k : k + len(h)] = count
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = k + len(h), self.used + len(ids)
+        value = np.arange(k, self.n, dtype=np.int32)
+        slot = (h >> U64(20)).astype(np.int64) & (self.SLOTS - 1)
+        while len(h):
+            _, first = np.unique(slot, return_index=True)
+            put = np.zeros(len(h), bool)
+            put[first] = True
+            put &= self.at[slot] < 0
+            self.keys[slot[put]], self.at[slot[put]] = h[put], value[put]
+            h, value, slot = h[~put], value[~put], (slot[~put] + 1) & (self.SLOTS - 1)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after the other, and each entry's number of ids."""
+        count = self.count[which]
+        ends = np.cumsum(count)
+        inner = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[which] - ends + count, count)
+        return self.ids[inner], count
+
+
 class WordIds:
-    """Ids of whole texts, from the ids of their words: the vocabulary drops white space and splits there, so that words between ASCII spaces are encoded apart. New words are encoded in one call, parted by a special token."""
+    """Ids of whole texts, equal to the library's. The vocabulary drops white space and splits there, so that words between ASCII spaces are encoded apart, each new one once. New words are normalised together and go through the merges; words with other white space or a special token's string are left to the library itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,39 +99,77 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.part, self.part_id = next(((c, i) for c, i in specials.items()), ("", -1))
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        mark = self.part.encode()
-        plain = [w for w in new if mark not in w] if mark else []
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = self._ids(self.part.join(w.decode("utf-8", "replace") for w in some))
-            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.part_id), [len(ids)]])
-            body = ids.tobytes()
-            self.cache.update((w, body[4 * (a + 1) : 4 * b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        for w in new:
-            if w not in self.cache:
-                self.cache[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Ids of each text and the counts of ids at which a sentence ends."""
-        words = [t.split() for t in texts]
-        self.learn({w for own in words for w in own})
-        get = self.cache.__getitem__
-        for own in words:
-            parts = list(map(get, own))
-            at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-            yield b"".join(parts), at[[i for i, w in enumerate(own) if w[-1] in b".!?"]]
+        spec = read_spec(path)
+        split = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.merges = Merges(spec) if spec["model"].get("end_of_word_suffix") and split and spec.get("normalizer") else None
+        self.pieces = regex.compile(split[0] + "| ") if self.merges else None
+        odd = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = regex.compile("|".join([r"[^\S ]|[\x1c-\x1f\x85\u200b-\u200d\ufeff]", *odd]))
+        self.store = IdStore()
+
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _normal(self, text: str) -> str:
+        if text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
+            return text.lower()  # the same as the library's normaliser there, but for the white space that it maps
+        return self.tokenizer.normalizer.normalize_str(text)
+
+    def new_words(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``n`` words joined by single spaces, and each word's number of ids."""
+        if not self.merges:
+            return self._library(text.split(" "))
+        if self.odd.search(text):
+            words = text.split(" ")
+            hard = np.array([bool(self.odd.search(w)) for w in words])
+            parts = [np.zeros(0, np.uint32)] * n
+            for mark, how in ((True, self._library), (False, lambda w: self.new_words(" ".join(w), len(w)))):
+                own = np.flatnonzero(hard == mark)
+                if len(own):
+                    ids, count = how([words[i] for i in own])
+                    for i, x in zip(own, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                        parts[i] = x
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        normal = self._normal(text)
+        if normal.count(" ") != n - 1:
+            return self._library(text.split(" "))
+        pieces = self.pieces.findall(normal)
+        index = {" ": 0}
+        which = np.array([index.setdefault(p, len(index)) for p in pieces], np.int64)
+        word = np.cumsum(which == 0)[which > 0]
+        which = which[which > 0] - 1
+        found = list(self.merges.passes([p.encode() for p in list(index)[1:]]))
+        ids, count = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        begin, size = (np.cumsum(count) - count)[which], count[which]
+        inner = np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
+        return ids[inner], np.bincount(word, weights=size, minlength=n).astype(np.int64)
+
+    def encode(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text and the numbers of ids at which a sentence ends."""
+        w = Words(col)
+        h = w.hashes()
+        which = self.store.find(h)
+        lacking = np.flatnonzero(which < 0)
+        if len(lacking):
+            new, first = np.unique(h[lacking], return_index=True)
+            if self.store.n + len(new) > CACHE_WORDS:
+                self.store.clear()
+                new, first = np.unique(h, return_index=True)
+                lacking = np.arange(len(h))
+            at = lacking[first]
+            size = w.ends[at] - w.starts[at]
+            place = np.cumsum(size + 1) - size - 1
+            joined = np.full(int(place[-1] + size[-1]), 32, np.uint8)
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            joined[np.repeat(place, size) + inner] = w.data[np.repeat(w.starts[at], size) + inner]
+            self.store.add(new, *self.new_words(joined.tobytes().decode("utf-8", "replace"), len(new)))
+            which = self.store.find(h)
+        ids, count = self.store.take(which)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        stop = np.isin(w.data[w.ends - 1], np.frombuffer(b".!?", np.uint8))
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            yield ids[upto[a] : upto[b]], upto[a + 1 : b + 1][stop[a:b]] - upto[a]
 
 
 @lru_cache(maxsize=2)
@@ -80,32 +180,32 @@ def load(path: str) -> WordIds:
 def cuts(total: int, sentence: np.ndarray, document: np.ndarray, window: int = WINDOW, last: bool = True) -> list[int]:
     """Ends of the windows over ``total`` ids that minimise padding plus penalties.
 
-    ``sentence`` and ``document`` are positions where sentences and documents end. Besides these, every multiple of a
-    quarter window and each position a whole window after a boundary may end a window, so that any length can be cut.
-    With ``last`` the final window may end at a power of two for no padding; without it the ids after the last but one
-    cut stay open."""
-    penalty: dict[int, int] = dict.fromkeys(range(0, total, max(1, window // 4)), FREE_CUT)
-    for p in (*sentence.tolist(), *document.tolist()):
-        if p + window < total:
-            penalty.setdefault(p + window, FREE_CUT)
-    penalty |= dict.fromkeys(sentence.tolist(), SENTENCE_CUT)
-    penalty |= dict.fromkeys(document.tolist(), 0)
-    penalty |= {0: 0, total: 0}
-    at = sorted(p for p in penalty if 0 <= p <= total)
-    cost, back = [0] * len(at), [0] * len(at)
-    queue: deque[int] = deque([0])  # indexes of growing cost + position
+    ``sentence`` and ``document`` are positions where sentences and documents end; where these lie more than a quarter
+    window apart, positions between them may end a window too. With ``last`` the final window is cut at powers of two
+    where that costs less than its padding; without it the ids after the last cut stay open."""
+    penalty = np.full(total + 1, -1, np.int32)
+    penalty[:: max(1, window // 4)] = FREE_CUT
+    penalty[sentence] = SENTENCE_CUT
+    penalty[document] = 0
+    penalty[[0, total]] = 0
+    spots = np.flatnonzero(penalty >= 0)
+    at, fee = spots.tolist(), penalty[spots].tolist()
+    back = [0] * len(at)
+    cost = [0] * len(at)  # of the windows up to here, plus the position
+    queue: deque[int] = deque([0])  # indexes of growing cost
     for j in range(1, len(at)):
-        while at[queue[0]] < at[j] - window:
+        p = at[j]
+        while at[queue[0]] < p - window:
             queue.popleft()
-        i = queue[0]
-        cost[j], back[j] = cost[i] + window - (at[j] - at[i]) + penalty[at[j]], i
-        while queue and cost[queue[-1]] + at[queue[-1]] >= cost[j] + at[j]:
+        i = back[j] = queue[0]
+        c = cost[j] = cost[i] + window + fee[j]
+        while queue and cost[queue[-1]] >= c:
             queue.pop()
         queue.append(j)
-    found, j = [], len(at) - 1
-    if not last:  # the cheapest end within the last window
-        j = min((k for k in range(len(at)) if at[k] > total - window), key=lambda k: (cost[k] + at[k], k), default=j)
-        j = back[j] if at[j] == total else j
+    j = len(at) - 1
+    if not last:  # the cheapest end within the last window stays open
+        j = min((k for k in range(len(at) - 1) if at[k] > total - window), key=lambda k: (cost[k], k), default=0)
+    found = []
     while j > 0:
         found.append(at[j])
         j = back[j]
@@ -124,44 +224,44 @@ class Packer:
 
     def __init__(self, window: int, end_id: int, shard: int):
         self.window, self.shard, self.sequence = window, shard, 0
-        self.end = np.uint32(end_id).tobytes()
-        self.open: list[tuple[int | None, bytes, np.ndarray, int, int]] = []  # doc_id, ids, sentence ends, ids before, ids of the document
+        self.end = np.array([end_id], "<u4")
+        self.open: list[tuple[int | None, np.ndarray, np.ndarray, int, int]] = []  # doc_id, ids, sentence ends, ids before, ids of the document
         self.held = 0
 
-    def add(self, doc_id: int | None, ids: bytes, ends: np.ndarray) -> Iterator[tuple]:
-        ids += self.end
-        n, at = len(ids) // 4, 0
+    def add(self, doc_id: int | None, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        ids = np.concatenate([ids, self.end]).astype("<u4", copy=False)
+        n, at = len(ids), 0
         while at < n:
             take = min(n - at, RUN_IDS)
             own = ends[(ends > at) & (ends < at + take)] - at
-            self.open.append((doc_id, ids[4 * at : 4 * (at + take)], own, at, n))
+            self.open.append((doc_id, ids[at : at + take], own, at, n))
             self.held += take
             at += take
             if self.held >= RUN_IDS:
                 yield from self.flush(last=False)
 
     def flush(self, last: bool = True) -> Iterator[tuple]:
-        begin = np.cumsum([0] + [len(p[1]) // 4 for p in self.open])
+        begin = np.cumsum([0] + [len(p[1]) for p in self.open])
         total = int(begin[-1])
         if not total:
             return
         sentence = np.concatenate([p[2] + b for p, b in zip(self.open, begin[:-1].tolist(), strict=True)])
-        document = np.array([b for p, b in zip(self.open, begin[1:].tolist(), strict=True) if p[3] + len(p[1]) // 4 == p[4]], np.int64)
+        document = np.array([b for p, b in zip(self.open, begin[1:].tolist(), strict=True) if p[3] + len(p[1]) == p[4]], np.int64)
         found = cuts(total, sentence, document, self.window, last)
         k, opened, rest = 0, 0, []
         for (doc_id, ids, ends, before, whole), b in zip(self.open, begin[:-1].tolist(), strict=True):
-            at, n = 0, len(ids) // 4
+            at, n = 0, len(ids)
             while at < n and k < len(found):
                 to = min(n, found[k] - b)
-                piece = ids[4 * at : 4 * to]
+                piece = ids[at:to].tobytes()
                 yield doc_id, before + at, to - at, zlib.crc32(piece), whole, (self.shard << 32) | self.sequence, b + at - opened, before + to == whole
                 at = to
                 if b + to == found[k]:
                     opened, k = found[k], k + 1
                     self.sequence += 1
             if at < n:
-                rest.append((doc_id, ids[4 * at :], ends[ends > at] - at, before + at, whole))
-        self.open, self.held = rest, sum(len(p[1]) // 4 for p in rest)
+                rest.append((doc_id, ids[at:], ends[ends > at] - at, before + at, whole))
+        self.open, self.held = rest, sum(len(p[1]) for p in rest)
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -183,7 +283,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         for whole in batches:
             for b in slices(whole):
                 rows = []
-                for doc_id, (ids, ends) in zip(b.column("doc_id").to_pylist(), coder.encode(text_bytes(b.column("text"))), strict=True):
+                for doc_id, (ids, ends) in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text")), strict=True):
                     rows += packer.add(doc_id, ids, ends)
                 if rows:
                     yield out(rows)
