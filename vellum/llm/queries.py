@@ -20,6 +20,18 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.fingerprints import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.packing import pack_documents
 
@@ -32,4 +44,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_bpe_codec, op8_packing, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
