@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.bpe import bpe_digests
 
@@ -44,4 +50,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
