@@ -20,6 +20,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.bpe import bpe_digests
 
@@ -50,4 +56,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
