@@ -56,4 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.quality_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules, op10_quality_classifier)}
