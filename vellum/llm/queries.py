@@ -38,6 +38,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.substring import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.warc import archive_round_trip
 
@@ -62,4 +68,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op6_warc, op8_packing, op9_quality_rules, op10_quality_classifier)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op5_substring_dedup, op6_warc, op8_packing, op9_quality_rules, op10_quality_classifier)}
