@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
                 rows = np.concatenate([content_figures(b.column("text")), meta_figures(b)], axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "quality", "figures"])
 
-    rows = _prepared(docs).join(F.broadcast(bounded), "doc_id").mapInArrow(figures, "doc_id long, quality int, figures array<double>").toPandas()
+    rows = _prepared(docs).join(F.broadcast(bounded), "doc_id").mapInArrow(figures, "doc_id long, quality int, figures array<double>").toArrow().to_pandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     x = np.stack(rows["figures"].to_list())
     label = rows["quality"].to_numpy(np.int64)

@@ -209,10 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL)
 
     df_of = {r["at"]: r["df"] for r in _plain(docs).select("text").mapInArrow(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
     weight = np.log((1 + df_of.get(-1, 0)) / (1 + np.array([df_of.get(i, 0) for i in range(len(hashes))]))) + 1.0
-    rows = found.join(F.broadcast(spark.createDataFrame([(r["feature"],) for r in picked], "feature long").distinct()), "feature").select("doc_id", "feature", "tf").toPandas()
-    names = found.groupBy("doc_id").agg(F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    doc_ids, y = names["doc_id"].to_numpy(np.int64), names["toxic"].to_numpy(np.int64)
-    vectors = (np.searchsorted(doc_ids, rows["doc_id"].to_numpy(np.int64)), rows["feature"].to_numpy(np.int64).view(U64), rows["tf"].to_numpy(np.int64))
+    rows = found.join(F.broadcast(spark.createDataFrame([(r["feature"],) for r in picked], "feature long").distinct()), "feature").select("doc_id", "feature", "tf").toArrow()
+    names = found.groupBy("doc_id").agg(F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
+    doc_ids, y = names["doc_id"].to_numpy(), names["toxic"].to_numpy().astype(np.int64)
+    vectors = (np.searchsorted(doc_ids, rows["doc_id"].to_numpy()), rows["feature"].to_numpy().view(U64), rows["tf"].to_numpy())
     index = build_index(hashes, watch, weight, doc_ids, y, vectors)
     calibrate(index, vectors, doc_ids, {c: prior[c] / have[c] for c in (0, 1)})
     return index
