@@ -100,11 +100,44 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _known(key: np.ndarray, code: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
-    """Rows that carry codes to their documents."""
+    """Rows that carry codes to the buckets of their documents' keys."""
+    home = (mix(key.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((code, key, home))
+    home, key, code = home[order], key[order], code[order]
+    cut = np.flatnonzero(np.diff(home)) + 1
+    none = np.zeros(0, U64)
+    return [(int(h[0]), 1, 0, pack((), k, c, none)) for h, k, c in zip(np.split(home, cut), np.split(key, cut), np.split(code, cut), strict=True) if len(h)]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its codes as runs of consecutive ones (starts, then lengths)."""
+    keys, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            _, k, c, _ = unpack(body, 0)
+            keys.append(k), codes.append(c)
+    key, code = np.concatenate(keys), np.concatenate(codes)
     order = np.lexsort((code, key))
     key, code = key[order], code[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (code[1:] > code[:-1])  # a place may be told twice
+    key, code = key[new], code[new]
+    head = np.ones(len(key), bool)
+    head[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1] + 1)
+    at = np.flatnonzero(head)
+    key, start, length = key[at], code[at], np.diff(np.append(at, len(code)))
     cut = np.flatnonzero(np.diff(key)) + 1
-    return [(int(k[0]) % buckets, 1, int(k[0]), c.tobytes()) for k, c in zip(np.split(key, cut), np.split(code, cut), strict=True) if len(k)]
+    rows = [(int(k[0]), np.concatenate([s, n]).tobytes()) for k, s, n in zip(np.split(key, cut), np.split(start, cut), np.split(length, cut), strict=True) if len(k)]
+    for i in range(0, len(rows), 5000):
+        k, body = zip(*rows[i : i + 5000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(body, pa.binary())], names=["key", "runs"])
+
+
+def codes_of(runs: bytes | None, dup: int) -> np.ndarray:
+    """The places that runs of codes hold for one text."""
+    both = np.frombuffer(runs or b"", np.int64).reshape(2, -1)
+    start, length = both[:, both[0] >> _PLACE == dup]
+    return np.arange(int(length.sum())) + np.repeat((start & ((1 << _PLACE) - 1)) - np.cumsum(length) + length, length)
 
 
 def _to_buckets(by: np.ndarray, hashes: tuple[np.ndarray, ...], key: np.ndarray, code: np.ndarray, extra: np.ndarray, extra_by: np.ndarray) -> list[tuple[int, int, int, bytes]]:
@@ -145,14 +178,14 @@ def _runs_out(window: int, buckets: int) -> Callable:
     return run
 
 
-def _runs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket's runs those that stand in more than one place."""
     vs, keys, codes, notes = [], [], [], []
     for b in batches:
         passed = []
-        for kind, key, body in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "body")), strict=True):
+        for bucket, kind, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "body")), strict=True):
             if kind:
-                passed.append((0, 1, key, body))
+                passed.append((bucket, 1, 0, body))
             else:
                 (v,), k, c, extra = unpack(body, 1)
                 vs.append(v), keys.append(k), codes.append(c), notes.append(extra)
@@ -170,7 +203,7 @@ def _runs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(noted):
             again |= noted[np.minimum(np.searchsorted(noted, s), len(noted) - 1)] == s
         hit = order[again]
-        yield _batch(_known(key[hit], code[hit], 1))
+        yield _batch(_known(key[hit], code[hit], buckets))
 
 
 def _leaves_out(window: int, buckets: int) -> Callable:
@@ -182,10 +215,8 @@ def _leaves_out(window: int, buckets: int) -> Callable:
             h = w.hashes()
             starts, place, _ = smallest_runs(h, w.doc, window)
             marked = np.zeros(len(h), bool)
-            for i, (dup, bodies) in enumerate(zip(b.column("dup").to_pylist(), b.column("bodies").to_pylist(), strict=True)):
-                codes = np.frombuffer(b"".join(bodies or []), np.int64)
-                own = codes[codes >> _PLACE == dup] & ((1 << _PLACE) - 1)
-                marked[w.first[i] + own] = True
+            for i, (dup, runs) in enumerate(zip(b.column("dup").to_pylist(), b.column("runs").to_pylist(), strict=True)):
+                marked[w.first[i] + codes_of(runs, dup)] = True
             starts = starts[marked[place]]
             prefix, x, y = leaves(h, starts, window)
             k, c = key[starts], code[starts]
@@ -202,14 +233,14 @@ def _leaves_out(window: int, buckets: int) -> Callable:
     return run
 
 
-def _leaves_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Sort each part's leaves; of a run of equal ones all but the first come later."""
     xs, ys, keys, codes = [], [], [], []
     for b in batches:
         passed = []
-        for kind, key, body in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "body")), strict=True):
+        for bucket, kind, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "body")), strict=True):
             if kind:
-                passed.append((0, 1, key, body))
+                passed.append((bucket, 1, 0, body))
             else:
                 (x, y), k, c, _ = unpack(body, 2)
                 xs.append(x), ys.append(y), keys.append(k), codes.append(c)
@@ -223,7 +254,7 @@ def _leaves_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (key != key[lead]) | (code != code[lead])
-        yield _batch(_known(key[later], code[later], 1))
+        yield _batch(_known(key[later], code[later], buckets))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -233,22 +264,21 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, bodies): for each document with any, the codes of the windows whose words also start earlier."""
+    """(key, runs): for each document with any, the codes of the windows whose words also start earlier."""
     n = partitions(docs.sparkSession)
     buckets = BUCKETS * n
     texts = _numbered(docs)
-    gathered = lambda df: df.groupBy("key").agg(F.collect_list("body").alias("bodies"))
-    runs = texts.mapInArrow(_runs_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(_runs_in, _ROWS)
+    gathered = lambda df: df.repartition(n, "bucket").mapInArrow(_by_key, "key long, runs binary")
+    runs = texts.mapInArrow(_runs_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(lambda b: _runs_in(b, buckets), _ROWS)
     marked = texts.join(gathered(runs), "key")
-    found = marked.select("key", "dup", "text", "bodies").mapInArrow(_leaves_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(_leaves_in, _ROWS)
+    found = marked.select("key", "dup", "text", "runs").mapInArrow(_leaves_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(lambda b: _leaves_in(b, buckets), _ROWS)
     return gathered(found)
 
 
-def removed_mask(n_words: int, dup: int, bodies: list[bytes] | None, window: int) -> np.ndarray:
+def removed_mask(n_words: int, dup: int, runs: bytes | None, window: int) -> np.ndarray:
     """Which of a text's words a later window covers."""
     steps = np.zeros(n_words + 1, np.int64)
-    codes = np.frombuffer(b"".join(bodies or []), np.int64)
-    own = np.unique(codes[codes >> _PLACE == dup] & ((1 << _PLACE) - 1))
+    own = codes_of(runs, dup)
     steps[own] += 1
     steps[own + window] -= 1
     return np.cumsum(steps[:-1]) > 0
@@ -267,11 +297,11 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for whole in batches:
             for b in slices(whole):
                 n, gone, digest = [], [], []
-                for text, dup, bodies in zip(text_bytes(b.column("text")), b.column("dup").to_pylist(), b.column("bodies").to_pylist(), strict=True):
+                for text, dup, runs in zip(text_bytes(b.column("text")), b.column("dup").to_pylist(), b.column("runs").to_pylist(), strict=True):
                     words = text.split()
                     n.append(len(words))
-                    if bodies:
-                        mask = removed_mask(len(words), dup, bodies, window)
+                    if runs:
+                        mask = removed_mask(len(words), dup, runs, window)
                         gone.append(int(mask.sum()))
                         words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                     else:
@@ -281,7 +311,7 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([None if k == _LOW else k for k in key], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _numbered(docs).join(later_windows(docs, window), "key", "left")
-    return joined.select("key", "dup", "text", "bodies").mapInArrow(run, DIGEST)
+    return joined.select("key", "dup", "text", "runs").mapInArrow(run, DIGEST)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -291,13 +321,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for whole in batches:
             for b in slices(whole):
                 rows = []
-                for text, key, dup, bodies in zip(text_bytes(b.column("text")), b.column("key").to_pylist(), b.column("dup").to_pylist(), b.column("bodies").to_pylist(), strict=True):
-                    edge = np.flatnonzero(np.diff(removed_mask(len(text.split()), dup, bodies, window).astype(np.int8), prepend=0, append=0)).tolist()
+                for text, key, dup, runs in zip(text_bytes(b.column("text")), b.column("key").to_pylist(), b.column("dup").to_pylist(), b.column("runs").to_pylist(), strict=True):
+                    edge = np.flatnonzero(np.diff(removed_mask(len(text.split()), dup, runs, window).astype(np.int8), prepend=0, append=0)).tolist()
                     rows += [(None if key == _LOW else key, a, e) for a, e in zip(edge[::2], edge[1::2], strict=True)]
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end"])
 
-    return _numbered(docs).join(later_windows(docs, window), "key").select("key", "dup", "text", "bodies").mapInArrow(run, "doc_id long, start long, end long")
+    return _numbered(docs).join(later_windows(docs, window), "key").select("key", "dup", "text", "runs").mapInArrow(run, "doc_id long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -306,9 +336,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text that loses words keeps its others joined by one space; one that loses none stays as it is."""
 
     @F.udf("string", useArrow=True)
-    def rest(text: str, dup: int, bodies: list) -> str:
+    def rest(text: str, dup: int, runs: bytes) -> str:
         words = (text or "").encode().split()
-        mask = removed_mask(len(words), dup, bodies, window).tolist()
+        mask = removed_mask(len(words), dup, runs, window).tolist()
         return b" ".join(w for w, m in zip(words, mask, strict=True) if not m).decode()
 
     others = [c for c in docs.columns if c != "text"]
@@ -316,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     numbered = rows.repartition(partitions(docs.sparkSession), "__key").withColumn("__dup", F.dense_rank().over(Window.partitionBy("__key").orderBy("__text")) - 1)
     hit = later_windows(docs, window).withColumnRenamed("key", "__key")
     joined = numbered.join(hit, "__key", "left")
-    changed = joined.withColumn("text", F.when(F.col("bodies").isNotNull(), rest("__text", "__dup", "bodies")).otherwise(F.col("text")))
+    changed = joined.withColumn("text", F.when(F.col("runs").isNotNull(), rest("__text", "__dup", "runs")).otherwise(F.col("text")))
     if "n_chars" in others:
-        changed = changed.withColumn("n_chars", F.when(F.col("bodies").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.col("runs").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
