@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vellum.llm.common import _FOLDED, U64, Words, _powers, materialize, mix, slices
 
 #: Examples of each label, taken by a hash of doc_id, that fit the index; features of it; least documents of a feature.
-EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 4000, 4, 12.0
+EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 2000, 4, 20.0
 #: Lengths of word starts in bytes; neighbours that vote; examples of a block; weight of the vote for no label.
 STARTS, NEIGHBOURS, BLOCK, DOUBT = (4, 5, 6, 8), 15, 64, 0.3
 #: Counts in one text from which a feature has a further feature of its own: a word said often is not one said once.
@@ -105,22 +105,28 @@ class Index:
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine (ties: the smaller place), exactly; examples that share no feature do not count."""
         bound = value @ self.largest[at]
-        best_place, best_cosine = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best_cosine) == k and bound[block] < best_cosine[-1] - 1e-12):
-                break
-            cell = block * len(self.hashes) + at
-            lo, hi = self.start[cell], self.start[cell + 1]
-            size = hi - lo
+        order = np.flatnonzero(bound > 0)
+        order = order[np.argsort(-bound[order], kind="stable")]
+        best_place, best_cosine, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while i < len(order) and not (len(best_cosine) == k and bound[order[i]] < best_cosine[-1] - 1e-12):
+            blocks = np.sort(order[i : i + step])  # several at once: as exact, with fewer steps
+            i, step = i + step, 2 * step
+            cell = (blocks[:, None] * len(self.hashes) + at).ravel()
+            lo = self.start[cell]
+            size = self.start[cell + 1] - lo
             inner = np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size)
-            cosine = np.bincount(self.places[inner] - block * BLOCK, weights=self.values[inner] * np.repeat(value, size), minlength=BLOCK)
+            local = self.places[inner] % BLOCK + BLOCK * np.repeat(np.arange(len(cell)) // len(at), size)
+            cosine = np.bincount(local, weights=self.values[inner] * np.repeat(np.tile(value, len(blocks)), size), minlength=1)
             place = np.flatnonzero(cosine > 0)
-            cosine, place = cosine[place], place + block * BLOCK
+            cosine, place = cosine[place], blocks[place // BLOCK] * BLOCK + place % BLOCK
             if without >= 0:
                 cosine, place = cosine[place != without], place[place != without]
             best_place, best_cosine = np.concatenate([best_place, place]), np.concatenate([best_cosine, cosine])
-            order = np.lexsort((best_place, -best_cosine))[:k]
-            best_place, best_cosine = best_place[order], best_cosine[order]
+            if len(best_cosine) > 4 * k:
+                top = np.flatnonzero(best_cosine >= np.partition(best_cosine, -k)[-k])
+                best_place, best_cosine = best_place[top], best_cosine[top]
+            by = np.lexsort((best_place, -best_cosine))[:k]
+            best_place, best_cosine = best_place[by], best_cosine[by]
         return best_place, best_cosine
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
