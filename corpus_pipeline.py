@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages over the documents table."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+The classifier drops documents of bad quality; of each group of near copies one stays; passages that occur earlier are
+cut; secrets are replaced by a placeholder; what is left is packed into training windows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from vellum.llm.common import materialize
+from vellum.llm.jaccard import keep_one_of_each
+from vellum.llm.packing import pack_documents
+from vellum.llm.quality_classifier import keep_good
+from vellum.llm.secrets import redact_secrets
+from vellum.llm.substring import remove_repeats
+
+
+def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it is fitted on this stage's documents and their labels."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each component of near copies."""
+    return keep_one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that occur earlier."""
+    return remove_repeats(docs)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets replaced."""
+    return redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents in training windows."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", drop_bad_quality),
+    ("jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("secrets", hide_secrets),
+    ("packing", pack),
+]
+
+#: SQL cannot express the classifier or the tokeniser; tests/llm/test_pipeline.py holds the result against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
