@@ -25,7 +25,6 @@ from vellum.llm.common import U64, Words, grams, materialize, mix, partitions, s
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch, as a power of two, and of those that one row of it carries.
 SKETCH_BITS, PART_BITS = 22, 16
-BUCKETS = 4
 #: Rows of a column that the others meet, round by round; None: all.
 PIVOTS: tuple[int | None, ...] = (1, 8, None)
 #: Up to so many rows of (node, doc_id), 16 bytes each, texts are picked by a broadcast join; beyond, by a shuffle.
@@ -289,7 +288,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     texts = _texts(docs)
     sets = materialize(texts.mapInArrow(_describe, SETS), "sets")
     shared = spark.sparkContext.broadcast(frequency_tiers(docs))
-    lists = texts.select("text").mapInArrow(_incidence(shared, percent, BUCKETS * n), ENTRY).repartition(n, "bucket").mapInArrow(_lists, "column long, node long, size long, place long")
+    lists = texts.select("text").mapInArrow(_incidence(shared, percent, n), ENTRY).repartitionById(n, "bucket").mapInArrow(_lists, "column long, node long, size long, place long")
     lists = materialize(lists, "columns")
     homes = sets.where("node <> 0").groupBy("node").agg(F.min(_key()).alias("key"))
     links, parts, bodies, checked = None, None, None, None

@@ -23,9 +23,6 @@ from vellum.llm.common import U64, Words, grams, mix, partitions, slices, text_b
 
 #: Words of a window, of the runs whose smallest names it, of the shortest prefix; one word in so many ends a prefix.
 WINDOW, RUN, SHORTEST_PREFIX, BOUNDARY = 20, 10, 4, 4
-#: Buckets for each shuffle partition.
-BUCKETS = 4
-
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _ROWS = "bucket int, kind int, key long, body binary"
 _LOW = -(2**63)
@@ -181,16 +178,15 @@ def _runs_out(window: int, buckets: int) -> Callable:
 def _runs_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket's runs those that stand in more than one place."""
     vs, keys, codes, notes = [], [], [], []
+    told_keys, told_codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in batches:
-        passed = []
-        for bucket, kind, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "body")), strict=True):
+        for kind, body in zip(*(b.column(c).to_pylist() for c in ("kind", "body")), strict=True):
             if kind:
-                passed.append((bucket, 1, 0, body))
+                _, k, c, _ = unpack(body, 0)
+                told_keys.append(k), told_codes.append(c)
             else:
                 (v,), k, c, extra = unpack(body, 1)
                 vs.append(v), keys.append(k), codes.append(c), notes.append(extra)
-        if passed:
-            yield _batch(passed)
     if vs:
         v, key, code, noted = map(np.concatenate, (vs, keys, codes, notes))
         order = np.argsort(v, kind="stable")
@@ -203,7 +199,8 @@ def _runs_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         if len(noted):
             again |= noted[np.minimum(np.searchsorted(noted, s), len(noted) - 1)] == s
         hit = order[again]
-        yield _batch(_known(key[hit], code[hit], buckets))
+        told_keys.append(key[hit]), told_codes.append(code[hit])
+    yield _batch(_known(np.concatenate(told_keys), np.concatenate(told_codes), buckets))
 
 
 def _leaves_out(window: int, buckets: int) -> Callable:
@@ -236,16 +233,15 @@ def _leaves_out(window: int, buckets: int) -> Callable:
 def _leaves_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Sort each part's leaves; of a run of equal ones all but the first come later."""
     xs, ys, keys, codes = [], [], [], []
+    told_keys, told_codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in batches:
-        passed = []
-        for bucket, kind, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "body")), strict=True):
+        for kind, body in zip(*(b.column(c).to_pylist() for c in ("kind", "body")), strict=True):
             if kind:
-                passed.append((bucket, 1, 0, body))
+                _, k, c, _ = unpack(body, 0)
+                told_keys.append(k), told_codes.append(c)
             else:
                 (x, y), k, c, _ = unpack(body, 2)
                 xs.append(x), ys.append(y), keys.append(k), codes.append(c)
-        if passed:
-            yield _batch(passed)
     if xs:
         x, y, key, code = map(np.concatenate, (xs, ys, keys, codes))
         order = np.lexsort((code, key, y, x))
@@ -254,7 +250,8 @@ def _leaves_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (key != key[lead]) | (code != code[lead])
-        yield _batch(_known(key[later], code[later], buckets))
+        told_keys.append(key[later]), told_codes.append(code[later])
+    yield _batch(_known(np.concatenate(told_keys), np.concatenate(told_codes), buckets))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -266,12 +263,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, runs): for each document with any, the codes of the windows whose words also start earlier."""
     n = partitions(docs.sparkSession)
-    buckets = BUCKETS * n
     texts = _numbered(docs)
-    gathered = lambda df: df.repartition(n, "bucket").mapInArrow(_by_key, "key long, runs binary")
-    runs = texts.mapInArrow(_runs_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(lambda b: _runs_in(b, buckets), _ROWS)
+    gathered = lambda df: df.repartitionById(n, "bucket").mapInArrow(_by_key, "key long, runs binary")
+    runs = texts.mapInArrow(_runs_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _runs_in(b, n), _ROWS)
     marked = texts.join(gathered(runs), "key")
-    found = marked.select("key", "dup", "text", "runs").mapInArrow(_leaves_out(window, buckets), _ROWS).repartition(n, "bucket").mapInArrow(lambda b: _leaves_in(b, buckets), _ROWS)
+    found = marked.select("key", "dup", "text", "runs").mapInArrow(_leaves_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _leaves_in(b, n), _ROWS)
     return gathered(found)
 
 
