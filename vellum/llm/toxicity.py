@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vellum.llm.common import _FOLDED, U64, Words, _powers, materialize, mix, slices
 
 #: Examples of each label, taken by a hash of doc_id, that fit the index; features of it; least documents of a feature.
-EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 2000, 4, 20.0
+EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2000, 600, 4, 20.0
 #: Lengths of word starts in bytes; neighbours that vote; examples of a block; weight of the vote for no label.
 STARTS, NEIGHBOURS, BLOCK, DOUBT = (4, 5, 6, 8), 15, 64, 0.3
 #: Counts in one text from which a feature has a further feature of its own: a word said often is not one said once.
