@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy pass takes at once; a longer single text makes a pass of its own.
 SLICE_BYTES = 4 << 20
@@ -49,6 +49,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """The table with each row in one column, so that no name of it can clash with those of an operator."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def from_row(rows: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """The columns of ``docs`` again; where ``changed``, with another text, and n_chars after it."""
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    own = lambda c: F.col("row").getField(c)
+    return rows.select(*((F.when(changed, new[c]).otherwise(own(c)) if c in new else own(c)).alias(c) for c in docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions, which the cluster sizes to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import materialize
+from vellum.llm.common import as_row, from_row, materialize
 
 #: Kind, pattern, group that counts, least code points of that group; order of kinds at one start.
 KINDS = (
@@ -135,19 +135,16 @@ def redact_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """The documents with every secret's span replaced by a placeholder; texts without any stay as they are.
 
     Overlapping spans make one placeholder. ``n_chars`` follows the text where the table has it."""
-    spans = find_secrets(docs, owner).where(F.size("base") + F.size("added") > 0).select(F.col("kd").alias("__kd"), F.col("kh").alias("__kh"), F.array_sort(F.concat("base", "added")).alias("__spans")).dropDuplicates(["__kd", "__kh"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__kd", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__kh", F.xxhash64(text))
+    spans = find_secrets(docs, owner).where(F.size("base") + F.size("added") > 0).select("kd", "kh", F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["kd", "kh"])
+    text = F.col("row.text").cast("string")
+    keyed = as_row(docs).withColumn("kd", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))).withColumn("kh", F.xxhash64(F.coalesce(text, F.lit(""))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
+        gap = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
         fresh = F.struct(s["end"].alias("at"), F.concat(done["out"], gap, F.lit(PLACEHOLDER)).alias("out"))
         return F.when(s["start"] >= done["at"], fresh).otherwise(F.struct(F.greatest(s["end"], done["at"]).alias("at"), done["out"].alias("out")))
 
-    joined = keyed.join(spans, ["__kd", "__kh"], "left")
-    done = let(F.aggregate("__spans", start, step), lambda d: F.concat(d["out"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
-    changed = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    done = let(F.aggregate("spans", start, step), lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
+    joined = keyed.join(spans, ["kd", "kh"], "left").withColumn("hidden", F.when(F.col("spans").isNotNull(), done))
+    return from_row(joined, docs, F.col("spans").isNotNull(), F.col("hidden"))

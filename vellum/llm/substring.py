@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, grams, mix, partitions, slices, text_bytes
+from vellum.llm.common import U64, Words, as_row, from_row, grams, mix, partitions, slices, text_bytes
 
 #: Words of a window, of the runs whose smallest names it, of the shortest prefix; one word in so many ends a prefix.
 WINDOW, RUN, SHORTEST_PREFIX, BOUNDARY = 20, 10, 4, 4
@@ -337,12 +337,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         mask = removed_mask(len(words), dup, runs, window).tolist()
         return b" ".join(w for w, m in zip(words, mask, strict=True) if not m).decode()
 
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("__key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), *docs.columns)
-    numbered = rows.repartition(partitions(docs.sparkSession), "__key").withColumn("__dup", F.dense_rank().over(Window.partitionBy("__key").orderBy("__text")) - 1)
-    hit = later_windows(docs, window).withColumnRenamed("key", "__key")
-    joined = numbered.join(hit, "__key", "left")
-    changed = joined.withColumn("text", F.when(F.col("runs").isNotNull(), rest("__text", "__dup", "runs")).otherwise(F.col("text")))
-    if "n_chars" in others:
-        changed = changed.withColumn("n_chars", F.when(F.col("runs").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = as_row(docs).withColumn("key", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LOW))).repartition(partitions(docs.sparkSession), "key")
+    joined = rows.withColumn("dup", F.dense_rank().over(Window.partitionBy("key").orderBy(text)) - 1).join(later_windows(docs, window), "key", "left")
+    cut = F.when(F.col("runs").isNotNull(), rest(text, F.col("dup"), F.col("runs")))
+    return from_row(joined.withColumn("cut", cut), docs, F.col("runs").isNotNull(), F.col("cut"))
