@@ -357,7 +357,7 @@ def compare_summary(spark, sf_dir):
 @query()
 def compare_additional(spark, sf_dir):
     rows = compare.compare_documents(turns(spark, sf_dir))
-    return rows.select("conv_id", "turn", F.explode("comparison.additional_in_document_b").alias("item"))
+    return rows.select("conv_id", "turn", F.explode_outer("comparison.additional_in_document_b").alias("item")).where("item is not null")
 
 
 @query(S.rows("pair_id, error_code, classes, coverage, additional", S.PAIR_GOLDEN))
