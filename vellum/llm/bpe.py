@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import slices
+from vellum.llm.common import slices, texts
 
 #: The pattern that splits text before the merges of byte-level vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -278,10 +278,6 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of every whole text (array of int). One narrow Arrow pass; null texts are empty."""
 
@@ -292,7 +288,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -301,8 +297,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            texts = [bpe.decode(np.array([i for i in x or [] if 0 <= i < len(bpe.bodies)], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            found = [bpe.decode(np.array([i for i in x or [] if 0 <= i < len(bpe.bodies)], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -323,4 +319,4 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return _texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(run, SCHEMA)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy pass takes at once; a longer single text makes a pass of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that Spark sends to Python.
+BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
 
@@ -49,6 +51,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of a table of documents, null texts as empty ones, to be sent to Python in bounded batches."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts by bytes, not by rows alone: a task holds a few of them at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def as_row(docs: DataFrame) -> DataFrame:
     """The table with each row in one column, so that no name of it can clash with those of an operator."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, mix, partitions, slices
+from vellum.llm.common import U64, mix, partitions, slices, texts as plain_texts
 
 #: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours.
 K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 500, 4096
@@ -89,10 +89,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled == 0, 1.0, ((x == y) & (x >= 0)).sum(axis=1) / np.maximum(filled, 1))
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every whole text; one narrow pass."""
 
@@ -101,7 +97,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for b in slices(whole):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(as_strings(sketch(b.column("text").to_pylist())), pa.string())], names=["doc_id", "fingerprint"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return plain_texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def document_anchors(docs: DataFrame) -> DataFrame:
@@ -113,7 +109,7 @@ def document_anchors(docs: DataFrame) -> DataFrame:
                 text, at, h = anchors(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(at), pa.array(h.view(np.int64))], names=["doc_id", "place", "anchor"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, place long, anchor long")
+    return plain_texts(docs).mapInArrow(run, "doc_id long, place long, anchor long")
 
 
 def _bucket(bounds: list[int], key: Column) -> Column:
@@ -132,7 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     A bucket holds a range of ids. The document that comes next in descending order is the row before; for a bucket's
     first row that is its donor, the last document of the bucket before (of the last bucket for the first one). The
     bounds are ids at quantiles, at most ``MAX_BUCKETS`` numbers on the driver. Texts are shuffled once."""
-    keyed = _plain(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    keyed = plain_texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     found = keyed.agg(F.count("*").alias("n"), F.max("key").alias("top"), F.percentile_approx("key", [i / 1024 for i in range(1, 1024)], 20000).alias("cuts")).first()
     cuts = sorted(set(found["cuts"] or []))
     wanted = max(1, min(MAX_BUCKETS, found["n"] // BUCKET_ROWS))

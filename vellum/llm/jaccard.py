@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, grams, materialize, mix, partitions, slices
+from vellum.llm.common import U64, Words, grams, materialize, mix, partitions, slices, texts as plain_texts
 
 #: Words of a shingle; least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -71,10 +71,6 @@ def set_ids(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return count, np.array(ids, np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole):
@@ -108,7 +104,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_tiers(docs: DataFrame) -> np.ndarray:
     """A tier of document frequency for every counter of the sketch: 4 MB, whatever the corpus."""
-    found = _texts(docs).select("text").mapInArrow(_count, "part int, counts binary").repartition(partitions(docs.sparkSession), "part").mapInArrow(_add, "part int, tiers binary").collect()
+    found = plain_texts(docs).select("text").mapInArrow(_count, "part int, counts binary").repartition(partitions(docs.sparkSession), "part").mapInArrow(_add, "part int, tiers binary").collect()
     tiers = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in found:
         tiers[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["tiers"], np.uint8)
@@ -285,7 +281,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """(sets, parts): doc_id, n_shingles and node of every document; node and component of the nodes that have links."""
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = _texts(docs)
+    texts = plain_texts(docs)
     sets = materialize(texts.mapInArrow(_describe, SETS), "sets")
     shared = spark.sparkContext.broadcast(frequency_tiers(docs))
     lists = texts.select("text").mapInArrow(_incidence(shared, percent, n), ENTRY).repartitionById(n, "bucket").mapInArrow(_lists, "column long, node long, size long, place long")
@@ -327,7 +323,7 @@ def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array([packer.compress(t.encode()) for t in bodies], pa.binary())], names=["node", "body"])
 
     side = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
-    named = _texts(docs).withColumn("key", _key()).select("key", "text").join(side, "key")
+    named = plain_texts(docs).withColumn("key", _key()).select("key", "text").join(side, "key")
     return named.select("node", "text").mapInArrow(run, "node long, body binary").dropDuplicates(["node"])
 
 

@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from vellum.llm.bpe import Merges, read_spec
-from vellum.llm.common import U64, Words, slices
+from vellum.llm.common import U64, Words, slices, texts
 
 #: Ids in a window, id after each document, penalties of a cut (in ids of padding).
 WINDOW, END_ID, SENTENCE_CUT, FREE_CUT = 2048, 1, 6, 24
@@ -290,4 +290,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         if rows := list(packer.flush()):
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(run, SCHEMA)

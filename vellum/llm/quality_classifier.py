@@ -12,16 +12,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, Words, grams, mix, slices, text_bytes
+from vellum.llm.common import U64, Words, bound_batches, grams, mix, slices, text_bytes
 
 #: Documents that fit the models, at most: labelled ones of each label, unlabelled ones. Rounds; pseudo-labels of a view in a round, as a share of the unlabelled.
 PER_LABEL, UNLABELLED, ROUNDS, SHARE, SURE = 3000, 4000, 4, 0.05, 0.9
 BINS, SOURCES, RIDGE = 10, 64, 1.0
 HELD_OUT_OF, CALIBRATE_OF = 5, 4
+#: Bytes of text that the figures are taken of at once.
+PASS_BYTES = 2 << 20
 
 CONTENT = ("log_words", "distinct", "repeat_2", "repeat_5", "common_word", "doubled", "dup_lines", "symbols", "bars", "digits", "capitals", "marks", "word_size", "long_words", "short_words", "shouts")
 META = ("log_chars", "log_lines", "line_size", "source", "lang")
@@ -186,6 +187,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, role: np.
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bucket = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(SOURCES)).cast("int") if c in docs.columns else F.lit(0)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n")))).alias("lines"), bucket("source").alias("source_bucket"), bucket("lang").alias("lang_bucket"))
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, max_bytes=PASS_BYTES):
                 rows = np.concatenate([content_figures(b.column("text")), meta_figures(b)], axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "quality", "figures"])
 
@@ -241,7 +243,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, max_bytes=PASS_BYTES):
                 ones = np.ones(b.num_rows)
                 score, content, meta = model.scores(content_figures(b.column("text")), meta_figures(b)) if model else (ones, ones, ones)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, (score, score >= 0.5, content, meta))], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -253,14 +255,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their columns. One pass over the texts; they are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, chars: pd.Series, lines: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array, chars: pa.Array, lines: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
         model = shared.value
         if model is None:
-            return pd.Series(np.ones(len(text), bool))
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *map(pa.array, (chars, lines, source, lang))], names=["text", "chars", "lines", "source_bucket", "lang_bucket"])
-        return pd.Series(np.concatenate([model.scores(content_figures(b.column("text")), meta_figures(b))[0] >= 0.5 for b in slices(batch)] or [np.zeros(0, bool)]))
+            return pa.array(np.ones(len(text), bool))
+        batch = pa.RecordBatch.from_arrays([text, chars, lines, source, lang], names=["text", "chars", "lines", "source_bucket", "lang_bucket"])
+        return pa.array(np.concatenate([model.scores(content_figures(b.column("text")), meta_figures(b))[0] >= 0.5 for b in slices(batch, max_bytes=PASS_BYTES)] or [np.zeros(0, bool)]))
 
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bucket = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(SOURCES)).cast("int") if c in docs.columns else F.lit(0)
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n")))

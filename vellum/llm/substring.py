@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, as_row, from_row, grams, mix, partitions, slices, text_bytes
+from vellum.llm.common import U64, Words, as_row, from_row, grams, mix, partitions, slices, text_bytes, texts
 
 #: Words of a window, of the runs whose smallest names it, of the shortest prefix; one word in so many ends a prefix.
 WINDOW, RUN, SHORTEST_PREFIX, BOUNDARY = 20, 10, 4, 4
@@ -256,17 +256,17 @@ def _leaves_in(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """(key, dup, text): dup numbers the different texts of one doc_id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(_LOW)).alias("key"), "text")
     return rows.repartition(partitions(docs.sparkSession), "key").withColumn("dup", F.dense_rank().over(Window.partitionBy("key").orderBy("text")) - 1)
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, runs): for each document with any, the codes of the windows whose words also start earlier."""
     n = partitions(docs.sparkSession)
-    texts = _numbered(docs)
+    numbered = _numbered(docs)
     gathered = lambda df: df.repartitionById(n, "bucket").mapInArrow(_by_key, "key long, runs binary")
-    runs = texts.mapInArrow(_runs_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _runs_in(b, n), _ROWS)
-    marked = texts.join(gathered(runs), "key")
+    runs = numbered.mapInArrow(_runs_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _runs_in(b, n), _ROWS)
+    marked = numbered.join(gathered(runs), "key")
     found = marked.select("key", "dup", "text", "runs").mapInArrow(_leaves_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _leaves_in(b, n), _ROWS)
     return gathered(found)
 
