@@ -1,3 +1,65 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+The others need a tokeniser (3, 8), a learned model (2, 10), hashes of their own (4) or floating shares of these (9); they
+are tested against plain Python or held-out labels in tests/llm.
+"""
+
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+OP5 = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM v) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS words FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Base32 of SHA-1: five hex digits give four letters.
+_LETTERS = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[{5 * g + 1}:{5 * g + 5}])::BIGINT >> {s}) & 31) + 1]" for g in range(8) for s in (15, 10, 5, 0))
+
+OP6 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, n AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p
+"""
+
+OP7 = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {FOLDED} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(10) ORDER BY k)) AS h FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM n),
+r AS MATERIALIZED (SELECT s.doc_id, k, n FROM s JOIN c ON c.doc_id = s.doc_id AND c.rep = s.doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.k = b.k AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT doc_id AS x, doc_id AS y FROM c WHERE rep = doc_id UNION SELECT t.x, e.b FROM t JOIN e ON e.a = t.y),
+m AS (SELECT x, min(y) AS least FROM t GROUP BY x)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.least, w.doc_id) AS component_id FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x = c.rep
+"""
+
+_KINDS = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16), ("owned", "[A-Za-z0-9+/_-]{20,}", 0, 20))
+
+
+def _found(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
+    return f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS size, v[i] AS value
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS g FROM documents)) WHERE length(v[i]) >= {least}"""
+
+
+OP1 = f"""
+WITH f AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, kind, rank, a::BIGINT AS a, (a + size)::BIGINT AS b, value FROM ({" UNION ALL ".join(_found(*k, rank) for rank, k in enumerate(_KINDS))})),
+base AS MATERIALIZED (SELECT * FROM f WHERE kind <> 'owned'),
+bare AS MATERIALIZED (SELECT * FROM f WHERE kind = 'owned' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = f.doc_id AND base.a < f.b AND f.a < base.b)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owners AS (SELECT value, count(DISTINCT source) AS n FROM every GROUP BY value),
+j AS MATERIALIZED (SELECT every.*, n FROM every JOIN owners USING (value)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned' OR n < 3) AS spans,
+    count(*) FILTER (kind = 'owned' AND n < 3) AS n_owned, count(*) FILTER (n < 3) AS n_live, count(*) FILTER (n >= 3) AS n_copied FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1, "op5_substring_dedup": OP5, "op6_warc": OP6, "op7_jaccard_join": OP7}
