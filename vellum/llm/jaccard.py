@@ -47,8 +47,11 @@ def shingle_sets(col: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     if len(short):
         whole = np.array([mix(_whole(h[w.first[i] : w.first[i + 1]]))[0] for i in short.tolist()], U64)
         row, value = np.concatenate([row, short]), np.concatenate([value, whole])
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+        order = np.argsort(row, kind="stable")
+        row, value = row[order], value[order]
+    ends = np.cumsum(np.bincount(row, minlength=len(w.count))).tolist() if len(row) else []
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        value[a:b].sort()  # a text's own shingles: many small sorts cost far less than one large one
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[new], value[new]
@@ -131,11 +134,13 @@ def _incidence(shared, percent: int, buckets: int):
                 chosen[one] = size[one] > 0
                 on = chosen[row]
                 row, value = row[on], value[on]
-                order = np.lexsort((value, tiers[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)], row))
-                row, value = row[order], value[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                on = place < prefix_length(size, percent)[row]
-                row, value, place = row[on], value[on], place[on]
+                tier = tiers[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+                own = np.flatnonzero(np.diff(row, prepend=-1))
+                count, shown = np.diff(np.append(own, len(row))), prefix_length(size, percent)[row[own]]
+                first = [a + np.argsort(tier[a : a + n], kind="stable")[:k] for a, n, k in zip(own.tolist(), count.tolist(), shown.tolist(), strict=True)]
+                at = np.concatenate(first) if first else np.zeros(0, np.int64)
+                row, value = row[at], value[at]
+                place = np.arange(len(at)) - np.repeat(np.cumsum(shown) - shown, shown)
                 to = (value % U64(buckets)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 cut = np.searchsorted(to[by], np.arange(buckets + 1))
