@@ -15,7 +15,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_NGRAM = 50, 50, 3
 #: (n, largest share of the characters in words that may lie in n-grams seen twice or more in the text).
 COVERAGE_LIMITS = ((5, 0.35), (10, 0.30), (20, 0.25))
 #: Largest share of lines with a word that repeat an earlier line, of symbols to words.
-MAX_DUP_LINE_SHARE, MAX_SYMBOLS_PER_WORD = 0.50, 0.50
+MAX_DUP_LINE_SHARE, MAX_SYMBOLS_PER_WORD = 0.50, 0.25
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -91,7 +91,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     A document is kept unless the base rules fail it (under 50 words, or over half of its words in repeated
     3-word windows) or its repetition coverage does: the share of characters inside n-grams of 5, 10 or 20 words that
-    occur again in the text, or of repeated lines, is over its limit, or it has more than one symbol for two words.
+    occur again in the text, or of repeated lines, is over its limit, or it has more than one symbol for four words.
     Null and empty texts have no words, so they fail. Repeated rows give repeated results; a null doc_id stays null;
     an empty table gives an empty result; other columns are ignored."""
     return texts(docs).mapInArrow(measure, SCHEMA)
