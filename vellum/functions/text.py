@@ -95,7 +95,7 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
 
 def mentioning(parts: Column, words: Iterable[str]) -> Column:
     """The parts that mention one of the words."""
-    return F.filter(parts, lambda s: contains_any(F.lower(s), words))
+    return F.filter(parts, lambda s: let(F.lower(s), lambda low: contains_any(low, words)))
 
 
 def found_words(lowered: Column, words: Iterable[str]) -> Column:

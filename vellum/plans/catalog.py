@@ -145,7 +145,7 @@ def data_review(spark, sf_dir):
 
 @query(S.checklist("SELECT doc_id, text FROM documents", fx.DATA_SECTIONS))
 def review_section_checklist(spark, sf_dir):
-    return review.checklist_rows(data_review(spark, sf_dir), "doc_id").select("doc_id", long("pos").alias("pos"), "section", "status", "evidence")
+    return review.checklist_rows(documents(spark, sf_dir), fx.DATA_SECTIONS, "doc_id").select("doc_id", long("pos").alias("pos"), "section", "status", "evidence")
 
 
 @query(f"SELECT doc_id, round_even(100.0 * count(*) FILTER (status = 'Detected') / count(*), 0)::BIGINT AS completeness FROM ({S.checklist('SELECT doc_id, text FROM documents', fx.DATA_SECTIONS)}) GROUP BY doc_id")
@@ -261,8 +261,8 @@ _mail_items("email_decisions", fx.DATA_TERMS)
 
 @query(S.mail_summary("SELECT doc_id, text FROM documents", fx.DATA_TERMS))
 def email_summary(spark, sf_dir):
-    s = T.mail_sentences(email.body_of(T.lines(F.col("text"))))
-    return mails(spark, sf_dir).select("doc_id", email.summary_of(s, fx.DATA_TERMS).alias("s")).select("doc_id", long(F.size("s")).alias("n"), F.md5(joined("s")).alias("summary_md5"))
+    s = T.mail_sentences(T.let(T.lines(F.col("text")), email.body_of))
+    return mails(spark, sf_dir).select("doc_id", T.let(s, lambda x: email.summary_of(x, fx.DATA_TERMS)).alias("s")).select("doc_id", long(F.size("s")).alias("n"), F.md5(joined("s")).alias("summary_md5"))
 
 
 @query(S.deadlines_fixture())
@@ -331,15 +331,17 @@ def qa_text_report(spark, sf_dir):
 @query(S.pair_overlap())
 def compare_keyword_overlap(spark, sf_dir):
     p = compare.with_items(neighbours(spark, sf_dir))
-    best = F.transform("a_keys", lambda a: F.aggregate("b_keys", F.lit(0.0), lambda m, b: F.greatest(m, compare.overlap(a, b))))
+    best = T.let(F.col("b_keys"), lambda keys: F.transform("a_keys", lambda a: F.aggregate(keys, F.lit(0.0), lambda m, b: F.greatest(m, compare.overlap(a, b)))))
     return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b"), F.coalesce(F.array_max(best), F.lit(0.0)).alias("best_overlap"))
 
 
 @query(S.pair_conflicts())
 def compare_conflicts(spark, sf_dir):
     p = compare.with_items(neighbours(spark, sf_dir))
-    clash = lambda a, i: F.filter("b_keys", lambda b, j: compare.conflicting(compare.overlap(a, b), F.get("a_numbers", i), F.get("b_numbers", j)))
-    return p.select("pair_id", F.aggregate(F.transform("a_keys", lambda a, i: F.size(clash(a, i))), F.lit(0).cast("long"), lambda s, x: s + x).alias("n_conflicts"))
+    sides = F.struct("a_numbers", "b_numbers", "b_keys")
+    clash = lambda d, a, i: F.filter(d["b_keys"], lambda b, j: compare.conflicting(compare.overlap(a, b), F.get(d["a_numbers"], i), F.get(d["b_numbers"], j)))
+    counts = T.let(sides, lambda d: F.transform("a_keys", lambda a, i: F.size(clash(d, a, i))))
+    return p.select("pair_id", F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_conflicts"))
 
 
 @query()
