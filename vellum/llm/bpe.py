@@ -11,14 +11,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import slices, texts
+from vellum.llm.common import kept, lean, slices, texts
 
 #: The pattern that splits text before the merges of byte-level vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -273,9 +272,8 @@ class ByteBpe(Merges):
         return b"".join(map(self.bodies.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return kept("bpe", path, ByteBpe)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -288,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(lean(run, "bpe"), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -300,7 +298,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             found = [bpe.decode(np.array([i for i in x or [] if 0 <= i < len(bpe.bodies)], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run, "bpe"), "doc_id long, text string")
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -319,4 +317,4 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(lean(run, "bpe"), SCHEMA)

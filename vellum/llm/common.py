@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,45 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_TABLES: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, path: str, make: Callable[[str], object]) -> object:
+    """A large object of a worker, such as a vocabulary's automaton; a worker holds one at a time, between tasks too."""
+    if (kind, path) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[kind, path] = make(path)
+    return _TABLES[kind, path]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def unburden(keep: str = "") -> None:
+    """Drop the large objects of other operators."""
+    if any(kind != keep for kind, _ in _TABLES):
+        _TABLES.clear()
+        gc.collect()
+        trim()
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
+    """A task's function that starts without the large objects of other operators and ends without its own garbage."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden(keep)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a table of documents, null texts as empty ones, to be sent to Python in bounded batches."""
     bound_batches(docs.sparkSession)

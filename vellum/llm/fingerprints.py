@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, mix, partitions, slices, texts as plain_texts
+from vellum.llm.common import U64, lean, mix, partitions, slices, texts as plain_texts
 
 #: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours.
 K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 500, 4096
@@ -97,7 +97,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for b in slices(whole):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(as_strings(sketch(b.column("text").to_pylist())), pa.string())], names=["doc_id", "fingerprint"])
 
-    return plain_texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return plain_texts(docs).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def document_anchors(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def document_anchors(docs: DataFrame) -> DataFrame:
                 text, at, h = anchors(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(at), pa.array(h.view(np.int64))], names=["doc_id", "place", "anchor"])
 
-    return plain_texts(docs).mapInArrow(run, "doc_id long, place long, anchor long")
+    return plain_texts(docs).mapInArrow(lean(run), "doc_id long, place long, anchor long")
 
 
 def _bucket(bounds: list[int], key: Column) -> Column:
@@ -174,4 +174,4 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
-    return with_next(docs).select("bucket", "own", "doc_id", "text").mapInArrow(run, SCHEMA)
+    return with_next(docs).select("bucket", "own", "doc_id", "text").mapInArrow(lean(run), SCHEMA)

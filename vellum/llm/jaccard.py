@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, grams, materialize, mix, partitions, slices, texts as plain_texts
+from vellum.llm.common import U64, Words, grams, lean, materialize, mix, partitions, slices, texts as plain_texts
 
 #: Words of a shingle; least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -107,7 +107,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_tiers(docs: DataFrame) -> np.ndarray:
     """A tier of document frequency for every counter of the sketch: 4 MB, whatever the corpus."""
-    found = plain_texts(docs).select("text").mapInArrow(_count, "part int, counts binary").repartition(partitions(docs.sparkSession), "part").mapInArrow(_add, "part int, tiers binary").collect()
+    found = plain_texts(docs).select("text").mapInArrow(lean(_count), "part int, counts binary").repartition(partitions(docs.sparkSession), "part").mapInArrow(lean(_add), "part int, tiers binary").collect()
     tiers = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in found:
         tiers[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["tiers"], np.uint8)
@@ -287,9 +287,9 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     spark = docs.sparkSession
     n = partitions(spark)
     texts = plain_texts(docs)
-    sets = materialize(texts.mapInArrow(_describe, SETS), "sets")
+    sets = materialize(texts.mapInArrow(lean(_describe), SETS), "sets")
     shared = spark.sparkContext.broadcast(frequency_tiers(docs))
-    lists = texts.select("text").mapInArrow(_incidence(shared, percent, n), ENTRY).repartitionById(n, "bucket").mapInArrow(_lists, "column long, node long, size long, place long")
+    lists = texts.select("text").mapInArrow(lean(_incidence(shared, percent, n)), ENTRY).repartitionById(n, "bucket").mapInArrow(lean(_lists), "column long, node long, size long, place long")
     lists = materialize(lists, "columns")
     homes = sets.where("node <> 0").groupBy("node").agg(F.min(_key()).alias("key"))
     links, parts, bodies, checked = None, None, None, None
@@ -305,7 +305,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         more = materialize(_packed(docs, materialize(homes.join(wanted, "node"), "wanted")), "bodies")
         bodies = more if bodies is None else bodies.unionByName(more)
         pairs = proposed.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
-        near = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_check(percent), "a long, b long"), "near")
+        near = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(lean(_check(percent)), "a long, b long"), "near")
         links = near if links is None else near.unionByName(links)
         parts = materialize(components(links), "parts")
     return sets, parts
@@ -329,7 +329,7 @@ def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
 
     side = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
     named = plain_texts(docs).withColumn("key", _key()).select("key", "text").join(side, "key")
-    return named.select("node", "text").mapInArrow(run, "node long, body binary").dropDuplicates(["node"])
+    return named.select("node", "text").mapInArrow(lean(run), "node long, body binary").dropDuplicates(["node"])
 
 
 def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -11,7 +11,6 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from vellum.llm.bpe import Merges, read_spec
-from vellum.llm.common import U64, Words, slices, texts
+from vellum.llm.common import U64, Words, kept, lean, slices, texts
 
 #: Ids in a window, id after each document, penalties of a cut (in ids of padding).
 WINDOW, END_ID, SENTENCE_CUT, FREE_CUT = 2048, 1, 6, 24
@@ -172,9 +171,8 @@ class WordIds:
             yield ids[upto[a] : upto[b]], upto[a + 1 : b + 1][stop[a:b]] - upto[a]
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordIds:
-    return WordIds(path)
+    return kept("words", path, WordIds)
 
 
 def cuts(total: int, sentence: np.ndarray, document: np.ndarray, window: int = WINDOW, last: bool = True) -> list[int]:
@@ -290,4 +288,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         if rows := list(packer.flush()):
             yield out(rows)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(lean(run, "words"), SCHEMA)

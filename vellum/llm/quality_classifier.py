@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, Words, bound_batches, grams, mix, slices, text_bytes
+from vellum.llm.common import U64, Words, bound_batches, grams, lean, mix, slices, text_bytes, unburden
 
 #: Documents that fit the models, at most: labelled ones of each label, unlabelled ones. Rounds; pseudo-labels of a view in a round, as a share of the unlabelled.
 PER_LABEL, UNLABELLED, ROUNDS, SHARE, SURE = 3000, 4000, 4, 0.05, 0.9
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
                 rows = np.concatenate([content_figures(b.column("text")), meta_figures(b)], axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "quality", "figures"])
 
-    rows = _prepared(docs).join(F.broadcast(bounded), "doc_id").mapInArrow(figures, "doc_id long, quality int, figures array<double>").toArrow().to_pandas()
+    rows = _prepared(docs).join(F.broadcast(bounded), "doc_id").mapInArrow(lean(figures), "doc_id long, quality int, figures array<double>").toArrow().to_pandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     x = np.stack(rows["figures"].to_list())
     label = rows["quality"].to_numpy(np.int64)
@@ -248,7 +248,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score, content, meta = model.scores(content_figures(b.column("text")), meta_figures(b)) if model else (ones, ones, ones)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, (score, score >= 0.5, content, meta))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return _prepared(docs).withColumn("held_out", remainder() % HELD_OUT_OF == 0).mapInArrow(run, SCHEMA)
+    return _prepared(docs).withColumn("held_out", remainder() % HELD_OUT_OF == 0).mapInArrow(lean(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,6 +257,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def good(text: pa.Array, chars: pa.Array, lines: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
+        unburden()
         model = shared.value
         if model is None:
             return pa.array(np.ones(len(text), bool))

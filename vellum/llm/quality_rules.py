@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import U64, Words, grams, mix, slices, text_bytes, texts
+from vellum.llm.common import U64, Words, grams, lean, mix, slices, text_bytes, texts
 
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_NGRAM = 50, 50, 3
@@ -94,4 +94,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     occur again in the text, or of repeated lines, is over its limit, or it has more than one symbol for four words.
     Null and empty texts have no words, so they fail. Repeated rows give repeated results; a null doc_id stays null;
     an empty table gives an empty result; other columns are ignored."""
-    return texts(docs).mapInArrow(measure, SCHEMA)
+    return texts(docs).mapInArrow(lean(measure), SCHEMA)

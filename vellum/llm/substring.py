@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, as_row, from_row, grams, mix, partitions, slices, text_bytes, texts
+from vellum.llm.common import U64, Words, as_row, from_row, grams, lean, mix, partitions, slices, text_bytes, texts
 
 #: Words of a window, of the runs whose smallest names it, of the shortest prefix; one word in so many ends a prefix.
 WINDOW, RUN, SHORTEST_PREFIX, BOUNDARY = 20, 10, 4, 4
@@ -264,10 +264,10 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, runs): for each document with any, the codes of the windows whose words also start earlier."""
     n = partitions(docs.sparkSession)
     numbered = _numbered(docs)
-    gathered = lambda df: df.repartitionById(n, "bucket").mapInArrow(_by_key, "key long, runs binary")
-    runs = numbered.mapInArrow(_runs_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _runs_in(b, n), _ROWS)
+    gathered = lambda df: df.repartitionById(n, "bucket").mapInArrow(lean(_by_key), "key long, runs binary")
+    runs = numbered.mapInArrow(lean(_runs_out(window, n)), _ROWS).repartitionById(n, "bucket").mapInArrow(lean(lambda b: _runs_in(b, n)), _ROWS)
     marked = numbered.join(gathered(runs), "key")
-    found = marked.select("key", "dup", "text", "runs").mapInArrow(_leaves_out(window, n), _ROWS).repartitionById(n, "bucket").mapInArrow(lambda b: _leaves_in(b, n), _ROWS)
+    found = marked.select("key", "dup", "text", "runs").mapInArrow(lean(_leaves_out(window, n)), _ROWS).repartitionById(n, "bucket").mapInArrow(lean(lambda b: _leaves_in(b, n)), _ROWS)
     return gathered(found)
 
 
@@ -307,7 +307,7 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([None if k == _LOW else k for k in key], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _numbered(docs).join(later_windows(docs, window), "key", "left")
-    return joined.select("key", "dup", "text", "runs").mapInArrow(run, DIGEST)
+    return joined.select("key", "dup", "text", "runs").mapInArrow(lean(run), DIGEST)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end"])
 
-    return _numbered(docs).join(later_windows(docs, window), "key").select("key", "dup", "text", "runs").mapInArrow(run, "doc_id long, start long, end long")
+    return _numbered(docs).join(later_windows(docs, window), "key").select("key", "dup", "text", "runs").mapInArrow(lean(run), "doc_id long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import _FOLDED, U64, Words, _powers, materialize, mix, slices, texts
+from vellum.llm.common import U64, _FOLDED, _powers, Words, lean, materialize, mix, slices, texts
 
 #: Examples of each label, taken by a hash of doc_id, that fit the index; features of it; least documents of a feature.
 EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2000, 600, 4, 20.0
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("toxic").take(row), pa.array(feature.view(np.int64)), pa.array(base.view(np.int64)), pa.array(tf)], names=["doc_id", "toxic", "feature", "base", "tf"])
 
     examples = texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    found = materialize(examples.select("doc_id", "text", "toxic").mapInArrow(occurrences, "doc_id long, toxic int, feature long, base long, tf long"), "examples")
+    found = materialize(examples.select("doc_id", "text", "toxic").mapInArrow(lean(occurrences), "doc_id long, toxic int, feature long, base long, tf long"), "examples")
     have = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     if len(have) < 2:
         return None
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL)
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([*np.flatnonzero(df), -1], pa.int32()), pa.array([*df[df > 0], n], pa.int64())], names=["at", "df"])
 
-    df_of = {r["at"]: r["df"] for r in texts(docs).select("text").mapInArrow(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
+    df_of = {r["at"]: r["df"] for r in texts(docs).select("text").mapInArrow(lean(frequencies), "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
     weight = np.log((1 + df_of.get(-1, 0)) / (1 + np.array([df_of.get(i, 0) for i in range(len(hashes))]))) + 1.0
     rows = found.join(F.broadcast(spark.createDataFrame([(r["feature"],) for r in picked], "feature long").distinct()), "feature").select("doc_id", "feature", "tf").toArrow()
     names = found.groupBy("doc_id").agg(F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
@@ -277,4 +277,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
-    return texts(docs).withColumn("held_out", _remainder() == 0).mapInArrow(run, SCHEMA)
+    return texts(docs).withColumn("held_out", _remainder() == 0).mapInArrow(lean(run), SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import materialize
+from vellum.llm.common import lean, materialize
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
     Copies meet in a map-side aggregation before the shuffle, so a payload that a third of the pages share sends one row
     for each task. ``heads`` (page_id, sha256, revisit, head): the exact header bytes of every record."""
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    digested = fields.mapInArrow(_digests, "page_id long, url string, n_bytes long, sha1 string, sha256 binary, packed binary")
+    digested = fields.mapInArrow(lean(_digests), "page_id long, url string, n_bytes long, sha1 string, sha256 binary, packed binary")
     payloads = materialize(digested.groupBy("sha256", "n_bytes").agg(F.min("page_id").alias("first"), F.min("packed").alias("packed")), "payloads")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
 
     light = digested.select("page_id", "url", "n_bytes", "sha1", "sha256").join(payloads.select("sha256", "first"), "sha256")
     revisit = F.coalesce((F.col("page_id") > F.col("first")) & (F.col("n_bytes") >= min_bytes), F.col("first").isNotNull() & (F.col("n_bytes") >= min_bytes))
-    return payloads, materialize(light.withColumn("revisit", revisit).mapInArrow(heads, "page_id long, sha256 binary, revisit boolean, head binary"), "heads")
+    return payloads, materialize(light.withColumn("revisit", revisit).mapInArrow(lean(heads), "page_id long, sha256 binary, revisit boolean, head binary"), "heads")
 
 
 def read_archive(payloads: DataFrame, heads: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def read_archive(payloads: DataFrame, heads: DataFrame) -> DataFrame:
                 bodies.append(body)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(records, pa.binary()), pa.array(bodies, pa.binary())], names=["page_id", "record", "payload"])
 
-    return heads.join(payloads.select("sha256", "packed", "n_bytes"), "sha256").mapInArrow(rebuild, "page_id long, record binary, payload binary")
+    return heads.join(payloads.select("sha256", "packed", "n_bytes"), "sha256").mapInArrow(lean(rebuild), "page_id long, record binary, payload binary")
 
 
 def describe_records(records: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def describe_records(records: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    return records.mapInArrow(run, RECORD)
+    return records.mapInArrow(lean(run), RECORD)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
