@@ -146,6 +146,22 @@ def test_jaccard_chain(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.components(rows)
 
 
+def test_jaccard_past_an_empty_round(spark):
+    """Near texts whose columns have a text of another size as pivot: no pair of the first round, yet a link."""
+    rng, rows = np.random.default_rng(8), []
+    while len(rows) < 60:
+        w = [f"w{x}" for x in rng.integers(0, 2**40, 14)]
+        three = [" ".join(w[:13]), " ".join(w[:12] + w[13:]), " ".join(w[:10])]
+        row, value = jaccard.shingle_sets(pa.array(three, pa.string()))
+        _, node = jaccard.set_ids(row, value, 3)
+        shown = [set(value[row == i][:2].tolist()) for i in range(3)]
+        if shown[0] == shown[1] == shown[2] and node[2] < min(node[0], node[1]):
+            rows += [(len(rows) + i, t) for i, t in enumerate(three)]
+    got = collected(jaccard.jaccard_components(brute.frame(spark, rows)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.components(rows)
+    assert all(got[i + 1]["component_id"] == i for i in range(0, 60, 3))
+
+
 def test_secrets_query(spark, rows):
     key = "ghp_Zz91kLmN0pQrStUvWx" + "7"
     more = [(1000, f'password = "abcdEFGH1234_x" and AKIA{"Z9" * 10} é {"ab12" * 5}'), (1001, f"é {key} here"), (1002, "Token: short, secret=token: abcdefghijklmnop"), (1003, None)]

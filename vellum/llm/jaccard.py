@@ -6,7 +6,8 @@ set that is near enough. A block is the set of columns of one bucket: it accumul
 that sizes and places rule out. The survivors' exact overlaps come from a second product over whole sets.
 
 Only components are asked for, so pairs inside one need no product: each column first proposes its most central row
-against the others; what these links leave apart is proposed pair by pair in further rounds, until no pair is left.
+against the others; what these links leave apart is proposed pair by pair in further rounds. The last round, which
+leaves out no pair, always runs, whether or not an earlier one proposed any.
 """
 
 from __future__ import annotations
@@ -296,8 +297,9 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     for pivots in PIVOTS:
         proposed = propose(lists, parts, pivots, percent)
         proposed = materialize(proposed if checked is None else proposed.join(checked, ["a", "b"], "left_anti"), "proposed")
-        if proposed.isEmpty():
-            break
+        if proposed.isEmpty():  # what pivots leave out may still be near: only the last round is exact
+            parts = spark.createDataFrame([], "node long, part long") if parts is None else parts
+            continue
         checked = proposed if checked is None else checked.unionByName(proposed)
         wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if bodies is not None:
