@@ -36,6 +36,35 @@ def test_nearest_is_exact():
         assert np.allclose(cosine[found], c)
 
 
+def test_search_of_many_texts_is_exact():
+    """Texts that meet the blocks together find what each finds against all examples; equal examples tie."""
+    rng = np.random.default_rng(5)
+    n, f = 700, 300
+    hashes = np.sort(rng.integers(1, 2**62, f).astype(np.uint64))
+    topic = rng.integers(0, 4, n)
+    key = np.arange(n).repeat(20) * f + topic.repeat(20) * 75 + rng.integers(0, 75, 20 * n)
+    key = np.unique(np.concatenate([key[key >= 40 * f], np.arange(n) * f, *(i * f + np.arange(1, 9) for i in range(40))]))
+    index = toxicity.build_index(hashes, hashes, rng.uniform(1, 5, f), np.arange(n), topic % 2, (key // f, hashes[key % f], np.ones(len(key), int)))
+    t, at, value = index.vectors(key // f, hashes[key % f], np.ones(len(key), int))
+    dense, place = np.zeros((n, f)), {d: i for i, d in enumerate(index.examples.tolist())}
+    dense[t, at] = value
+    own = np.array([place[i] for i in range(n)])
+    found = index.search(np.searchsorted(t, np.arange(n + 1)), at, value, 15, own)
+    cosine = dense @ dense[index.examples].T
+    cosine[np.arange(n), own] = 0
+    for i, (where, c) in enumerate(found):
+        assert np.allclose(c, np.sort(cosine[i])[::-1][:15], atol=1e-12, rtol=0) and np.allclose(cosine[i][where], c, atol=1e-12, rtol=0) and own[i] not in where
+
+
+def test_no_cap_on_features(spark):
+    """All features that tell the labels apart count: 700 words of one label each, all as telling as each other."""
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in range(700)) + f" own{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    index = toxicity.fit(brute.frame(spark, rows), labels)
+    _, feature, _, _ = toxicity.counted(*toxicity.features(pa.array([t.rsplit(" ", 1)[0] for _, t in rows[:2]], pa.string())))
+    assert len(index.hashes) == len(np.unique(feature)) > 1400 and set(index.hashes.tolist()) == set(feature.tolist())
+
+
 def test_feature_counts():
     text, feature = toxicity.features(pa.array(["Fool! fool, foolish fool", "", None, "ab"], pa.string()))
     assert set(text.tolist()) == {0, 3}

@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and starts of words; those kept are the ones that best tell the labels apart. Each block of the index
-knows the largest weight of every feature in it, which bounds the cosine of all its examples; blocks are searched by
-falling bound until none can hold a nearer example. The votes of the nearest, weighted by cosine, give the score.
+Features are words and starts of words; all those count that tell the labels apart by a chi-square test. Examples that
+are alike stand in one block. Each block of the index knows the largest weight of every feature in it, which bounds the
+cosine of all its examples; texts meet a block together, by falling bound, until none can hold a nearer example. The
+votes of the nearest, weighted by cosine, give the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.llm.common import U64, _FOLDED, _powers, Words, lean, materialize, mix, slices, texts
 
-#: Examples of each label, taken by a hash of doc_id, that fit the index; features of it; least documents of a feature.
-EXAMPLES_PER_LABEL, FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2000, 600, 4, 20.0
+#: Examples of each label, taken by a hash of doc_id, that fit the index; least documents and least chi-square of a feature.
+EXAMPLES_PER_LABEL, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 4, 12.0
 #: Lengths of word starts in bytes; neighbours that vote; examples of a block; weight of the vote for no label.
 STARTS, NEIGHBOURS, BLOCK, DOUBT = (4, 5, 6, 8), 15, 64, 0.3
 #: Counts in one text from which a feature has a further feature of its own: a word said often is not one said once.
 LEVELS = (2, 3, 5)
 HELD_OUT_OF = 5
+#: Texts that meet the blocks together; bound of the relative error of a sum of up to 16,000 products in single precision.
+GROUP, ROUNDING = 256, 1e-3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest long, nearest_cosine double, evidence array<long>"
 
@@ -74,20 +78,35 @@ def counted(text: np.ndarray, feature: np.ndarray, watch: np.ndarray | None = No
 
 @dataclass
 class Index:
-    """Examples in blocks: postings by block and feature, the largest weight of each feature in each block."""
+    """Examples in blocks of like ones: the features and weights of each example."""
 
     hashes: np.ndarray  # sorted features
     watch: np.ndarray  # sorted features that these derive from
     weight: np.ndarray  # inverse document frequencies
     examples: np.ndarray  # doc_id of each example, in index order
     labels: np.ndarray
-    start: np.ndarray  # of the postings of (block, feature)
-    places: np.ndarray
-    values: np.ndarray
-    largest: np.ndarray  # feature x block
+    start: np.ndarray  # of the features of each example
+    at: np.ndarray
+    value: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "blocks"}  # each worker makes its own
+
+    @cached_property
+    def blocks(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Of each block its features and its weights, example by feature; the largest weights, block by feature."""
+        out, largest = [], np.zeros((-(-len(self.examples) // BLOCK), len(self.hashes)), np.float32)
+        for b in range(len(largest)):
+            rows = self.start[b * BLOCK : (b + 1) * BLOCK + 1]
+            own, column = np.unique(self.at[rows[0] : rows[-1]], return_inverse=True)
+            body = np.zeros((len(rows) - 1, len(own)), np.float32)
+            body[np.repeat(np.arange(len(rows) - 1), np.diff(rows)), column] = self.value[rows[0] : rows[-1]]
+            largest[b, own] = body.max(axis=0, initial=0)
+            out.append((own, body))
+        return out, largest
+
     def vectors(self, text: np.ndarray, feature: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF vectors as (text, feature number, weight), sorted by text, from distinct (text, feature) and counts."""
         at = np.minimum(np.searchsorted(self.hashes, feature), len(self.hashes) - 1)
@@ -103,31 +122,62 @@ class Index:
         return self.vectors(text, feature, tf)
 
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine (ties: the smaller place), exactly; examples that share no feature do not count."""
-        bound = value @ self.largest[at]
-        order = np.flatnonzero(bound > 0)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        best_place, best_cosine, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while i < len(order) and not (len(best_cosine) == k and bound[order[i]] < best_cosine[-1] - 1e-12):
-            blocks = np.sort(order[i : i + step])  # several at once: as exact, with fewer steps
-            i, step = i + step, 2 * step
-            cell = (blocks[:, None] * len(self.hashes) + at).ravel()
-            lo = self.start[cell]
-            size = self.start[cell + 1] - lo
-            inner = np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size)
-            local = self.places[inner] % BLOCK + BLOCK * np.repeat(np.arange(len(cell)) // len(at), size)
-            cosine = np.bincount(local, weights=self.values[inner] * np.repeat(np.tile(value, len(blocks)), size), minlength=1)
-            place = np.flatnonzero(cosine > 0)
-            cosine, place = cosine[place], blocks[place // BLOCK] * BLOCK + place % BLOCK
-            if without >= 0:
-                cosine, place = cosine[place != without], place[place != without]
-            best_place, best_cosine = np.concatenate([best_place, place]), np.concatenate([best_cosine, cosine])
-            if len(best_cosine) > 4 * k:
-                top = np.flatnonzero(best_cosine >= np.partition(best_cosine, -k)[-k])
-                best_place, best_cosine = best_place[top], best_cosine[top]
-            by = np.lexsort((best_place, -best_cosine))[:k]
-            best_place, best_cosine = best_place[by], best_cosine[by]
-        return best_place, best_cosine
+        """The search for one text."""
+        return self.search(np.array([0, len(at)]), at, value, k, np.array([without]))[0]
+
+    def search(self, cut: np.ndarray, at: np.ndarray, value: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the k examples of the largest cosine (ties: the smaller place), exactly; examples that share no feature do not count.
+
+        Text i has the features ``at[cut[i]:cut[i + 1]]`` and does not meet the example ``without[i]``, if that is one."""
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * (len(cut) - 1)
+        texts = np.flatnonzero(np.diff(cut))
+        if len(texts) > GROUP:  # texts that prefer a block meet it together
+            first = [(self.blocks[1] @ self._columns(texts[i : i + GROUP], cut, at, value)).argmax(axis=0) for i in range(0, len(texts), GROUP)]
+            texts = texts[np.argsort(np.concatenate(first), kind="stable")]
+        query = np.zeros(len(self.hashes))
+        for i in range(0, len(texts), GROUP):
+            group = texts[i : i + GROUP]
+            for t, place in zip(group.tolist(), self._candidates(group, cut, at, value, k, without), strict=True):
+                own = slice(cut[t], cut[t + 1])
+                query[at[own]] = value[own]
+                size = self.start[place + 1] - self.start[place]
+                inner = np.arange(int(size.sum())) + np.repeat(self.start[place] - np.cumsum(size) + size, size)
+                cosine = np.bincount(np.repeat(np.arange(len(place)), size), weights=self.value[inner] * query[self.at[inner]], minlength=len(place))
+                query[at[own]] = 0
+                by = np.lexsort((place, -cosine))[:k]
+                found[t] = place[by], cosine[by]
+        return found
+
+    def _columns(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Feature by text."""
+        size = cut[texts + 1] - cut[texts]
+        inner = np.arange(int(size.sum())) + np.repeat(cut[texts] - np.cumsum(size) + size, size)
+        out = np.zeros((len(self.hashes), len(texts)), np.float32)
+        out[at[inner], np.repeat(np.arange(len(texts)), size)] = value[inner]
+        return out
+
+    def _candidates(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray, k: int, without: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Of each text the places of all examples that may be among its k nearest, whatever single precision rounds."""
+        blocks, largest = self.blocks
+        x = self._columns(texts, cut, at, value)
+        bound = (largest @ x).T
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        score, least, done = np.zeros((len(texts), len(self.examples)), np.float32), np.zeros(len(texts), np.float32), np.zeros(bound.shape, bool)
+        for step in (2, 8, len(blocks)):
+            need = (bound > 0) & ~done & (rank < step) & (bound >= least[:, None] * (1 - 2 * ROUNDING))
+            for b in np.flatnonzero(need.any(axis=0)).tolist():
+                own, body = blocks[b]
+                some = np.flatnonzero(need[:, b])
+                some = slice(None) if 2 * len(some) > len(texts) else some
+                score[some, b * BLOCK : b * BLOCK + len(body)] = (body @ x[own][:, some]).T
+                done[some, b] = True
+            if without is not None:
+                out = np.flatnonzero(without[texts] >= 0)
+                score[out, without[texts[out]]] = 0
+            if k <= score.shape[1]:
+                least = np.partition(score, -k, axis=1)[:, -k]
+        for row, low in zip(score, least, strict=True):
+            yield np.flatnonzero((row > 0) & (row >= low * (1 - 2 * ROUNDING)))
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[place]).sum() / (cosine.sum() + DOUBT))
@@ -136,26 +186,34 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.offset))))
 
 
+def alike(t: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, features: int) -> np.ndarray:
+    """An order of n examples in which those of a block are alike: cut in two across the direction of the widest spread,
+    and each part again, down to one block."""
+    rng, group = np.random.default_rng(0), np.zeros(n, np.int64)
+    while n and (size := np.bincount(group)).max() > BLOCK:
+        spread, cell = rng.normal(size=n), group[t] * features + at
+        for _ in range(4):
+            spread -= (np.bincount(group, spread) / size)[group]
+            spread /= np.sqrt(np.bincount(group, spread * spread) + 1e-30)[group]
+            axis = np.bincount(cell, value * spread[t], minlength=len(size) * features)
+            spread = np.bincount(t, value * axis[cell], minlength=n)
+        by, place = np.lexsort((spread, group)), np.empty(n, np.int64)
+        place[by] = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        group = np.unique(2 * group + (place >= (-(-size // (2 * BLOCK)) * BLOCK)[group]), return_inverse=True)[1]
+    return np.argsort(group, kind="stable")
+
+
 def build_index(hashes: np.ndarray, watch: np.ndarray, weight: np.ndarray, doc_ids: np.ndarray, labels: np.ndarray, vectors: tuple) -> Index:
     """The index of examples given by (text, feature, count)."""
-    index = Index(hashes, watch, weight, doc_ids, labels.astype(np.float64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)))
+    index = Index(hashes, watch, weight, doc_ids, labels.astype(np.float64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
     t, at, value = index.vectors(*vectors)
-    # examples with the same strongest feature stand together, so that a block's bound is tight
-    lead = np.full(len(doc_ids), len(hashes), np.int64)
-    strong = np.lexsort((value, t))
-    lead[t[strong]] = at[strong]
-    order = np.lexsort((doc_ids, lead))
+    order = alike(t, at, value, len(doc_ids), len(hashes))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     index.examples, index.labels = doc_ids[order], index.labels[order]
-    p = place[t]
-    blocks = max(1, -(-len(order) // BLOCK))
-    cell = (p // BLOCK) * len(hashes) + at
-    by = np.lexsort((p, cell))
-    index.start = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=blocks * len(hashes)))]).astype(np.int64)
-    index.places, index.values = p[by], value[by]
-    index.largest = np.zeros((len(hashes), blocks))
-    np.maximum.at(index.largest, (at, p // BLOCK), value)
+    by = np.argsort(place[t], kind="stable")
+    index.start = np.concatenate([[0], np.cumsum(np.bincount(place[t], minlength=len(order)))]).astype(np.int64)
+    index.at, index.value = at[by].astype(np.int32), value[by]
     return index
 
 
@@ -193,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL)
     total = n1 + n0
     chi2 = total * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(total - a - b, F.lit(0.5)))
     chosen = found.groupBy("feature", "base").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum(1 - F.col("toxic").cast("long")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    picked = chosen.orderBy(F.desc("chi2"), "feature").limit(FEATURES).select("feature", "base").collect()
+    picked = chosen.select("feature", "base").collect()
     if not picked:
         return None
     hashes = np.unique(np.array([r["feature"] for r in picked], np.int64).view(U64))
@@ -223,14 +281,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL)
 def calibrate(index: Index, vectors: tuple, doc_ids: np.ndarray, share: dict[int, float]) -> None:
     """Logistic calibration of the leave-one-out votes, each label weighted to its share of all labelled documents."""
     place = {d: i for i, d in enumerate(index.examples.tolist())}
-    votes, y = np.zeros(len(doc_ids)), np.zeros(len(doc_ids))
-    for i, d in enumerate(doc_ids.tolist()):
-        y[i] = index.labels[place[d]]
+    own = np.array([place[d] for d in doc_ids.tolist()], np.int64)
+    y = index.labels[own]
     t, at, value = index.vectors(*vectors)
     cut = np.searchsorted(t, np.arange(len(doc_ids) + 1))
-    for i in np.flatnonzero(np.diff(cut)).tolist():
-        own = slice(cut[i], cut[i + 1])
-        votes[i] = index.vote(*index.nearest(at[own], value[own], NEIGHBOURS, place[int(doc_ids[i])]))
+    votes = np.array([index.vote(*x) for x in index.search(cut, at, value, NEIGHBOURS, own)])
     w = np.where(y == 1, share[1], share[0])
     a, b = 4.0, -2.0
     for _ in range(100):
@@ -250,8 +305,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES
 
     Texts without a known feature, empty and null ones too, get the calibrated score of no vote. Labels whose doc_id or
     value is null are left out; a null doc_id counts as held out; repeated rows get equal results; without examples of
-    both labels every score is 0; an empty table gives an empty result; other columns are ignored. The index is of
-    bounded size (``per_label`` examples a label, ``FEATURES`` features) and goes to the tasks with their code."""
+    both labels every score is 0; an empty table gives an empty result; other columns are ignored. The index holds
+    ``per_label`` examples a label with all their features that pass the test, and goes to the tasks as a broadcast."""
     index = fit(docs, labels, per_label)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -265,9 +320,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES
                 if index is not None:
                     text, at, value = index.queries(b.column("text"))
                     cut = np.searchsorted(text, np.arange(n + 1))
-                    for i in np.flatnonzero(np.diff(cut)).tolist():
-                        own = slice(cut[i], cut[i + 1])
-                        place, c = index.nearest(at[own], value[own], NEIGHBOURS)
+                    for i, (place, c) in enumerate(index.search(cut, at, value, NEIGHBOURS)):
                         if len(place):
                             score[i], cosine[i] = index.score(index.vote(place, c)), min(1.0, c[0])
                             evidence[i] = index.examples[place[:3]].tolist()
