@@ -202,6 +202,14 @@ def test_quality_rules_query(docs, rows):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_rules_count_characters_of_repeated_lines(spark):
+    """Few lines repeat, and none has words enough for a coverage, but most characters lie in them."""
+    short = [f"short line {i}" for i in range(40)]
+    rows = [(1, "\n".join(short)), (2, "\n".join(short[:20] + ["長" * 900] * 3 + short[20:])), (3, "\n".join(short + short[:2])), (4, "\n".join(short + ["長" * 900]))]
+    got = collected(quality_rules.quality_rules(brute.frame(spark, rows)))
+    assert {i: (r["kept"], r["base_failed"], r["dup_line_chars"]) for i, r in got.items()} == {1: (True, False, 0), 2: (False, False, 1800), 3: (True, False, 24), 4: (True, False, 0)}
+
+
 def test_fingerprints_query(docs, rows):
     got = collected(fingerprints.compare_with_edits(docs))
     order = sorted(rows, reverse=True, key=lambda r: r[0])

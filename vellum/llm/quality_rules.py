@@ -14,8 +14,8 @@ from vellum.llm.common import U64, Words, grams, lean, mix, slices, text_bytes,
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_NGRAM = 50, 50, 3
 #: (n, largest share of the characters in words that may lie in n-grams seen twice or more in the text).
 COVERAGE_LIMITS = ((5, 0.35), (10, 0.30), (20, 0.25))
-#: Largest share of lines with a word that repeat an earlier line, of symbols to words.
-MAX_DUP_LINE_SHARE, MAX_SYMBOLS_PER_WORD = 0.50, 0.25
+#: Largest share of lines with a word that repeat an earlier line, of the characters of lines that lie in such, of symbols to words.
+MAX_DUP_LINE_SHARE, MAX_DUP_LINE_CHARS, MAX_SYMBOLS_PER_WORD = 0.50, 0.30, 0.25
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -68,16 +68,17 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = total[w.ends] - total[w.starts]
             repeat = _per_doc(covered_words(h, w.doc, REPEAT_NGRAM), w.first)
             cover = [_per_doc(np.where(covered_words(h, w.doc, n), size, 0), w.first) / np.maximum(chars, 1) for n, _ in COVERAGE_LIMITS]
-            lines, dup, dup_chars = (np.zeros(len(text), np.int64) for _ in range(3))
+            lines, dup, dup_chars, line_chars = (np.zeros(len(text), np.int64) for _ in range(4))
             for i, b in enumerate(text_bytes(text)):
                 own = [x for x in b.split(b"\n") if x.strip()]
                 lines[i] = len(own)
                 if len(distinct := set(own)) < len(own):
                     dup[i] = len(own) - len(distinct)
-                    dup_chars[i] = sum(len(x.decode("utf-8", "replace")) for x in own) - sum(len(x.decode("utf-8", "replace")) for x in distinct)
+                    line_chars[i] = sum(len(x.decode("utf-8", "replace")) for x in own)
+                    dup_chars[i] = line_chars[i] - sum(len(x.decode("utf-8", "replace")) for x in distinct)
             n = w.count
             failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-            bad = failed | (dup > MAX_DUP_LINE_SHARE * lines) | (symbols > MAX_SYMBOLS_PER_WORD * n)
+            bad = failed | (dup > MAX_DUP_LINE_SHARE * lines) | (dup_chars > MAX_DUP_LINE_CHARS * line_chars) | (symbols > MAX_SYMBOLS_PER_WORD * n)
             for c, (_, limit) in zip(cover, COVERAGE_LIMITS, strict=True):
                 bad |= c > limit
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +92,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     A document is kept unless the base rules fail it (under 50 words, or over half of its words in repeated
     3-word windows) or its repetition coverage does: the share of characters inside n-grams of 5, 10 or 20 words that
-    occur again in the text, or of repeated lines, is over its limit, or it has more than one symbol for four words.
+    occur again in the text is over its limit, or over half of its lines repeat an earlier one, or those hold over 30 %
+    of the characters of its lines, or it has more than one symbol for four words.
     Null and empty texts have no words, so they fail. Repeated rows give repeated results; a null doc_id stays null;
     an empty table gives an empty result; other columns are ignored."""
     return texts(docs).mapInArrow(lean(measure), SCHEMA)
