@@ -272,3 +272,32 @@ def test_warc_query(spark):
 ])
 def test_empty_table(spark, run):
     assert run(brute.frame(spark, [(1, "x")]).where("doc_id < 0")).count() == 0
+
+
+def test_jaccard_of_random_small_tables(spark):
+    """Families of texts of 1 to 14 words of a few patterns, so that sizes, places and pivots meet in every way."""
+    rng, rows = np.random.default_rng(11), []
+    for family in range(40):
+        base = [[f"w{x}" for x in rng.integers(0, 2**40, 14)] for _ in range(2)]
+        for i in range(24):
+            w = list(base[rng.integers(2)])
+            a, b = sorted(rng.integers(0, 15, 2))
+            w = w[a:b] if rng.random() < 0.5 else w[: max(1, 14 - rng.integers(0, 9))]
+            if w and rng.random() < 0.3:
+                w[rng.integers(len(w))] = f"x{family}_{rng.integers(0, 3)}"
+            rows.append((len(rows), " ".join(w)))
+    got = collected(jaccard.jaccard_components(brute.frame(spark, rows, extra=False)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.components(rows)
+
+
+def test_one_of_each_with_odd_rows(spark):
+    """Null and repeated ids, repeated rows, texts without words, names with dots."""
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, text), (4, text), (4, text), (4, text + " x"), (9, text), (None, other), (None, other), (5, None), (5, None), (6, " \n"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, `a.b c` string").withColumnRenamed("a.b c", "node.x`y")
+    kept = jaccard.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r[0], r[1]) for r in kept.collect()), key=str)
+    words = [r for r in got if r[1] and r[1].strip()]
+    assert len(words) == 2 and (None, other) in words and [r for r in words if r[0] == 4][0][1] in (text, text + " x")
+    assert sorted((r for r in got if r not in words), key=str) == sorted([(5, None), (5, None), (6, " \n"), (None, "")], key=str)

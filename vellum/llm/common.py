@@ -106,7 +106,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def as_row(docs: DataFrame) -> DataFrame:
     """The table with each row in one column, so that no name of it can clash with those of an operator."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
 
 
 def from_row(rows: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:

@@ -7,7 +7,8 @@ that sizes and places rule out. The survivors' exact overlaps come from a second
 
 Only components are asked for, so pairs inside one need no product: each column first proposes its most central row
 against the others; what these links leave apart is proposed pair by pair in further rounds. The last round, which
-leaves out no pair, always runs, whether or not an earlier one proposed any.
+leaves out no pair, always runs, whether or not an earlier one proposed any. Rows meet by column and class of size, so
+that a frequent column makes no pairs of sets whose sizes or places rule each other out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, grams, lean, materialize, mix, partitions, slices, texts as plain_texts
+from vellum.llm.common import U64, Words, as_row, grams, lean, materialize, mix, partitions, slices, texts as plain_texts
 
 #: Words of a shingle; least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch, as a power of two, and of those that one row of it carries.
-SKETCH_BITS, PART_BITS = 22, 16
+SKETCH_BITS, PART_BITS = 22, 12
+#: Ratio of the bounds of a class of sizes.
+SIZE_STEP = 1.1
 #: Rows of a column that the others meet, round by round; None: all.
 PIVOTS: tuple[int | None, ...] = (1, 8, None)
 #: Up to so many rows of (node, doc_id), 16 bytes each, texts are picked by a broadcast join; beyond, by a shuffle.
@@ -33,7 +36,7 @@ BROADCAST_ROWS = 500_000
 #: Entries that a task of the first product holds before it passes on what repeats.
 HELD = 3_000_000
 
-SETS = "doc_id long, n_shingles long, node long"
+SETS = "key long, kh long, doc_id long, n_shingles long, node long, part int, counts binary"
 ENTRY = "bucket int, body binary"
 
 
@@ -50,8 +53,8 @@ def shingle_sets(col: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
         row, value = np.concatenate([row, short]), np.concatenate([value, whole])
         order = np.argsort(row, kind="stable")
         row, value = row[order], value[order]
-    ends = np.cumsum(np.bincount(row, minlength=len(w.count))).tolist() if len(row) else []
-    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+    ends = [0, *np.cumsum(np.bincount(row, minlength=len(w.count))).tolist()]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
         value[a:b].sort()  # a text's own shingles: many small sorts cost far less than one large one
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
@@ -75,30 +78,37 @@ def set_ids(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return count, np.array(ids, np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in slices(whole):
-            size, node = set_ids(*shingle_sets(b.column("text")), b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(node)], names=["doc_id", "n_shingles", "node"])
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers of 32 bits by byte planes: small ones pack to almost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(a.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, any_ = np.zeros(1 << SKETCH_BITS, np.int32), False
+def _unplanes(body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1).astype(np.int64)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text; at the end of the task, how often it has met the columns of each counter."""
+    names = [x.split()[0] for x in SETS.split(", ")]
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for whole in batches:
         for b in slices(whole):
-            _, value = shingle_sets(b.column("text"))
-            np.add.at(counts, (value >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            any_ = True
-    if any_:
-        parts = counts.reshape(-1, 1 << PART_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            row, value = shingle_sets(b.column("text"))
+            size, node = set_ids(row, value, b.num_rows)
+            counts += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("kh"), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(node), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
+    parts = counts.reshape(-1, 1 << PART_BITS)
+    some = np.flatnonzero(parts.any(axis=1)).tolist()
+    for i in range(0, len(some), 128):
+        own = some[i : i + 128]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(own), pa.int64()) for _ in range(5)), pa.array(own, pa.int32()), pa.array([_planes(parts[k]) for k in own], pa.binary())], names=names)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+            total[part] = total.get(part, 0) + _unplanes(counts)
     # a tier is the frequency's logarithm; what chance collisions explain is tier 0
     for part, counts in total.items():
         usual = np.median(counts)
@@ -106,9 +116,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tier.tobytes()], pa.binary())], names=["part", "tiers"])
 
 
-def frequency_tiers(docs: DataFrame) -> np.ndarray:
-    """A tier of document frequency for every counter of the sketch: 4 MB, whatever the corpus."""
-    found = plain_texts(docs).select("text").mapInArrow(lean(_count), "part int, counts binary").repartition(partitions(docs.sparkSession), "part").mapInArrow(lean(_add), "part int, tiers binary").collect()
+def frequency_tiers(described: DataFrame) -> np.ndarray:
+    """A tier of document frequency for every counter of the sketch: 4 MB, whatever the corpus.
+
+    The tasks' counters are summed part by part, 1,024 parts of 4,096 counters, packed; the driver gets the tiers only."""
+    sketches = described.where("part is not null").select("part", "counts")
+    found = sketches.repartition(partitions(described.sparkSession), "part").mapInArrow(lean(_add), "part int, tiers binary").collect()
     tiers = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in found:
         tiers[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["tiers"], np.uint8)
@@ -157,15 +170,14 @@ def _pack(value: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarr
     new = np.ones(len(node), bool)
     new[1:] = node[1:] != node[:-1]
     first = np.flatnonzero(new)
-    small = np.concatenate([np.diff(np.append(first, len(node))), size[first], place]).astype(np.int32)
-    planes = zstandard.ZstdCompressor(level=1).compress(small.view(np.uint8).reshape(-1, 4).T.tobytes())
-    return np.array([len(value), len(first)], np.int64).tobytes() + value.tobytes() + node[first].tobytes() + planes
+    small = np.concatenate([np.diff(np.append(first, len(node))), size[first], place])
+    return np.array([len(value), len(first)], np.int64).tobytes() + value.tobytes() + node[first].tobytes() + _planes(small)
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(body, np.int64, 2).tolist()
     value, node = np.frombuffer(body, U64, n, 16), np.frombuffer(body, np.int64, m, 16 + 8 * n)
-    small = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[16 + 8 * (n + m) :]), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1).astype(np.int64)
+    small = _unplanes(body[16 + 8 * (n + m) :])
     run, size, place = small[:m], small[m : 2 * m], small[2 * m :]
     return value, np.repeat(node, run), np.repeat(size, run), place
 
@@ -205,27 +217,40 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(parts)
 
 
+def _class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
 def propose(lists: DataFrame, parts: DataFrame | None, pivots: int | None, percent: int) -> DataFrame:
     """(a, b): pairs of rows that share a column and may be near, of different components.
 
     In the first round all rows of a column meet its most central one, which shows the column earliest. In later rounds
-    the rows outside the column's largest component meet its ``pivots`` most central rows, or all. Pairs whose sizes or
-    places rule out enough overlap are discarded: at the first column that two sets share, all they share lies from
-    there on. Joins by column, which can be split; no column is gathered."""
+    the rows outside the column's largest component meet its ``pivots`` most central rows, or all; columns of one
+    component are left out. Pairs whose sizes or places rule out enough overlap are discarded: at the first column that
+    two sets share, all they share lies from there on. That bounds the partner's size on either side, so that rows of a
+    column meet by classes of sizes. Every side of these joins is a table or goes through a shuffle of its own, so that
+    a frequent column can be split; no column is gathered."""
     if parts is None:
         marked = lists.withColumn("part", F.col("node"))
-        out, some = marked, lists.groupBy("column").agg(F.min(F.struct("place", "node", "size")).alias("s")).select("column", "s.*").withColumn("part", F.col("node"))
+        out = marked
+        some = materialize(lists.groupBy("column").agg(F.min(F.struct("place", "node", "size")).alias("s")).select("column", "s.*"), "pivots").withColumn("part", F.col("node"))
     else:
-        marked = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        counted = marked.groupBy("column", "part").agg(F.count("*").alias("n"))
-        largest = counted.groupBy("column").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        out = marked.join(largest, "column").where("part <> largest").drop("largest")
-        some = marked if pivots is None else marked.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("place", "node"))).where(F.col("r") <= pivots).drop("r")
-    x, y = (df.select("column", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "part"))) for df, s in ((out, "x"), (some, "y")))
+        own = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        counted = own.groupBy("column", "part").agg(F.count("*").alias("n"))
+        several = counted.groupBy("column").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        marked = materialize(own.join(materialize(several, "open"), "column"), "marked")
+        out = marked.where("part <> largest")
+        some = marked if pivots is None else marked.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("place", "node"))).where(F.col("r") <= pivots)
+    fields = lambda df, s, *more: df.select(F.col("column"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "part")), *more)
+    size, rest = F.col("size"), F.col("size") - F.col("place")
+    least = F.ceil(size * percent / 100)
+    most = F.least(F.floor(size * 100 / percent), F.floor(rest * (100 + percent) / percent) - size)
+    x = fields(out.where(least <= most), "x", F.explode(F.sequence(_class(least) - 1, _class(most) + 1)).alias("class"))  # logarithms are rounded: a class more on either side
+    y = fields(some, "y", _class(size).alias("class"))
     need = F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent))
     sizes = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
     places = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= need
-    pairs = x.join(y, "column").where((F.col("part_x") != F.col("part_y")) & sizes & places)
+    pairs = x.join(y, ["column", "class"]).where((F.col("part_x") != F.col("part_y")) & sizes & places)
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -261,7 +286,7 @@ def _check(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, part): the smallest node that each node of the edges reaches, by alternating large-star and small-star steps.
+    """(node, part): the smallest node that each node of the edges reaches, itself included, by alternating large-star and small-star steps.
 
     Every step is a join and a minimum by node with a map-side part; no node's neighbours are gathered. Ends when a
     round changes nothing."""
@@ -279,20 +304,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.where("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return edges.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "node")
+            found = edges.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "node")
+            return found.unionByName(found.select(F.col("part").alias("node"), "part").distinct())
         seen = state
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """(sets, parts): doc_id, n_shingles and node of every document; node and component of the nodes that have links."""
+def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(sets, parts): key, kh, doc_id, n_shingles and node of every document; node and component of the nodes that have links."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = plain_texts(docs)
-    sets = materialize(texts.mapInArrow(lean(_describe), SETS), "sets")
-    shared = spark.sparkContext.broadcast(frequency_tiers(docs))
+    described = materialize(_named(docs).mapInArrow(lean(_describe), SETS), "sets")
+    sets = described.where("part is null").drop("part", "counts")
+    shared = spark.sparkContext.broadcast(frequency_tiers(described))
     lists = texts.select("text").mapInArrow(lean(_incidence(shared, percent, n)), ENTRY).repartitionById(n, "bucket").mapInArrow(lean(_lists), "column long, node long, size long, place long")
     lists = materialize(lists, "columns")
-    homes = sets.where("node <> 0").groupBy("node").agg(F.min(_key()).alias("key"))
+    homes = sets.where("node <> 0").groupBy("node").agg(F.min("key").alias("key"))
     links, parts, bodies, checked = None, None, None, None
     for pivots in PIVOTS:
         proposed = propose(lists, parts, pivots, percent)
@@ -317,6 +344,11 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(key, kh, doc_id, text): key and kh, a hash of the text, name a row; a null doc_id has the smallest key."""
+    return plain_texts(docs).select(_key().alias("key"), F.xxhash64("text").alias("kh"), "doc_id", "text")
+
+
 def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
     """(node, body): the compressed text of a document that stands for each node of ``homes`` (node, key)."""
 
@@ -335,12 +367,19 @@ def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every document; see ``jaccard_components``."""
+    """(key, kh, doc_id, n_shingles, node, component_id, first) of every document; see ``jaccard_components``.
+
+    ``first``: whether the row's key and kh are those of the component's first row, that of the smallest doc_id, then
+    of the smallest kh; a null doc_id is the last. What a component or a node shares is a table of its own before it
+    is joined to many rows, so that a large group can be split."""
     sets, parts = near_components(docs, percent)
-    nodes = sets.join(parts, "node", "left") if parts is not None else sets.withColumn("part", F.lit(None).cast("long"))
-    keyed = nodes.withColumn("part", F.when(F.col("node") != 0, F.coalesce("part", "node")))
-    least = keyed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
-    return keyed.join(least, "part", "left").select("doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "kh")
+    by_node = sets.where("node <> 0").groupBy("node").agg(F.min(rank).alias("least"), F.count("*").alias("n")).join(parts, "node", "left")
+    by_part = materialize(by_node.where("part is not null").groupBy("part").agg(F.min("least").alias("head")), "heads")
+    heads = by_node.join(by_part, "part", "left").where("n > 1 or part is not null").select("node", F.coalesce("head", "least").alias("head"))
+    joined = sets.join(materialize(heads, "labels"), "node", "left")
+    first = F.coalesce((F.col("head.key") == F.col("key")) & (F.col("head.kh") == F.col("kh")), F.lit(True))
+    return joined.select("key", "kh", "doc_id", "n_shingles", "node", F.coalesce("head.doc_id", "doc_id").alias("component_id"), first.alias("first"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -355,7 +394,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of smallest doc_id of each component, with their columns; those without words all stay."""
-    found = with_components(docs, percent)
-    gone = found.where((F.col("node") != 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
+    """One document of each component, with its columns: that of the smallest doc_id, then of the smallest text hash.
+
+    A null doc_id stays only where no other document of its component has one. Rows that repeat the doc_id and text of
+    the one that stays are one document, of which one row stays. Documents without words (null, empty or white space)
+    have no component and all stay, repeated ones too. Very long texts are taken whole. An empty table stays empty.
+    Rows travel in one column, so that names of the table's columns may be any."""
+    found = materialize(with_components(docs, percent).where("node <> 0"), "found")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = as_row(docs).withColumn("key", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))).withColumn("kh", F.xxhash64(text))
+    kept = rows.join(found.where("not first").select("key", "kh").distinct(), ["key", "kh"], "left_anti")
+    again = materialize(found.where("first").groupBy("key", "kh").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if not again.isEmpty():
+        order = F.row_number().over(Window.partitionBy("key", "kh").orderBy(F.to_json("row")))
+        one = kept.join(again, ["key", "kh"]).withColumn("r", order).where("r = 1").drop("r")
+        kept = kept.join(again, ["key", "kh"], "left_anti").unionByName(one)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
