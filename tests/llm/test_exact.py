@@ -93,21 +93,64 @@ def test_packing_query(docs, rows):
     assert sum(2048 - n for n in used.values() if n & (n - 1)) <= 0.05 * sum(used.values())
 
 
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=12), st.booleans())
-@settings(max_examples=80, deadline=None)
-def test_cuts_are_the_cheapest(sizes, last):
-    ends = np.cumsum(sizes)
-    found = packing.cuts(int(ends[-1]), ends[::2], ends[1::2], window=32, last=last)
-    assert all(0 < b - a <= 32 for a, b in zip([0, *found[:-1]], found))
-    if last:
-        assert found[-1] == ends[-1]
-        spots = sorted({*range(0, int(ends[-1]), 8), *ends.tolist(), 0})
-        fee = {p: packing.FREE_CUT for p in spots} | {int(p): packing.SENTENCE_CUT for p in ends[::2]} | {int(p): 0 for p in ends[1::2]} | {int(ends[-1]): 0}
-        best = {0: 0}
-        for b in spots[1:]:
-            best[b] = min(best[a] + 32 - (b - a) + fee[b] for a in spots if a < b <= a + 32)
-        cost = sum((0 if n & (n - 1) == 0 and b > (found[-2] if len(found) > 1 else 0) - 64 else 32 - n) for n, b in ((b - a, b) for a, b in zip([0, *found[:-1]], found)))
-        assert cost <= best[int(ends[-1])]
+def cheapest(total, sentence, document, window):
+    """The plain programme over every position."""
+    fee = [packing.FREE_CUT] * (total + 1)
+    for p in sentence:
+        fee[p] = packing.SENTENCE_CUT
+    for p in document:
+        fee[p] = 0
+    fee[total] = 0
+    best = [0]
+    for b in range(1, total + 1):
+        best.append(min(best[a] + window - (b - a) + fee[b] for a in range(max(0, b - window), b)))
+    return best[total], fee
+
+
+@given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 2)), min_size=1, max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_cuts_are_the_cheapest_of_all_positions(parts):
+    """Against a programme that may cut at every id; stretches without any end are longer than a window."""
+    ends = np.cumsum([n for n, _ in parts])
+    total, window = int(ends[-1]), 32
+    sentence, document = ([int(e) for e, (_, k) in zip(ends, parts) if k == kind] for kind in (1, 2))
+    found = packing.cuts(total, np.array(sentence, int), np.array(document, int), window)
+    best, fee = cheapest(total, sentence, document, window)
+    assert found[-1] == total and all(0 < b - a <= window for a, b in zip([0, *found[:-1]], found))
+    assert sum(window - (b - a) + fee[b] for a, b in zip([0, *found[:-1]], found)) == best
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), min_size=1, max_size=60), st.integers(1, 200))
+@settings(max_examples=60, deadline=None)
+def test_windows_of_a_stream_are_those_of_the_whole(documents, run):
+    """Windows given out early are the cheapest ones of the whole stream."""
+    old, packing.RUN_IDS = packing.RUN_IDS, run
+    try:
+        packer, pieces, sentence, ends, total = packing.Packer(32, 1, 0), [], [], [], 0
+        for i, (n, step) in enumerate(documents):
+            own = np.arange(step, n, step)
+            pieces += packer.add(i, np.arange(n), own)
+            sentence += (own + total).tolist()
+            total += n + 1
+            ends.append(total)
+        pieces += packer.flush(last=True)
+    finally:
+        packing.RUN_IDS = old
+    best, fee = cheapest(total, sentence, ends, 32)
+    sizes = {}
+    for _, _, n, _, _, k, at, _ in pieces:
+        assert at == sizes.get(k, 0)
+        sizes[k] = at + n
+    assert sum(sizes.values()) == total and max(sizes.values()) <= 32
+    places = np.cumsum([sizes[k] for k in sorted(sizes)]).tolist()
+    last = max(i for i in range(len(places)) if i == 0 or all(sizes[k] & (sizes[k] - 1) == 0 for k in range(i, len(places))) or i == len(places) - 1)
+    first = next(i for i in range(len(places)) if all(sizes[k] & (sizes[k] - 1) == 0 for k in range(i, len(places)))) if sizes[len(places) - 1] & (sizes[len(places) - 1] - 1) == 0 else last
+    costs = []
+    for i in range(first, len(places)):  # where the sequences of the last window begin is not told: one of these places
+        begin = places[i - 1] if i else 0
+        if total - begin <= 32:
+            costs.append(sum(32 - (b - a) + fee[b] for a, b in zip([0, *places[: i - 1]], places[:i])) + 32 - (total - begin))
+    assert best in costs
 
 
 def test_substring_query(docs, rows):

@@ -1,14 +1,17 @@
 """Packing of tokenised documents into fixed windows by order-preserving dynamic programming.
 
 The documents of an input partition form one stream of ids in stored order. A window may end at a document's end for
-nothing, at a sentence's end for a small penalty, elsewhere for a larger one. The dynamic programme chooses the ends
-that minimise padding plus penalties; its transition takes a sliding minimum, held in a monotone queue.
+nothing, at a sentence's end for a small penalty, at any other id for a larger one. The dynamic programme chooses the
+ends that minimise padding plus penalties over the whole stream; its transition takes a sliding minimum, held in a
+monotone queue. A window that ends at neither end is worth its penalty only when it is full, and only from the start
+that is cheapest while it leaves the queue, so that few of the other positions need to be looked at.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,7 +26,7 @@ from vellum.llm.common import U64, Words, kept, lean, slices, texts
 
 #: Ids in a window, id after each document, penalties of a cut (in ids of padding).
 WINDOW, END_ID, SENTENCE_CUT, FREE_CUT = 2048, 1, 6, 24
-#: Ids that one run of the dynamic programme takes; the last window of a run is left open for the next.
+#: Ids after which windows that are certain are given out.
 RUN_IDS = 400_000
 CACHE_WORDS = 500_000
 
@@ -175,91 +178,129 @@ def load(path: str) -> WordIds:
     return kept("words", path, WordIds)
 
 
-def cuts(total: int, sentence: np.ndarray, document: np.ndarray, window: int = WINDOW, last: bool = True) -> list[int]:
-    """Ends of the windows over ``total`` ids that minimise padding plus penalties.
-
-    ``sentence`` and ``document`` are positions where sentences and documents end; where these lie more than a quarter
-    window apart, positions between them may end a window too. With ``last`` the final window is cut at powers of two
-    where that costs less than its padding; without it the ids after the last cut stay open."""
-    penalty = np.full(total + 1, -1, np.int32)
-    penalty[:: max(1, window // 4)] = FREE_CUT
-    penalty[sentence] = SENTENCE_CUT
-    penalty[document] = 0
-    penalty[[0, total]] = 0
-    spots = np.flatnonzero(penalty >= 0)
-    at, fee = spots.tolist(), penalty[spots].tolist()
-    back = [0] * len(at)
-    cost = [0] * len(at)  # of the windows up to here, plus the position
-    queue: deque[int] = deque([0])  # indexes of growing cost
-    for j in range(1, len(at)):
-        p = at[j]
-        while at[queue[0]] < p - window:
-            queue.popleft()
-        i = back[j] = queue[0]
-        c = cost[j] = cost[i] + window + fee[j]
+class Cuts:
+    """The dynamic programme over a stream: ends of windows that minimise padding plus penalties, whatever the stream's length.
+
+    Spots are positions where a window may end. ``cost`` of a spot is that of the windows up to it, plus its position,
+    so that a window costs its full length and its end's penalty; ``back`` is the spot where that window begins."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.at, self.cost, self.back = [0], [0], [-1]
+        self.queue: deque[int] = deque([0])  # spots of growing position and cost: the starts that may still be the cheapest
+
+    def _put(self, p: int, fee: int, i: int) -> None:
+        c = self.cost[i] + self.window + fee
+        queue, cost = self.queue, self.cost
         while queue and cost[queue[-1]] >= c:
             queue.pop()
-        queue.append(j)
-    j = len(at) - 1
-    if not last:  # the cheapest end within the last window stays open
-        j = min((k for k in range(len(at) - 1) if at[k] > total - window), key=lambda k: (cost[k], k), default=0)
-    found = []
-    while j > 0:
-        found.append(at[j])
-        j = back[j]
-    found = found[::-1]
-    if last and found:
-        begin = found[-2] if len(found) > 1 else 0
-        rest = total - begin
-        bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        if rest < window and (len(bits) - 1) * FREE_CUT < window - rest:
-            found[-1:] = [begin + sum(bits[: k + 1]) for k in range(len(bits))]
-    return found
+        queue.append(len(cost))
+        self.at.append(p)
+        cost.append(c)
+        self.back.append(i)
+
+    def extend(self, spots: list[int], fees: list[int]) -> None:
+        """Take further positions, rising, with the penalty of an end there."""
+        at, queue, window = self.at, self.queue, self.window
+        for p, fee in zip(spots, fees, strict=True):
+            while at[queue[0]] < p - window:  # the cheapest start leaves the window: its full window is the last chance
+                i = queue.popleft()
+                self._put(at[i] + window, FREE_CUT, i)
+            self._put(p, fee, queue[0])
+
+    def certain(self) -> int:
+        """The last spot that every further choice goes through."""
+        open_ = sorted(set(self.queue))
+        while len(open_) > 1:
+            i = self.back[open_.pop()]
+            if i not in open_:
+                insort(open_, i)
+        return open_[0]
+
+    def path(self, j: int) -> list[int]:
+        """The ends of the cheapest windows up to spot j."""
+        found = []
+        while j > 0:
+            found.append(self.at[j])
+            j = self.back[j]
+        return found[::-1]
+
+    def forget(self, j: int) -> None:
+        """Begin the stream again at the certain spot j."""
+        base, cost = self.at[j], self.cost[j]
+        self.queue = deque(i - j for i in self.queue)
+        self.at, self.cost, self.back = [p - base for p in self.at[j:]], [c - cost for c in self.cost[j:]], [-1, *(i - j for i in self.back[j + 1 :])]
+
+
+def tail(rest: int, window: int) -> list[int]:
+    """Lengths of the sequences that hold the last ids: powers of two where these cost less than the padding of one window."""
+    bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return bits if rest < window and (len(bits) - 1) * FREE_CUT < window - rest else [rest]
+
+
+def cuts(total: int, sentence: np.ndarray, document: np.ndarray, window: int = WINDOW) -> list[int]:
+    """Ends of the windows over a whole stream of ``total`` ids; ``sentence`` and ``document``: where these end."""
+    fee = dict.fromkeys(np.asarray(sentence).tolist(), SENTENCE_CUT) | dict.fromkeys(np.asarray(document).tolist(), 0) | {total: 0}
+    spots = sorted(p for p in fee if 0 < p <= total)
+    programme = Cuts(window)
+    programme.extend(spots, [fee[p] for p in spots])
+    return programme.path(len(programme.at) - 1)
 
 
 class Packer:
-    """Packs a stream of documents; holds at most one run of ids and the open window."""
+    """Packs a stream of documents; holds the ids whose windows are not certain yet, as a rule those of one run."""
 
     def __init__(self, window: int, end_id: int, shard: int):
         self.window, self.shard, self.sequence = window, shard, 0
         self.end = np.array([end_id], "<u4")
-        self.open: list[tuple[int | None, np.ndarray, np.ndarray, int, int]] = []  # doc_id, ids, sentence ends, ids before, ids of the document
-        self.held = 0
+        self.open: list[tuple[int | None, np.ndarray, int, int]] = []  # doc_id, ids, ids before, ids of the document
+        self.held, self.due = 0, RUN_IDS
+        self.programme = Cuts(window)
 
     def add(self, doc_id: int | None, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
         ids = np.concatenate([ids, self.end]).astype("<u4", copy=False)
-        n, at = len(ids), 0
+        n, at, ends = len(ids), 0, ends[(ends > 0) & (ends < len(ids))]
         while at < n:
             take = min(n - at, RUN_IDS)
-            own = ends[(ends > at) & (ends < at + take)] - at
-            self.open.append((doc_id, ids[at : at + take], own, at, n))
+            own = ends[(ends > at) & (ends < at + take)] - at + self.held
+            spots, fees = own.tolist(), [SENTENCE_CUT] * len(own)
+            self.open.append((doc_id, ids[at : at + take], at, n))
             self.held += take
             at += take
-            if self.held >= RUN_IDS:
-                yield from self.flush(last=False)
-
-    def flush(self, last: bool = True) -> Iterator[tuple]:
-        begin = np.cumsum([0] + [len(p[1]) for p in self.open])
-        total = int(begin[-1])
-        if not total:
-            return
-        sentence = np.concatenate([p[2] + b for p, b in zip(self.open, begin[:-1].tolist(), strict=True)])
-        document = np.array([b for p, b in zip(self.open, begin[1:].tolist(), strict=True) if p[3] + len(p[1]) == p[4]], np.int64)
-        found = cuts(total, sentence, document, self.window, last)
-        k, opened, rest = 0, 0, []
-        for (doc_id, ids, ends, before, whole), b in zip(self.open, begin[:-1].tolist(), strict=True):
+            if at == n or at in ends:
+                spots.append(self.held)
+                fees.append(0 if at == n else SENTENCE_CUT)
+            self.programme.extend(spots, fees)
+            if self.held >= self.due:
+                yield from self.flush()
+
+    def flush(self, last: bool = False) -> Iterator[tuple]:
+        """Give out the windows that are certain; with ``last`` all."""
+        programme = self.programme
+        if last:
+            found = programme.path(len(programme.at) - 1)  # the stream ends with a document
+            if found:
+                begin = found[-2] if len(found) > 1 else 0
+                found[-1:] = np.cumsum([begin, *tail(found[-1] - begin, self.window)]).tolist()[1:]
+        else:
+            j = programme.certain()
+            found = programme.path(j)
+            programme.forget(j)
+        k, opened, rest, b = 0, 0, [], 0
+        for doc_id, ids, before, whole in self.open:
             at, n = 0, len(ids)
             while at < n and k < len(found):
                 to = min(n, found[k] - b)
-                piece = ids[at:to].tobytes()
-                yield doc_id, before + at, to - at, zlib.crc32(piece), whole, (self.shard << 32) | self.sequence, b + at - opened, before + to == whole
+                yield doc_id, before + at, to - at, zlib.crc32(ids[at:to].tobytes()), whole, (self.shard << 32) | self.sequence, b + at - opened, before + to == whole
                 at = to
                 if b + to == found[k]:
                     opened, k = found[k], k + 1
                     self.sequence += 1
             if at < n:
-                rest.append((doc_id, ids[at:], ends[ends > at] - at, before + at, whole))
+                rest.append((doc_id, ids[at:], before + at, whole))
+            b += n
         self.open, self.held = rest, sum(len(p[1]) for p in rest)
+        self.due = 2 * self.held + RUN_IDS
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -285,7 +326,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                     rows += packer.add(doc_id, ids, ends)
                 if rows:
                     yield out(rows)
-        if rows := list(packer.flush()):
+        if rows := list(packer.flush(last=True)):
             yield out(rows)
 
     return texts(docs).mapInArrow(lean(run, "words"), SCHEMA)
