@@ -344,3 +344,44 @@ def test_one_of_each_with_odd_rows(spark):
     words = [r for r in got if r[1] and r[1].strip()]
     assert len(words) == 2 and (None, other) in words and [r for r in words if r[0] == 4][0][1] in (text, text + " x")
     assert sorted((r for r in got if r not in words), key=str) == sorted([(5, None), (5, None), (6, " \n"), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("window", [1, 3, 20])
+def test_subtree_of_suffixes(window):
+    """Order, common prefixes and deep nodes against sorted lists of words."""
+    rng = np.random.default_rng(window)
+    words, seg = rng.integers(1, 4, 400).astype(np.uint64), 4
+    starts = np.concatenate([np.arange(i * 100, i * 100 + 100 - window) for i in range(seg)])
+    key, code = starts // 100, starts % 100
+    tree = substring.build_subtree(words, starts, key, code, window)
+    plain = sorted((tuple(words[s : s + window].tolist()), k, c) for s, k, c in zip(starts.tolist(), key.tolist(), code.tolist()))
+    assert [(tuple(words[starts[i] : starts[i] + window].tolist()), key[i], code[i]) for i in tree.order] == plain
+    common = [0] + [next((n for n in range(window) if a[0][n] != b[0][n]), window) for a, b in zip(plain, plain[1:])]
+    assert tree.common.tolist() == common
+    groups = {}
+    for i, (x, _, _) in enumerate(plain):
+        groups.setdefault(x, []).append(i)
+    assert list(zip(*(x.tolist() for x in tree.nodes(window)))) == [(v[0], len(v)) for v in groups.values() if len(v) > 1]
+
+
+def test_parts_that_outgrow_memory_are_split(docs, rows):
+    """Parts of a few hundred words: prefixes are lengthened up to whole windows, with the same result."""
+    runs = substring.later_windows(docs, most=300)
+    got = {r["key"]: bytes(r["runs"]) for r in runs.collect()}
+    expected = {r["key"]: bytes(r["runs"]) for r in substring.later_windows(docs).collect()}
+    assert got == expected and len(got) > 10
+
+
+def test_groups_of_longer_prefixes():
+    """Equal windows are in one group at every level; the last level has a group for each window."""
+    rng = np.random.default_rng(4)
+    words = np.tile(rng.integers(1, 2**40, 60).astype(np.uint64), 3)
+    words[130] = 7
+    starts, place, _ = substring.smallest_runs(words, np.zeros(len(words), np.int64), 20)
+    windows = [tuple(words[s : s + 20].tolist()) for s in starts]
+    counts = []
+    for level in range(6):
+        group = substring.groups_of(words, starts, place, level, 20)
+        assert all(len({group[i] for i in range(len(starts)) if windows[i] == w}) == 1 for w in windows[:50])
+        counts.append(len(set(group.tolist())))
+    assert counts == sorted(counts) and counts[0] < counts[-1] == len(set(windows))
