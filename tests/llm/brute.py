@@ -104,3 +104,24 @@ def secrets(text):
 
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
+
+
+def quality_rules(doc_id, text):
+    """Every figure and verdict of one document."""
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+
+    def covered(n):
+        seen = {}
+        for p in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[p : p + n]), []).append(p)
+        return {q for places in seen.values() if len(places) > 1 for p in places for q in range(p, p + n)}
+
+    chars, line_chars, repeat = sum(map(len, w)), sum(map(len, lines)), len(covered(3))
+    dup, dup_chars, symbols = len(lines) - len(set(lines)), line_chars - sum(map(len, set(lines))), sum(c in "#*$%&|<>" for c in text or "")
+    cover = {n: sum(len(w[q]) for q in covered(n)) for n in (5, 10, 20)}
+    failed = len(w) < 50 or repeat / len(w) > 0.5
+    bad = failed or dup * 2 > len(lines) or dup_chars * 10 > line_chars * 3 or symbols * 4 > len(w) or any(cover[n] * 20 > chars * x for n, x in ((5, 7), (10, 6), (20, 5)))
+    return {
+        "doc_id": doc_id, "n_words": len(w), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "kept": not bad, "n_lines": len(lines),
+        "dup_line_chars": dup_chars, "line_chars": line_chars, "cover_5_chars": cover[5], "cover_10_chars": cover[10], "cover_20_chars": cover[20],
+    }

@@ -216,6 +216,7 @@ def test_secrets_query(spark, rows):
         written = [f"{n}:{a}:{b}" for a, b, n in spans]
         assert got[i]["base_sha256"] == brute.sha(",".join(written)), i
         assert set(written) <= set(filter(None, got[i]["spans"].split(","))) and got[i]["n_hex"] == sum(n == "hex" for *_, n in spans)
+    assert got[1010]["max_uses"] == 12 and got[1001]["max_owners"] == got[1001]["max_repositories"] == got[1001]["max_uses"] == 1 and got[1003]["max_uses"] == 0
     assert got[1001]["spans"] == f"owned:2:{2 + len(key)}" and got[1001]["n_owned"] == 1
     assert all(got[1010 + i]["n_owned"] == 0 and got[1010 + i]["n_copied"] == 1 for i in range(12))
     hidden = secrets.redact_secrets(brute.frame(spark, every))
@@ -234,15 +235,7 @@ def test_many_secrets_in_one_text(spark):
 def test_quality_rules_query(docs, rows):
     got = collected(quality_rules.quality_rules(docs))
     for i, t in rows:
-        w = brute.words(t)
-        grams = [tuple(w[p : p + 3]) for p in range(len(w) - 2)]
-        hit = {q for p, g in enumerate(grams) if grams.count(g) > 1 for q in range(p, p + 3)} if len(w) < 400 else None
-        lines = [x for x in (t or "").split("\n") if brute.words(x)]
-        r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)))
-        if hit is not None:
-            assert r["n_repeat_words"] == len(hit)
-        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+        assert got[i] == brute.quality_rules(i, t), i
 
 
 def test_quality_rules_count_characters_of_repeated_lines(spark):
@@ -303,6 +296,8 @@ def test_warc_query(spark):
         expected.append({"page_id": i, "payload_bytes": len(b), "payload_digest": base64.b32encode(hashlib.sha1(b).digest()).decode(), "record_type": "revisit" if revisit else "response", "refers_to": first[b] if revisit else None})
     order = lambda rows: sorted(rows, key=str)
     assert order(got) == order(expected)
+    records = warc.read_archive(*warc.write_archive(df)).collect()
+    assert {warc.parse_record(r["record"])[0]["WARC-Target-URI"] for r in records} >= {"http://d%0D%0AX: y", ""}
     records = warc.read_archive(*warc.write_archive(df, min_bytes=100)).collect()
     assert {warc.parse_record(r["record"])[0]["WARC-Type"] for r in records} == {"response"}
     with pytest.raises(ValueError):
@@ -385,3 +380,14 @@ def test_groups_of_longer_prefixes():
         assert all(len({group[i] for i in range(len(starts)) if windows[i] == w}) == 1 for w in windows[:50])
         counts.append(len(set(group.tolist())))
     assert counts == sorted(counts) and counts[0] < counts[-1] == len(set(windows))
+
+
+def test_secrets_copied_over_repositories(spark):
+    """One owner's value counts as copied where four of its repositories have it, however often three use it."""
+    few, many = "abc_live_key_0123456789", "abc_copied_key_987654321"
+    rows = [(i, f"{few} {i}", "one", "abc"[i % 3]) for i in range(9)] + [(100 + i, f"{many} {i}", "one", "abcd"[i % 4]) for i in range(4)]
+    got = collected(secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")))
+    assert all((got[i]["n_owned"], got[i]["max_repositories"], got[i]["max_uses"]) == (1, 3, 9) for i in range(9))
+    assert all((got[100 + i]["n_owned"], got[100 + i]["n_copied"], got[100 + i]["max_owners"]) == (0, 1, 1) for i in range(4))
+    alone = collected(secrets.secret_report(spark.createDataFrame([(1, few), (None, None)], "doc_id long, text string")))
+    assert alone[1]["n_owned"] == 1 and alone[None]["spans"] == ""

@@ -12,14 +12,14 @@ from vellum.llm.common import U64, Words, grams, lean, mix, slices, text_bytes,
 
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_NGRAM = 50, 50, 3
-#: (n, largest share of the characters in words that may lie in n-grams seen twice or more in the text).
-COVERAGE_LIMITS = ((5, 0.35), (10, 0.30), (20, 0.25))
-#: Largest share of lines with a word that repeat an earlier line, of the characters of lines that lie in such, of symbols to words.
-MAX_DUP_LINE_SHARE, MAX_DUP_LINE_CHARS, MAX_SYMBOLS_PER_WORD = 0.50, 0.30, 0.25
+#: (n, largest percentage of the characters in words that may lie in n-grams seen twice or more in the text).
+COVERAGE_LIMITS = ((5, 35), (10, 30), (20, 25))
+#: Largest percentage of lines with a word that repeat an earlier line, of the characters of lines that lie in such, of symbols to words.
+MAX_DUP_LINES, MAX_DUP_LINE_CHARS, MAX_SYMBOLS = 50, 30, 25
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, n_lines long, dup_line_chars long, cover_5 double, cover_10 double, cover_20 double"
+    "base_failed boolean, kept boolean, n_lines long, dup_line_chars long, line_chars long, cover_5_chars long, cover_10_chars long, cover_20_chars long"
 )
 
 _SYMBOL = np.zeros(256, bool)
@@ -67,23 +67,23 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
             size = total[w.ends] - total[w.starts]
             repeat = _per_doc(covered_words(h, w.doc, REPEAT_NGRAM), w.first)
-            cover = [_per_doc(np.where(covered_words(h, w.doc, n), size, 0), w.first) / np.maximum(chars, 1) for n, _ in COVERAGE_LIMITS]
+            cover = [_per_doc(np.where(covered_words(h, w.doc, n), size, 0), w.first) for n, _ in COVERAGE_LIMITS]
             lines, dup, dup_chars, line_chars = (np.zeros(len(text), np.int64) for _ in range(4))
             for i, b in enumerate(text_bytes(text)):
                 own = [x for x in b.split(b"\n") if x.strip()]
                 lines[i] = len(own)
+                line_chars[i] = len(b"".join(own).decode("utf-8", "replace"))
                 if len(distinct := set(own)) < len(own):
                     dup[i] = len(own) - len(distinct)
-                    line_chars[i] = sum(len(x.decode("utf-8", "replace")) for x in own)
-                    dup_chars[i] = line_chars[i] - sum(len(x.decode("utf-8", "replace")) for x in distinct)
+                    dup_chars[i] = line_chars[i] - len(b"".join(distinct).decode("utf-8", "replace"))
             n = w.count
             failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-            bad = failed | (dup > MAX_DUP_LINE_SHARE * lines) | (dup_chars > MAX_DUP_LINE_CHARS * line_chars) | (symbols > MAX_SYMBOLS_PER_WORD * n)
+            bad = failed | (100 * dup > MAX_DUP_LINES * lines) | (100 * dup_chars > MAX_DUP_LINE_CHARS * line_chars) | (100 * symbols > MAX_SYMBOLS * n)
             for c, (_, limit) in zip(cover, COVERAGE_LIMITS, strict=True):
-                bad |= c > limit
+                bad |= 100 * c > limit * chars
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, (n, chars, symbols, dup, repeat, failed, ~bad, lines, dup_chars, *cover))],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "dup_line_chars", "cover_5", "cover_10", "cover_20"],
+                [batch.column("doc_id"), *map(pa.array, (n, chars, symbols, dup, repeat, failed, ~bad, lines, dup_chars, line_chars, *cover))],
+                names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
 

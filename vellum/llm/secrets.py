@@ -1,7 +1,7 @@
 """Secret scans: patterns in every text, and ownership frequency of what they find over the whole corpus.
 
-The candidates of all documents are hashed and counted by distinct repositories and owners. A value that many owners
-share is a copied example; one that a single owner uses looks like a live credential. DataFrame functions only.
+The candidates of all documents are hashed and counted by distinct repositories and owners. A value that many owners or
+repositories share is a copied example; one that few use looks like a live credential. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ KINDS = (
 )
 #: Words that may be bare credentials: long, of letters and digits. They count only by their owners.
 BARE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-#: A value that fewer owners than this use belongs to them; one that at least this many use is a copied example.
-COPIED_OWNERS = 3
+#: A value in at least so many owners' hands, or in so many repositories, is a copied example; any other belongs to its owners.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 4
 PLACEHOLDER = "[REDACTED]"
 
+#: What is counted of a value.
+SPREAD = ("owners", "repositories", "uses")
 SPAN = "array<struct<start:long,rank:int,end:long,kind:string,value:string>>"
 _BLOCK = 128
 
@@ -66,6 +68,11 @@ def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int, least
     return F.when(text.rlike(pattern), matches(text)).otherwise(none)
 
 
+def _named(docs: DataFrame, column: str) -> Column:
+    """A column as a string; null where the table lacks it."""
+    return F.col(f"`{column}`").cast("string") if column in docs.columns else F.lit(None).cast("string")
+
+
 def scan(docs: DataFrame, owner: str, repository: Column) -> DataFrame:
     """(doc_id, kd, kh, owner, repository, base, bare): the spans of each text, without the text. One narrow pass.
 
@@ -74,7 +81,7 @@ def scan(docs: DataFrame, owner: str, repository: Column) -> DataFrame:
     longer = {"access": r"AKIA[A-Z0-9]{14,}+", "hex": r"[0-9a-f]{16,}+"}
     base = [spans_of(F.col("text"), kind, rank, longer.get(kind, pattern), group, least) for rank, (kind, pattern, group, least) in enumerate(KINDS)]
     bare = F.filter(spans_of(F.col("text"), "owned", len(KINDS), BARE, 0, 20), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(_named(docs, owner), F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
     found = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("kd"), F.xxhash64("text").alias("kh"), "owner", "repository", F.array_sort(F.concat(*base)).alias("base"), bare.alias("bare"))
     apart = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     return found.withColumn("bare", F.when(F.size("bare") > 0, apart).otherwise(F.col("bare")))
@@ -96,25 +103,28 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def _judged(scanned: DataFrame) -> DataFrame:
-    """scanned with ``added`` (bare spans that belong to few owners), n_live and n_copied."""
+    """scanned with ``added`` (bare spans that belong to few), n_live and n_copied, and how far its values spread at most."""
     spans = F.concat("base", "bare")
     uses = scanned.where(F.size("base") + F.size("bare") > 0).dropDuplicates(["kd", "kh"]).select("kd", "kh", F.explode(spans).alias("s"))
-    known = uses.withColumn("hash", F.sha2("s.value", 256)).join(ownership(scanned).select("hash", "n_owners"), "hash")
-    copied = F.col("n_owners") >= COPIED_OWNERS
+    known = uses.withColumn("hash", F.sha2("s.value", 256)).join(ownership(scanned), "hash")
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
     by_doc = known.groupBy("kd", "kh").agg(
-        F.collect_list(F.when(~copied & (F.col("s.kind") == "owned"), F.col("s"))).alias("added"), F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_copied"))
-    out = scanned.join(by_doc, ["kd", "kh"], "left")
-    return out.withColumn("added", F.coalesce("added", F.array().cast(SPAN))).withColumn("n_live", F.coalesce("n_live", F.lit(0).cast("long"))).withColumn("n_copied", F.coalesce("n_copied", F.lit(0).cast("long")))
+        F.collect_list(F.when(~copied & (F.col("s.kind") == "owned"), F.col("s"))).alias("added"), F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_copied"),
+        *(F.max(f"n_{x}").alias(f"max_{x}") for x in SPREAD))
+    out = scanned.join(by_doc, ["kd", "kh"], "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_live", "n_copied", *(f"max_{x}" for x in SPREAD))})
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: Column | None = None) -> DataFrame:
-    """Spans of secrets in every whole text: (doc_id, kd, kh, base, added, n_live, n_copied).
+    """Spans of secrets in every whole text: (doc_id, kd, kh, base, added, n_live, n_copied, max_owners, max_repositories, max_uses).
 
-    ``owner`` names the column of the owner; the repository is owner and language unless given. Spans are in code points,
-    end exclusive. Null texts are empty, a null owner is an owner of its own; rows that repeat doc_id and text have equal
-    results; an empty table gives an empty result; other columns are ignored."""
+    ``owner`` names the column of the owner; the repository is owner and language unless given. A table without these
+    columns has one owner and one repository. Spans are in code points, end exclusive. Null texts are empty, a null
+    owner is an owner of its own; a null doc_id stays null; rows that repeat doc_id and text have equal results, and
+    each counts as a use; very long texts are scanned whole; an empty table gives an empty result; other columns are
+    ignored."""
     if repository is None:
-        repository = F.concat_ws("/", F.col(owner).cast("string"), F.col("lang").cast("string")) if "lang" in docs.columns else F.col(owner).cast("string")
+        repository = F.concat_ws("/", _named(docs, owner), _named(docs, "lang"))
     return _judged(materialize(scan(docs, owner, repository), "secrets"))
 
 
@@ -123,18 +133,21 @@ def _written(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """One row for each document: counts by kind, digest of the base spans, all spans, and how many values look live or copied."""
+    """One row for each document: counts by kind, digest of the base spans, all spans, how many values look live or copied,
+    and of its values the most owners, repositories and uses. Odd rows: see ``find_secrets``."""
     found = find_secrets(docs, owner)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", *(count(kind) for kind, *_ in KINDS), F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
-        _written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_owned"), "n_live", "n_copied")
+        _written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_owned"), "n_live", "n_copied", *(f"max_{x}" for x in SPREAD))
 
 
 def redact_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """The documents with every secret's span replaced by a placeholder; texts without any stay as they are.
 
-    Overlapping spans make one placeholder. ``n_chars`` follows the text where the table has it."""
+    Overlapping spans make one placeholder. ``n_chars`` follows the text where the table has it. Null, empty and very
+    long texts, null ids and owners, repeated rows and empty tables: see ``find_secrets``; other columns go through,
+    whatever their names."""
     spans = find_secrets(docs, owner).where(F.size("base") + F.size("added") > 0).select("kd", "kh", F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["kd", "kh"])
     text = F.col("row.text").cast("string")
     keyed = as_row(docs).withColumn("kd", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))).withColumn("kh", F.xxhash64(F.coalesce(text, F.lit(""))))

@@ -1,7 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
-The others need a tokeniser (3, 8), a learned model (2, 10), hashes of their own (4) or floating shares of these (9); they
-are tested against plain Python or held-out labels in tests/llm.
+The others need a tokeniser (3, 8), a learned model (2, 10) or hashes of their own (4); they are tested against plain
+Python or held-out labels in tests/llm.
 """
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -44,22 +44,48 @@ _KINDS = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*
 
 
 def _found(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
-    return f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS size, v[i] AS value
-        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS g FROM documents)) WHERE length(v[i]) >= {least}"""
+    return f"""SELECT doc_id, source, repository, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS size, v[i] AS value
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, concat_ws('/', source, lang) AS repository, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS g FROM documents)) WHERE length(v[i]) >= {least}"""
 
 
 OP1 = f"""
-WITH f AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, kind, rank, a::BIGINT AS a, (a + size)::BIGINT AS b, value FROM ({" UNION ALL ".join(_found(*k, rank) for rank, k in enumerate(_KINDS))})),
+WITH f AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, repository, kind, rank, a::BIGINT AS a, (a + size)::BIGINT AS b, value FROM ({" UNION ALL ".join(_found(*k, rank) for rank, k in enumerate(_KINDS))})),
 base AS MATERIALIZED (SELECT * FROM f WHERE kind <> 'owned'),
 bare AS MATERIALIZED (SELECT * FROM f WHERE kind = 'owned' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = f.doc_id AND base.a < f.b AND f.a < base.b)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT value, count(DISTINCT source) AS n FROM every GROUP BY value),
-j AS MATERIALIZED (SELECT every.*, n FROM every JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT source) AS o, count(DISTINCT (source, repository)) AS r, count(*) AS u FROM every GROUP BY value),
+j AS MATERIALIZED (SELECT every.*, o, owners.r AS r, u, o >= 3 OR owners.r >= 4 AS copied FROM every JOIN owners USING (value)),
 s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned' OR n < 3) AS spans,
-    count(*) FILTER (kind = 'owned' AND n < 3) AS n_owned, count(*) FILTER (n < 3) AS n_live, count(*) FILTER (n >= 3) AS n_copied FROM j GROUP BY doc_id)
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'owned' OR NOT copied) AS spans,
+    count(*) FILTER (kind = 'owned' AND NOT copied) AS n_owned, count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied, max(o) AS o, max(r) AS r, max(u) AS u FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-    coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents d LEFT JOIN s USING (doc_id)
+    coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+    coalesce(o, 0) AS max_owners, coalesce(r, 0) AS max_repositories, coalesce(u, 0) AS max_uses FROM documents d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1, "op5_substring_dedup": OP5, "op6_warc": OP6, "op7_jaccard_join": OP7}
+
+
+def _covered(n: int) -> str:
+    """Words of windows of n words that the text has twice or more."""
+    return f"SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n}))) WHERE c > 1"
+
+
+_COVER = (5, 10, 20)
+_SUMS = ",\n".join(f"c{n} AS (SELECT x.doc_id, sum(length(x.word))::BIGINT AS c{n} FROM x JOIN ({_covered(n)}) g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)" for n in _COVER)
+
+OP9 = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+r AS (SELECT doc_id, count(*) AS r FROM ({_covered(3)}) GROUP BY doc_id),
+{_SUMS},
+l AS (SELECT doc_id, count(*) AS lines, count(DISTINCT line) AS kinds, sum(length(line)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+o AS (SELECT doc_id, sum(length(line)) AS once FROM (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda t: length(t))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(lines - kinds, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0)::BIGINT AS n_lines, coalesce(chars - once, 0)::BIGINT AS dup_line_chars, coalesce(chars, 0)::BIGINT AS line_chars,
+    {", ".join(f"coalesce(c{n}, 0)::BIGINT AS cover_{n}_chars" for n in _COVER)}
+    FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN o USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _COVER)})
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * dup_line_chars > 30 * line_chars
+    OR 100 * n_symbols > 25 * n_words OR 100 * cover_5_chars > 35 * word_chars OR 100 * cover_10_chars > 30 * word_chars OR 100 * cover_20_chars > 25 * word_chars) AS kept FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1, "op5_substring_dedup": OP5, "op6_warc": OP6, "op7_jaccard_join": OP7, "op9_quality_rules": OP9}

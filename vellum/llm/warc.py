@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import lean, materialize
+from vellum.llm.common import bound_batches, lean, materialize
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -29,10 +29,15 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def one_line(url: str | None) -> str:
+    """A URL as a header's value: line ends as percent codes, which name the same characters."""
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record_head(page_id: int | None, url: str | None, n_bytes: int, sha1: str, first: int | None, revisit: bool) -> bytes:
     """All bytes of a record before its payload: the WARC header and the HTTP header."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
-    lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}"]
+    lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {one_line(url)}"]
     lines += [f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Profile: {REVISIT_PROFILE}"] if revisit else []
     lines += [f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else n_bytes)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
@@ -50,16 +55,25 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct payload of a batch once, compressed, with the smallest page_id that has it."""
     packer = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        first: dict[bytes, tuple[int | None, bytes]] = {}
+        for page_id, body in zip(b.column("page_id").to_pylist(), b.column("html").cast(pa.binary()).to_pylist(), strict=True):
+            key = hashlib.sha256(body := body or b"").digest()
+            known = first.get(key, (None, body))[0]
+            first[key] = (page_id if known is None else known if page_id is None else min(known, page_id), body)
+        ids, bodies = zip(*first.values(), strict=True) if first else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array(map(len, bodies), pa.int64()), pa.array(ids, pa.int64()), pa.array(map(packer.compress, bodies), pa.binary())], names=["sha256", "n_bytes", "first", "packed"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bodies = [x or b"" for x in b.column("html").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [
-                b.column("page_id"), b.column("url"), pa.array(map(len, bodies), pa.int64()), pa.array(map(sha1_base32, bodies), pa.string()),
-                pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary()), pa.array(map(packer.compress, bodies), pa.binary()),
-            ],
-            names=["page_id", "url", "n_bytes", "sha1", "sha256", "packed"],
+            [b.column("page_id"), b.column("url"), pa.array(map(len, bodies), pa.int64()), pa.array(map(sha1_base32, bodies), pa.string()), pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary())],
+            names=["page_id", "url", "n_bytes", "sha1", "sha256"],
         )
 
 
@@ -67,18 +81,21 @@ def write_archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
     """Write the archive to the shared folder; returns its two tables.
 
     ``payloads`` (sha256, packed, n_bytes, first): each distinct payload once, compressed, with the smallest page_id.
-    Copies meet in a map-side aggregation before the shuffle, so a payload that a third of the pages share sends one row
-    for each task. ``heads`` (page_id, sha256, revisit, head): the exact header bytes of every record."""
+    Copies meet in their batch and in a map-side aggregation before the shuffle, so a payload that a third of the pages
+    share sends one row for each task. Payloads are compressed once and travel once; the second pass over the pages takes
+    digests only. ``heads`` (page_id, sha256, revisit, head): the exact header bytes of every record."""
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    digested = fields.mapInArrow(lean(_digests), "page_id long, url string, n_bytes long, sha1 string, sha256 binary, packed binary")
-    payloads = materialize(digested.groupBy("sha256", "n_bytes").agg(F.min("page_id").alias("first"), F.min("packed").alias("packed")), "payloads")
+    bound_batches(pages.sparkSession)
+    packed = fields.select("page_id", "html").mapInArrow(lean(_payloads), "sha256 binary, n_bytes long, first long, packed binary")
+    payloads = materialize(packed.groupBy("sha256", "n_bytes").agg(F.min("first").alias("first"), F.min("packed").alias("packed")), "payloads")
+    digested = fields.mapInArrow(lean(_digests), "page_id long, url string, n_bytes long, sha1 string, sha256 binary")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [record_head(*r) for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "n_bytes", "sha1", "first", "revisit")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sha256"), b.column("revisit"), pa.array(rows, pa.binary())], names=["page_id", "sha256", "revisit", "head"])
 
-    light = digested.select("page_id", "url", "n_bytes", "sha1", "sha256").join(payloads.select("sha256", "first"), "sha256")
+    light = digested.join(payloads.select("sha256", "first"), "sha256")
     revisit = F.coalesce((F.col("page_id") > F.col("first")) & (F.col("n_bytes") >= min_bytes), F.col("first").isNotNull() & (F.col("n_bytes") >= min_bytes))
     return payloads, materialize(light.withColumn("revisit", revisit).mapInArrow(lean(heads), "page_id long, sha256 binary, revisit boolean, head binary"), "heads")
 
