@@ -221,26 +221,20 @@ def _class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
 
 
-def propose(lists: DataFrame, parts: DataFrame | None, pivots: int | None, percent: int) -> DataFrame:
-    """(a, b): pairs of rows that share a column and may be near, of different components.
-
-    In the first round all rows of a column meet its most central one, which shows the column earliest. In later rounds
-    the rows outside the column's largest component meet its ``pivots`` most central rows, or all; columns of one
-    component are left out. Pairs whose sizes or places rule out enough overlap are discarded: at the first column that
-    two sets share, all they share lies from there on. That bounds the partner's size on either side, so that rows of a
-    column meet by classes of sizes. Every side of these joins is a table or goes through a shuffle of its own, so that
-    a frequent column can be split; no column is gathered."""
-    if parts is None:
-        marked = lists.withColumn("part", F.col("node"))
-        out = marked
-        some = materialize(lists.groupBy("column").agg(F.min(F.struct("place", "node", "size")).alias("s")).select("column", "s.*"), "pivots").withColumn("part", F.col("node"))
-    else:
-        own = lists.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        counted = own.groupBy("column", "part").agg(F.count("*").alias("n"))
-        several = counted.groupBy("column").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        marked = materialize(own.join(materialize(several, "open"), "column"), "marked")
-        out = marked.where("part <> largest")
-        some = marked if pivots is None else marked.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("place", "node"))).where(F.col("r") <= pivots)
+def open_rows(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of columns that have rows of two components or more, with ``part`` and the column's ``largest`` one."""
+    own = lists.drop("part", "largest").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    counted = own.groupBy("column", "part").agg(F.count("*").alias("n"))
+    several = counted.groupBy("column").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return materialize(own.join(materialize(several, "open"), "column"), "marked")
+
+
+def propose(out: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of rows of ``out`` and ``some`` that share a column and may be near, of different components.
+
+    Pairs whose sizes or places rule out enough overlap are discarded: at the first column that two sets share, all they
+    share lies from there on. That bounds the partner's size on either side, so that rows of a column meet by classes of
+    sizes. Either side goes through a shuffle of its own, so that a frequent column can be split; none is gathered."""
     fields = lambda df, s, *more: df.select(F.col("column"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "part")), *more)
     size, rest = F.col("size"), F.col("size") - F.col("place")
     least = F.ceil(size * percent / 100)
@@ -254,6 +248,20 @@ def propose(lists: DataFrame, parts: DataFrame | None, pivots: int | None, perce
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
+def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All rows of a column against its most central one, which shows the column earliest."""
+    central = lists.groupBy("column").agg(F.min(F.struct("place", "node", "size")).alias("s")).select("column", "s.*")
+    own = F.col("node").alias("part")
+    return propose(lists.select("*", own), materialize(central, "pivots").select("*", own), percent)
+
+
+def further_pairs(marked: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """The rows outside a column's largest component against its ``pivots`` most central rows, or all."""
+    by = Window.partitionBy("column").orderBy("place", "node")
+    some = marked if pivots is None else marked.withColumn("r", F.row_number().over(by)).where(F.col("r") <= pivots)
+    return propose(marked.where("part <> largest"), some, percent)
+
+
 def _check(percent: int):
     """Exact overlaps of whole sets, of the texts that come with the pairs."""
 
@@ -320,14 +328,17 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     lists = texts.select("text").mapInArrow(lean(_incidence(shared, percent, n)), ENTRY).repartitionById(n, "bucket").mapInArrow(lean(_lists), "column long, node long, size long, place long")
     lists = materialize(lists, "columns")
     homes = sets.where("node <> 0").groupBy("node").agg(F.min("key").alias("key"))
-    links, parts, bodies, checked = None, None, None, None
+    parts, bodies, checked, marked = spark.createDataFrame([], "node long, part long"), None, None, None
     for pivots in PIVOTS:
-        proposed = propose(lists, parts, pivots, percent)
-        proposed = materialize(proposed if checked is None else proposed.join(checked, ["a", "b"], "left_anti"), "proposed")
+        if checked is None:
+            proposed = materialize(first_pairs(lists, percent), "proposed")
+        else:
+            if marked is None:  # components are new
+                lists = marked = open_rows(lists, parts)
+            proposed = materialize(further_pairs(marked, pivots, percent).join(checked, ["a", "b"], "left_anti"), "proposed")
+        checked = proposed if checked is None else checked.unionByName(proposed)
         if proposed.isEmpty():  # what pivots leave out may still be near: only the last round is exact
-            parts = spark.createDataFrame([], "node long, part long") if parts is None else parts
             continue
-        checked = proposed if checked is None else checked.unionByName(proposed)
         wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if bodies is not None:
             wanted = wanted.join(bodies.select("node"), "node", "left_anti")
@@ -335,11 +346,20 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         bodies = more if bodies is None else bodies.unionByName(more)
         pairs = proposed.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
         near = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(lean(_check(percent)), "a long, b long"), "near")
-        links = near if links is None else near.unionByName(links)
-        parts = materialize(components(links), "parts")
+        if not near.isEmpty():
+            parts, marked = merged(parts, near), None
     return sets, parts
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, found among the components that these join."""
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
+    joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    more = components(joined).select(F.col("node").alias("part"), F.col("part").alias("new"))
+    old = parts.join(more, "part", "left").select("node", F.coalesce("new", "part").alias("part"))
+    return materialize(old.unionByName(more.select(F.col("part").alias("node"), F.col("new").alias("part")).join(parts, "node", "left_anti")), "parts")
+
+
 def _key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
 
