@@ -125,3 +125,57 @@ def quality_rules(doc_id, text):
         "doc_id": doc_id, "n_words": len(w), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "kept": not bad, "n_lines": len(lines),
         "dup_line_chars": dup_chars, "line_chars": line_chars, "cover_5_chars": cover[5], "cover_10_chars": cover[10], "cover_20_chars": cover[20],
     }
+
+
+BITS = 2**64 - 1
+
+
+def mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & BITS
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & BITS
+    return h ^ (h >> 31)
+
+
+def rolled(values):
+    out = 0
+    for v in values:
+        out = (out * 0x9E3779B97F4A7C15 + v) & BITS
+    return out
+
+
+def syncmers(text, k=20, s=8):
+    """(place, hash) of the closed syncmers of a text."""
+    value = [mix(ord(c) + 0x9E3779B97F4A7C15 & BITS) for c in text]
+    inner = [mix(rolled(value[p : p + s])) for p in range(len(text) - s + 1)]
+    found = []
+    for p in range(len(text) - k + 1):
+        own = inner[p : p + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            found.append((p, mix(rolled(value[p : p + k]))))
+    if text and not found:
+        found.append((0, mix(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little"))))
+    return found
+
+
+def fingerprint(text):
+    """(digest, {bin: (hash, place)}) of a text."""
+    bins = {}
+    for place, h in syncmers(text):
+        bins[h >> 58] = min(bins.get(h >> 58, (h, place)), (h, place))
+    return hashlib.blake2b(text.encode(), digest_size=2).hexdigest() if text else "", {b: (h >> 16 & 0xFFFF, place) for b, (h, place) in bins.items()}
+
+
+def written(text):
+    digest, bins = fingerprint(text)
+    return digest + "".join(f"{bins[b][0]:04x}{bins[b][1]:06x}" if b in bins else "-" * 10 for b in range(64)) if text else ""
+
+
+def alike(a, b):
+    (x, p), (y, q) = fingerprint(a), fingerprint(b)
+    pairs = sorted((p[i][1], q[i][1]) for i in p if i in q and p[i][0] == q[i][0])
+    best = []
+    for i, (_, v) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(i) if pairs[j][1] < v), default=0))
+    return (max(best, default=0) + (x == y)) / (len({*p, *q}) + 1)

@@ -102,17 +102,39 @@ def test_quality_on_the_driver_tables(labelled):
     assert quality.keep_good(*labelled).count() == quality.score_quality(*labelled).where("kept").count()
 
 
-def test_co_training_uses_both_views():
-    rng = np.random.default_rng(1)
-    n = 2000
+def two_views(n, seed):
+    """Labels, and content and metadata that tell them apart in part, each with noise of its own."""
+    rng = np.random.default_rng(seed)
     y = rng.integers(0, 2, n)
-    content = np.stack([y + rng.normal(0, 0.5, n), rng.normal(size=n)] + [np.zeros(n)] * 14, axis=1)
-    meta = np.stack([y + rng.normal(0, 0.5, n), rng.normal(size=n), rng.normal(size=n), rng.integers(0, 64, n), rng.integers(0, 64, n)], axis=1)
-    label = np.where(np.arange(n) < 300, y, -1)
-    model = quality.co_train(content, meta, label, np.arange(n) % 4 == 0, np.ones(n))
+    content = np.stack([y + rng.normal(0, 0.5, n), rng.normal(size=n)] + [np.zeros(n)] * (len(quality.CONTENT) - 2), axis=1)
+    meta = np.stack([y + rng.normal(0, 0.5, n), rng.integers(0, 64, n), rng.integers(0, 64, n)], axis=1)
+    bins = [[np.quantile(x[:, j], np.arange(1, 10) / 10) for j in range(x.shape[1])] for x in (content, meta)]
+    return y, content, meta, bins
+
+
+def test_co_training_uses_both_views():
+    y, content, meta, bins = two_views(2000, 1)
+    own, pool = slice(0, 300), quality.LocalPool(content[300:], meta[300:])
+    model = quality.co_train(content[own], meta[own], y[own], np.arange(300) % 4 == 0, np.ones(300), pool, bins)
     score, a, b = model.scores(content[1000:], meta[1000:])
     right = lambda s: np.mean((s >= 0.5) == y[1000:])
     assert right(score) >= max(right(a), right(b)) - 0.01 and right(score) > 0.85
+    told = pool.given >= 0
+    assert told.any(axis=0).all() and np.mean(pool.given[told] == np.stack([y[300:]] * 2, axis=1)[told]) > 0.9
+
+
+def test_the_pool_on_executors_equals_one_in_memory(spark, monkeypatch):
+    """Counts, labels and sums over many partitions, and with two levels of adding up."""
+    y, content, meta, bins = two_views(700, 2)
+    x = np.concatenate([content, meta], axis=1).astype(np.float32)
+    monkeypatch.setattr(quality, "POOL_ROWS", 30)
+    table = spark.createDataFrame([(r.tolist(),) for r in x], "x array<float>").repartition(40)
+    pools = [quality.LocalPool(*np.split(x.astype(float), [content.shape[1]], axis=1)), quality.SparkPool(table)]
+    assert pools[1].n == 700 and pools[1].parts > quality.FAN_IN
+    models = [quality.co_train(content[:200], meta[:200], y[:200], np.arange(200) % 4 == 0, np.ones(200), p, bins) for p in pools]
+    for a, b in ((models[0].content, models[1].content), (models[0].meta, models[1].meta)):
+        assert np.allclose(a.weights, b.weights)
+    assert sorted(map(tuple, pools[0].given.tolist())) == sorted((r.given_0, r.given_1) for r in pools[1].table.collect())
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(None, 0), (None, 1)]])

@@ -2,27 +2,30 @@
 
 A k-mer of code points is a closed syncmer if the smallest of its inner s-mers lies at its first or last place. That
 depends on the k-mer alone, so that equal passages choose equal anchors whatever stands around them, and the anchors'
-places line two texts up. A fingerprint keeps the smallest anchor hash of each of 64 bins.
+places line two texts up. A fingerprint keeps the smallest anchor hash of each of 64 bins with its place, and a digest
+of the whole text. Two texts are as like as many of their bins agree in an order that both texts have.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.common import U64, lean, mix, partitions, slices, texts as plain_texts
 
-#: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours.
-K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 500, 4096
+#: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours, as a mean; most buckets.
+K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 500, 1_000_000
+#: Largest place that a fingerprint writes; later places count as this one.
+LAST_PLACE = 0xFFFFFF
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 _EMPTY, _M = U64(2**64 - 1), U64(0x9E3779B97F4A7C15)
-_NO_BIN = np.frombuffer(b"----", np.uint8)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,29 +67,74 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return text, at - off[text], mix(h)
 
 
-def sketch(texts: list[str]) -> np.ndarray:
-    """For each text and bin the smallest anchor hash; the largest 64-bit value where the bin has none."""
-    table = np.full(len(texts) * BINS, _EMPTY, U64)
-    text, _, h = anchors(texts)
-    np.minimum.at(table, text * BINS + (h >> U64(58)).astype(np.int64), h)
-    return table.reshape(len(texts), BINS)
-
-
-def as_strings(table: np.ndarray) -> list[str]:
-    """Four hex digits for each bin, ``----`` for one without an anchor; nothing at all for an empty text."""
+@dataclass
+class Sketch:
+    """Fingerprints of some texts: of each bin 16 bits of the smallest anchor hash (-1: none) and its first place; of each text 16 bits of a digest (-1: empty)."""
+
+    mark: np.ndarray
+    place: np.ndarray
+    digest: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Sketch:
+        return Sketch(self.mark[rows], self.place[rows], self.digest[rows])
+
+    def strings(self) -> list[str]:
+        """Four hex digits of the digest, then four and six for hash and place of each bin, dashes for a bin without an anchor; nothing for an empty text."""
+        digits = np.frombuffer(b"0123456789abcdef", np.uint8)
+        hexed = lambda x, n: digits[(x[..., None] >> np.arange(4 * n - 4, -1, -4)) & 15]
+        bins = np.concatenate([hexed(self.mark, 4), hexed(self.place, 6)], axis=-1)
+        bins[self.mark < 0] = ord("-")
+        rows = np.concatenate([hexed(self.digest, 4), bins.reshape(len(bins), -1)], axis=-1)
+        return ["" if d < 0 else row.tobytes().decode() for row, d in zip(rows, self.digest.tolist(), strict=True)]
+
+
+def parse(fingerprints: list[str]) -> Sketch:
+    """The sketch that fingerprints were written from."""
+    n = len(fingerprints)
+    mark, place, digest = np.full((n, BINS), -1), np.zeros((n, BINS), np.int64), np.full(n, -1)
+    for i, f in enumerate(fingerprints):
+        if f:
+            bins = [f[4 + 10 * j : 14 + 10 * j] for j in range(BINS)]
+            digest[i], mark[i], place[i] = int(f[:4], 16), [-1 if x[0] == "-" else int(x[:4], 16) for x in bins], [0 if x[0] == "-" else int(x[4:], 16) for x in bins]
+    return Sketch(mark, place, digest)
+
+
+def sketch(texts: list[str]) -> Sketch:
+    """For each text and bin the smallest anchor hash, and the first place that has it."""
+    table, place = np.full(len(texts) * BINS, _EMPTY, U64), np.full(len(texts) * BINS, LAST_PLACE)
+    text, at, h = anchors(texts)
+    cell = text * BINS + (h >> U64(58)).astype(np.int64)
+    np.minimum.at(table, cell, h)
+    least = h == table[cell]
+    np.minimum.at(place, cell[least], at[least])
     none = table == _EMPTY
-    digits = np.frombuffer(b"0123456789abcdef", np.uint8)
-    part = (table >> U64(16)).astype(np.uint16)
-    chars = np.stack([digits[(part >> shift) & 15] for shift in (12, 8, 4, 0)], axis=-1)
-    chars[none] = _NO_BIN
-    return ["" if empty else row.tobytes().decode() for row, empty in zip(chars, none.all(axis=1).tolist(), strict=True)]
+    place[none] = 0
+    mark = np.where(none, -1, ((table >> U64(16)) & U64(0xFFFF)).astype(np.int64))
+    digest = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=2).digest(), "big") if t else -1 for t in texts]
+    return Sketch(mark.reshape(-1, BINS), place.reshape(-1, BINS), np.array(digest, np.int64))
+
+
+def longest_chains(x: np.ndarray, y: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """For each row the most of its marked places that rise in x and y alike."""
+    order = np.argsort(np.where(on, x, np.int64(2**62)), axis=1, kind="stable")
+    y, on = np.take_along_axis(y, order, axis=1), np.take_along_axis(on, order, axis=1)
+    out = on.sum(axis=1)
+    crossed = np.flatnonzero(((np.diff(y, axis=1) <= 0) & on[:, 1:]).any(axis=1))
+    if len(crossed):
+        y, n = y[crossed], out[crossed]
+        best = np.zeros(y.shape, np.int64)
+        for j in range(int(n.max())):
+            before = np.where(y[:, :j] < y[:, j : j + 1], best[:, :j], 0)
+            best[:, j] = np.where(j < n, before.max(axis=1, initial=0) + 1, 0)
+        out[crossed] = best.max(axis=1)
+    return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the bins filled on either side that agree, which estimates the likeness of the anchor sets; 1 for two empty texts."""
-    x, y = (np.where(t == _EMPTY, -1, ((t >> U64(16)) & U64(0xFFFF)).astype(np.int64)) for t in (a, b))
-    filled = ((x >= 0) | (y >= 0)).sum(axis=1)
-    return np.where(filled == 0, 1.0, ((x == y) & (x >= 0)).sum(axis=1) / np.maximum(filled, 1))
+def likeness(a: Sketch, b: Sketch) -> np.ndarray:
+    """Share of the bins filled on either side, and of the digest, that agree and lie in one order; 1 for equal texts, 0 for an empty one and another."""
+    filled = ((a.mark >= 0) | (b.mark >= 0)).sum(axis=1)
+    chain = longest_chains(a.place, b.place, (a.mark == b.mark) & (a.mark >= 0))
+    return (chain + (a.digest == b.digest)) / (filled + 1)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -95,7 +143,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(as_strings(sketch(b.column("text").to_pylist())), pa.string())], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sketch(b.column("text").to_pylist()).strings(), pa.string())], names=["doc_id", "fingerprint"])
 
     return plain_texts(docs).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
@@ -112,34 +160,34 @@ def document_anchors(docs: DataFrame) -> DataFrame:
     return plain_texts(docs).mapInArrow(lean(run), "doc_id long, place long, anchor long")
 
 
-def _bucket(bounds: list[int], key: Column) -> Column:
-    """How many bounds are smaller than the key: a binary search over a literal array."""
-    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
-    values = F.array(*map(F.lit, bounds))
-    return F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0),
-        lambda at, step: F.when(at + step > len(bounds), at).when(F.coalesce(F.get(values, at + step - 1), F.lit(2**63 - 1)) < key, at + step).otherwise(at),
-    )
-
-
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, donor, doc_id, text), each bucket sorted by doc_id and text within its partition, donors first.
+    """Rows (bucket, own, key, doc_id, text), each bucket sorted by doc_id and text within its partition, donors first.
 
     A bucket holds a range of ids. The document that comes next in descending order is the row before; for a bucket's
     first row that is its donor, the last document of the bucket before (of the last bucket for the first one). The
-    bounds are ids at quantiles, at most ``MAX_BUCKETS`` numbers on the driver. Texts are shuffled once."""
+    bounds are ids that a hash chooses, one of ``BUCKET_ROWS`` while that gives at most ``MAX_BUCKETS``: 8 MB on the
+    driver at most. Texts are shuffled once, and a partition's buckets go through sorting one after the other. Rows of
+    one doc_id are in one bucket."""
+    spark = docs.sparkSession
     keyed = plain_texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    found = keyed.agg(F.count("*").alias("n"), F.max("key").alias("top"), F.percentile_approx("key", [i / 1024 for i in range(1, 1024)], 20000).alias("cuts")).first()
-    cuts = sorted(set(found["cuts"] or []))
-    wanted = max(1, min(MAX_BUCKETS, found["n"] // BUCKET_ROWS))
-    step = max(1, -(-len(cuts) // wanted))
-    bounds = sorted({*cuts[step - 1 :: step], found["top"] if found["top"] is not None else 0})
-    placed = keyed.withColumn("bucket", F.least(_bucket(bounds, F.col("key")), F.lit(len(bounds) - 1)))
-    own = F.struct("bucket", F.lit(False).alias("donor"))
-    given = F.struct(((F.col("bucket") + 1) % len(bounds)).alias("bucket"), F.lit(True).alias("donor"))
-    is_bound = F.col("key") == F.get(F.array(*map(F.lit, bounds)), F.col("bucket"))
-    rows = placed.select("doc_id", "key", "text", F.explode(F.when(is_bound, F.array(own, given)).otherwise(F.array(own))).alias("to"))
-    return rows.select(F.col("to.bucket").alias("bucket"), (~F.col("to.donor")).alias("own"), "key", "doc_id", "text").repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "own", "key", "text")
+    found = keyed.agg(F.count("*").alias("n"), F.max("key").alias("top")).first()
+    step = max(BUCKET_ROWS, -(-found["n"] // MAX_BUCKETS))
+    chosen = keyed.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key").distinct().toArrow()["key"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.union1d(chosen, [found["top"] or 0]).astype(np.int64))
+
+    @F.arrow_udf("array<long>")
+    def places(key: pa.Array) -> pa.Array:
+        """The bucket of an id; if the id is its bound, the bucket that it is the donor of too, counted from -1 down."""
+        bounds, key = shared.value, key.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(bounds, key)
+        last = bounds[at] == key
+        both = np.stack([at, -1 - (at + 1) % len(bounds)], axis=1)[np.stack([np.ones(len(key), bool), last], axis=1)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(1 + last)]), pa.int32()), pa.array(both, pa.int64()))
+
+    rows = keyed.select("doc_id", "key", "text", F.explode(places("key")).alias("to"))
+    own = F.col("to") >= 0
+    placed = rows.select(F.when(own, F.col("to")).otherwise(-1 - F.col("to")).alias("bucket"), own.alias("own"), "key", "doc_id", "text")
+    return placed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "own", "key", "text")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -151,25 +199,28 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     other in the order of their texts; an empty table gives an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, before, before_table = None, "", sketch([""])
+        none = sketch([""])
+        bucket, before, before_row = None, "", none
         for whole in batches:
             for b in slices(whole):
                 texts, own = b.column("text").to_pylist(), b.column("own").to_pylist()
                 table = sketch(texts)
-                nexts, tables = [], np.empty_like(table)
+                every = Sketch(*(np.concatenate([getattr(table, f), getattr(before_row, f), getattr(none, f)]) for f in ("mark", "place", "digest")))
+                nexts, rows, last = [], [], b.num_rows  # the row that holds what came before this slice; the one after it is an empty text
                 for i, at in enumerate(b.column("bucket").to_pylist()):
                     if at != bucket:
-                        bucket, before, before_table = at, "", sketch([""])
+                        bucket, before, last = at, "", b.num_rows + 1
                     nexts.append(before)
-                    tables[i] = before_table
-                    before, before_table = texts[i], table[i]
+                    rows.append(last)
+                    before, last = texts[i], i
+                before_row, after = every.take(np.array([last])), every.take(np.array(rows))
                 keep = np.flatnonzero(own)
                 edited = [(t := texts[i])[: len(t) - len(t) // 2] + nexts[i][: len(t) // 2] for i in keep.tolist()]
-                other = sketch(edited)
+                mine, other = table.take(keep), sketch(edited)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").take(pa.array(keep)), pa.array([len(texts[i]) for i in keep.tolist()], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                        pa.array(as_strings(table[keep]), pa.string()), pa.array(as_strings(other), pa.string()), pa.array(likeness(table[keep], other)), pa.array(likeness(table[keep], tables[keep])),
+                        pa.array(mine.strings(), pa.string()), pa.array(other.strings(), pa.string()), pa.array(likeness(mine, other)), pa.array(likeness(mine, after.take(keep))),
                     ],
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
