@@ -7,7 +7,11 @@ import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tests import goldens
 from vellum.operators import charts, compare, email, limits, outline, qa, review
+from vellum.plans import fixtures as fx
 from vellum.sinks import png, reports, word
 from vellum.sources import files
 from vellum.streaming import apply
@@ -120,3 +124,91 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path, operator):
     stream = apply.read_stream(spark, str(tmp_path / "in"), "doc_id long, text string")
     apply.run_available(stream, operator, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, operator(rows).collect()))
+
+
+def bars(column):
+    return F.array_join(column, "|")
+
+
+def test_golden_mails(spark):
+    s = email.summarize_mails(fx.frame(spark, fx.MAILS, "mail_id long, text string"))
+    f = lambda c: F.when(F.col("error_code").isNull(), bars(F.col(f"summary.{c}")))
+    got = s.select("mail_id", "error_code", "summary.sender", "summary.recipient", "summary.subject", "summary.priority", f("summary_bullets"), f("action_items"), f("deadlines"), f("decisions"))
+    assert sorted(map(tuple, got.collect())) == goldens.MAIL_GOLDEN
+
+
+def test_golden_answers(spark):
+    a = qa.answer_questions(fx.frame(spark, fx.QUESTIONS, "qa_id long, source_text string, question string"))
+    top = F.try_element_at("answer.supporting_passages", F.lit(1))
+    got = a.select("qa_id", "error_code", "answer.answer_status", "answer.confidence_indicator", F.rint(top["relevance_score"] * 100).cast("int"), F.size("answer.supporting_passages"), bars(top["shared_terms"])).collect()
+    assert sorted(map(tuple, got)) == [(*r[:5], None if r[1] else r[5], r[6]) for r in goldens.QA_GOLDEN]
+    report = a.where("error_code is null").select("qa_id", F.split(reports.answer_report(), "\n").alias("r")).collect()
+    assert sorted((r.qa_id, "\n".join(r.r[2:12])) for r in report) == goldens.QA_REPORT_GOLDEN
+
+
+def test_golden_pairs(spark):
+    rows = compare.compare_documents(fx.frame(spark, fx.PAIRS, "pair_id long, a_text string, b_text string").withColumn("a_name", F.lit("A")).withColumn("b_name", F.lit("B")))
+    got = rows.select("pair_id", "error_code", F.when(F.col("error_code").isNull(), bars(F.transform("matches", lambda m: m["class"]))), "comparison.coverage_indicator", "comparison.summary.additional_count").collect()
+    assert sorted(map(tuple, got)) == goldens.PAIR_GOLDEN
+
+
+def test_golden_charts(spark):
+    rows = fx.frame(spark, fx.CHARTS, "chart_id long, chart_type string, data_text string, title string").withColumn("x_label", F.lit("")).withColumn("y_label", F.lit(""))
+    c = charts.chart_data(rows)
+    points = F.transform("chart.points", lambda p: F.concat(p["category"], F.lit("="), p["value"].cast("long").cast("string")))
+    tasks = F.transform("chart.tasks", lambda t: F.concat(t["task"], F.lit("="), t["duration_days"].cast("string")))
+    got = c.select("chart_id", "error_code", "chart.row_count", "chart.title", bars(F.coalesce(points, tasks))).collect()
+    assert sorted(map(tuple, got)) == goldens.CHART_GOLDEN
+
+
+def test_charts_of_long_fields_and_null_keys(spark):
+    """A field over the parser's usual limit is read, a table that it cannot read is an error of its row."""
+    rows = spark.createDataFrame([(1, "Bar Chart", f"A,B\n{'x' * 200_000},1"), (2, "Bar Chart", "A,B\nx,\x001"), (3, "Bar Chart", "A,B\nx,1\ry,2")], "id long, chart_type string, data_text string").selectExpr("*", "'' AS title", "'' AS x_label", "'' AS y_label")
+    got = {r.id: r for r in charts.chart_data(rows).collect()}
+    assert len(got[1].chart.points[0].category) == 200_000 and all(got[i].error_code or got[i].chart for i in (2, 3))
+    shares = charts.pie_shares(spark.createDataFrame([(None, "a", 1.0), (None, "b", 3.0), (1, "c", 2.0)], "chart long, category string, value double"), "chart", "category", "value")
+    assert sorted((r.category, r.share) for r in shares.collect()) == [("a", 0.25), ("b", 0.75), ("c", 1.0)]
+
+
+def test_merged_cells_and_one_pass_over_files(spark):
+    body = '<w:p><w:r><w:t>one</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {word.MAIN}><w:body>{body}</w:body></w:document>")
+    df = files.documents_of(spark.createDataFrame([("a.docx", out.getvalue()), ("b.txt", b"x")], "path string, content binary"))
+    assert {r.path: r.text for r in df.collect()} == {"a.docx": "one\nwide | wide | c", "b.txt": "x"}
+    assert "Union" not in df._jdf.queryExecution().toString()
+
+
+def read_back(report):
+    return files.word_text(report).split("\n")
+
+
+def test_word_reports_say_what_the_results_say(spark):
+    """Every heading, bullet, number and table row of the reports, read back."""
+    o = one(spark, (OUTLINE,), "text string", outline.draft_outline, "outline").asDict(True)
+    lines = read_back(word.outline_report(o, "mail"))
+    assert lines[:3] == ["Business Requirements Document", "Source: mail", "Preliminary; human review is required."]
+    for i, key in enumerate(("stakeholders", "service_recipients", "functional_requirements", "non_functional_requirements", "business_rules", "process_steps", "required_data_and_documents", "integration_requirements", "missing_information", "human_review_notes"), 2):
+        at = lines.index(f"{i}. {key.replace('_', ' ').title()}")
+        mark = (lambda n: f"{n + 1}. ") if key == "process_steps" else (lambda n: "• ")
+        assert lines[at + 1 : at + 1 + len(o[key])] == [mark(n) + v for n, v in enumerate(o[key])]
+    assert f"Service purpose | {o['service_overview']['service_purpose']}" in lines
+    r = one(spark, (REVIEW,), "text string", review.review_documents, "review").asDict(True)
+    lines = read_back(word.review_report(r, "x"))
+    assert "Completeness | 44%" in lines and "Section | Status | Evidence" in lines and "Stakeholders | Detected | stakeholder, applicant, employee" in lines
+    assert all(f"• {x}" in lines for key in ("missing_sections", "wording_issues", "recommendations") for x in r[key])
+    c = compare.compare_documents(spark.createDataFrame([(A, B, "BRD", "SRS")], "a_text string, b_text string, a_name string, b_name string")).first().comparison.asDict(True)
+    lines = read_back(word.comparison_report(c))
+    assert {"Document A | BRD", "Coverage | 67%", "Conflict 1 | 85%", "Partial match 1 | 68%", f"reason | {compare.CONFLICT}", f"A | {c['possible_conflicts'][0]['document_a_item']}"} <= set(lines)
+    assert lines[lines.index("Matched items") + 1] == "None detected" and f"• {c['additional_in_document_b'][0]}" in lines
+
+
+def test_pasted_texts(spark):
+    assert [tuple(r) for r in files.pasted(spark, [(None, "a"), ("b", "c")]).collect()] == [("Manually entered text", "a"), ("b", "c")]
+
+
+def test_required_keys(spark):
+    """The keys that results must have are there."""
+    o = one(spark, (OUTLINE,), "text string", outline.draft_outline, "outline")
+    assert {"service_overview", "stakeholders", "business_rules", "process_steps", "human_review_notes"} <= set(o.asDict())

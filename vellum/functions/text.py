@@ -41,8 +41,11 @@ def word_count(collapsed: Column) -> Column:
 
 
 def distinct_ci(values: Column) -> Column:
-    """The first of those that are equal but for case, in order."""
-    return let(F.transform(values, F.lower), lambda low: F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))
+    """The first of those that are equal but for case, in order: by sorting, and only where some are equal."""
+    keyed = lambda vs: F.sort_array(F.transform(vs, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    firsts = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"]))
+    ordered = lambda s: F.transform(F.sort_array(F.transform(firsts(s), lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
+    return let(values, lambda vs: F.when(F.size(F.array_distinct(F.transform(vs, F.lower))) == F.size(vs), vs).otherwise(let(keyed(vs), ordered)))
 
 
 def sentences(text: Column) -> Column:
@@ -62,6 +65,21 @@ def mail_sentences(body: Column, least: int = 3) -> Column:
     return let(F.filter(parts, lambda p: word_count(p) >= least), distinct_ci)
 
 
+def has_all(values: Column, required: Iterable[str]) -> Column:
+    """Whether all of the required values are there."""
+    return F.size(F.array_except(words_array(required), values)) == 0
+
+
+def numbered(values: Column) -> Column:
+    """The values with their numbers from 1 on."""
+    return F.transform(values, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+
+
+def count_but(values: Column, sentinel: str) -> Column:
+    """How many values there are that are not the sentinel."""
+    return F.size(F.filter(values, lambda x: x != F.lit(sentinel)))
+
+
 def tokens(text: Column, stop: Iterable[str] = lex.QUESTION_STOP_WORDS) -> Column:
     """Lower-case Latin or Arabic runs of two characters or more that are no stop words, repeats kept."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[A-Za-z0-9]+|[\u0600-\u06FF]+"), F.lit(0))
@@ -69,11 +87,18 @@ def tokens(text: Column, stop: Iterable[str] = lex.QUESTION_STOP_WORDS) -> Colum
     return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(listed, t))
 
 
-def passages(text: Column, least: int = 3) -> Column:
-    """Passages of a source: cut at blank lines, sentence ends and bullets, not at a single line break; three tokens or more."""
+def passages_with_tokens(text: Column, least: int = 3) -> Column:
+    """Passages of a source with their tokens, each read once: cut at blank lines, sentence ends and bullets, not at a
+    single line break; three tokens or more; distinct but for case."""
     cut = rf"(?md)\n{{2,}}|(?<=[.!?؟]){WS}+|^{WS}*[-•]{WS}+"
     parts = F.transform(F.split(unix_lines(text), cut, -1), lambda p: F.btrim(collapse(p), F.lit(" -•")))
-    return let(F.filter(parts, lambda p: F.size(tokens(p)) >= least), distinct_ci)
+    read = F.filter(F.transform(parts, lambda p: F.struct(p.alias("passage"), tokens(p).alias("tokens"))), lambda x: F.size(x["tokens"]) >= least)
+    return let(read, lambda r: let(distinct_ci(F.transform(r, lambda x: x["passage"])), lambda d: F.when(F.size(d) == F.size(r), r).otherwise(F.transform(d, lambda p: F.struct(p.alias("passage"), tokens(p).alias("tokens"))))))
+
+
+def passages(text: Column, least: int = 3) -> Column:
+    """The passages of a source alone."""
+    return F.transform(passages_with_tokens(text, least), lambda x: x["passage"])
 
 
 def keywords(text: Column, stop: Iterable[str] = lex.COMPARISON_STOP_WORDS) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import lexicons as lex, text as T
 
+# Header names, sign-offs, sentinels.
 HEADER_LINE = r"(?i)^(from|to|cc|bcc|subject|date|sent)" + T.WS + "*:"
+NO_ACTION, NO_DEADLINE, NO_DECISION = "No clear action item detected.", "No clear deadline detected.", "No clear decision detected."
 SIGN_OFF = r"(?i)^(regards|best regards|kind regards|thanks|thank you)[,!]?$"
 NOTES = ["Review the original mail before acting.", "No mail account is connected."]
 
@@ -46,7 +48,13 @@ def summarize_mails(mails: DataFrame, text: str = "text", actions=lex.ACTIONS, d
     summary = F.struct(
         *(F.coalesce(T.header(F.col("__n"), label), unsure).alias(name) for label, name in (("From", "sender"), ("To", "recipient"), ("Subject", "subject"))),
         priority_of(F.lower(F.array_join("__n", "\n")), high, medium).alias("priority"), summary_of(F.col("__s"), (*actions, *decisions, *topics)).alias("summary_bullets"),
-        T.or_else(first_items(T.mentioning(F.col("__s"), actions)), "No clear action item detected.").alias("action_items"), T.or_else(deadlines_of(F.col("__s")), "No clear deadline detected.").alias("deadlines"),
-        T.or_else(first_items(T.mentioning(F.col("__s"), decisions)), "No clear decision detected.").alias("decisions"), F.lit("Rule-based").alias("summary_mode"), T.words_array(NOTES).alias("human_review_notes"))
+        T.or_else(first_items(T.mentioning(F.col("__s"), actions)), NO_ACTION).alias("action_items"), T.or_else(deadlines_of(F.col("__s")), NO_DEADLINE).alias("deadlines"),
+        T.or_else(first_items(T.mentioning(F.col("__s"), decisions)), NO_DECISION).alias("decisions"), F.lit("Rule-based").alias("summary_mode"), T.words_array(NOTES).alias("human_review_notes"))
     code, message = T.first_error((F.size("__n") == 0, "EMPTY_EMAIL", "Email text is required before creating a summary."))
     return staged.withColumn("error_code", code).withColumn("error_message", message).withColumn("summary", F.when(code.isNull(), summary)).drop("__n", "__b", "__s")
+
+
+def metrics(summary: str = "summary") -> dict[str, Column]:
+    """Counts to show beside a summary: of the deadlines only those found, of the others all entries."""
+    of = lambda f: F.col(f"{summary}.{f}")
+    return {"summary_bullets": F.size(of("summary_bullets")), "action_items": F.size(of("action_items")), "deadlines": T.count_but(of("deadlines"), NO_DEADLINE)}

@@ -22,5 +22,11 @@ def run_gate(rows: DataFrame, confirmed: bool, document: str = "text", question:
     return check_limits(rows, document, question).where(F.lit(confirmed) & ~F.col("input_too_long")).drop("input_too_long")
 
 
-def preview(text: Column, limit: int = 1500) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+#: Characters of the previews of results, of two compared texts, of sources; what follows a cut one.
+PREVIEW, PAIR_PREVIEW, SOURCE_PREVIEW = 1500, 2000, 3000
+SHORTENED = "\n\n[Preview shortened. The full text remains available.]"
+
+
+def preview(text: Column, limit: int = PREVIEW, after: str = "...") -> Column:
+    """At most ``limit`` characters, and a mark after a text that is cut."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(after))).otherwise(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import lexicons as lex, text as T
 
+PROMPT_TASK = "Draft a business requirements document from the source below. Use only what it says; write 'Requires confirmation' where it says nothing."
 OPEN_POINTS = [f"{x} requires confirmation." for x in ("Responsible government entity", "Processing time", "Approval authority", "Integration method")] + ["Non-functional requirements require confirmation."]
 NOTES = ["The outline is drafted by rules.", "A Business Analyst must review and approve it."]
 
@@ -36,6 +37,5 @@ def draft_outline(docs: DataFrame, text: str = "text", functional=lex.FUNCTIONAL
 
 def outline_prompt(text: Column) -> Column:
     """A prompt that asks for an outline of the text; null for an empty one."""
-    task = "Draft a business requirements document from the source below. Use only what it says; write 'Requires confirmation' where it says nothing."
     body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{T.WS}+|{T.WS}+$", "")
-    return F.when(body != "", F.concat(F.lit(task + "\n\n--- SOURCE START ---\n"), body, F.lit("\n--- SOURCE END ---")))
+    return F.when(body != "", F.concat(F.lit(PROMPT_TASK + "\n\n--- SOURCE START ---\n"), body, F.lit("\n--- SOURCE END ---")))

@@ -1,32 +1,14 @@
-"""Registry of the library's queries and of their equivalents in SQL."""
+"""Queries over the driver's tables and over small fixtures for the default lexicons."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, limits, outline, qa, review
 from vellum.plans import fixtures as fx, oracle as S
+from vellum.plans.registry import ORACLE_SQL, QUERIES, query
 from vellum.sinks import reports
-from vellum.sources import files
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its equivalent in SQL if it has one."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,27 +165,24 @@ def review_fixtures(spark, sf_dir):
 # outline
 
 
-def _labels(name: str, labels: dict[str, str]) -> None:
-    @query(f"SELECT doc_id, {S.labels(S.norm('text'), labels)} AS labels FROM documents")
+def _labels(name: str, field: str, labels: dict[str, str]) -> None:
+    @query(f"SELECT doc_id, CASE WHEN {S.norm('text')} <> '' THEN coalesce(nullif({S.labels(S.norm('text'), labels)}, ''), {S.lit(lex.UNCONFIRMED)}) END AS labels FROM documents", name)
     def run(spark, sf_dir):
-        return documents(spark, sf_dir).select("doc_id", joined(T.labels_of(F.lower(T.collapse(F.col("text"))), labels)).alias("labels"))
+        rows = outline.draft_outline(documents(spark, sf_dir), stakeholders=fx.DATA_LABELS, recipients=fx.DATA_RECIPIENTS, required=fx.DATA_REQUIRED)
+        return rows.select("doc_id", joined(F.col(f"outline.{field}")).alias("labels"))
 
-    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
 
-
-_labels("brd_stakeholders", fx.DATA_LABELS)
-_labels("brd_recipients", dict(list(fx.DATA_LABELS.items())[::-1]))
-_labels("brd_required_info", {"|": "Table", "password": "Credential", "token": "Credential token", "@": "Address"})
+_labels("brd_stakeholders", "stakeholders", fx.DATA_LABELS)
+_labels("brd_recipients", "service_recipients", fx.DATA_RECIPIENTS)
+_labels("brd_required_info", "required_data_and_documents", fx.DATA_REQUIRED)
 
 
 def _mentioned(name: str, words: list[str]) -> None:
-    @query(f"SELECT doc_id, length(m) AS n, length(list_distinct(m)) AS n_distinct, sum_len AS n_chars FROM (SELECT doc_id, m, coalesce(list_sum(list_transform(list_distinct(m), lambda x: length(x))), 0)::BIGINT AS sum_len FROM (SELECT doc_id, list_filter({S.sentences('text')}, lambda s: {S.any_of('lower(s)', words)}) AS m FROM documents))")
+    @query(f"SELECT doc_id, length(m) AS n, length(list_distinct(m)) AS n_distinct, sum_len AS n_chars FROM (SELECT doc_id, m, coalesce(list_sum(list_transform(list_distinct(m), lambda x: length(x))), 0)::BIGINT AS sum_len FROM (SELECT doc_id, list_filter({S.sentences('text')}, lambda s: {S.any_of('lower(s)', words)}) AS m FROM documents))", name)
     def run(spark, sf_dir):
         rows = documents(spark, sf_dir).select("doc_id", T.mentioning(T.sentences(F.col("text")), words).alias("m")).withColumn("d", F.array_distinct("m"))
         return rows.select("doc_id", long(F.size("m")).alias("n"), long(F.size("d")).alias("n_distinct"), F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
-    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
-
 
 _mentioned("brd_functional", fx.DATA_WORDS)
 _mentioned("brd_rules", fx.DATA_TERMS)
@@ -247,13 +226,11 @@ def email_priority(spark, sf_dir):
 
 
 def _mail_items(name: str, words: list[str]) -> None:
-    @query(f"WITH m AS ({S.mail_sentences('SELECT doc_id, text FROM documents')}) {S.first_items('m', words)}")
+    @query(f"WITH m AS ({S.mail_sentences('SELECT doc_id, text FROM documents')}) {S.first_items('m', words)}", name)
     def run(spark, sf_dir):
         s = T.mail_sentences(email.body_of(T.lines(F.col("text"))))
         return mails(spark, sf_dir).select("doc_id", email.first_items(T.mentioning(s, words)).alias("i")).select("doc_id", long(F.size("i")).alias("n"), F.md5(joined("i")).alias("items_md5"))
 
-    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
-
 
 _mail_items("email_actions", fx.DATA_WORDS)
 _mail_items("email_decisions", fx.DATA_TERMS)
@@ -271,13 +248,6 @@ def email_deadlines(spark, sf_dir):
     return rows.select("case_id", F.size(email.deadlines_of(F.array("sentence"))).cast("boolean").alias("is_deadline"))
 
 
-@query(S.rows("mail_id, error_code, sender, recipient, subject, priority, summary, actions, deadlines, decisions", S.MAIL_GOLDEN))
-def email_fixtures(spark, sf_dir):
-    s = email.summarize_mails(fx.frame(spark, fx.MAILS, "mail_id long, text string"))
-    f = lambda c, n: joined(F.col(f"summary.{c}")).alias(n)
-    return s.select("mail_id", "error_code", "summary.sender", "summary.recipient", "summary.subject", "summary.priority", f("summary_bullets", "summary"), f("action_items", "actions"), f("deadlines", "deadlines"), f("decisions", "decisions"))
-
-
 @query(S.mail_report("SELECT doc_id, source, lang, text FROM documents"))
 def email_text_report(spark, sf_dir):
     s = email.summarize_mails(mails(spark, sf_dir), actions=fx.DATA_WORDS, decisions=fx.DATA_TERMS, topics=[], high=fx.DATA_PHRASES[2:4], medium=fx.DATA_TERMS)
@@ -312,19 +282,6 @@ def qa_top3(spark, sf_dir):
     return qa.top_passages(overlaps(spark, sf_dir)).select("q_id", "s_id", long("pos").alias("pos"), long("terms").alias("terms"), "shared", long("rank").alias("rank"))
 
 
-@query(S.rows("qa_id, error_code, answer_status, confidence, score_percent, n_supporting, shared", S.QA_GOLDEN))
-def qa_answers(spark, sf_dir):
-    a = qa.answer_questions(fx.frame(spark, fx.QUESTIONS, "qa_id long, source_text string, question string"))
-    top = F.try_element_at("answer.supporting_passages", F.lit(1))
-    return a.select("qa_id", "error_code", F.col("answer.answer_status").alias("answer_status"), F.col("answer.confidence_indicator").alias("confidence"), long(F.rint(top["relevance_score"] * 100)).alias("score_percent"), long(F.size("answer.supporting_passages")).alias("n_supporting"), joined(top["shared_terms"]).alias("shared"))
-
-
-@query(S.rows("qa_id, report", S.QA_REPORT_GOLDEN))
-def qa_text_report(spark, sf_dir):
-    a = qa.answer_questions(fx.frame(spark, fx.QUESTIONS, "qa_id long, source_text string, question string"))
-    return a.where("error_code is null").select("qa_id", reports.answer_report().alias("r")).select("qa_id", F.array_join(F.slice(F.split("r", "\n"), 3, 10), "\n").alias("report"))
-
-
 # comparison
 
 
@@ -362,13 +319,6 @@ def compare_additional(spark, sf_dir):
     return rows.select("conv_id", "turn", F.explode_outer("comparison.additional_in_document_b").alias("item")).where("item is not null")
 
 
-@query(S.rows("pair_id, error_code, classes, coverage, additional", S.PAIR_GOLDEN))
-def compare_classes(spark, sf_dir):
-    rows = compare.compare_documents(fx.frame(spark, fx.PAIRS, "pair_id long, a_text string, b_text string").withColumn("a_name", F.lit("A")).withColumn("b_name", F.lit("B")))
-    classes = F.when(F.col("error_code").isNull(), joined(F.transform("matches", lambda m: m["class"])))
-    return rows.select("pair_id", "error_code", classes.alias("classes"), long("comparison.coverage_indicator").alias("coverage"), long("comparison.summary.additional_count").alias("additional"))
-
-
 # charts
 
 
@@ -383,26 +333,9 @@ def pie_share(spark, sf_dir):
     return charts.pie_shares(n, "status", "priority", "n")
 
 
-@query(S.rows("chart_id, error_code, n_rows, title, data", S.CHART_GOLDEN))
-def chart_validation_errors(spark, sf_dir):
-    rows = fx.frame(spark, fx.CHARTS, "chart_id long, chart_type string, data_text string, title string").withColumn("x_label", F.lit("")).withColumn("y_label", F.lit(""))
-    c = charts.chart_data(rows)
-    points = F.transform("chart.points", lambda p: F.concat(p["category"], F.lit("="), p["value"].cast("long").cast("string")))
-    tasks = F.transform("chart.tasks", lambda t: F.concat(t["task"], F.lit("="), t["duration_days"].cast("string")))
-    return c.select("chart_id", "error_code", long("chart.row_count").alias("n_rows"), F.col("chart.title").alias("title"), joined(F.coalesce(points, tasks)).alias("data"))
-
-
 @query("""SELECT o_custkey, o_orderkey, s::DATE AS start, e::DATE AS "end", date_diff('day', s::DATE, e::DATE) + 1 AS duration_days, row_number() OVER (PARTITION BY o_custkey ORDER BY s::DATE, o_orderkey) AS place
     FROM (SELECT o_custkey, o_orderkey, o_orderdate AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)""")
 def gantt_tasks(spark, sf_dir):
     last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("e"))
     tasks = table(spark, sf_dir, "orders").join(last, "o_orderkey").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("start"), F.to_date("e").alias("end"))
     return charts.gantt_rows(tasks, "o_custkey", "o_orderkey", "start", "end").select("o_custkey", "o_orderkey", "start", "end", long("duration_days").alias("duration_days"), long("place").alias("place"))
-
-
-# sources
-
-
-@query(S.rows("path, name, text, error_code", [("a/one.txt", "one.txt", "plain text é", None), ("a/two.TXT", "two.TXT", "café", None), ("b/none.txt", "none.txt", None, "NO_TEXT"), ("b/x.csv", "x.csv", None, "BAD_FILE"), ("b/bad.docx", "bad.docx", None, "BAD_FILE")]))
-def source_files(spark, sf_dir):
-    return files.documents_of(fx.frame(spark, fx.FILES, "path string, content binary")).select("path", "name", "text", "error_code")

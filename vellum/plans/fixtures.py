@@ -40,6 +40,10 @@ FILES = [("a/one.txt", "plain text é".encode()), ("a/two.TXT", b"caf\xe9"), ("b
 
 #: Fragments that occur in the driver's documents.
 DATA_SECTIONS = {"Endings": ["tion ", "ment ", "keit", "ble "], "Articles": [" the ", " le ", " der ", " el "], "Junk": ["###", "|", "$$$"], "Licences": ["licensed under", "copyright"], "Contact": ["@", "http", "phone"], "Absent": ["zzqx"]}
+DATA_SRS_SECTIONS = {"Openings": ["the ", "der ", "les "], "Closings": ["tion.", "ment.", "heit."], "Marks": ["?", "!"], "Absent": ["zzqx"]}
+DATA_REQUIRED = {"|": "Table", "password": "Credential", "token": "Credential token", "@": "Address"}
+DATA_RECIPIENTS = {"copyright": "Owner", "ment": "Ending", " le ": "French", "@": "Address"}
+DATA_HINTS = {"articles": ["hein", "der", "des"], "endings": ["onnd", "onhe", "tion"], "pieces": ["para", "ci"]}
 DATA_LABELS = {"licensed": "Licence", " the ": "English", " der ": "German", "tion": "Ending", "###": "Junk", "zzqx": "None"}
 DATA_WORDS = ["erin", "the ", "tion", "euxeux"]
 DATA_PHRASES = ["and the", "of the", "###", "de la", "zzqx"]

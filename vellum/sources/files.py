@@ -37,7 +37,10 @@ def word_text(content: bytes) -> str:
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(W + "body")
     parts = [t for p in body.findall(W + "p") if (t := _paragraph(p).strip())]
     for row in (r for table in body.findall(W + "tbl") for r in table.findall(W + "tr")):
-        cells = ["\n".join(_paragraph(p) for p in c.findall(W + "p")).strip() for c in row.findall(W + "tc")]
+        cells = []
+        for c in row.findall(W + "tc"):  # a cell over several columns counts for each of them
+            span = c.find(f"{W}tcPr/{W}gridSpan")
+            cells += ["\n".join(_paragraph(p) for p in c.findall(W + "p")).strip()] * (int(span.get(W + "val", "1")) if span is not None else 1)
         if any(cells):
             parts.append(" | ".join(c for c in cells if c))
     return "\n".join(parts)
@@ -63,6 +66,9 @@ def pdf_text(content: bytes) -> str:
 def _binary_text(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for p, c in zip(path, content, strict=True):
+        if c is None:
+            rows.append((None, None))
+            continue
         try:
             rows.append(((word_text if p.lower().endswith(".docx") else pdf_text)(c), None))
         except Exception as e:  # noqa: BLE001  one bad file must not end a corpus job
@@ -79,10 +85,10 @@ def documents_of(files: DataFrame) -> DataFrame:
     """The same for rows of (path, content)."""
     low = F.lower("path")
     is_text, is_binary = low.endswith(".txt"), low.endswith(".docx") | low.endswith(".pdf")
-    plain = files.where(is_text).select("path", decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error_message"))
-    binary = files.where(is_binary).select("path", _binary_text("path", "content").alias("r")).select("path", "r.text", "r.error_message")
-    other = files.where(~(is_text | is_binary)).select("path", F.lit(None).cast("string").alias("text"), F.lit("Unsupported file type: TXT, DOCX or PDF is needed.").alias("error_message"))
-    rows = plain.unionByName(binary).unionByName(other).withColumn("text", F.regexp_replace("text", rf"^{WS}+|{WS}+$", ""))
+    read = _binary_text("path", F.when(is_binary, F.col("content")))  # one pass over the files; only these bytes go to Python
+    text = F.when(is_text, decoded(F.col("content"))).otherwise(F.col("r.text"))
+    wrong = F.when(~(is_text | is_binary), "Unsupported file type: TXT, DOCX or PDF is needed.").when(~is_text, F.col("r.error_message"))
+    rows = files.withColumn("r", read).select("path", F.regexp_replace(text, rf"^{WS}+|{WS}+$", "").alias("text"), wrong.alias("error_message"))
     code = F.when(F.col("error_message").isNotNull(), "BAD_FILE").when(F.col("text") == "", "NO_TEXT")
     message = F.coalesce("error_message", F.when(F.col("text") == "", "No readable text was found: the file may be empty or hold scanned images."))
     return rows.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.when(code.isNull(), F.col("text")).alias("text"), code.alias("error_code"), message.alias("error_message"))
@@ -94,6 +100,15 @@ def chart_texts_of(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(ok, F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")).alias("data_text"), F.when(~ok, "BAD_FILE").alias("error_code"))
 
 
+#: Fixed value: the name of a text that has none.
+PASTED = "Manually entered text"
+
+
+def named(texts: DataFrame, name: str = "name", instead: str = PASTED) -> DataFrame:
+    """The texts with a name each."""
+    return texts.withColumn(name, F.coalesce(F.col(name), F.lit(instead)))
+
+
 def pasted(spark: SparkSession, texts: list[tuple[str | None, str]]) -> DataFrame:
     """(name, text) of texts given by hand."""
-    return spark.createDataFrame(texts, "name string, text string").withColumn("name", F.coalesce("name", F.lit("Manually entered text")))
+    return named(spark.createDataFrame(texts, "name string, text string"))
