@@ -29,7 +29,7 @@ from vellum.llm.common import U64, Words, as_row, from_row, grams, lean, materia
 WINDOW, RUN, LONGER = 20, 8, 4
 #: Slots of a partition, which are read one after the other, and how many times more each time that parts are split;
 #: words that a part may hold before it is split. Parts of less than half of that are built together.
-SLOTS, FINER, MOST_WORDS = 8, 16, 3_000_000
+SLOTS, FINER, MOST_WORDS = 4, 16, 3_000_000
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: kind 0: entries of parts, 1: codes that go to their documents, 2: segments of a part that is split.
 _ROWS = "bucket int, kind int, slot int, body binary"
