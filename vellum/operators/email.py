@@ -36,7 +36,7 @@ def deadlines_of(sentences: Column, patterns=lex.DEADLINES) -> Column:
 def summary_of(sentences: Column, topics=(*lex.ACTIONS, *lex.DECISIONS, *lex.TOPICS)) -> Column:
     """Up to four important sentences; if these are fewer than three, others fill up in order."""
     short = F.transform(sentences, lambda x: T.shorten(x))
-    lead = F.slice(F.transform(T.mentioning(sentences, topics), lambda x: T.shorten(x)), 1, lex.SUMMARY_ITEMS)
+    lead = F.transform(F.slice(T.mentioning(sentences, topics), 1, lex.SUMMARY_ITEMS), lambda x: T.shorten(x))
     filled = T.let(lead, lambda p: F.when(F.size(p) < 3, F.slice(F.concat(p, F.array_except(short, p)), 1, lex.SUMMARY_ITEMS)).otherwise(p))
     return T.or_else(filled, lex.UNCONFIRMED)
 

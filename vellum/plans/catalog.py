@@ -9,23 +9,20 @@ from vellum.operators import charts, compare, email, limits, outline, qa, review
 from vellum.plans import fixtures as fx, oracle as S
 from vellum.plans.registry import ORACLE_SQL, QUERIES, query
 from vellum.sinks import reports
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from vellum.sources.tables import read_table as table, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select("doc_id", F.concat(F.lit("From: "), "source", F.lit("\nTo: "), "lang", F.lit("\nSubject: note "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("text"))
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("b_text"))
     return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a_text")).join(after, "pair_id").withColumn("a_name", F.lit("A")).withColumn("b_name", F.lit("B"))
 
