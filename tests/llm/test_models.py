@@ -65,6 +65,68 @@ def test_no_cap_on_features(spark):
     assert len(index.hashes) == len(np.unique(feature)) > 1400 and set(index.hashes.tolist()) == set(feature.tolist())
 
 
+def plain_features(text):
+    """Counts of the features of a text, by name: bare words, starts in bytes, and how often each is reached."""
+    tf = {}
+    for w in brute.words(text):
+        bare = brute.lower(w).encode()
+        for _ in range(3):
+            if len(bare) > 1 and bare[-1:] in b".,;:!?\"')":
+                bare = bare[:-1]
+        for f in [("word", bare), *((n, bare[:n]) for n in toxicity.STARTS if len(bare) >= n)]:
+            tf[f] = tf.get(f, 0) + 1
+    return tf | {("more", n, f): 1 for f, c in tf.items() for n in toxicity.LEVELS if c >= n}
+
+
+def test_nearest_of_raw_texts(spark):
+    """Choice of features, weights, cosines and votes of whole texts, against a plain search over all examples."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(260):
+        words = [f"w{x}" for x in rng.zipf(1.3, 30) % 400] + [str(rng.choice(["idiot!", "fools", "fool,", "clown"])) for _ in range(int(rng.integers(1, 4)) if i % 3 == 0 else int(rng.random() < 0.1))]
+        rows.append((i, " ".join(rng.permutation(words))))
+    rows += [(900, None), (901, ""), (902, "idiot! " * 40_000), (903, "idiot fools"), (903, "idiot fools")]
+    labels = {i: int(i % 3 == 0) for i in range(200)}
+    got = toxicity.score_toxicity(brute.frame(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    tf = {i: plain_features(t) for i, t in rows}
+    own = [i for i in labels if brute.crc(i) % 5]
+    n1 = sum(labels[i] for i in own)
+    n0, chosen = len(own) - n1, {}
+    for f in {f for i in own for f in tf[i]}:
+        a, b = (sum(f in tf[i] for i in own if labels[i] == y) for y in (1, 0))
+        chi2 = len(own) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * max(len(own) - a - b, 0.5))
+        if a + b >= toxicity.LEAST_DOCUMENTS and chi2 >= toxicity.LEAST_CHI2:
+            chosen[f] = np.log((1 + len(rows)) / (1 + sum(f in plain_features(t) for _, t in rows))) + 1
+    assert len(chosen) > 5
+
+    def unit(i):
+        v = {f: (1 + np.log(c)) * chosen[f] for f, c in tf[i].items() if f in chosen}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {f: x / size for f, x in v.items()}
+
+    vectors = {i: unit(i) for i in tf}
+    for r in got:
+        v = vectors[r.doc_id]
+        cosine = sorted((-sum(x * vectors[e].get(f, 0) for f, x in v.items()), e) for e in own)[:15]
+        assert abs(r.nearest_cosine + min(0, cosine[0][0])) < 1e-9
+        if v:
+            assert np.allclose([-sum(x * vectors[e].get(f, 0) for f, x in v.items()) for e in r.evidence], [c for c, _ in cosine[:3]], atol=1e-9)
+    by = {r.doc_id: r for r in got}
+    assert by[900].score == by[901].score and by[902].predicted == 1 and len(got) == len(rows)
+    assert len({r.score for r in got if r.doc_id == 903}) == 1
+
+
+def test_scratch_tables_go(spark):
+    from vellum.llm import common
+
+    with common.scratch(spark):
+        a, b = common.materialize(spark.range(3), "gone"), common.materialize(spark.range(3), "stays", lasting=True)
+        assert a.count() == 3
+    assert b.count() == 3
+    with pytest.raises(Exception):
+        a.count()
+
+
 def test_feature_counts():
     text, feature = toxicity.features(pa.array(["Fool! fool, foolish fool", "", None, "ab"], pa.string()))
     assert set(text.tolist()) == {0, 3}
@@ -137,6 +199,21 @@ def test_the_pool_on_executors_equals_one_in_memory(spark, monkeypatch):
     assert sorted(map(tuple, pools[0].given.tolist())) == sorted((r.given_0, r.given_1) for r in pools[1].table.collect())
 
 
+def test_quality_of_odd_rows(spark):
+    """Null and empty texts, null ids, missing metadata, repeated rows and very long texts are scored; equal rows alike."""
+    good, bad = "Plain words tell a small story, and each one differs from the last. ", "spam spam spam | spam | "
+    rows = [(i, (good if i % 2 else bad) * (1 + i % 5)) for i in range(300)] + [(None, good), (700, None), (700, None), (701, ""), (702, good * 20_000), (703, bad * 20_000)]
+    docs = brute.frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (250, None)], "doc_id long, quality int")
+    for table in (docs, docs.drop("lang", "source"), docs.withColumn("n_chars", F.when(F.col("doc_id") % 3 > 0, F.length("text")))):
+        got = quality.score_quality(table, labels).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in got)
+        by = {r.doc_id: r for r in got}
+        assert by[702].kept and not by[703].kept and len({r.score for r in got if r.doc_id == 700}) == 1 and by[None].held_out == (0 % 5 == 0)
+        assert np.mean([by[i].kept == bool(i % 2) for i in range(200, 300)]) == 1.0
+        assert sorted(map(str, quality.keep_good(table, labels).select("doc_id").collect())) == sorted(f"Row(doc_id={r.doc_id})" for r in got if r.kept)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(None, 0), (None, 1)]])
 def test_without_labels(spark, labels):
     docs = brute.frame(spark, [(1, "a b"), (2, None)])

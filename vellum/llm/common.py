@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,15 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SLICE_BYTES = 4 << 20
 #: Bytes of a batch that Spark sends to Python.
 BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only where they are one process, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="vellum-checkpoint-")
         sc.setCheckpointDir(named)
     return named
@@ -42,15 +46,33 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end, but for lasting ones: for work whose result needs them no more."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str = "t", lasting: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it once as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation. The table goes when the driver ends."""
+    A lost executor then costs a re-read, not a recomputation. The table goes when the driver ends, or with the
+    ``scratch`` around it if it is not ``lasting``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -100,8 +122,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts by bytes, not by rows alone: a task holds a few of them at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches of whole texts by bytes, not by rows alone, as a task holds a few of them at once: the session's
+    limit is lowered, unless it is lower already. It has to last, as the batches are made when a result is read."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_LIMIT) or "")
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
 def as_row(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, as_row, grams, lean, materialize, mix, partitions, slices, texts as plain_texts
+from vellum.llm.common import U64, Words, as_row, grams, lean, materialize, mix, partitions, scratch, slices, texts as plain_texts
 
 #: Words of a shingle; least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -319,10 +319,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, parts): key, kh, doc_id, n_shingles and node of every document; node and component of the nodes that have links."""
+    with scratch(docs.sparkSession):
+        return _near_components(docs, percent)
+
+
+def _near_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     n = partitions(spark)
     texts = plain_texts(docs)
-    described = materialize(_named(docs).mapInArrow(lean(_describe), SETS), "sets")
+    described = materialize(_named(docs).mapInArrow(lean(_describe), SETS), "sets", lasting=True)
     sets = described.where("part is null").drop("part", "counts")
     shared = spark.sparkContext.broadcast(frequency_tiers(described))
     lists = texts.select("text").mapInArrow(lean(_incidence(shared, percent, n)), ENTRY).repartitionById(n, "bucket").mapInArrow(lean(_lists), "column long, node long, size long, place long")
@@ -357,7 +362,7 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
     more = components(joined).select(F.col("node").alias("part"), F.col("part").alias("new"))
     old = parts.join(more, "part", "left").select("node", F.coalesce("new", "part").alias("part"))
-    return materialize(old.unionByName(more.select(F.col("part").alias("node"), F.col("new").alias("part")).join(parts, "node", "left_anti")), "parts")
+    return materialize(old.unionByName(more.select(F.col("part").alias("node"), F.col("new").alias("part")).join(parts, "node", "left_anti")), "parts", lasting=True)
 
 
 def _key() -> Column:

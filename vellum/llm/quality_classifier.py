@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, Words, bound_batches, grams, lean, materialize, mix, slices, text_bytes, unburden
+from vellum.llm.common import U64, Words, bound_batches, grams, lean, materialize, mix, scratch, slices, text_bytes, unburden
 
 #: Labelled documents of each label that fit the models, at most. Rounds; pseudo-labels of a view in a round, as a share
 #: of the unlabelled; least probability of one; weight of all of them to that of the labelled, at equal numbers.
@@ -363,8 +363,9 @@ def fit(figures: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mo
     numeric = [j for j in range(n + len(META)) if j - n not in BUCKETS]
     found = figures.agg(*(F.percentile_approx(F.col("x")[j], cuts, 2000).alias(f"q{j}") for j in numeric)).first()
     edges = [np.array(found[f"q{j}"]) if j in numeric else np.zeros(0) for j in range(n + len(META))]
-    pool = SparkPool(figures.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti"))
-    return co_train(x[:, :n], x[:, n:], label, role, weight / weight.mean(), pool, [edges[:n], edges[n:]])
+    with scratch(figures.sparkSession):
+        pool = SparkPool(figures.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti"))
+        return co_train(x[:, :n], x[:, n:], label, role, weight / weight.mean(), pool, [edges[:n], edges[n:]])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

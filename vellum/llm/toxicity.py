@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import U64, _FOLDED, _powers, Words, lean, materialize, mix, slices, texts
+from vellum.llm.common import U64, _FOLDED, _powers, Words, lean, materialize, mix, scratch, slices, texts
 
 #: Examples of each label, taken by a hash of doc_id, that fit the index; least documents and least chi-square of a feature.
 EXAMPLES_PER_LABEL, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 4, 12.0
@@ -222,6 +222,12 @@ def _remainder() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL) -> Index | None:
+    """The index; see ``_fit``. The tables that it is made of go when it is there."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, per_label)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, per_label: int) -> Index | None:
     """Fit the index on a bounded sample of labelled documents whose crc32(doc_id) mod 5 is not 0.
 
     The sample, at most ``per_label`` documents of each label, is all that grows not with the input; document
