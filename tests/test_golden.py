@@ -92,6 +92,29 @@ def test_charts(spark):
     assert [round(100 * r.share, 1) for r in shares.orderBy("category").collect()] == [45.3, 32.1, 22.6]
 
 
+def test_pictures_show_what_charts_say(spark):
+    """Titles, axes, names, values and percentages are drawn where the picture says, bars and slices in their size."""
+    rows = spark.createDataFrame([(1, "Bar Chart", BAR), (2, "Gantt Chart", GANTT), (3, "Pie Chart", BAR), (4, "Line Chart", "Jour,É\na,-2\nb,2.5")], "id long, chart_type string, data_text string").selectExpr("*", "'' AS title", "'' AS x_label", "'' AS y_label")
+    found = {r.id: r.chart.asDict(True) for r in charts.chart_data(rows).collect()}
+    texts = {1: ["Requests by Department", "Department", "Requests", "Licensing", "Payments", "Support", "0", "120"], 2: ["Project Gantt Chart", "Requirements", "2026-08-01", "Testing"], 3: ["Requests by Department", "45.3%", "32.1%", "22.6%", "Support"], 4: ["É by Jour", "É", "Jour", "-2", "2.50", "a", "b"]}
+    for i, chart in found.items():
+        canvas = png.draw(chart)
+        assert set(texts[i]) <= {x.text for x in canvas.labels}
+        for x in canvas.labels:
+            m = x.mask()
+            y0, x0 = max(0, x.y - m.shape[0] // 2), max(0, x.x - m.shape[1] // 2)
+            part = canvas.image[y0 : y0 + m.shape[0], x0 : x0 + m.shape[1]]
+            assert (part[m[: part.shape[0], : part.shape[1]]] == png.INK).mean() > 0.9, x.text
+    canvas = png.draw(found[1])
+    blue = (canvas.image == png.COLOURS[0]).all(axis=2)
+    heights = [blue[:, int(canvas.left + (canvas.right - canvas.left) * (i + 0.5) / 3)].sum() for i in range(3)]
+    assert [round(h / heights[0], 2) for h in heights] == [1.0, round(85 / 120, 2), 0.5]
+    pie = png.draw(found[3]).image
+    parts = [int((pie == png.COLOURS[i]).all(axis=2).sum()) for i in range(3)]
+    assert all(abs(n / sum(parts) - v / 265) < 0.01 for n, v in zip(parts, (120, 85, 60)))
+    assert (pie[int(pie.shape[0] * 0.3), pie.shape[1] // 2 - 20] == png.COLOURS[0]).all()
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(1, "x" * 50_000, "q"), (2, "x" * 50_001, "q"), (3, "x", "q" * 1001), (4, None, None)], "id long, text string, question string")
     assert [r.input_too_long for r in limits.check_limits(df, question="question").orderBy("id").collect()] == [False, True, True, False]
