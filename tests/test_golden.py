@@ -203,6 +203,34 @@ def test_merged_cells_and_one_pass_over_files(spark):
     assert "Union" not in df._jdf.queryExecution().toString()
 
 
+def pdf_file(pages, flate=False, unicode_map=False):
+    """A small PDF: each page a list of lines."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count %d /Kids [ %s ] /Resources << /Font << /F1 3 0 R >> >> >>" % (len(pages), b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))))}
+    objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    if unicode_map:
+        objects[3] = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"
+        cmap = b"1 beginbfchar <0001> <0639> endbfchar\n2 beginbfrange <0020> <007e> <0020>\n<0100> <0101> [<00e9> <4e2d>] endbfrange"
+        objects[4] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)
+    for i, lines in enumerate(pages):
+        shown = b" T*\n".join(b"[<" + x.hex().encode() + b">] TJ" if unicode_map else b"(" + x + b") Tj" for x in lines)
+        body = b"BT /F1 12 Tf 72 700 Td 14 TL\n" + shown + b"\nET"
+        packed = zlib.compress(body) if flate else body
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        objects[11 + 2 * i] = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" if flate else b"", packed)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+def test_pdf_pages(spark):
+    """Pages under their numbers, empty ones left out but counted; escapes, Latin letters, maps to Unicode; files that cannot be read."""
+    plain = [[b"First line", rb"a \(b\) \\ \101 \351t\351"], [], [b"Third page"]]
+    mapped = [[b"\x00\x01\x00 \x01\x00\x01\x01\x00A"]]
+    files_ = [("a.pdf", pdf_file(plain)), ("b.PDF", pdf_file(plain, flate=True)), ("c.pdf", pdf_file(mapped, unicode_map=True)), ("d.pdf", pdf_file([[]])), ("e.pdf", b"nothing"), ("f.pdf", pdf_file(plain).replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"))]
+    got = {r.path: r for r in files.documents_of(spark.createDataFrame(files_, "path string, content binary")).collect()}
+    expected = "--- Page 1 ---\nFirst line\na (b) \\ A \u00e9t\u00e9\n\n--- Page 3 ---\nThird page"
+    assert got["a.pdf"].text == got["b.PDF"].text == expected and got["c.pdf"].text == "--- Page 1 ---\n\u0639 \u00e9\u4e2dA"
+    assert [got[k].error_code for k in ("d.pdf", "e.pdf", "f.pdf")] == ["NO_TEXT", "BAD_FILE", "BAD_FILE"]
+
+
 def read_back(report):
     return files.word_text(report).split("\n")
 

@@ -1,4 +1,4 @@
-"""Readers of document files: text, Word, PDF (with an optional library) and chart tables, from any path Spark can read."""
+"""Readers of document files: text, Word, PDF and chart tables, from any path Spark can read."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vellum.functions.text import WS
+from vellum.sources.pdf import pages_of
 
 #: Fixed value: the namespace of Word's markup.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -47,10 +48,11 @@ def word_text(content: bytes) -> str:
 
 
 def pdf_text(content: bytes) -> str:
-    """Pages with text, each under its number; needs an optional library."""
-    if not (name := next((m for m in ("fitz", "pypdf") if importlib.util.find_spec(m)), None)):
-        raise RuntimeError("reading PDF needs the optional library pymupdf or pypdf")
-    if name == "fitz":
+    """Pages with text, each under its number; by an optional library where there is one, else by the small reader."""
+    name = next((m for m in ("fitz", "pypdf") if importlib.util.find_spec(m)), None)
+    if not name:
+        pages = pages_of(content)
+    elif name == "fitz":
         import fitz
 
         with fitz.open(stream=content, filetype="pdf") as pdf:
