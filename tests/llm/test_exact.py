@@ -322,6 +322,21 @@ def test_warc_query(spark):
         warc.parse_record(records[0]["record"][:-1])
 
 
+def test_warc_files(spark, tmp_path):
+    """Files of gzip members that any reader takes: every record whole, long payloads, revisits and an empty archive too."""
+    import gzip
+
+    pages = [(i, f"http://{i}", "x" * 3_000_000 if i == 3 else f"<p>{i % 4}</p>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    records = warc.read_archive(*warc.write_archive(df))
+    index = warc.write_files(records, f"file://{tmp_path}/w")
+    expected = {r.page_id: bytes(r.record) for r in records.collect()}
+    assert {r.page_id: bytes(r.record) for r in warc.read_files(spark, f"file://{tmp_path}/w", index).collect()} == expected
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").iterdir())
+    assert len(whole) == sum(map(len, expected.values())) and whole.count(b"WARC/1.1\r\n") == 20 and all(x in whole for x in expected.values())
+    assert warc.write_files(records.where("page_id < 0"), f"file://{tmp_path}/e").count() == 0
+
+
 @pytest.mark.parametrize("run", [
     lambda d: bpe.bpe_digests(d, BYTE), lambda d: packing.pack_documents(d, WORD), substring.repeat_digests, substring.remove_repeats, jaccard.jaccard_components, jaccard.keep_one_of_each,
     secrets.secret_report, secrets.redact_secrets, quality_rules.quality_rules, fingerprints.compare_with_edits, fingerprints.document_anchors, lambda d: warc.archive_round_trip(d.selectExpr("doc_id AS page_id", "lang AS url", "text AS html")),

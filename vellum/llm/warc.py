@@ -7,12 +7,17 @@ two, checks the digests and gives the records back, byte for byte.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm.common import bound_batches, lean, materialize
 
@@ -138,6 +143,57 @@ def describe_records(records: DataFrame) -> DataFrame:
     return records.mapInArrow(lean(run), RECORD)
 
 
+INDEX = "page_id long, file string, offset long, length long"
+
+
+def write_files(records: DataFrame, folder: str) -> DataFrame:
+    """Write the records of ``read_archive`` as .warc.gz files, one for each task, each record a gzip member of its own.
+
+    Returns the index: (page_id, file, offset, length) of every record. ``folder``: a URI that all executors reach by
+    pyarrow's file systems. A file gets its name when it is whole; a task that is run again writes one of another name,
+    which the index names alone, as it is written with the task's result. Records of one page_id may be several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        place, rows = 0, []
+        with store.open_output_stream(f"{at}/.{name}", compression=None) as out:
+            for b in batches:
+                for page_id, record in zip(b.column("page_id").to_pylist(), b.column("record").to_pylist(), strict=True):
+                    member = gzip.compress(record, 6, mtime=0)
+                    out.write(member)
+                    rows.append((page_id, name, place, len(member)))
+                    place += len(member)
+        if not rows:
+            store.delete_file(f"{at}/.{name}")
+            return
+        store.move(f"{at}/.{name}", f"{at}/{name}")
+        for i in range(0, len(rows), 50_000):
+            cols = zip(*rows[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+
+    return materialize(records.select("page_id", "record").mapInArrow(lean(run), INDEX), "index", lasting=True)
+
+
+def read_files(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """(page_id, record) of every record that the index names, read from the files member by member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(folder)
+        now, source = None, None
+        for b in batches:
+            records = []
+            for name, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+                if name != now:
+                    now, source = name, store.open_input_file(f"{at}/{name}")
+                records.append(zlib.decompress(source.read_at(length, offset), 31))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(records, pa.binary())], names=["page_id", "record"])
+
+    near = index.repartition("file").sortWithinPartitions("file", "offset")
+    return near.mapInArrow(lean(run), "page_id long, record binary")
+
+
 def archive_round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write every page as a WARC record, read the archive back, and describe each record from what was read.
 
