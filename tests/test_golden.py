@@ -255,6 +255,32 @@ def test_word_reports_say_what_the_results_say(spark):
     assert lines[lines.index("Matched items") + 1] == "None detected" and f"• {c['additional_in_document_b'][0]}" in lines
 
 
+def test_word_styles():
+    """Headings, bullets and steps refer to styles that the file holds, of the font and sizes that reports have."""
+    from xml.etree import ElementTree
+
+    z = zipfile.ZipFile(io.BytesIO(word.Report("T").heading("H").bullets(["b"]).bullets(["s"], numbered=True).paragraph("p").save()))
+    w = files.W
+    held = {s.get(w + "styleId"): s for s in ElementTree.fromstring(z.read("word/styles.xml")).findall(w + "style")}
+    used = [p.get(w + "val") for p in ElementTree.fromstring(z.read("word/document.xml")).iter(w + "pStyle")]
+    assert used == ["Title", "Heading1", "ListBullet", "ListNumber", "Normal"] and set(used) <= set(held)
+    assert all(s.find(f"{w}rPr/{w}rFonts").get(w + "ascii") == "Arial" for s in held.values()) and held["Normal"].find(f"{w}rPr/{w}sz").get(w + "val") == "21"
+    assert "styles.xml" in z.read("word/_rels/document.xml.rels").decode() and ElementTree.fromstring(z.read("[Content_Types].xml")) is not None
+
+
+def test_sql_access(spark, sf_dir):
+    """Functions and views by name."""
+    import difflib
+
+    from vellum.plans import access, catalog
+
+    access.register_functions(spark)
+    got = spark.sql("SELECT text_similarity('Tide', 'diet') AS a, text_similarity('diet', 'tide') AS b, text_similarity(NULL, 'x') AS c").first()
+    assert (got.a, got.b, got.c) == (difflib.SequenceMatcher(None, "tide", "diet").ratio(), difflib.SequenceMatcher(None, "diet", "tide").ratio(), None)
+    access.register_views(spark, sf_dir, "input_limits", "review_completeness")
+    assert spark.sql("SELECT count(*) AS n FROM input_limits JOIN review_completeness USING (doc_id)").first().n == catalog.QUERIES["input_limits"](spark, sf_dir).count()
+
+
 def test_pasted_texts(spark):
     assert [tuple(r) for r in files.pasted(spark, [(None, "a"), ("b", "c")]).collect()] == [("Manually entered text", "a"), ("b", "c")]
 

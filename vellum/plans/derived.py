@@ -11,7 +11,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, limits, outline, qa, review
-from vellum.plans import fixtures as fx, oracle as S
+from vellum.plans import access, fixtures as fx, oracle as S
 from vellum.plans.catalog import documents, joined, long, neighbours, table
 from vellum.plans.registry import query
 from vellum.sinks import reports, word
@@ -214,10 +214,10 @@ _ONE = f"SELECT d.s_id AS doc_id, pos, x, t, q FROM ({_P}) d JOIN (SELECT doc_id
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM ({_scored(_ONE)})"
 
 
-@query(f"""WITH r AS MATERIALIZED ({_RANKED}), b AS (SELECT doc_id, x, score, score >= 0.30 AND len(shared) >= 2 AS ok FROM r WHERE rank = 1), s AS (SELECT doc_id, '- ' || string_agg(x || ' (score: ' || printf('%.0f', round_even(score * 100, 0)) || '%)', chr(10) || '- ' ORDER BY rank) AS lines FROM r WHERE rank <= 3 AND score >= 0.16 GROUP BY doc_id)
+@query(f"""WITH r AS MATERIALIZED ({_RANKED}), b AS (SELECT doc_id, x, score, shared, score >= 0.30 AND len(shared) >= 2 AS ok FROM r WHERE rank = 1), s AS (SELECT doc_id, '- ' || string_agg(x || ' (score: ' || printf('%.0f', round_even(score * 100, 0)) || '%)', chr(10) || '- ' ORDER BY rank) AS lines FROM r WHERE rank <= 3 AND score >= 0.16 GROUP BY doc_id)
     SELECT doc_id, md5('Status: ' || CASE WHEN ok THEN 'Supported by supplied information' ELSE 'Not found in supplied information' END || chr(10) || 'Confidence indicator: ' || CASE WHEN score >= 0.65 THEN 'High' WHEN score >= 0.35 THEN 'Medium' ELSE 'Low' END || chr(10) || chr(10) || 'ANSWER' || chr(10) ||
     CASE WHEN ok THEN {S.lit(qa.PREFIX)} || x ELSE {S.lit(qa.REFUSAL)} END || chr(10) || chr(10) || 'SUPPORTING INFORMATION' || chr(10) || CASE WHEN ok THEN lines ELSE '- No sufficiently relevant passage identified.' END || chr(10) || chr(10) || 'INFORMATION REQUIRING CONFIRMATION' || chr(10)
-    || CASE WHEN ok THEN '- No specific missing information detected.' ELSE '- ' || {S.lit(qa.ASK)} END) AS report_md5, score, ok FROM b LEFT JOIN s USING (doc_id)""")
+    || CASE WHEN ok THEN '- No specific missing information detected.' ELSE '- ' || {S.lit(qa.ASK)} END) AS report_md5, score, ok, array_to_string(shared, '|') AS shared FROM b LEFT JOIN s USING (doc_id)""")
 def qa_document_answers(spark, sf_dir):
     """A question taken from each document, answered from that document alone; the text report without its notes."""
     given = documents(spark, sf_dir).withColumn("question", F.substring(T.collapse(F.col("text")), 20, 101))
@@ -226,7 +226,7 @@ def qa_document_answers(spark, sf_dir):
     report = F.array_join(F.slice(lines, 5, F.size(lines) - 9), "\n")
     best = F.col("ranked")[0]["relevance_score"]
     ranked = qa.ranked_passages(F.array_distinct(T.tokens(F.col("question"))), T.passages_with_tokens(F.col("text")), fx.DATA_HINTS)
-    return a.withColumn("ranked", ranked).select("doc_id", F.md5(report).alias("report_md5"), best.alias("score"), (F.col("answer.answer_status") == qa.FOUND).alias("ok"))
+    return a.withColumn("ranked", ranked).select("doc_id", F.md5(report).alias("report_md5"), best.alias("score"), (F.col("answer.answer_status") == qa.FOUND).alias("ok"), joined(F.col("ranked")[0]["shared_terms"]).alias("shared"))
 
 
 # comparison
@@ -299,6 +299,17 @@ def chart_rules(spark, sf_dir):
     return c.select("doc_id", "error_code", message.alias("row_message"), long("chart.row_count").alias("n_rows"), "chart.title", F.concat_ws("|", "chart.x_label", "chart.y_label").alias("a"), total.alias("total"), joined(F.transform("chart.points", lambda p: p["category"])).alias("categories")).withColumn("axes", F.nullif("a", F.lit(""))).drop("a")
 
 
+@query(f"""SELECT doc_id, code AS error_code, row_number, category, value FROM (SELECT doc_id, CASE WHEN code IN ('NO_ROWS', 'BLANK_HEADER', 'ROW_WIDTH') THEN code END AS code, k, v, e FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS})))
+    LEFT JOIN (SELECT doc_id, i + 1 AS row_number, e[i] AS category, CASE WHEN k = 11 THEN NULL WHEN k = 1 AND i = 1 THEN '1,' || lpad(v[i]::VARCHAR, 3, '0') WHEN k = 2 AND i = len(v) THEN v[i] || 'd' WHEN k = 6 AND i = 1 THEN '-' || v[i] WHEN k = 8 THEN '0' ELSE v[i]::VARCHAR END AS value
+    FROM (SELECT doc_id, k, v, e, unnest(range(1, len(v) + 1)) AS i FROM ({_EVENTS}) WHERE k NOT IN (3, 4, 5))) USING (doc_id)""")
+def chart_cells(spark, sf_dir):
+    """The rows of chart tables and what is wrong with a table, by table functions in SQL."""
+    access.register_functions(spark)
+    tables = _events(spark, sf_dir).select("doc_id", "data_text")
+    return spark.sql("""SELECT t.doc_id, e.error_code, cast(r.row_number AS BIGINT) AS row_number, get(r.cells, 0) AS category, get(r.cells, 1) AS value
+        FROM {tables} t LEFT JOIN LATERAL chart_errors(t.data_text) e ON true LEFT JOIN LATERAL chart_rows(t.data_text) r ON true""", tables=tables)
+
+
 @F.udf(StringType())
 def _pretty(row):
     return reports.pretty_json(row)

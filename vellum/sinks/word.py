@@ -11,32 +11,46 @@ from xml.sax.saxutils import escape
 MAIN = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 TYPES = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-    '<Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+    '<Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'
+    '<Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>'
 )
 RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+STYLE_RELATION = RELATIONS.replace("officeDocument\" Target=\"word/document.xml", "styles\" Target=\"styles.xml")
 #: Margins in twentieths of a point, font, size in half points.
 MARGINS, FONT, SIZE = (1008, 1152), "Arial", 21
 
 
+#: Paragraph styles: id, name, bold, size in half points, left indent in twentieths of a point.
+STYLES = [("Normal", "Normal", False, SIZE, 0), ("Title", "Title", True, 32, 0), ("Heading1", "heading 1", True, 26, 0), ("ListBullet", "List Bullet", False, SIZE, 360), ("ListNumber", "List Number", False, SIZE, 360)]
+
+
+def styles() -> str:
+    one = lambda i, name, bold, size, indent: (
+        f'<w:style w:type="paragraph" w:styleId="{i}"{" w:default=" + chr(34) + "1" + chr(34) if i == "Normal" else ""}><w:name w:val="{name}"/><w:pPr>{f"<w:ind w:left={chr(34)}{indent}{chr(34)} w:hanging={chr(34)}{indent}{chr(34)}/>" if indent else ""}</w:pPr>'
+        f'<w:rPr><w:rFonts w:ascii="{FONT}" w:hAnsi="{FONT}"/>{"<w:b/>" * bold}<w:sz w:val="{size}"/></w:rPr></w:style>'
+    )
+    return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:styles {MAIN}>{"".join(one(*s) for s in STYLES)}</w:styles>'
+
+
 class Report:
     """Collects headings, paragraphs, bullets and tables, and gives the bytes of a .docx file."""
 
     def __init__(self, title: str):
         self.parts: list[str] = []
-        self.paragraph(title, bold=True, size=32)
+        self.paragraph(title, "Title")
 
-    def paragraph(self, text: str, bold: bool = False, size: int = SIZE) -> Report:
+    def paragraph(self, text: str, style: str = "Normal") -> Report:
         lines = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in str(text).split("\n"))
-        self.parts.append(f'<w:p><w:r><w:rPr><w:rFonts w:ascii="{FONT}" w:hAnsi="{FONT}"/>{"<w:b/>" * bold}<w:sz w:val="{size}"/></w:rPr>{lines}</w:r></w:p>')
+        self.parts.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r>{lines}</w:r></w:p>')
         return self
 
     def heading(self, text: str) -> Report:
-        return self.paragraph(text, bold=True, size=26)
+        return self.paragraph(text, "Heading1")
 
     def bullets(self, values: Iterable[str], instead: str | None = None, numbered: bool = False) -> Report:
         values = list(values) or ([instead] if instead else [])
         for i, v in enumerate(values, 1):
-            self.paragraph(f"{i}. {v}" if numbered else f"• {v}")
+            self.paragraph(f"{i}. {v}" if numbered else f"• {v}", "ListNumber" if numbered else "ListBullet")
         return self
 
     def table(self, rows: Iterable[Iterable[object]]) -> Report:
@@ -53,6 +67,8 @@ class Report:
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("[Content_Types].xml", TYPES)
             z.writestr("_rels/.rels", RELATIONS)
+            z.writestr("word/_rels/document.xml.rels", STYLE_RELATION)
+            z.writestr("word/styles.xml", styles())
             z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document {MAIN}><w:body>{"".join(self.parts)}{end}</w:body></w:document>')
         return out.getvalue()
 
