@@ -175,6 +175,13 @@ def test_golden_pairs(spark):
     assert sorted(map(tuple, got)) == goldens.PAIR_GOLDEN
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 32])
+def test_items_in_chunks_are_compared_alike(spark, chunk):
+    pairs = fx.frame(spark, [*fx.PAIRS, (9, A, B)], "pair_id long, a_text string, b_text string").selectExpr("*", "'A' AS a_name", "'B' AS b_name")
+    whole = compare.compare_documents(pairs).where("error_code is null").select("pair_id", F.explode_outer("matches").alias("m")).select("pair_id", "m.a_pos", "m.a_item", "m.b_pos", "m.b_item", "m.score", "m.class")
+    assert sorted(map(tuple, compare.compare_items(pairs, "pair_id", chunk=chunk).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_golden_charts(spark):
     rows = fx.frame(spark, fx.CHARTS, "chart_id long, chart_type string, data_text string, title string").withColumn("x_label", F.lit("")).withColumn("y_label", F.lit(""))
     c = charts.chart_data(rows)

@@ -300,8 +300,7 @@ def compare_conflicts(spark, sf_dir):
 
 @query()
 def compare_best_match(spark, sf_dir):
-    rows = compare.classified(compare.with_items(turns(spark, sf_dir)))
-    return rows.select("conv_id", "turn", F.explode_outer("matches").alias("m")).where("m is not null").select("conv_id", "turn", "m.a_pos", "m.b_pos", "m.score", "m.class")
+    return compare.compare_items(turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "a_pos", "b_pos", "score", "class")
 
 
 @query()

@@ -244,8 +244,8 @@ def by_keywords(spark, sf_dir) -> DataFrame:
 @query(f"{_MATCHES} SELECT pair_id, ap - 1 AS a_pos, CASE WHEN share > 0 THEN bp - 1 END AS b_pos, printf('%.2f', share)::DOUBLE AS score, class FROM c")
 def compare_matches(spark, sf_dir):
     """The best item of B for each item of A, by keywords, and its class."""
-    rows = by_keywords(spark, sf_dir).where("error_code is null").select("pair_id", F.explode("matches").alias("m"))
-    return rows.select("pair_id", long("m.a_pos").alias("a_pos"), long("m.b_pos").alias("b_pos"), "m.score", "m.class")
+    rows = compare.compare_items(neighbours(spark, sf_dir), "pair_id", text_weight=0.0, keyword_weight=1.0)
+    return rows.select("pair_id", long("a_pos").alias("a_pos"), long("b_pos").alias("b_pos"), "score", "class")
 
 
 @query(f"""{_MATCHES}, s AS (SELECT pair_id, count(*) AS n, count(*) FILTER (class = 'matched') AS matched, count(*) FILTER (class = 'partial') AS partial, count(*) FILTER (class = 'missing') AS missing, count(*) FILTER (class = 'conflict') AS conflict, count(DISTINCT bp) FILTER (class <> 'missing') AS used FROM c GROUP BY pair_id),
