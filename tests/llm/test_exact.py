@@ -424,3 +424,18 @@ def test_secrets_copied_over_repositories(spark):
     assert all((got[100 + i]["n_owned"], got[100 + i]["n_copied"], got[100 + i]["max_owners"]) == (0, 1, 1) for i in range(4))
     alone = collected(secrets.secret_report(spark.createDataFrame([(1, few), (None, None)], "doc_id long, text string")))
     assert alone[1]["n_owned"] == 1 and alone[None]["spans"] == ""
+
+
+def test_rows_without_ids_are_apart(spark):
+    """Many null ids: no group of their own, the same results as with ids below all others; no join of all with all."""
+    rng = __import__("random").Random(3)
+    base = brute.passage(rng, 60)
+    rows = [(None, brute.passage(rng, 40)) for _ in range(300)] + [(None, base + f" t{i}") for i in range(30)] + [(None, base)] * 3 + [(5, base), (6, "alone")]
+    docs = brute.frame(spark, rows, extra=False)
+    got = jaccard.jaccard_components(docs).collect()
+    assert sum(r.component_id == 5 for r in got) == 34 and sum(r.component_id is None for r in got) == 300 and len(got) == len(rows)
+    assert len(jaccard.keep_one_of_each(docs).where("doc_id = 5 or doc_id is null").collect()) == 301
+    cut = substring.repeat_digests(docs).collect()
+    assert sum(r.doc_id is None for r in cut) == 333 and sum(r.n_removed > 0 for r in cut) >= 31 and {r.doc_id: r.n_removed for r in cut if r.doc_id}[5] == 60
+    near = fingerprints.compare_with_edits(docs).collect()
+    assert len(near) == len(rows) and {r.doc_id: r.edited_sha256 for r in near}[6] == brute.sha("alo" + base[:2])

@@ -121,6 +121,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: Keys of rows without a doc_id lie below this, real doc_ids at or above it.
+NO_ID = -(2**62)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The doc_id to order and deal rows by; a null one gives a number below all others, by a hash of the text, so that
+    rows without an id are neither one group nor one document."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)) + F.xxhash64(text).bitwiseAND(F.lit(2**62 - 1)))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts by bytes, not by rows alone, as a task holds a few of them at once: the session's
     limit is lowered, unless it is lower already. It has to last, as the batches are made when a result is read."""

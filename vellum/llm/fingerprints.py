@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import U64, lean, mix, partitions, slices, texts as plain_texts
+from vellum.llm.common import U64, lean, mix, partitions, row_key, slices, texts as plain_texts
 
 #: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours, as a mean; most buckets.
-K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 500, 1_000_000
+K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 100, 1_000_000
 #: Largest place that a fingerprint writes; later places count as this one.
 LAST_PLACE = 0xFFFFFF
 
@@ -169,7 +169,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     driver at most. Texts are shuffled once, and a partition's buckets go through sorting one after the other. Rows of
     one doc_id are in one bucket."""
     spark = docs.sparkSession
-    keyed = plain_texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    keyed = plain_texts(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     found = keyed.agg(F.count("*").alias("n"), F.max("key").alias("top")).first()
     step = max(BUCKET_ROWS, -(-found["n"] // MAX_BUCKETS))
     chosen = keyed.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key").distinct().toArrow()["key"].to_numpy()
@@ -195,8 +195,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     The next document is the one with the next smaller doc_id, after the last the first. Null texts are empty and have
     an empty fingerprint; two empty texts are alike (1), an empty and another one are not (0). A text shorter than an
-    anchor has itself as its only one. A null doc_id counts as smaller than all others; rows with one doc_id follow each
-    other in the order of their texts; an empty table gives an empty result; other columns are ignored."""
+    anchor has itself as its only one. A null doc_id counts as smaller than all others, several in an order by hashes of
+    their texts; rows with one doc_id follow each other in the order of their texts; an empty table gives an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = sketch([""])

@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, as_row, grams, lean, materialize, mix, partitions, scratch, slices, texts as plain_texts
+from vellum.llm.common import U64, Words, as_row, grams, lean, materialize, mix, partitions, row_key, scratch, slices, texts as plain_texts
 
 #: Words of a shingle; least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -365,13 +365,9 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(more.select(F.col("part").alias("node"), F.col("new").alias("part")).join(parts, "node", "left_anti")), "parts", lasting=True)
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-
-
 def _named(docs: DataFrame) -> DataFrame:
-    """(key, kh, doc_id, text): key and kh, a hash of the text, name a row; a null doc_id has the smallest key."""
-    return plain_texts(docs).select(_key().alias("key"), F.xxhash64("text").alias("kh"), "doc_id", "text")
+    """(key, kh, doc_id, text): key and kh, a hash of the text, name a row."""
+    return plain_texts(docs).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64("text").alias("kh"), "doc_id", "text")
 
 
 def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
@@ -387,7 +383,7 @@ def _packed(docs: DataFrame, homes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array([packer.compress(t.encode()) for t in bodies], pa.binary())], names=["node", "body"])
 
     side = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
-    named = plain_texts(docs).withColumn("key", _key()).select("key", "text").join(side, "key")
+    named = _named(docs).select("key", "text").join(side, "key")
     return named.select("node", "text").mapInArrow(lean(run), "node long, body binary").dropDuplicates(["node"])
 
 
@@ -427,7 +423,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows travel in one column, so that names of the table's columns may be any."""
     found = materialize(with_components(docs, percent).where("node <> 0"), "found")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = as_row(docs).withColumn("key", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)))).withColumn("kh", F.xxhash64(text))
+    rows = as_row(docs).withColumn("key", row_key(F.col("row.doc_id"), text)).withColumn("kh", F.xxhash64(text))
     kept = rows.join(found.where("not first").select("key", "kh").distinct(), ["key", "kh"], "left_anti")
     again = materialize(found.where("first").groupBy("key", "kh").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     if not again.isEmpty():

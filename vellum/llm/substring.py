@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vellum.llm.common import U64, Words, as_row, from_row, grams, lean, materialize, mix, partitions, slices, text_bytes, texts
+from vellum.llm.common import NO_ID, U64, Words, as_row, from_row, grams, lean, materialize, mix, partitions, row_key, slices, text_bytes, texts
 
 #: Words of a window and of the runs whose smallest ends its prefix; words by which the prefixes of a part are lengthened.
 WINDOW, RUN, LONGER = 20, 8, 4
@@ -33,7 +33,6 @@ SLOTS, FINER, MOST_WORDS = 4, 16, 3_000_000
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: kind 0: entries of parts, 1: codes that go to their documents, 2: segments of a part that is split.
 _ROWS = "bucket int, kind int, slot int, body binary"
-_LOW = -(2**63)
 _PLACE = 40  # bits of a word's place; the text's number among those of one doc_id stands above
 _ID_BYTES = 6  # of a word's hash, in segments
 Rows = list[tuple[int, int, int, bytes]]
@@ -394,7 +393,7 @@ def _suffixes_in(window: int, buckets: int, level: int, most: int) -> Callable:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """(key, dup, text): dup numbers the different texts of one doc_id."""
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(_LOW)).alias("key"), "text")
+    rows = texts(docs).select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     return rows.repartition(partitions(docs.sparkSession), "key").withColumn("dup", F.dense_rank().over(Window.partitionBy("key").orderBy("text")) - 1)
 
 
@@ -432,7 +431,7 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word is removed if a window of ``window`` words over it has a word sequence that also starts earlier: in a document
     of smaller doc_id, or earlier in the same one. Null and empty texts have no words; texts shorter than a window lose
-    none. A null doc_id comes before all others. Rows that repeat a doc_id and its text are one document, each with the
+    none. Null doc_ids come before all others, in an order by hashes of their texts. Rows that repeat a doc_id and its text are one document, each with the
     same result; different texts of one doc_id follow each other in the order of the texts. An empty table gives an empty
     result; other columns are ignored."""
 
@@ -451,7 +450,7 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         gone.append(0)
                     digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 key = b.column("key").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([None if k == _LOW else k for k in key], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array([None if k < NO_ID else k for k in key], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _numbered(docs).join(later_windows(docs, window), "key", "left")
     return joined.select("key", "dup", "text", "runs").mapInArrow(lean(run), DIGEST)
@@ -466,7 +465,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows = []
                 for text, key, dup, runs in zip(text_bytes(b.column("text")), b.column("key").to_pylist(), b.column("dup").to_pylist(), b.column("runs").to_pylist(), strict=True):
                     edge = np.flatnonzero(np.diff(removed_mask(len(text.split()), dup, runs, window).astype(np.int8), prepend=0, append=0)).tolist()
-                    rows += [(None if key == _LOW else key, a, e) for a, e in zip(edge[::2], edge[1::2], strict=True)]
+                    rows += [(None if key < NO_ID else key, a, e) for a, e in zip(edge[::2], edge[1::2], strict=True)]
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end"])
 
@@ -477,8 +476,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the words of later windows, with their columns; n_chars follows the text.
 
     A text that loses words keeps its others joined by one space; one that loses none stays as it is, null, empty and
-    white space too. Of equal windows the first by doc_id and place stays, whole texts included, however long; a null
-    doc_id comes first; rows that repeat a doc_id and text lose the same words, so that both stay or neither; different
+    white space too. Of equal windows the first by doc_id and place stays, whole texts included, however long; null
+    doc_ids come first, in an order by hashes of their texts; rows that repeat a doc_id and text lose the same words, so that both stay or neither; different
     texts of one doc_id follow each other in the order of the texts. An empty table stays empty; other columns go
     through, whatever their names."""
 
@@ -489,7 +488,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return b" ".join(w for w, m in zip(words, mask, strict=True) if not m).decode()
 
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = as_row(docs).withColumn("key", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LOW))).repartition(partitions(docs.sparkSession), "key")
+    rows = as_row(docs).withColumn("key", row_key(F.col("row.doc_id"), text)).repartition(partitions(docs.sparkSession), "key")
     joined = rows.withColumn("dup", F.dense_rank().over(Window.partitionBy("key").orderBy(text)) - 1).join(later_windows(docs, window), "key", "left")
     cut = F.when(F.col("runs").isNotNull(), rest(text, F.col("dup"), F.col("runs")))
     return from_row(joined.withColumn("cut", cut), docs, F.col("runs").isNotNull(), F.col("cut"))
