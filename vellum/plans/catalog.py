@@ -285,17 +285,13 @@ def qa_top3(spark, sf_dir):
 @query(S.pair_overlap())
 def compare_keyword_overlap(spark, sf_dir):
     p = compare.with_items(neighbours(spark, sf_dir))
-    best = T.let(F.col("b_keys"), lambda keys: F.transform("a_keys", lambda a: F.aggregate(keys, F.lit(0.0), lambda m, b: F.greatest(m, compare.overlap(a, b)))))
-    return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b"), F.coalesce(F.array_max(best), F.lit(0.0)).alias("best_overlap"))
+    return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b"), compare.best_overlap("a_keys", "b_keys").alias("best_overlap"))
 
 
 @query(S.pair_conflicts())
 def compare_conflicts(spark, sf_dir):
     p = compare.with_items(neighbours(spark, sf_dir))
-    sides = F.struct("a_numbers", "b_numbers", "b_keys")
-    clash = lambda d, a, i: F.filter(d["b_keys"], lambda b, j: compare.conflicting(compare.overlap(a, b), F.get(d["a_numbers"], i), F.get(d["b_numbers"], j)))
-    counts = T.let(sides, lambda d: F.transform("a_keys", lambda a, i: F.size(clash(d, a, i))))
-    return p.select("pair_id", F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_conflicts"))
+    return p.select("pair_id", compare.count_conflicts("a_keys", "b_keys", "a_numbers", "b_numbers").alias("n_conflicts"))
 
 
 @query()

@@ -262,7 +262,7 @@ def compare_figures(spark, sf_dir):
 def compare_extra(spark, sf_dir):
     """Items of B that no item of A has chosen."""
     rows = by_keywords(spark, sf_dir).where("error_code is null").select("pair_id", "b_items", "comparison.additional_in_document_b")
-    found = rows.select("pair_id", "b_items", F.explode("additional_in_document_b").alias("item"))
+    found = rows.select("pair_id", "b_items", F.explode_outer("additional_in_document_b").alias("item")).where("item is not null")
     return found.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum(F.array_position("b_items", F.col("item")) - 1).alias("places"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A table is dealt out if it comes in fewer partitions than this part of the session's cores.
-SPARE = 4
+#: A table is dealt out if its files are fewer than this part of the session's cores, and it is no larger than this.
+SPARE, SMALL_BYTES = 4, 1 << 30
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +13,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table that comes in far fewer partitions than the session has cores, such as one row group, over all cores.
+    """Rows of a small table in far fewer files than the session has cores, over all cores: a row group is one task's work.
 
-    That is one shuffle of what the query takes of a small table; a table of more partitions stays as it is."""
+    That is one shuffle of what the query takes of it; a table of more files, or a larger one, is read as it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * SPARE <= cores else rows
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return rows.repartition(cores) if size <= SMALL_BYTES and len(rows.inputFiles()) * SPARE <= cores else rows
