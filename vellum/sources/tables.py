@@ -17,5 +17,5 @@ def spread(rows: DataFrame) -> DataFrame:
 
     That is one shuffle of what the query takes of it; a table of more files, or a larger one, is read as it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a number or a Scala object
     return rows.repartition(cores) if size <= SMALL_BYTES and len(rows.inputFiles()) * SPARE <= cores else rows
