@@ -6,7 +6,7 @@ import pytest
 
 from vellum.llm import queries, sql
 
-TABLES = ("documents", "pages", "labels", "benchmark")
+TABLES = ("documents", "pages", "labels", "benchmark", "conversations")
 
 
 def rows(df):

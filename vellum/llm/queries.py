@@ -74,4 +74,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op5_substring_dedup, op6_warc, op7_jaccard_join, op8_packing, op9_quality_rules, op10_quality_classifier)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.conversation_repair import damaged_repairs
+
+    return damaged_repairs(table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.conversation_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_bpe_codec, op4_fingerprints, op5_substring_dedup, op6_warc, op7_jaccard_join, op8_packing, op9_quality_rules, op10_quality_classifier, op11_conversation_repair, op12_conversation_trie, op13_decontamination)}

@@ -88,4 +88,65 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
     OR 100 * n_symbols > 25 * n_words OR 100 * cover_5_chars > 35 * word_chars OR 100 * cover_10_chars > 30 * word_chars OR 100 * cover_20_chars > 25 * word_chars) AS kept FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1, "op5_substring_dedup": OP5, "op6_warc": OP6, "op7_jaccard_join": OP7, "op9_quality_rules": OP9}
+
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text, from the 256 remainders of ``crc_table``, which the query joins."""
+    step = "lambda a, x: xor(a >> 8, crc_table.r[(xor(a, x) & 255) + 1])"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), {step}, 4294967295::BIGINT), 4294967295)"
+
+
+_CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) ORDER BY n) AS r FROM range(256) AS t(n))"
+_LAST = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+#: A state is the initial of the last turn that stays, '' at the start; the recursion goes over turns and keeps all that lead to a state before the cheapest is taken.
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc_table),
+d AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+t AS MATERIALIZED (SELECT conv_id, turn, role, text, left(role, 1) AS x, i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN {_LAST} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right({_LAST}, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS z, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS told FROM conversations
+    UNION ALL
+    SELECT conv_id, i, z, cost, audit, told FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, z ORDER BY cost, audit) AS r FROM (
+        SELECT g.conv_id, t.i, CASE WHEN e = 'D' THEN g.z WHEN e = 'K' THEN t.x ELSE n END AS z, g.cost + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, g.audit || e AS audit,
+            CASE WHEN e = 'D' THEN g.told ELSE list_append(g.told, CASE WHEN e = 'K' THEN t.role WHEN n = 'u' THEN 'user' ELSE 'assistant' END || ':' || t.text) END AS told
+        FROM (SELECT *, CASE z WHEN 'u' THEN 'a' ELSE 'u' END AS n FROM (SELECT * FROM s UNION ALL SELECT conv_id, i, CASE z WHEN 'u' THEN 'a' ELSE 'u' END, cost + 5, audit || 'I', list_append(told, CASE z WHEN 'u' THEN 'assistant:' ELSE 'user:' END) FROM s)) g
+        JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.i = g.i + 1, (VALUES ('D'), ('K'), ('R')) AS v(e)
+        WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR t.x = n OR t.x = 's' AND g.z = '')))
+    WHERE r = 1),
+f AS (SELECT conv_id, cost, audit, told FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC, cost, audit) AS r FROM (SELECT conv_id, i, z, cost, audit, told FROM s UNION ALL SELECT conv_id, i, 'a', cost + 5, audit || 'I', list_append(told, 'assistant:') FROM s WHERE z = 'u') WHERE z IN ('', 'a')) WHERE r = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT f.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(array_to_string(told, chr(10))) AS repaired_sha256 FROM f LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+o AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS MATERIALIZED (SELECT c, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM o), crc_table),
+b AS (SELECT h.c, o.i, role, text FROM h JOIN o ON o.c = h.c - h.c % 5 AND o.i <= h UNION ALL SELECT h.c, 1000000 + o.i, role, text FROM h JOIN o ON o.c = h.c AND o.i > h),
+r AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS size FROM b),
+p AS MATERIALIZED (SELECT c, 0::BIGINT AS d, '' AS p, 0 AS size FROM h UNION ALL SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d), size FROM r),
+n AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY p, d),
+kids AS (SELECT q.p AS p, count(*) AS n FROM n JOIN (SELECT c, d, p FROM p) q ON q.c = n.conv_id AND q.d = n.d - 1 GROUP BY q.p),
+leaves AS (SELECT q.p AS p, count(*) AS n FROM n JOIN p q ON q.c = n.conv_id AND q.d <= n.d WHERE n.p NOT IN (SELECT p FROM kids) GROUP BY q.p),
+saved AS (SELECT q.p AS p, sum((n_convs - 1) * n.size)::BIGINT AS n FROM n JOIN p q ON q.c = n.conv_id AND q.d <= n.d GROUP BY q.p),
+ends AS (SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(p, d) AS p FROM p GROUP BY c) GROUP BY p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves.n AS n_leaves, saved.n AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN leaves USING (p) JOIN saved USING (p) LEFT JOIN kids USING (p) LEFT JOIN ends USING (p) LEFT JOIN n u ON u.d = n.d - 1 AND u.p = left(n.p, length(n.p) - 64)
+"""
+
+_ALPHANUMERIC = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_ALPHANUMERIC} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {_ALPHANUMERIC} AS w FROM benchmark),
+p AS MATERIALIZED (SELECT DISTINCT id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)),
+v AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+f AS MATERIALIZED (SELECT doc_id, k, n, id FROM v JOIN p USING (n, t)),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) FROM f) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM f) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1, "op5_substring_dedup": OP5, "op6_warc": OP6, "op7_jaccard_join": OP7, "op9_quality_rules": OP9, "op11_conversation_repair": OP11, "op12_conversation_trie": OP12, "op13_decontamination": OP13}
