@@ -183,30 +183,51 @@ def _has(tokens: str, words: list[str]) -> str:
 
 def _scored(pairs: str) -> str:
     """Pairs (q, t) and keys to score and shared terms."""
-    bonus = " + ".join(f"({_has('q', w)} AND {_has('t', w)})::INT" for w in fx.DATA_HINTS.values())
-    often = "coalesce(list_sum(list_transform(list_intersect(q, t), lambda k: least(len(list_filter(t, lambda y: y = k)) * 0.02::DOUBLE, 0.06::DOUBLE))), 0)"
-    return f"SELECT *, printf('%.3f', least(len(list_intersect(q, t))::DOUBLE / len(q) + ({bonus}) * 0.12::DOUBLE + {often}, 1.0::DOUBLE))::DOUBLE AS score, list_sort(list_intersect(q, t)) AS shared FROM ({pairs})"
+    hints = " + ".join(f"({_has('q', w)} AND {_has('t', w)})::INT" for w in fx.DATA_HINTS.values())
+    often = "coalesce(list_sum(list_transform(list_intersect(q, t), lambda k: least(len(list_filter(t, lambda y: y = k)), 3))), 0)"
+    return f"SELECT *, {_score('len(list_intersect(q, t))', 'len(q)', f'({hints})', often)} AS score, list_sort(list_intersect(q, t)) AS shared FROM ({pairs})"
 
 
-_CORPUS = f"SELECT * FROM ({_scored(f'SELECT * FROM ({_Q}) JOIN ({_P}) ON list_has_any(q, t) OR ' + ' OR '.join(f'({_has("q", w)} AND {_has("t", w)})' for w in fx.DATA_HINTS.values()))})"
+def _score(shared: str, terms: str, hints: str, often: str) -> str:
+    return f"printf('%.3f', least({shared}::DOUBLE / {terms} + {hints} * 0.12::DOUBLE + {often} * 0.02::DOUBLE, 1.0::DOUBLE))::DOUBLE"
 
 
-def corpus(spark, sf_dir) -> DataFrame:
-    return qa.corpus_scores(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir), "item_id", "text", "doc_id", "text", fx.DATA_HINTS)
+def _categories(tokens: str) -> str:
+    return f"list_filter([{', '.join(f'CASE WHEN {_has(tokens, w)} THEN {i} END' for i, w in enumerate(fx.DATA_HINTS.values()))}], lambda x: x IS NOT NULL)"
 
 
-@query(f"SELECT q_id, s_id, count(*) AS n, max(score) AS best, sum(len(shared))::BIGINT AS n_shared FROM ({_CORPUS}) GROUP BY ALL")
+#: Questions and passages meet by equal terms and by equal categories, each counted by itself.
+_CORPUS = f"""SELECT q_id, s_id, pos, {_score('coalesce(n, 0)', 'len(q)', 'coalesce(h, 0)', 'coalesce(k, 0)')} AS score, coalesce(n, 0) AS n FROM
+    (SELECT q_id, s_id, pos, count(*) AS n, sum(tf) AS k FROM (SELECT q_id, unnest(q) AS term FROM asked) JOIN (SELECT s_id, pos, term, least(count(*), 3) AS tf FROM (SELECT s_id, pos, unnest(t) AS term FROM given) GROUP BY ALL) USING (term) GROUP BY ALL)
+    FULL JOIN (SELECT q_id, s_id, pos, count(*) AS h FROM (SELECT q_id, unnest({_categories('q')}) AS c FROM asked) JOIN (SELECT s_id, pos, unnest({_categories('t')}) AS c FROM given) USING (c) GROUP BY ALL) USING (q_id, s_id, pos) JOIN asked USING (q_id)"""
+_MET = f"WITH asked AS MATERIALIZED ({_Q}), given AS MATERIALIZED ({_P}), met AS MATERIALIZED ({_CORPUS})"
+
+
+def _asked(spark, sf_dir) -> tuple:
+    return table(spark, sf_dir, "benchmark"), documents(spark, sf_dir), "item_id", "text", "doc_id", "text", fx.DATA_HINTS
+
+
+@query(f"{_MET} SELECT q_id, s_id, count(*) AS n, max(score) AS best, sum(n)::BIGINT AS n_shared FROM met GROUP BY ALL")
 def qa_corpus_scores(spark, sf_dir):
     """The full score of all passages of the corpus: terms, hints and frequencies."""
-    return corpus(spark, sf_dir).groupBy("q_id", "s_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum(F.size("shared")).alias("n_shared"))
+    return qa.corpus_scores(*_asked(spark, sf_dir)).groupBy("q_id", "s_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.sum(F.size("shared")).alias("n_shared"))
+
+
+_TOP = "SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id, pos) AS rank FROM met QUALIFY rank <= 3"
+
+
+@query(f"{_MET} SELECT q_id, s_id, pos, score, n AS n_shared, rank FROM ({_TOP})")
+def qa_corpus_top(spark, sf_dir):
+    """The three best passages of the corpus for each question, by the full score."""
+    return qa.corpus_top(*_asked(spark, sf_dir)).select("q_id", "s_id", "pos", "score", long("n_shared").alias("n_shared"), long("rank").alias("rank"))
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, s_id, pos) AS rank FROM ({_CORPUS})), b AS (SELECT q_id, score AS best, score >= 0.30 AND len(shared) >= 2 AS ok FROM r WHERE rank = 1)
+@query(f"""{_MET}, r AS MATERIALIZED ({_TOP}), b AS (SELECT q_id, score AS best, score >= 0.30 AND n >= 2 AS ok FROM r WHERE rank = 1)
     SELECT item_id AS q_id, CASE WHEN ok THEN 'Supported by supplied information' ELSE 'Not found in supplied information' END AS status, CASE WHEN best >= 0.65 THEN 'High' WHEN best >= 0.35 THEN 'Medium' ELSE 'Low' END AS confidence, rank, s_id, pos, score
-    FROM benchmark LEFT JOIN b ON q_id = item_id LEFT JOIN r ON ok AND r.q_id = item_id AND rank <= 3 AND score >= 0.16""")
+    FROM benchmark LEFT JOIN b ON q_id = item_id LEFT JOIN r ON ok AND r.q_id = item_id AND score >= 0.16""")
 def qa_corpus_answers(spark, sf_dir):
     """Verdicts over the corpus and the passages that support them."""
-    found = qa.corpus_answers(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id")
+    found = qa.corpus_answers(qa.corpus_top(*_asked(spark, sf_dir)), table(spark, sf_dir, "benchmark"), "item_id")
     return found.select("q_id", "status", "confidence", long("rank").alias("rank"), "s_id", long("pos").alias("pos"), "score")
 
 
