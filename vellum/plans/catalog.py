@@ -22,16 +22,9 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("b_text"))
-    return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a_text")).join(after, "pair_id").withColumn("a_name", F.lit("A")).withColumn("b_name", F.lit("B"))
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation and the next one."""
-    told = table(spark, sf_dir, "conversations")
-    after = told.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("b_name"), F.col("text").alias("b_text"))
-    return told.select("conv_id", "turn", F.col("role").alias("a_name"), F.col("text").alias("a_text")).join(after, ["conv_id", "turn"])
+    """Each document as A and the next one as B, as items."""
+    side = lambda n, name: F.struct((F.col("doc_id") - n).alias("pair_id"), F.lit(name).alias("side"))
+    return compare.item_sides(documents(spark, sf_dir), F.array(side(0, "a"), side(1, "b")))
 
 
 def long(c: Column | str) -> Column:
@@ -284,31 +277,34 @@ def qa_top3(spark, sf_dir):
 
 @query(S.pair_overlap())
 def compare_keyword_overlap(spark, sf_dir):
-    p = compare.with_items(neighbours(spark, sf_dir))
-    return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b"), compare.best_overlap("a_keys", "b_keys").alias("best_overlap"))
+    p = neighbours(spark, sf_dir)
+    found = compare.chunked(p, "pair_id").groupBy("pair_id").agg(F.max(compare.best_overlap("a_keys", "b_keys")).alias("best"))
+    return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b")).join(found, "pair_id", "left").select("pair_id", "n_a", "n_b", F.coalesce("best", F.lit(0.0)).alias("best_overlap"))
 
 
 @query(S.pair_conflicts())
 def compare_conflicts(spark, sf_dir):
-    p = compare.with_items(neighbours(spark, sf_dir))
-    return p.select("pair_id", compare.count_conflicts("a_keys", "b_keys", "a_numbers", "b_numbers").alias("n_conflicts"))
+    p = neighbours(spark, sf_dir)
+    found = compare.chunked(p, "pair_id").groupBy("pair_id").agg(F.sum(compare.count_conflicts("a_keys", "b_keys", "a_numbers", "b_numbers")).alias("n"))
+    return p.select("pair_id").join(found, "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_conflicts"))
 
 
 @query()
 def compare_best_match(spark, sf_dir):
-    return compare.compare_items(turns(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "a_pos", "b_pos", "score", "class")
+    """The most similar item of the next document for each item of a document, by text and keywords."""
+    return compare.compare_items(neighbours(spark, sf_dir), "pair_id").select("pair_id", "a_pos", "b_pos", "score", "class")
 
 
 @query()
 def compare_summary(spark, sf_dir):
-    rows = compare.compare_documents(turns(spark, sf_dir))
-    return rows.select("conv_id", "turn", "error_code", "comparison.coverage_indicator", "comparison.summary.*")
+    """Coverage and counts of each pair of neighbouring documents, by text and keywords."""
+    return compare.pair_figures(neighbours(spark, sf_dir), "pair_id")
 
 
 @query()
 def compare_additional(spark, sf_dir):
-    rows = compare.compare_documents(turns(spark, sf_dir))
-    return rows.select("conv_id", "turn", F.explode_outer("comparison.additional_in_document_b").alias("item")).where("item is not null")
+    """Items of the next document that no item has chosen, by text and keywords."""
+    return compare.extra_items(neighbours(spark, sf_dir), "pair_id")
 
 
 # charts
