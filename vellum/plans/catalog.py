@@ -277,16 +277,15 @@ def qa_top3(spark, sf_dir):
 
 @query(S.pair_overlap())
 def compare_keyword_overlap(spark, sf_dir):
-    p = neighbours(spark, sf_dir)
-    found = compare.chunked(p, "pair_id").groupBy("pair_id").agg(F.max(compare.best_overlap("a_keys", "b_keys")).alias("best"))
-    return p.select("pair_id", long(F.size("a_items")).alias("n_a"), long(F.size("b_items")).alias("n_b")).join(found, "pair_id", "left").select("pair_id", "n_a", "n_b", F.coalesce("best", F.lit(0.0)).alias("best_overlap"))
+    rows = compare.chunked(neighbours(spark, sf_dir), "pair_id", every=True)
+    found = rows.groupBy("pair_id").agg(F.max(compare.best_overlap("a_keys", "b_keys")).alias("best_overlap"), F.any_value("a_count").alias("n_a"), F.any_value("b_count").alias("n_b"))
+    return found.select("pair_id", long("n_a").alias("n_a"), long("n_b").alias("n_b"), "best_overlap")
 
 
 @query(S.pair_conflicts())
 def compare_conflicts(spark, sf_dir):
-    p = neighbours(spark, sf_dir)
-    found = compare.chunked(p, "pair_id").groupBy("pair_id").agg(F.sum(compare.count_conflicts("a_keys", "b_keys", "a_numbers", "b_numbers")).alias("n"))
-    return p.select("pair_id").join(found, "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_conflicts"))
+    rows = compare.chunked(neighbours(spark, sf_dir), "pair_id", every=True)
+    return rows.groupBy("pair_id").agg(F.sum(compare.count_conflicts("a_keys", "b_keys", "a_numbers", "b_numbers")).alias("n_conflicts"))
 
 
 @query()
