@@ -33,6 +33,8 @@ FAN = 256
 D, CHUNK = 16, 100_000
 #: Rows of a batch that a task gives out.
 ROWS = 20_000
+#: Parents of more children are sent to all tasks, if they are no more than so many, so that no task gets all children of one.
+MANY_KIDS, SENT = 200, 500_000
 
 _ELEMENT = "block long, seq long, lcp int, depth int, key binary, sizes array<long>, n long, least long, saved long, leaves long, kids long, ends binary"
 #: ``what``: 0 a node, 1 a piece, 2 a chunk of the ids that end at a node.
@@ -274,6 +276,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ends, pa.string())], ["key", "met"])
 
 
+def _with_parents(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """Adds ``parent_least``, null for the root."""
+    large, small = parents.where(F.col("kids") > MANY_KIDS).drop("kids"), parents.where(F.col("kids") <= MANY_KIDS).drop("kids")
+    if large.count() > SENT:
+        return nodes.join(parents.drop("kids"), "parent", "left")
+    known = nodes.join(F.broadcast(large), "parent", "left")
+    return known.where("parent is null or parent_least is not null").unionByName(known.where("parent is not null and parent_least is null").drop("parent_least").join(small, "parent", "left"))
+
+
 def prefix_trie(strings: DataFrame, fan: int = FAN) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node."""
     spark = strings.sparkSession
@@ -292,9 +303,8 @@ def prefix_trie(strings: DataFrame, fan: int = FAN) -> DataFrame:
         pieces, blocks = joined.where("what = 1"), -(-blocks // fan)
     met = chunks.repartition(partitions(spark), "key").sortWithinPartitions("key", "block", "seq").select("key", "ids").mapInArrow(lean(_digest), "key binary, met string")
     nodes = nodes.select("top", "parent", "depth", "key", "sizes", "n", "least", "saved", "leaves", "kids", F.col("ends").cast("string").alias("ends"))
-    nodes = nodes.join(met, "key", "left")
-    parents = nodes.where("kids > 0").select(F.col("key").alias("parent"), F.col("least").alias("parent_least"))
-    rows = nodes.join(parents, "parent", "left").select("*", F.explode(F.sequence("top", "depth")).alias("d"))
+    parents = nodes.where("kids > 0").select(F.col("key").alias("parent"), F.col("least").alias("parent_least"), "kids")
+    rows = _with_parents(nodes.join(met, "key", "left"), parents).select("*", F.explode(F.sequence("top", "depth")).alias("d"))
     end, deepest = F.coalesce("ends", "met", F.sha2(F.lit("").cast("binary"), 256)), F.col("d") == F.col("depth")
     return rows.select(
         F.col("least").alias("conv_id"), F.col("d").cast("long").alias("depth"), F.when(F.col("d") > F.col("top"), F.col("least")).otherwise(F.col("parent_least")).alias("parent_conv_id"),
