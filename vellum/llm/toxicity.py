@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and starts of words; all those count that tell the labels apart by a chi-square test. Examples that
-are alike stand in one block. Each block of the index knows the largest weight of every feature in it, which bounds the
-cosine of all its examples; texts meet a block together, by falling bound, until none can hold a nearer example. The
-votes of the nearest, weighted by cosine, give the score.
+Features are words and starts of words that are more frequent in toxic examples than in clean ones, by a lower bound of
+the log odds ratio, and in any case the ``LEAST_FEATURES`` best. Examples that are alike stand in one block. A feature has
+postings: the examples that have it and their weights, block by block, with the largest weight of each block. A text
+reads the postings of its own features alone: the largest weights bound the cosine of all examples of a block, blocks are
+visited by falling bound, and none whose bound is below the cosines already found. The votes of the nearest, weighted by
+cosine, give the score; a text without a feature has no neighbour and no vote.
 """
 
 from __future__ import annotations
@@ -18,15 +20,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.llm.common import U64, _FOLDED, _powers, Words, lean, materialize, mix, scratch, slices, texts
 
-#: Examples of each label, taken by a hash of doc_id, that fit the index; least documents and least chi-square of a feature.
-EXAMPLES_PER_LABEL, LEAST_DOCUMENTS, LEAST_CHI2 = 4000, 4, 12.0
+#: Examples of each label, taken by a hash of doc_id, that fit the index.
+EXAMPLES_PER_LABEL = 4000
+#: Toxic examples that have a feature at least; standard errors between its log odds ratio and the lower bound, which must
+#: not be negative; features that count in any case, so that a small table has some.
+LEAST_EXAMPLES, ERRORS, LEAST_FEATURES = 2, 3.0, 300
 #: Lengths of word starts in bytes; neighbours that vote; examples of a block; weight of the vote for no label.
 STARTS, NEIGHBOURS, BLOCK, DOUBT = (4, 5, 6, 8), 15, 64, 0.3
 #: Counts in one text from which a feature has a further feature of its own: a word said often is not one said once.
 LEVELS = (2, 3, 5)
 HELD_OUT_OF = 5
-#: Texts that meet the blocks together; bound of the relative error of a sum of up to 16,000 products in single precision.
-GROUP, ROUNDING = 256, 1e-3
+#: Texts that are searched together, and block postings that they read at most, unless one text has more; bound of the
+#: relative error of a sum of products in another order.
+GROUP, READ, ROUNDING = 128, 1 << 20, 1e-9
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest long, nearest_cosine double, evidence array<long>"
 
@@ -92,20 +98,21 @@ class Index:
     offset: float = 0.0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "blocks"}  # each worker makes its own
+        return {k: v for k, v in self.__dict__.items() if k != "postings"}  # each worker makes its own
 
     @cached_property
-    def blocks(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Of each block its features and its weights, example by feature; the largest weights, block by feature."""
-        out, largest = [], np.zeros((-(-len(self.examples) // BLOCK), len(self.hashes)), np.float32)
-        for b in range(len(largest)):
-            rows = self.start[b * BLOCK : (b + 1) * BLOCK + 1]
-            own, column = np.unique(self.at[rows[0] : rows[-1]], return_inverse=True)
-            body = np.zeros((len(rows) - 1, len(own)), np.float32)
-            body[np.repeat(np.arange(len(rows) - 1), np.diff(rows)), column] = self.value[rows[0] : rows[-1]]
-            largest[b, own] = body.max(axis=0, initial=0)
-            out.append((own, body))
-        return out, largest
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, weight) of the examples of each feature, by feature and place; where those of each pair of a feature and
+        a block begin, its block and its largest weight; where the pairs of each feature begin."""
+        blocks = -(-len(self.examples) // BLOCK)
+        place = np.repeat(np.arange(len(self.examples)), np.diff(self.start))
+        order = np.lexsort((place, self.at))
+        place, value = place[order], self.value[order]
+        cell = self.at[order].astype(np.int64) * max(1, blocks) + place // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        largest = np.maximum.reduceat(value, first) if len(first) else value
+        cell = cell[first]
+        return place, value, np.append(first, len(place)), cell % max(1, blocks), largest, np.searchsorted(cell // max(1, blocks), np.arange(len(self.hashes) + 1))
 
     def vectors(self, text: np.ndarray, feature: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF vectors as (text, feature number, weight), sorted by text, from distinct (text, feature) and counts."""
@@ -131,12 +138,14 @@ class Index:
         Text i has the features ``at[cut[i]:cut[i + 1]]`` and does not meet the example ``without[i]``, if that is one."""
         found = [(np.zeros(0, np.int64), np.zeros(0))] * (len(cut) - 1)
         texts = np.flatnonzero(np.diff(cut))
-        if len(texts) > GROUP:  # texts that prefer a block meet it together
-            first = [(self.blocks[1] @ self._columns(texts[i : i + GROUP], cut, at, value)).argmax(axis=0) for i in range(0, len(texts), GROUP)]
-            texts = texts[np.argsort(np.concatenate(first), kind="stable")]
-        query = np.zeros(len(self.hashes))
-        for i in range(0, len(texts), GROUP):
-            group = texts[i : i + GROUP]
+        pairs = self.postings[5]
+        reads = np.concatenate([[0], np.cumsum(np.diff(pairs)[at])])
+        query, i = np.zeros(len(self.hashes)), 0
+        while i < len(texts):
+            to = i + 1
+            while to < min(len(texts), i + GROUP) and reads[cut[texts[to] + 1]] - reads[cut[texts[i]]] <= READ:
+                to += 1
+            group = texts[i:to]
             for t, place in zip(group.tolist(), self._candidates(group, cut, at, value, k, without), strict=True):
                 own = slice(cut[t], cut[t + 1])
                 query[at[own]] = value[own]
@@ -146,38 +155,37 @@ class Index:
                 query[at[own]] = 0
                 by = np.lexsort((place, -cosine))[:k]
                 found[t] = place[by], cosine[by]
+            i = to
         return found
 
-    def _columns(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Feature by text."""
-        size = cut[texts + 1] - cut[texts]
-        inner = np.arange(int(size.sum())) + np.repeat(cut[texts] - np.cumsum(size) + size, size)
-        out = np.zeros((len(self.hashes), len(texts)), np.float32)
-        out[at[inner], np.repeat(np.arange(len(texts)), size)] = value[inner]
-        return out
-
     def _candidates(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray, k: int, without: np.ndarray | None) -> Iterator[np.ndarray]:
-        """Of each text the places of all examples that may be among its k nearest, whatever single precision rounds."""
-        blocks, largest = self.blocks
-        x = self._columns(texts, cut, at, value)
-        bound = (largest @ x).T
+        """Of each text the places of all examples that may be among its k nearest, whatever the order of sums rounds."""
+        place, weight, first, block, largest, pairs = self.postings
+        size = cut[texts + 1] - cut[texts]
+        own = _runs(cut[texts], size)
+        many = pairs[at[own] + 1] - pairs[at[own]]
+        pair, row, times = _runs(pairs[at[own]], many), np.repeat(np.repeat(np.arange(len(texts)), size), many), np.repeat(value[own], many)
+        blocks = -(-len(self.examples) // BLOCK)
+        cell = row * blocks + block[pair]
+        bound = np.bincount(cell, times * largest[pair], minlength=len(texts) * blocks).reshape(len(texts), blocks)
         rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
-        score, least, done = np.zeros((len(texts), len(self.examples)), np.float32), np.zeros(len(texts), np.float32), np.zeros(bound.shape, bool)
-        for step in (2, 8, len(blocks)):
+        score, least, done = np.zeros(len(texts) * len(self.examples)), np.zeros(len(texts)), np.zeros(bound.shape, bool)
+        for step in (1, 3, 10, blocks):
             need = (bound > 0) & ~done & (rank < step) & (bound >= least[:, None] * (1 - 2 * ROUNDING))
-            for b in np.flatnonzero(need.any(axis=0)).tolist():
-                own, body = blocks[b]
-                some = np.flatnonzero(need[:, b])
-                some = slice(None) if 2 * len(some) > len(texts) else some
-                score[some, b * BLOCK : b * BLOCK + len(body)] = (body @ x[own][:, some]).T
-                done[some, b] = True
+            if need.any():
+                read = need.ravel()[cell]
+                n = first[pair[read] + 1] - first[pair[read]]
+                inner = _runs(first[pair[read]], n)
+                score += np.bincount(np.repeat(row[read], n) * len(self.examples) + place[inner], np.repeat(times[read], n) * weight[inner], minlength=len(score))
+                done |= need
+            table = score.reshape(len(texts), len(self.examples))
             if without is not None:
                 out = np.flatnonzero(without[texts] >= 0)
-                score[out, without[texts[out]]] = 0
-            if k <= score.shape[1]:
-                least = np.partition(score, -k, axis=1)[:, -k]
-        for row, low in zip(score, least, strict=True):
-            yield np.flatnonzero((row > 0) & (row >= low * (1 - 2 * ROUNDING)))
+                table[out, without[texts[out]]] = 0
+            if k <= table.shape[1]:
+                least = np.partition(table, -k, axis=1)[:, -k]
+        for own_score, low in zip(table, least, strict=True):
+            yield np.flatnonzero((own_score > 0) & (own_score >= low * (1 - 2 * ROUNDING)))
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[place]).sum() / (cosine.sum() + DOUBT))
@@ -186,6 +194,11 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.offset))))
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at ``start``, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 def alike(t: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, features: int) -> np.ndarray:
     """An order of n examples in which those of a block are alike: cut in two across the direction of the widest spread,
     and each part again, down to one block."""
@@ -254,10 +267,12 @@ def _fit(docs: DataFrame, labels: DataFrame, per_label: int) -> Index | None:
         return None
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n1, n0 = float(have[1]), float(have[0])
-    total = n1 + n0
-    chi2 = total * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(total - a - b, F.lit(0.5)))
-    chosen = found.groupBy("feature", "base").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum(1 - F.col("toxic").cast("long")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    picked = chosen.select("feature", "base").collect()
+    cells = [c + 0.5 for c in (a, n1 - a, b, n0 - b)]
+    lower = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3]) - ERRORS * F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
+    rated = found.groupBy("feature", "base").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum(1 - F.col("toxic").cast("long")).alias("b")).where(F.col("a") >= LEAST_EXAMPLES).withColumn("lower", lower)
+    picked = rated.where("lower >= 0").select("feature", "base").collect()
+    if len(picked) < LEAST_FEATURES:
+        picked = rated.orderBy(F.desc("lower"), "feature").limit(LEAST_FEATURES).select("feature", "base").collect()
     if not picked:
         return None
     hashes = np.unique(np.array([r["feature"] for r in picked], np.int64).view(U64))
