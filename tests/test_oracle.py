@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from vellum.plans import catalog, derived  # noqa: F401
+from vellum.plans import catalog, corpus, derived  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

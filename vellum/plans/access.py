@@ -11,6 +11,8 @@ from pyspark.sql.types import DoubleType
 
 from vellum.operators.charts import parse_table
 from vellum.plans.registry import QUERIES
+from vellum.sinks.files_sink import ReportSink
+from vellum.sources.files_source import FileSource
 
 
 @F.arrow_udf(DoubleType())
@@ -44,6 +46,13 @@ def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("chart_errors", F.udtf(ChartErrors, returnType="error_code string, error_message string"))
 
 
+def register_sources(spark: SparkSession) -> None:
+    """The formats ``vellum_files`` to read and ``vellum_reports`` to write; filters reach the former's list of files."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FileSource)
+    spark.dataSource.register(ReportSink)
+
+
 def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """The results of the named queries, or of all, as temporary views of the same names. Nothing runs before a view is read."""
     for name in names or tuple(QUERIES):

@@ -153,7 +153,7 @@ def email_sign_off(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(email.body_of(T.lines(F.concat(F.lit("To: x\nSubject: y\n"), text)))).alias("body_md5"))
 
 
-def _deadline(x: str) -> str:
+def deadline(x: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({x}, {S.lit('(?i)' + p)})" for p in lex.DEADLINES) + ")"
 
 
@@ -161,7 +161,7 @@ _DATED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Please send it by tomorrow
 
 
 @query(f"""WITH m AS ({S.mail_sentences(_DATED)}) SELECT d.doc_id, length(i) AS n_deadlines, md5(CASE WHEN length(i) = 0 THEN 'No clear deadline detected.' ELSE array_to_string(i, '|') END) AS deadlines_md5, (d.doc_id % 4 = 0)::INT * 1 AS n_actions_found, 1::BIGINT AS n_actions FROM documents d JOIN
-    (SELECT doc_id, list_filter(i, lambda x, k: list_position(list_transform(i, lambda y: lower(y)), lower(x)) = k)[1:5] AS i FROM (SELECT doc_id, list_transform(list_filter(s, lambda x: {_deadline('x')}), lambda x: {S.short('x')}) AS i FROM m)) USING (doc_id)""")
+    (SELECT doc_id, list_filter(i, lambda x, k: list_position(list_transform(i, lambda y: lower(y)), lower(x)) = k)[1:5] AS i FROM (SELECT doc_id, list_transform(list_filter(s, lambda x: {deadline('x')}), lambda x: {S.short('x')}) AS i FROM m)) USING (doc_id)""")
 def email_metrics(spark, sf_dir):
     """Figures of a mail: deadlines without the sentinel, actions with it."""
     lead = by_id(4, F.lit(""), r0=F.lit("Please send it by tomorrow to us. "), r1=F.lit("We met on 3/4 in town. We met on 3/4 in Town. "), r2=F.lit("The team decided by Friday so. "))

@@ -78,6 +78,36 @@ def _binary_text(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error_message"])
 
 
+#: Fixed value: what is said of a file of another kind, and of one without text.
+UNSUPPORTED, NO_TEXT = "Unsupported file type: TXT, DOCX or PDF is needed.", "No readable text was found: the file may be empty or hold scanned images."
+_BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def kind_of(path: str) -> str:
+    """The ending of a file's name, lower-case."""
+    name = path.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def read_file(path: str, content: bytes) -> dict[str, str | None]:
+    """text, error_code and error_message of one file, by the rules of ``documents_of``."""
+    kind = kind_of(path)
+    if kind not in ("txt", "docx", "pdf"):
+        return {"text": None, "error_code": "BAD_FILE", "error_message": UNSUPPORTED}
+    try:
+        if kind == "txt":
+            try:
+                text = content.decode()
+            except UnicodeDecodeError:
+                text = content.decode("latin-1")
+        else:
+            text = (word_text if kind == "docx" else pdf_text)(content)
+    except Exception as e:  # noqa: BLE001  one bad file must not end a corpus job
+        return {"text": None, "error_code": "BAD_FILE", "error_message": f"{type(e).__name__}: {e}"}
+    text = text.strip(_BLANK)
+    return {"text": text or None, "error_code": None if text else "NO_TEXT", "error_message": None if text else NO_TEXT}
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, text, error_code, error_message) of all files under a path."""
     return documents_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
@@ -89,10 +119,10 @@ def documents_of(files: DataFrame) -> DataFrame:
     is_text, is_binary = low.endswith(".txt"), low.endswith(".docx") | low.endswith(".pdf")
     read = _binary_text("path", F.when(is_binary, F.col("content")))  # one pass over the files; only these bytes go to Python
     text = F.when(is_text, decoded(F.col("content"))).otherwise(F.col("r.text"))
-    wrong = F.when(~(is_text | is_binary), "Unsupported file type: TXT, DOCX or PDF is needed.").when(~is_text, F.col("r.error_message"))
+    wrong = F.when(~(is_text | is_binary), UNSUPPORTED).when(~is_text, F.col("r.error_message"))
     rows = files.withColumn("r", read).select("path", F.regexp_replace(text, rf"^{WS}+|{WS}+$", "").alias("text"), wrong.alias("error_message"))
     code = F.when(F.col("error_message").isNotNull(), "BAD_FILE").when(F.col("text") == "", "NO_TEXT")
-    message = F.coalesce("error_message", F.when(F.col("text") == "", "No readable text was found: the file may be empty or hold scanned images."))
+    message = F.coalesce("error_message", F.when(F.col("text") == "", NO_TEXT))
     return rows.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.when(code.isNull(), F.col("text")).alias("text"), code.alias("error_code"), message.alias("error_message"))
 
 
