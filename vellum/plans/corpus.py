@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as lex, text as T
-from vellum.operators import email, lexicon, outline, review
+from vellum.operators import charts, compare, email, lexicon, metrics, outline, qa, review
 from vellum.plans import access, fixtures as fx, oracle as S
-from vellum.plans.catalog import documents, long, mails, table
-from vellum.plans.derived import by_id, deadline
-from vellum.plans.registry import query
-from vellum.sinks import reports
+from vellum.plans.catalog import documents, long, mails, neighbours, table
+from vellum.plans.derived import KEYWORDS, by_id, deadline, event_charts, order_plans
+from vellum.plans.registry import ORACLE_SQL, query
+from vellum.sinks import png, reports
 from vellum.sources.shared import work_folder
 
 NL = "chr(10)"
@@ -100,3 +105,74 @@ def source_files(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".md")
     documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("result")).write.format("vellum_reports").option("report", "text").mode("append").save(folder)
     return spark.read.format("vellum_files").load(folder).where("kind = 'txt'").select("name", "bytes", "error_code", F.md5("text").alias("text_md5"))
+
+
+# figures
+
+
+def _sums(task: str, of: str, results: str, **figures: str) -> str:
+    every = {"results": f"count(*) FILTER ({results})", "errors": f"count(*) FILTER (NOT ({results}))", **{k: f"coalesce(sum({v}), 0)" for k, v in figures.items()}}
+    return " UNION ALL ".join(f"SELECT '{task}' AS task, '{k}' AS figure, ({v})::BIGINT AS value FROM ({of})" for k, v in every.items())
+
+
+_SQL = ORACLE_SQL
+_REVIEWED_ALL = f"SELECT d.doc_id, c.completeness, m.n FROM documents d LEFT JOIN ({_SQL['review_completeness']}) c USING (doc_id) LEFT JOIN (SELECT doc_id, {len(fx.DATA_SECTIONS)} - n_detected AS n FROM ({_SQL['review_missing_sections']})) m USING (doc_id)"
+_ASKED_ALL = f"SELECT d.doc_id, a.ok, a.score FROM documents d LEFT JOIN ({_SQL['qa_document_answers']}) a USING (doc_id)"
+
+
+@query(" UNION ALL ".join((
+    _sums("review", _REVIEWED_ALL, "completeness IS NOT NULL", completeness="completeness", missing_sections="n"),
+    _sums("comparison", _SQL["compare_figures"], "error_code IS NULL", coverage="coverage", matched="matched", missing="missing", conflict="conflict"),
+    _sums("answer", _ASKED_ALL, "ok IS NOT NULL", supported="ok::INT", high_confidence="(score >= 0.65)::INT"),
+    _sums("chart", _SQL["chart_rules"], "error_code IS NULL", rows="n_rows"))))
+def task_metrics(spark, sf_dir):
+    """The figures of four tasks in sum, told by the jobs that made the results."""
+    docs = documents(spark, sf_dir)
+    asked = qa.answer_questions(docs.withColumn("question", F.substring(T.collapse(F.col("text")), 20, 101)), "text", "question", fx.DATA_HINTS)
+    pairs = compare.pair_figures(neighbours(spark, sf_dir), "pair_id", **KEYWORDS)
+    jobs = {
+        "review": (review.review_documents(docs, brd=fx.DATA_SECTIONS, vague=fx.DATA_PHRASES, terms=fx.DATA_TERMS), metrics.figures("review")),
+        "comparison": (pairs, {c: F.col(c) for c in ("coverage", "matched", "missing", "conflict")}),
+        "answer": (asked, metrics.figures("answer")), "chart": (charts.chart_data(event_charts(spark, sf_dir)), metrics.figures("chart")),
+    }
+    told = []
+    for task, (rows, shown) in jobs.items():
+        kept, seen = metrics.observed(rows, shown)
+        kept.write.format("noop").mode("overwrite").save()
+        told += [(task, k, v) for k, v in seen.get.items()]
+    return spark.createDataFrame(told, "task string, figure string, value long")
+
+
+# pictures
+
+
+@F.arrow_udf("struct<width: int, height: int, colours: int>")
+def _seen(png: pa.Array) -> pa.Array:
+    """Width, height and number of colours of pictures, read from their bytes."""
+    out = []
+    for body in png.to_pylist():
+        width, height = struct.unpack(">II", body[16:24])
+        data, at = b"", 8
+        while at < len(body):
+            size, kind = struct.unpack(">I4s", body[at : at + 8])
+            data += body[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+            at += 12 + size
+        lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, -1)[:, 1:].reshape(-1, 3)
+        there = np.zeros(1 << 24, bool)
+        there[lines[:, 0].astype(np.int32) << 16 | lines[:, 1].astype(np.int32) << 8 | lines[:, 2]] = True
+        out.append({"width": width, "height": height, "colours": int(there.sum())})
+    return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("colours", pa.int32())]))
+
+
+@F.arrow_udf("binary")
+def _drawn(chart: pa.Array) -> pa.Array:
+    return pa.array([png.chart_png(c) for c in chart.to_pylist()], pa.binary())
+
+
+@query(f"""SELECT doc_id, 1800::BIGINT AS width, floor(greatest(5.5::DOUBLE, n_tasks * 0.55::DOUBLE + 2) * 180)::BIGINT AS height, TRUE AS drawn FROM ({_SQL['gantt_rules']}) WHERE error_code IS NULL
+    UNION ALL SELECT doc_id, 1800, 1080, TRUE FROM ({_SQL['chart_rules']}) WHERE error_code IS NULL""")
+def chart_pictures(spark, sf_dir):
+    """Pictures of all valid charts and plans: their size, and that more than the ground is drawn."""
+    both = [charts.chart_data(f(spark, sf_dir)).where("error_code is null").select("doc_id", "chart") for f in (order_plans, event_charts)]
+    rows = [b.repartition(spark.sparkContext.defaultParallelism).select("doc_id", _drawn("chart").alias("png")).select("doc_id", _seen("png").alias("s")) for b in both]
+    return rows[0].unionByName(rows[1]).select("doc_id", long("s.width").alias("width"), long("s.height").alias("height"), (F.col("s.colours") > 2).alias("drawn"))

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType
 
 from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, limits, outline, qa, review
 from vellum.plans import access, fixtures as fx, oracle as S
 from vellum.plans.catalog import documents, joined, long, neighbours, table
 from vellum.plans.registry import query
-from vellum.sinks import reports, word
+from vellum.sinks import json_text, reports, word
 from vellum.sources import files
 
 
@@ -288,7 +288,7 @@ def compare_extra(spark, sf_dir):
 # charts
 
 
-def _events(spark, sf_dir) -> DataFrame:
+def event_charts(spark, sf_dir) -> DataFrame:
     """A chart table for each user: event types and their counts, with a fault by the user's remainder of 12."""
     n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     rows = n.groupBy(F.col("user_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("event_type", "n"))).alias("r"))
@@ -312,7 +312,7 @@ _EVENT_CODE = "CASE k WHEN 9 THEN 'BAD_CHART_TYPE' WHEN 5 THEN 'NO_ROWS' WHEN 4
     CASE WHEN code IS NULL THEN array_to_string(e, '|') END AS categories FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS}))""")
 def chart_rules(spark, sf_dir):
     """Chart tables of every user's events: parsing, types, the first broken rule, defaults of titles and labels."""
-    c = charts.chart_data(_events(spark, sf_dir))
+    c = charts.chart_data(event_charts(spark, sf_dir))
     message = F.when(F.col("error_code").isin("ROW_WIDTH", "NOT_NUMERIC", "TOO_FEW_COLUMNS"), F.col("error_message"))
     total = F.aggregate("chart.points", F.lit(0.0), lambda a, p: a + p["value"])
     return c.select("doc_id", "error_code", message.alias("row_message"), long("chart.row_count").alias("n_rows"), "chart.title", F.concat_ws("|", "chart.x_label", "chart.y_label").alias("a"), total.alias("total"), joined(F.transform("chart.points", lambda p: p["category"])).alias("categories")).withColumn("axes", F.nullif("a", F.lit(""))).drop("a")
@@ -324,28 +324,24 @@ def chart_rules(spark, sf_dir):
 def chart_cells(spark, sf_dir):
     """The rows of chart tables and what is wrong with a table, by table functions in SQL."""
     access.register_functions(spark)
-    tables = _events(spark, sf_dir).select("doc_id", "data_text")
+    tables = event_charts(spark, sf_dir).select("doc_id", "data_text")
     return spark.sql("""SELECT t.doc_id, e.error_code, cast(r.row_number AS BIGINT) AS row_number, get(r.cells, 0) AS category, get(r.cells, 1) AS value
         FROM {tables} t LEFT JOIN LATERAL chart_errors(t.data_text) e ON true LEFT JOIN LATERAL chart_rows(t.data_text) r ON true""", tables=tables)
 
 
-@F.udf(StringType())
-def _pretty(row):
-    return reports.pretty_json(row)
-
-
 @query(f"""SELECT doc_id, '{{' || chr(10) || '  "chart_type": "' || CASE WHEN k = 10 THEN 'Pie Chart' ELSE 'Bar Chart' END || '",' || chr(10) || '  "row_count": ' || len(v) || ',' || chr(10) || '  "title": "' || CASE WHEN doc_id % 2 = 0 THEN 'Own title' ELSE 'Count by Type' END || '"' || chr(10) || '}}' AS json,
     CASE WHEN k = 10 THEN 'pie_chart.png' ELSE 'bar_chart.png' END AS file FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS})) WHERE code IS NULL""")
 def chart_files(spark, sf_dir):
     """The metadata of valid charts as indented JSON, and the picture's file name."""
-    c = charts.chart_data(_events(spark, sf_dir)).where("error_code is null")
-    return c.select("doc_id", _pretty(F.struct("chart.chart_type", "chart.row_count", "chart.title")).alias("json"), reports.file_name(F.col("chart.chart_type"), ".png").alias("file"))
+    c = charts.chart_data(event_charts(spark, sf_dir)).where("error_code is null")
+    shown = c.select("doc_id", F.struct("chart.chart_type", "chart.row_count", "chart.title").alias("m"), "chart")
+    return shown.select("doc_id", json_text.pretty(F.col("m"), shown.schema["m"].dataType).alias("json"), reports.file_name(F.col("chart.chart_type"), ".png").alias("file"))
 
 
 _SPANS = "SELECT doc_id, o, s, greatest(e, s) AS e FROM (SELECT o_custkey AS doc_id, o_orderkey AS o, o_orderdate::DATE AS s, max(l_shipdate)::DATE AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
-def _plans(spark, sf_dir) -> DataFrame:
+def order_plans(spark, sf_dir) -> DataFrame:
     """A plan for each customer: orders from their date to the last shipment, if that is later, with a fault by the customer's remainder of 6."""
     last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("e"))
     rows = table(spark, sf_dir, "orders").join(last, "o_orderkey").select(F.col("o_custkey").alias("doc_id"), F.struct(F.col("o_orderkey").alias("o"), F.to_date("o_orderdate").alias("s"), F.greatest(F.to_date("e"), F.to_date("o_orderdate")).alias("e")).alias("t"))
@@ -367,7 +363,7 @@ def _plans(spark, sf_dir) -> DataFrame:
     CASE WHEN code IS NULL AND NOT late THEN n END AS n_tasks, CASE WHEN code IS NULL AND NOT late THEN days END AS days, CASE WHEN code IS NULL AND NOT late THEN lead END AS first_task FROM g""")
 def gantt_rules(spark, sf_dir):
     """Plans of every customer: names, dates, the first broken rule, order by start and inclusive durations."""
-    c = charts.chart_data(_plans(spark, sf_dir))
+    c = charts.chart_data(order_plans(spark, sf_dir))
     message = F.when(F.col("error_code").isin("NO_TASK_NAME", "BAD_DATE", "END_BEFORE_START"), F.col("error_message"))
     tasks = F.col("chart.tasks")
     return c.select("doc_id", "error_code", message.alias("row_message"), long(F.size(tasks)).alias("n_tasks"), F.aggregate(tasks, F.lit(0).cast("long"), lambda a, t: a + t["duration_days"]).alias("days"), F.get(tasks, F.lit(0))["task"].alias("first_task"))
