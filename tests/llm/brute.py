@@ -102,6 +102,33 @@ def secrets(text):
     return [(a, b, name) for a, _, b, name in found]
 
 
+BARE = re.compile("[A-Za-z0-9+/_-]{20,}")
+
+
+def redacted(rows):
+    """{doc_id: text} of (doc_id, text, source, lang) with secrets replaced: the base spans, and bare words of letters and
+    digits that fewer than three sources and four pairs of source and language have, apart from base spans."""
+    spans, owners, places = {}, {}, {}
+    for i, text, source, lang in rows:
+        base = [(a, b, None) for a, b, _ in secrets(text)]
+        bare = [(m.start(), m.end(), m[0]) for m in BARE.finditer(text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        spans[i] = base + bare
+        values = [m.group(g) for _, p, g, least in KINDS for m in p.finditer(text or "") if len(m.group(g)) >= least] + [v for _, _, v in bare]
+        for v in values:
+            owners.setdefault(v, set()).add(source or "")
+            places.setdefault(v, set()).add((source or "", "/".join(x for x in (source, lang) if x is not None)))
+    out = {}
+    for i, text, _, _ in rows:
+        own = sorted((a, b) for a, b, v in spans[i] if v is None or len(owners[v]) < 3 and len(places[v]) < 4)
+        done, at = "", 0
+        for a, b in own:
+            if a >= at:
+                done += text[at:a] + "[REDACTED]"
+            at = max(at, b)
+        out[i] = done + text[at:] if own else text
+    return out
+
+
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
 
