@@ -1,7 +1,8 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For a byte-level BPE every prefix of a word has one last token: the token t such that the encoding of the prefix is the
-encoding of what lies before t, followed by t. An automaton over the vocabulary gives the tokens that end at a byte,
+encoding of what lies before t, followed by t. An automaton over the vocabulary, a trie with failure links (a suffix of
+what is read leads to each match) and not the minimal automaton of all suffixes, gives the tokens that end at a byte,
 longest first; the pair-compatibility test tells whether t may follow the last token stored before it. Exactly one does.
 Following the stored tokens back from the end of the word gives its ids. All words of a batch advance together in numpy.
 """
@@ -277,7 +278,9 @@ def load(path: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of every whole text (array of int). One narrow Arrow pass; null texts are empty."""
+    """doc_id and the ids of every whole text (array of int). One narrow Arrow pass. Null and empty texts have no ids, null
+    doc_ids stay null, repeated rows and very long texts are rows like others, an empty table gives an empty result,
+    other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -290,7 +293,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and the text of its ids; ids that the vocabulary lacks give nothing."""
+    """doc_id and the text of its ids; ids that the vocabulary lacks give nothing. Null or empty ids give an empty text; null
+    doc_ids, repeated rows and empty tables as in ``encode_documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -20,7 +20,8 @@ from vellum.llm.common import U64, lean, mix, partitions, row_key, slices, texts
 
 #: Code points of an anchor and of the inner substring; bins of a fingerprint; documents of a bucket of neighbours, as a mean; most buckets.
 K, S, BINS, BUCKET_ROWS, MAX_BUCKETS = 20, 8, 64, 100, 1_000_000
-#: Largest place that a fingerprint writes; later places count as this one.
+#: Largest place that a fingerprint writes; later places count as this one, so that in texts of more than 16.7 million code
+#: points anchors beyond it agree by their hashes alone, not in order, and equal ones there do not add to the likeness.
 LAST_PLACE = 0xFFFFFF
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -138,7 +139,8 @@ def likeness(a: Sketch, b: Sketch) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every whole text; one narrow pass."""
+    """doc_id and fingerprint of every whole text; one narrow pass. Null texts are empty, null doc_ids stay null, equal texts
+    and repeated rows have equal fingerprints, an empty table gives an empty result, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,7 +151,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def document_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, place (code points) and hash of every anchor, for positional matching of texts by joins on the hash."""
+    """doc_id, place (code points) and hash of every anchor, for positional matching of texts by joins on the hash. Texts
+    shorter than an anchor, null ones too, give no row; repeated rows give theirs again; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

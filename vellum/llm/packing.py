@@ -5,6 +5,9 @@ nothing, at a sentence's end for a small penalty, at any other id for a larger o
 ends that minimise padding plus penalties over the whole stream; its transition takes a sliding minimum, held in a
 monotone queue. A window that ends at neither end is worth its penalty only when it is full, and only from the start
 that is cheapest while it leaves the queue, so that few of the other positions need to be looked at.
+
+The ids at the end of a partition that fill no window are cut into powers of two, which need no padding: at most eleven
+short sequences a partition, the shortest of a single id. Who trains on windows alone leaves them out by their length.
 """
 
 from __future__ import annotations

@@ -457,7 +457,8 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end): the maximal runs of words of each document that occur earlier, ends exclusive."""
+    """(doc_id, start, end): the maximal runs of words of each document that occur earlier, ends exclusive. Null, empty and
+    short texts give no row; null and repeated ids, repeated rows and empty tables as in ``repeat_digests``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -149,7 +149,7 @@ INDEX = "page_id long, file string, offset long, length long"
 def write_files(records: DataFrame, folder: str) -> DataFrame:
     """Write the records of ``read_archive`` as .warc.gz files, one for each task, each record a gzip member of its own.
 
-    Returns the index: (page_id, file, offset, length) of every record. ``folder``: a URI that all executors reach by
+    Returns the index: (page_id, file, offset, length) of every record, repeated ones too; no records give no rows. ``folder``: a URI that all executors reach by
     pyarrow's file systems. A file gets its name when it is whole; a task that is run again writes one of another name,
     which the index names alone, as it is written with the task's result. Records of one page_id may be several."""
 
@@ -177,7 +177,8 @@ def write_files(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """(page_id, record) of every record that the index names, read from the files member by member."""
+    """(page_id, record) of every record that the index names, read from the files member by member; a null page_id stays
+    null, an index of no rows gives none, and a file that is gone is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
