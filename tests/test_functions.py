@@ -1,5 +1,6 @@
 """Text functions against plain Python statements of their rules, on random texts."""
 
+import datetime
 import difflib
 import random
 
@@ -195,7 +196,8 @@ def test_rule(spark, rule):
 def test_numbers(spark):
     cases = [("1,200", 1200.0), ("1_000", 1000.0), ("1d", None), ("1f", None), ("٥", 5.0), (" 2.5 ", 2.5), ("1__0", None), ("", None), ("-3e2", -300.0), ("abc", None)]
     got = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(N.to_number(F.col("c")).alias("v")).collect()
-    assert [r.v for r in got] == [v for _, v in cases]
+    assert [r.v for r in got] == [v for _, v in cases] == [N.plain_number(c) for c, _ in cases]
+    assert N.plain_day(" 2026-8-1 ") == datetime.date(2026, 8, 1)
     days = [("2026-8-1", True), ("2026-02-30", False), ("2026/08/01", False), ("2026-12-31", True), ("", False)]
     assert [r.d is not None for r in spark.createDataFrame([(c,) for c, _ in days], "c string").select(N.to_day(F.col("c")).alias("d")).collect()] == [ok for _, ok in days]
     assert [r.p for r in spark.createDataFrame([(1, 8), (3, 8), (4, 9), (0, 0)], "a int, b int").select(N.percent_of(F.col("a"), F.col("b")).alias("p")).collect()] == [12, 38, 44, None]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column, functions as F
 
 from vellum.functions.text import WS
@@ -33,3 +36,19 @@ def to_day(cell: Column) -> Column:
 
 def days_inclusive(start: Column, end: Column) -> Column:
     return F.datediff(end, start) + 1
+
+
+def plain_number(cell: str) -> float | None:
+    """``to_number`` of one cell, in Python."""
+    body = re.sub(r"(?<=[0-9])_(?=[0-9])", "", cell.replace(",", "").strip().translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789")))
+    fits = re.fullmatch(r"(?i)[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)", body)
+    return float(body) if fits else None
+
+
+def plain_day(cell: str) -> datetime.date | None:
+    """``to_day`` of one cell, in Python."""
+    found = re.fullmatch(r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", cell.strip())
+    try:
+        return datetime.date(*map(int, found.groups())) if found else None
+    except ValueError:
+        return None

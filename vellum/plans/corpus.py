@@ -13,7 +13,7 @@ from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, lexicon, metrics, outline, qa, review
 from vellum.plans import access, fixtures as fx, oracle as S
 from vellum.plans.catalog import documents, long, mails, neighbours, table
-from vellum.plans.derived import KEYWORDS, by_id, deadline, event_charts, order_plans
+from vellum.plans.derived import EVENTS, KEYWORDS, by_id, deadline, event_charts, order_plans
 from vellum.plans.registry import ORACLE_SQL, query
 from vellum.sinks import png, reports
 from vellum.sources.shared import work_folder
@@ -143,6 +143,17 @@ def task_metrics(spark, sf_dir):
     return spark.createDataFrame(told, "task string, figure string, value long")
 
 
+# table functions
+
+
+@query(f"""SELECT doc_id, (i + 1)::INT AS row_number, e[i] AS "Type", CASE WHEN k = 2 AND i = len(v) THEN NULL WHEN k = 1 AND i = 1 THEN (1000 + v[i])::DOUBLE WHEN k = 6 AND i = 1 THEN -v[i]::DOUBLE WHEN k = 8 THEN 0 ELSE v[i]::DOUBLE END AS "Count"
+    FROM (SELECT doc_id, k, v, e, unnest(range(1, len(v) + 1)) AS i FROM ({EVENTS}) WHERE k NOT IN (3, 4, 5, 11))""")
+def chart_table(spark, sf_dir):
+    """Chart tables of one header as a table with its names and types, by a function whose schema comes from its arguments."""
+    access.register_functions(spark)
+    return spark.sql("SELECT * FROM chart_table(TABLE({tables}), ' Type ,Count', 'Bar Chart')", tables=event_charts(spark, sf_dir).select("doc_id", "data_text"))
+
+
 # pictures
 
 

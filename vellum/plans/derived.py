@@ -303,13 +303,13 @@ def event_charts(spark, sf_dir) -> DataFrame:
     return rows.select("doc_id", kind.alias("chart_type"), F.concat(head, body).alias("data_text"), F.when(F.col("doc_id") % 2 == 0, " Own  title ").otherwise("").alias("title"), F.lit("").alias("x_label"), F.lit(None).cast("string").alias("y_label"))
 
 
-_EVENTS = "SELECT user_id AS doc_id, user_id % 12 AS k, list(n ORDER BY event_type) AS v, list(event_type ORDER BY event_type) AS e FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"
+EVENTS = "SELECT user_id AS doc_id, user_id % 12 AS k, list(n ORDER BY event_type) AS v, list(event_type ORDER BY event_type) AS e FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"
 _EVENT_CODE = "CASE k WHEN 9 THEN 'BAD_CHART_TYPE' WHEN 5 THEN 'NO_ROWS' WHEN 4 THEN 'BLANK_HEADER' WHEN 3 THEN 'ROW_WIDTH' WHEN 11 THEN 'TOO_FEW_COLUMNS' WHEN 2 THEN 'NOT_NUMERIC' WHEN 6 THEN 'PIE_NEGATIVE' WHEN 8 THEN 'PIE_TOTAL' END"
 
 
 @query(f"""SELECT doc_id, code AS error_code, CASE code WHEN 'ROW_WIDTH' THEN 'Row ' || (len(v) + 1) || ' has 3 columns, but the header has 2.' WHEN 'NOT_NUMERIC' THEN 'Value ''' || v[-1] || 'd'' in row ' || (len(v) + 1) || ' must be numeric.' WHEN 'TOO_FEW_COLUMNS' THEN 'Bar Chart requires at least two columns.' END AS row_message,
     CASE WHEN code IS NULL THEN len(v) END AS n_rows, CASE WHEN code IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'Own title' ELSE 'Count by Type' END END AS title, CASE WHEN code IS NULL THEN 'Type|Count' END AS axes, CASE WHEN code IS NULL THEN list_sum(v)::DOUBLE + CASE WHEN k = 1 THEN 1000 ELSE 0 END END AS total,
-    CASE WHEN code IS NULL THEN array_to_string(e, '|') END AS categories FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS}))""")
+    CASE WHEN code IS NULL THEN array_to_string(e, '|') END AS categories FROM (SELECT *, {_EVENT_CODE} AS code FROM ({EVENTS}))""")
 def chart_rules(spark, sf_dir):
     """Chart tables of every user's events: parsing, types, the first broken rule, defaults of titles and labels."""
     c = charts.chart_data(event_charts(spark, sf_dir))
@@ -318,9 +318,9 @@ def chart_rules(spark, sf_dir):
     return c.select("doc_id", "error_code", message.alias("row_message"), long("chart.row_count").alias("n_rows"), "chart.title", F.concat_ws("|", "chart.x_label", "chart.y_label").alias("a"), total.alias("total"), joined(F.transform("chart.points", lambda p: p["category"])).alias("categories")).withColumn("axes", F.nullif("a", F.lit(""))).drop("a")
 
 
-@query(f"""SELECT doc_id, code AS error_code, row_number, category, value FROM (SELECT doc_id, CASE WHEN code IN ('NO_ROWS', 'BLANK_HEADER', 'ROW_WIDTH') THEN code END AS code, k, v, e FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS})))
+@query(f"""SELECT doc_id, code AS error_code, row_number, category, value FROM (SELECT doc_id, CASE WHEN code IN ('NO_ROWS', 'BLANK_HEADER', 'ROW_WIDTH') THEN code END AS code, k, v, e FROM (SELECT *, {_EVENT_CODE} AS code FROM ({EVENTS})))
     LEFT JOIN (SELECT doc_id, i + 1 AS row_number, e[i] AS category, CASE WHEN k = 11 THEN NULL WHEN k = 1 AND i = 1 THEN '1,' || lpad(v[i]::VARCHAR, 3, '0') WHEN k = 2 AND i = len(v) THEN v[i] || 'd' WHEN k = 6 AND i = 1 THEN '-' || v[i] WHEN k = 8 THEN '0' ELSE v[i]::VARCHAR END AS value
-    FROM (SELECT doc_id, k, v, e, unnest(range(1, len(v) + 1)) AS i FROM ({_EVENTS}) WHERE k NOT IN (3, 4, 5))) USING (doc_id)""")
+    FROM (SELECT doc_id, k, v, e, unnest(range(1, len(v) + 1)) AS i FROM ({EVENTS}) WHERE k NOT IN (3, 4, 5))) USING (doc_id)""")
 def chart_cells(spark, sf_dir):
     """The rows of chart tables and what is wrong with a table, by table functions in SQL."""
     access.register_functions(spark)
@@ -330,7 +330,7 @@ def chart_cells(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, '{{' || chr(10) || '  "chart_type": "' || CASE WHEN k = 10 THEN 'Pie Chart' ELSE 'Bar Chart' END || '",' || chr(10) || '  "row_count": ' || len(v) || ',' || chr(10) || '  "title": "' || CASE WHEN doc_id % 2 = 0 THEN 'Own title' ELSE 'Count by Type' END || '"' || chr(10) || '}}' AS json,
-    CASE WHEN k = 10 THEN 'pie_chart.png' ELSE 'bar_chart.png' END AS file FROM (SELECT *, {_EVENT_CODE} AS code FROM ({_EVENTS})) WHERE code IS NULL""")
+    CASE WHEN k = 10 THEN 'pie_chart.png' ELSE 'bar_chart.png' END AS file FROM (SELECT *, {_EVENT_CODE} AS code FROM ({EVENTS})) WHERE code IS NULL""")
 def chart_files(spark, sf_dir):
     """The metadata of valid charts as indented JSON, and the picture's file name."""
     c = charts.chart_data(event_charts(spark, sf_dir)).where("error_code is null")
