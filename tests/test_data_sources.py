@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import charts, compare, lexicon, outline, review
 from vellum.plans import access, fixtures as fx
-from vellum.sinks import files_sink
+from vellum.sinks import files_sink, pdf
 from vellum.sources import files, files_source
+from vellum.sources.pdf import pages_of, rc4, unpredicted
 
 TEXTS = [(i, f"text {i} é.\n" * (1 + i % 4)) for i in range(23)]
 
@@ -193,3 +194,37 @@ def test_join_equals_the_literal_form(spark, sf_dir):
     literal = docs.select("doc_id", F.explode(T.found_words(F.lower(T.collapse(F.col("text"))), words)).alias("keyword"))
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, literal.collect()))
     assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("form", range(8))
+def test_pdf_forms(form):
+    """Objects in a table or in streams with predictors, Latin and composite fonts, encrypted or not; several pages."""
+    text = "\n".join(f"line {i} é (x) \\ü  end" for i in range(65)) + "\n\n  last 中文"
+    lines = [x for x in text.split("\n") if x.strip()]
+    body = pdf.text_pdf(text, bool(form & 1), bool(form & 2), bool(form & 4))
+    expected = ["\n".join(lines[i : i + pdf.LINES]) for i in range(0, len(lines), pdf.LINES)]
+    assert pages_of(body) == [x if form & 2 else x.replace("中文", "??") for x in expected]
+    assert (b"line 1" in body, b"/Encrypt" in body, b"/ObjStm" in body) == (False, bool(form & 4), bool(form & 1))
+
+
+def test_pdf_that_needs_a_password():
+    body = pdf.text_pdf("text", locked=True)
+    mark = body.index(b"/U <") + 4
+    with pytest.raises(ValueError, match="password"):
+        pages_of(body[:mark] + b"00" * 16 + body[mark + 32 :])
+    with pytest.raises(ValueError, match="not supported"):
+        pages_of(body.replace(b"/V 2", b"/V 5"))
+
+
+def test_pdf_arithmetic():
+    assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and rc4(b"Secret", b"Attack at dawn").hex() == "45a01f645fc35b383552544b9bf5"
+    rows = [bytes([k]) + bytes(row) for k, row in enumerate([[1, 2, 3, 4], [1, 1, 1, 1], [1, 1, 1, 1], [2, 2, 2, 2], [3, 0, 1, 255]])]
+    assert list(unpredicted(b"".join(rows), 4, 1)) == [1, 2, 3, 4, 1, 2, 3, 4, 2, 3, 4, 5, 3, 5, 6, 7, 6, 6, 7, 6]
+
+
+def test_codes_of_several_lengths():
+    """A composite font whose codes have one byte or two, as its map says."""
+    told = b"1 begincodespacerange <00> <7f> endcodespacerange 1 begincodespacerange <8000> <ffff> endcodespacerange 2 beginbfchar <41> <0061> <8141> <4e2d> endbfchar 1 beginbfrange <42> <44> <0062> endbfrange"
+    page = b"BT /F1 9 Tf <4142814144> Tj ET"
+    body = b"%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj 2 0 obj <</Kids [3 0 R]>> endobj 3 0 obj <</Contents 4 0 R /Resources <</Font <</F1 5 0 R>>>>>> endobj 4 0 obj <</Length %d>>\nstream\n%s\nendstream endobj 5 0 obj <</Subtype /Type0 /ToUnicode 6 0 R>> endobj 6 0 obj <</Length %d>>\nstream\n%s\nendstream endobj" % (len(page), page, len(told), told)
+    assert pages_of(body) == ["ab中d"]

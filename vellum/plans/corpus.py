@@ -15,7 +15,8 @@ from vellum.plans import access, fixtures as fx, oracle as S
 from vellum.plans.catalog import documents, long, mails, neighbours, table
 from vellum.plans.derived import EVENTS, KEYWORDS, by_id, deadline, event_charts, order_plans
 from vellum.plans.registry import ORACLE_SQL, query
-from vellum.sinks import png, reports
+from vellum.sinks import pdf, png, reports
+from vellum.sources import files
 from vellum.sources.shared import work_folder
 
 NL = "chr(10)"
@@ -107,6 +108,24 @@ def source_files(spark, sf_dir):
     return spark.read.format("vellum_files").load(folder).where("kind = 'txt'").select("name", "bytes", "error_code", F.md5("text").alias("text_md5"))
 
 
+_GAPS = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
+
+@F.arrow_udf("binary")
+def _pdf(text: pa.Array, form: pa.Array) -> pa.Array:
+    return pa.array([pdf.text_pdf(t, bool(n & 1), bool(n & 2), bool(n & 4)) for t, n in zip(text.to_pylist(), form.to_pylist(), strict=True)], pa.binary())
+
+
+@query(f"""WITH l AS (SELECT doc_id, x, i FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(CASE WHEN doc_id // 2 % 2 = 1 THEN text ELSE regexp_replace(text, '[^ -~\n]', '', 'g') END, {NL}), lambda x: trim(x, {_GAPS}) <> '') AS ls FROM documents))),
+    p AS (SELECT doc_id, i // {pdf.LINES} + 1 AS p, trim(string_agg(rtrim(x, {_GAPS}), {NL} ORDER BY i), {_GAPS}) AS t FROM l GROUP BY ALL), t AS (SELECT doc_id, string_agg('--- Page ' || p || ' ---' || {NL} || t, {NL} || {NL} ORDER BY p) AS t FROM p GROUP BY doc_id)
+    SELECT 'in/' || doc_id || '.pdf' AS path, CASE WHEN t IS NULL THEN 'NO_TEXT' END AS error_code, md5(t) AS text_md5 FROM documents LEFT JOIN t USING (doc_id)""")
+def source_pdf(spark, sf_dir):
+    """PDF files of all documents, read again: with a table of objects or streams of them, Latin or composite fonts, encrypted or not."""
+    text = F.when(F.floor(F.col("doc_id") / 2) % 2 == 1, F.col("text")).otherwise(F.regexp_replace("text", r"[^ -~\n]", ""))
+    given = documents(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), _pdf(text, (F.col("doc_id") % 8).cast("int")).alias("content"))
+    return files.documents_of(given).select("path", "error_code", F.md5("text").alias("text_md5"))
+
+
 # figures
 
 

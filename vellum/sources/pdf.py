@@ -1,10 +1,12 @@
-"""Text of PDF pages with the standard library: plain and Flate streams, object streams, simple fonts and Unicode maps.
+"""Text of PDF pages with the standard library: plain and Flate streams with predictors, object and cross-reference streams,
+simple and composite fonts with Unicode maps of codes of one or more bytes, standard encryption without a password.
 
-Enough for reports that programs write. Encrypted files, other filters and scanned pages give an error or no text; a full
-library is used in its place where there is one."""
+Enough for reports that programs write. Files that need a password or are encrypted by AES, other filters and scanned
+pages give an error or no text; a full library is used in its place where there is one."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +19,67 @@ _TOKEN = re.compile(
 _ESCAPED = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 
 
+#: Fixed value of the format: what stands for a missing password.
+PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+
+
+def rc4(key: bytes, data: bytes) -> bytes:
+    """Encrypts and decrypts."""
+    state, j = list(range(256)), 0
+    for i in range(256):
+        j = (j + state[i] + key[i % len(key)]) & 255
+        state[i], state[j] = state[j], state[i]
+    out, i, j = bytearray(len(data)), 0, 0
+    for at, c in enumerate(data):
+        i = (i + 1) & 255
+        x = state[i]
+        j = (j + x) & 255
+        y = state[j]
+        state[i], state[j] = y, x
+        out[at] = c ^ state[(x + y) & 255]
+    return bytes(out)
+
+
+def file_key(owner: bytes, rights: int, name: bytes, size: int, revision: int) -> bytes:
+    """The key of a file without a password, from what the file says of its encryption."""
+    key = hashlib.md5(PADDING + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + name).digest()
+    for _ in range(50 if revision >= 3 else 0):
+        key = hashlib.md5(key[:size]).digest()
+    return key[:size]
+
+
+def user_mark(key: bytes, name: bytes, revision: int) -> bytes:
+    """What a file holds to tell whether a key is right."""
+    if revision < 3:
+        return rc4(key, PADDING)
+    mark = hashlib.md5(PADDING + name).digest()
+    for i in range(20):
+        mark = rc4(bytes(k ^ i for k in key), mark)
+    return mark
+
+
+def object_key(key: bytes, number: int, generation: int) -> bytes:
+    return hashlib.md5(key + number.to_bytes(3, "little") + generation.to_bytes(2, "little")).digest()[: min(len(key) + 5, 16)]
+
+
+def unpredicted(data: bytes, columns: int, pixel: int) -> bytes:
+    """Rows of bytes from their differences to the left, above, or both; each row begins with the number of its kind."""
+    above, out = bytearray(columns), bytearray()
+    for at in range(0, len(data), columns + 1):
+        kind, row = data[at], bytearray(data[at + 1 : at + 1 + columns])
+        for i in range(len(row)):
+            left, up, corner = row[i - pixel] if i >= pixel else 0, above[i], above[i - pixel] if i >= pixel else 0
+            if kind == 4:
+                guess = left + up - corner
+                near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            else:
+                near = (0, left, up, (left + up) // 2)[kind]
+            row[i] = (row[i] + near) & 255
+        out += row
+        above = row + bytes(columns - len(row))
+    return bytes(out)
+
+
 class Name(str):
     """A name of the format."""
 
@@ -93,23 +156,36 @@ class File:
     def __init__(self, data: bytes):
         if not data.lstrip().startswith(b"%PDF-"):
             raise ValueError("no PDF file")
-        if re.search(rb"/Encrypt\s+\d", data):
-            raise ValueError("the file is encrypted")
+        self.generation: dict[int, int] = {}
+        self.key = b""
         self.objects: dict[int, object] = {}
         self.streams: dict[int, bytes] = {}
-        for found in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
+        for found in re.finditer(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b", data):
             n, (value, at) = int(found[1]), next(values(data, found.end()), (None, found.end()))
-            self.objects[n] = value
+            self.objects[n], self.generation[n] = value, int(found[2])
             if isinstance(value, dict) and (body := re.compile(rb"\s*stream\r?\n").match(data, at)):
                 size = value.get("Length")
                 end = body.end() + size if isinstance(size, int) and not isinstance(size, Reference) else data.find(b"endstream", body.end())
                 self.streams[n] = data[body.end() : end]
+        ends = [next(values(data, found.end()), (None, 0))[0] for found in re.finditer(rb"\btrailer\b", data)] + [x for x in self.objects.values() if isinstance(x, dict) and x.get("Type") == "XRef"]
+        for end in ends:
+            if isinstance(end, dict) and "Encrypt" in end and not self.key:
+                self.key = self._unlock(self.get(end["Encrypt"]), self.get(end.get("ID")))
         for n in [n for n, x in self.objects.items() if isinstance(x, dict) and x.get("Type") == "ObjStm"]:
             body, first = self.stream(n), self.objects[n]["First"]
             numbers = [v for v, _ in values(body[:first])]
             for k, at in zip(numbers[::2], numbers[1::2], strict=False):
                 self.objects.setdefault(k, next(values(body, first + at), (None, 0))[0])
 
+    def _unlock(self, told: object, names: object) -> bytes:
+        if not isinstance(told, dict) or told.get("Filter") != "Standard" or told.get("V") not in (1, 2):
+            raise ValueError("this kind of encryption is not supported")
+        revision, name = told.get("R", 2), names[0] if isinstance(names, list) and names else b""
+        key = file_key(told["O"], int(told["P"]), name, int(told.get("Length", 40)) // 8 if revision >= 3 else 5, revision)
+        if user_mark(key, name, revision)[:16] != told["U"][:16]:
+            raise ValueError("the file needs a password")
+        return key
+
     def get(self, value: object) -> object:
         seen = 0
         while isinstance(value, Reference) and seen < 50:
@@ -118,11 +194,21 @@ class File:
 
     def stream(self, n: int) -> bytes:
         head, body = self.objects[n], self.streams.get(n, b"")
+        if self.key and head.get("Type") != "XRef":
+            body = rc4(object_key(self.key, n, self.generation[n]), body)
         filters = self.get(head.get("Filter")) or []
-        for name in filters if isinstance(filters, list) else [filters]:
+        filters = filters if isinstance(filters, list) else [filters]
+        hints = self.get(head.get("DecodeParms"))
+        hints = hints if isinstance(hints, list) else [hints] * len(filters)
+        for name, hint in zip(filters, hints, strict=False):
             if name != "FlateDecode":
                 raise ValueError(f"the filter {name} is not supported")
-            body = zlib.decompressobj().decompress(body)
+            body, hint = zlib.decompressobj().decompress(body), self.get(hint)
+            if isinstance(hint, dict) and hint.get("Predictor", 1) > 1:
+                if hint["Predictor"] < 10:
+                    raise ValueError("this predictor is not supported")
+                bits = hint.get("Colors", 1) * hint.get("BitsPerComponent", 8)
+                body = unpredicted(body, (hint.get("Columns", 1) * bits + 7) // 8, max(1, bits // 8))
         return body
 
     def pages(self) -> Iterator[dict]:
@@ -138,18 +224,22 @@ class File:
             else:
                 yield node | own
 
-    def font(self, reference: object) -> tuple[int, dict[int, str]]:
-        """(bytes of a code, what codes mean) of a font; codes that are not listed are Latin letters."""
+    def font(self, reference: object) -> tuple[list[tuple[int, int, int]], dict[int, str]]:
+        """(ranges of codes as bytes, first and last; what codes mean) of a font; codes that are not listed are Latin letters."""
         font = self.get(reference)
         if not isinstance(font, dict):
-            return 1, {}
+            return [(1, 0, 255)], {}
         means: dict[int, str] = {}
+        ranges: list[tuple[int, int, int]] = []
         if isinstance(font.get("ToUnicode"), Reference):
             held: list = []
             for value, _ in values(self.stream(int(font["ToUnicode"]))):
                 if value == "endbfchar":
                     pairs = [x for x in held if isinstance(x, bytes)]
                     means |= {int.from_bytes(a, "big"): b.decode("utf-16-be", "replace") for a, b in zip(pairs[::2], pairs[1::2], strict=False)}
+                elif value == "endcodespacerange":
+                    pairs = [x for x in held if isinstance(x, bytes)]
+                    ranges += [(len(a), int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(pairs[::2], pairs[1::2], strict=False)]
                 elif value == "endbfrange":
                     for a, b, to in zip(held[::3], held[1::3], held[2::3], strict=False):
                         for k in range(int.from_bytes(a, "big"), min(int.from_bytes(b, "big"), int.from_bytes(a, "big") + 65535) + 1):
@@ -159,7 +249,9 @@ class File:
                     held = []
                     continue
                 held = [] if isinstance(value, Word) else [*held, value]
-        return (2 if font.get("Subtype") == "Type0" else 1), means
+        if font.get("Subtype") != "Type0":
+            return [(1, 0, 255)], means
+        return sorted(ranges) or [(2, 0, 65535)], means
 
 
 def page_text(file: File, page: dict) -> str:
@@ -168,12 +260,16 @@ def page_text(file: File, page: dict) -> str:
     contents = contents if isinstance(contents, Reference) and not isinstance(file.get(contents), list) else file.get(contents)
     data = b"\n".join(file.stream(int(x)) for x in (contents if isinstance(contents, list) else [contents]) if isinstance(x, Reference))
     fonts = file.get((file.get(page.get("Resources")) or {}).get("Font")) or {}
-    known: dict[str, tuple[int, dict[int, str]]] = {}
-    size, means = 1, {}
+    known: dict[str, tuple[list[tuple[int, int, int]], dict[int, str]]] = {}
+    ranges, means = [(1, 0, 255)], {}
     out, held = [], []
 
     def show(x: bytes) -> None:
-        codes = [int.from_bytes(x[i : i + size], "big") for i in range(0, len(x), size)]
+        codes, at = [], 0
+        while at < len(x):  # the shortest code whose range it lies in
+            size = next((n for n, lo, hi in ranges if len(x) - at >= n and lo <= int.from_bytes(x[at : at + n], "big") <= hi), ranges[0][0])
+            codes.append(int.from_bytes(x[at : at + size], "big"))
+            at += size
         out.append("".join(means[c] if c in means else bytes([c]).decode("cp1252", "replace") if c < 256 else "�" for c in codes))
 
     for value, _ in values(data):
@@ -183,7 +279,7 @@ def page_text(file: File, page: dict) -> str:
         if value == "Tf" and held and len(held) > 1:
             name = str(held[-2])
             known.setdefault(name, file.font(fonts.get(name)))
-            size, means = known[name]
+            ranges, means = known[name]
         elif value in ("Td", "TD") and len(held) > 1 and held[-1] != 0 or value in ("T*", "'", '"', "Tm", "ET"):
             out.append("\n")
         if value in ("Tj", "'", '"') and held and isinstance(held[-1], bytes):
