@@ -2,10 +2,10 @@
 
 Features are words and starts of words that are more frequent in toxic examples than in clean ones, by a lower bound of
 the log odds ratio, and in any case the ``LEAST_FEATURES`` best. Examples that are alike stand in one block. A feature has
-postings: the examples that have it and their weights, block by block, with the largest weight of each block. A text
-reads the postings of its own features alone: the largest weights bound the cosine of all examples of a block, blocks are
-visited by falling bound, and none whose bound is below the cosines already found. The votes of the nearest, weighted by
-cosine, give the score; a text without a feature has no neighbour and no vote.
+postings: the blocks that have it, with its largest weight in each. A text reads the postings of its own features alone,
+which bounds its cosine with all examples of a block; blocks are visited by falling bound, and none whose bound is below
+the cosines already found. Texts that visit a block meet its examples together, as one product. The votes of the nearest,
+weighted by cosine, give the score; a text without a feature has no neighbour and no vote.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ STARTS, NEIGHBOURS, BLOCK, DOUBT = (4, 5, 6, 8), 15, 64, 0.3
 #: Counts in one text from which a feature has a further feature of its own: a word said often is not one said once.
 LEVELS = (2, 3, 5)
 HELD_OUT_OF = 5
-#: Texts that are searched together, and block postings that they read at most, unless one text has more; bound of the
-#: relative error of a sum of products in another order.
-GROUP, READ, ROUNDING = 128, 1 << 20, 1e-9
+#: Texts that meet the blocks together, and postings that are read at once, unless one text has more; bound of the relative
+#: error of a sum of up to 16,000 products in single precision.
+GROUP, READ, ROUNDING = 256, 1 << 20, 1e-3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest long, nearest_cosine double, evidence array<long>"
 
@@ -98,21 +98,27 @@ class Index:
     offset: float = 0.0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "postings"}  # each worker makes its own
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "postings")}  # each worker makes its own
 
     @cached_property
-    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, weight) of the examples of each feature, by feature and place; where those of each pair of a feature and
-        a block begin, its block and its largest weight; where the pairs of each feature begin."""
-        blocks = -(-len(self.examples) // BLOCK)
-        place = np.repeat(np.arange(len(self.examples)), np.diff(self.start))
-        order = np.lexsort((place, self.at))
-        place, value = place[order], self.value[order]
-        cell = self.at[order].astype(np.int64) * max(1, blocks) + place // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        largest = np.maximum.reduceat(value, first) if len(first) else value
-        cell = cell[first]
-        return place, value, np.append(first, len(place)), cell % max(1, blocks), largest, np.searchsorted(cell // max(1, blocks), np.arange(len(self.hashes) + 1))
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each block its features and its weights, example by feature."""
+        out = []
+        for b in range(-(-len(self.examples) // BLOCK)):
+            rows = self.start[b * BLOCK : (b + 1) * BLOCK + 1]
+            own, column = np.unique(self.at[rows[0] : rows[-1]], return_inverse=True)
+            body = np.zeros((len(rows) - 1, len(own)), np.float32)
+            body[np.repeat(np.arange(len(rows) - 1), np.diff(rows)), column] = self.value[rows[0] : rows[-1]]
+            out.append((own, body))
+        return out
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each feature the blocks that have it and its largest weight in each, feature by feature; where those of a feature begin."""
+        feature, block = np.concatenate([own for own, _ in self.blocks]), np.repeat(np.arange(len(self.blocks)), [len(own) for own, _ in self.blocks])
+        largest = np.concatenate([body.max(axis=0, initial=0) for _, body in self.blocks])
+        order = np.lexsort((block, feature))
+        return block[order], largest[order].astype(np.float64), np.searchsorted(feature[order], np.arange(len(self.hashes) + 1))
 
     def vectors(self, text: np.ndarray, feature: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF vectors as (text, feature number, weight), sorted by text, from distinct (text, feature) and counts."""
@@ -138,14 +144,12 @@ class Index:
         Text i has the features ``at[cut[i]:cut[i + 1]]`` and does not meet the example ``without[i]``, if that is one."""
         found = [(np.zeros(0, np.int64), np.zeros(0))] * (len(cut) - 1)
         texts = np.flatnonzero(np.diff(cut))
-        pairs = self.postings[5]
-        reads = np.concatenate([[0], np.cumsum(np.diff(pairs)[at])])
-        query, i = np.zeros(len(self.hashes)), 0
-        while i < len(texts):
-            to = i + 1
-            while to < min(len(texts), i + GROUP) and reads[cut[texts[to] + 1]] - reads[cut[texts[i]]] <= READ:
-                to += 1
-            group = texts[i:to]
+        if len(texts) > GROUP:  # texts that prefer a block meet it together
+            first = [self._bounds(texts[i : i + GROUP], cut, at, value).argmax(axis=1) for i in range(0, len(texts), GROUP)]
+            texts = texts[np.argsort(np.concatenate(first), kind="stable")]
+        query = np.zeros(len(self.hashes))
+        for i in range(0, len(texts), GROUP):
+            group = texts[i : i + GROUP]
             for t, place in zip(group.tolist(), self._candidates(group, cut, at, value, k, without), strict=True):
                 own = slice(cut[t], cut[t + 1])
                 query[at[own]] = value[own]
@@ -155,37 +159,51 @@ class Index:
                 query[at[own]] = 0
                 by = np.lexsort((place, -cosine))[:k]
                 found[t] = place[by], cosine[by]
-            i = to
         return found
 
-    def _candidates(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray, k: int, without: np.ndarray | None) -> Iterator[np.ndarray]:
-        """Of each text the places of all examples that may be among its k nearest, whatever the order of sums rounds."""
-        place, weight, first, block, largest, pairs = self.postings
+    def _bounds(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Text by block: what the postings of the text's own features allow its cosine with an example of the block to be."""
+        block, largest, pairs = self.postings
+        out, i = np.zeros((len(texts), len(self.blocks))), 0
+        reads = np.array([np.diff(pairs)[at[cut[t] : cut[t + 1]]].sum() for t in texts.tolist()])
+        while i < len(texts):
+            to = max(i + 1, i + int(np.searchsorted(np.cumsum(reads[i:]), READ, side="right")))
+            own, size = _runs(cut[texts[i:to]], cut[texts[i:to] + 1] - cut[texts[i:to]]), cut[texts[i:to] + 1] - cut[texts[i:to]]
+            many = pairs[at[own] + 1] - pairs[at[own]]
+            pair, row = _runs(pairs[at[own]], many), np.repeat(np.repeat(np.arange(to - i), size), many)
+            out[i:to] = np.bincount(row * len(self.blocks) + block[pair], np.repeat(value[own], many) * largest[pair], minlength=(to - i) * len(self.blocks)).reshape(to - i, -1)
+            i = to
+        return out
+
+    def _columns(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Feature by text."""
         size = cut[texts + 1] - cut[texts]
-        own = _runs(cut[texts], size)
-        many = pairs[at[own] + 1] - pairs[at[own]]
-        pair, row, times = _runs(pairs[at[own]], many), np.repeat(np.repeat(np.arange(len(texts)), size), many), np.repeat(value[own], many)
-        blocks = -(-len(self.examples) // BLOCK)
-        cell = row * blocks + block[pair]
-        bound = np.bincount(cell, times * largest[pair], minlength=len(texts) * blocks).reshape(len(texts), blocks)
+        inner = np.arange(int(size.sum())) + np.repeat(cut[texts] - np.cumsum(size) + size, size)
+        out = np.zeros((len(self.hashes), len(texts)), np.float32)
+        out[at[inner], np.repeat(np.arange(len(texts)), size)] = value[inner]
+        return out
+
+    def _candidates(self, texts: np.ndarray, cut: np.ndarray, at: np.ndarray, value: np.ndarray, k: int, without: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Of each text the places of all examples that may be among its k nearest, whatever single precision rounds."""
+        blocks, x = self.blocks, self._columns(texts, cut, at, value)
+        bound = self._bounds(texts, cut, at, value)
         rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
-        score, least, done = np.zeros(len(texts) * len(self.examples)), np.zeros(len(texts)), np.zeros(bound.shape, bool)
-        for step in (1, 3, 10, blocks):
+        score, least, done = np.zeros((len(texts), len(self.examples)), np.float32), np.zeros(len(texts), np.float32), np.zeros(bound.shape, bool)
+        for step in (2, 8, len(blocks)):
             need = (bound > 0) & ~done & (rank < step) & (bound >= least[:, None] * (1 - 2 * ROUNDING))
-            if need.any():
-                read = need.ravel()[cell]
-                n = first[pair[read] + 1] - first[pair[read]]
-                inner = _runs(first[pair[read]], n)
-                score += np.bincount(np.repeat(row[read], n) * len(self.examples) + place[inner], np.repeat(times[read], n) * weight[inner], minlength=len(score))
-                done |= need
-            table = score.reshape(len(texts), len(self.examples))
+            for b in np.flatnonzero(need.any(axis=0)).tolist():
+                own, body = blocks[b]
+                some = np.flatnonzero(need[:, b])
+                some = slice(None) if 2 * len(some) > len(texts) else some
+                score[some, b * BLOCK : b * BLOCK + len(body)] = (body @ x[own][:, some]).T
+                done[some, b] = True
             if without is not None:
                 out = np.flatnonzero(without[texts] >= 0)
-                table[out, without[texts[out]]] = 0
-            if k <= table.shape[1]:
-                least = np.partition(table, -k, axis=1)[:, -k]
-        for own_score, low in zip(table, least, strict=True):
-            yield np.flatnonzero((own_score > 0) & (own_score >= low * (1 - 2 * ROUNDING)))
+                score[out, without[texts[out]]] = 0
+            if k <= score.shape[1]:
+                least = np.partition(score, -k, axis=1)[:, -k]
+        for row, low in zip(score, least, strict=True):
+            yield np.flatnonzero((row > 0) & (row >= low * (1 - 2 * ROUNDING)))
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[place]).sum() / (cosine.sum() + DOUBT))
