@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, lexicon, metrics, outline, qa, review
@@ -111,7 +112,7 @@ def source_files(spark, sf_dir):
 _GAPS = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _pdf(text: pa.Array, form: pa.Array) -> pa.Array:
     return pa.array([pdf.text_pdf(t, bool(n & 1), bool(n & 2), bool(n & 4)) for t, n in zip(text.to_pylist(), form.to_pylist(), strict=True)], pa.binary())
 
@@ -176,7 +177,7 @@ def chart_table(spark, sf_dir):
 # pictures
 
 
-@F.arrow_udf("struct<width: int, height: int, colours: int>")
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in ("width", "height", "colours")]))
 def _seen(png: pa.Array) -> pa.Array:
     """Width, height and number of colours of pictures, read from their bytes."""
     out = []
@@ -194,7 +195,7 @@ def _seen(png: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("colours", pa.int32())]))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _drawn(chart: pa.Array) -> pa.Array:
     return pa.array([png.chart_png(c) for c in chart.to_pylist()], pa.binary())
 
