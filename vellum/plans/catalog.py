@@ -1,4 +1,4 @@
-"""Queries over the driver's tables and over small fixtures for the default lexicons."""
+"""Queries over the driver's tables; for the default lexicons, over its documents with sentences planted in them."""
 
 from __future__ import annotations
 
@@ -145,11 +145,12 @@ def review_weak_requirements(spark, sf_dir):
     return rows.select("doc_id", review.weak_issues(F.col("s"), fx.DATA_TERMS, "the").alias("i")).select("doc_id", n("A requirement uses").alias("n_optional"), n("A requirement may be").alias("n_short"))
 
 
-@query(S.review_fixture())
+@query(S.planted_reviews())
 def review_fixtures(spark, sf_dir):
-    rows = review.review_documents(fx.frame(spark, fx.DOCUMENTS, "doc_id long, kind string, text string"), document_type=F.col("kind"))
+    """Reviews by the default lexicons of all documents, each behind a planted text, by the kind that goes with it."""
+    rows = review.review_documents(fx.planted(documents(spark, sf_dir)), document_type=F.col("kind"))
     r = lambda f: F.col(f"review.{f}")
-    return rows.select("doc_id", "error_code", long(r("completeness_indicator")).alias("completeness"), joined(r("detected_sections")).alias("detected"), joined(r("missing_sections")).alias("missing"), joined(r("wording_issues")).alias("issues"), joined(r("recommendations")).alias("recommendations"))
+    return rows.select("doc_id", "error_code", long(r("completeness_indicator")).alias("completeness"), joined(r("detected_sections")).alias("detected"), joined(r("missing_sections")).alias("missing"), F.md5(joined(r("wording_issues"))).alias("issues_md5"), joined(r("recommendations")).alias("recommendations"))
 
 
 # outline
@@ -178,9 +179,9 @@ _mentioned("brd_functional", fx.DATA_WORDS)
 _mentioned("brd_rules", fx.DATA_TERMS)
 
 
-@query(f"SELECT doc_id, {S.service_name('text')} AS service_name FROM {fx.values(fx.DOCUMENTS, 'doc_id', 'kind', 'text')}")
+@query(f"SELECT doc_id, {S.service_name('text')} AS service_name FROM ({S.planted()})")
 def brd_service_name(spark, sf_dir):
-    return fx.frame(spark, fx.DOCUMENTS, "doc_id long, kind string, text string").select("doc_id", F.coalesce(outline.service_name(T.collapse(F.col("text"))), F.lit(lex.UNCONFIRMED)).alias("service_name"))
+    return fx.planted(documents(spark, sf_dir)).select("doc_id", F.coalesce(outline.service_name(T.collapse(F.col("text"))), F.lit(lex.UNCONFIRMED)).alias("service_name"))
 
 
 @query(f"SELECT doc_id, coalesce(s[1], 'Requires confirmation') AS purpose, length(s) AS n_steps FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)")
@@ -189,11 +190,12 @@ def brd_purpose_steps(spark, sf_dir):
     return rows.select("doc_id", F.coalesce("outline.service_overview.service_purpose", F.lit(lex.UNCONFIRMED)).alias("purpose"), F.coalesce(long(F.size("outline.process_steps")), F.lit(0).cast("long")).alias("n_steps"))
 
 
-@query(S.outline_fixture())
+@query(S.planted_outlines())
 def brd_fixtures(spark, sf_dir):
-    rows = outline.draft_outline(fx.frame(spark, fx.DOCUMENTS, "doc_id long, kind string, text string"))
-    o = lambda f: joined(F.col(f"outline.{f}")).alias(f)
-    return rows.select("doc_id", "error_code", *map(o, ("stakeholders", "service_recipients", "functional_requirements", "business_rules", "required_data_and_documents")))
+    """Outlines by the default lexicons of all documents, each behind a planted text."""
+    rows = outline.draft_outline(fx.planted(documents(spark, sf_dir)))
+    o = lambda f: joined(F.col(f"outline.{f}"))
+    return rows.select("doc_id", "error_code", *(o(f).alias(f) for f in ("stakeholders", "service_recipients", "required_data_and_documents")), F.md5(o("functional_requirements")).alias("functional_md5"), F.md5(o("business_rules")).alias("rules_md5"))
 
 
 # mail
@@ -232,10 +234,13 @@ def email_summary(spark, sf_dir):
     return mails(spark, sf_dir).select("doc_id", T.let(s, lambda x: email.summary_of(x, fx.DATA_TERMS)).alias("s")).select("doc_id", long(F.size("s")).alias("n"), F.md5(joined("s")).alias("summary_md5"))
 
 
-@query(S.deadlines_fixture())
+@query(S.planted_deadlines())
 def email_deadlines(spark, sf_dir):
-    rows = fx.frame(spark, [(i, s) for i, s in enumerate(S.DEADLINE_CASES)], "case_id long, sentence string")
-    return rows.select("case_id", F.size(email.deadlines_of(F.array("sentence"))).cast("boolean").alias("is_deadline"))
+    """Which sentences name a deadline; every second one has a planted case behind it."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    case = fx.dealt(F.col("doc_id") + F.floor(F.col("pos") / 2), S.DEADLINE_CASES)
+    said = F.when(F.col("pos") % 2 == 0, F.concat("s", F.lit(" "), case)).otherwise(F.col("s"))
+    return rows.select("doc_id", long("pos").alias("pos"), F.size(email.deadlines_of(F.array(said))).cast("boolean").alias("is_deadline"))
 
 
 @query(S.mail_report("SELECT doc_id, source, lang, text FROM documents"))
@@ -252,10 +257,11 @@ def qa_passages(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.passages(F.col("text")).alias("p")).select("doc_id", long(F.size("p")).alias("n_passages"), F.md5(joined("p")).alias("passages_md5"))
 
 
-@query(f"SELECT qa_id, {S.hints('question')} AS hints FROM {fx.values(fx.QUESTIONS, 'qa_id', 'source_text', 'question')}")
+@query(S.planted_hints())
 def qa_hints(spark, sf_dir):
-    rows = fx.frame(spark, fx.QUESTIONS, "qa_id long, source_text string, question string")
-    return rows.select("qa_id", joined(qa.hints_of(T.tokens(T.collapse(F.col("question"))))).alias("hints"))
+    """The hint categories of a planted question followed by the opening of each document."""
+    question = F.concat(fx.dealt(F.col("doc_id"), [q[2] for q in fx.QUESTIONS]), F.lit(" "), F.substring("text", 1, fx.OPENING))
+    return documents(spark, sf_dir).select("doc_id", joined(qa.hints_of(T.tokens(T.collapse(question)))).alias("hints"))
 
 
 def overlaps(spark, sf_dir):

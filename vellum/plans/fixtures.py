@@ -1,8 +1,9 @@
-"""Small inputs for the default lexicons, which the driver's invented prose does not contain; and lexicons that it does."""
+"""Sentences for the default lexicons, which the driver's invented prose does not contain, to plant in its documents; lexicons
+of what it does contain; small inputs for tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DOCUMENTS = [
     (1, "BRD", "Service Purpose: digitize the parking permit service for residents. Applicants submit an identification number and proof of payment. An employee should review requests quickly. If valid, the permit is approved."),
@@ -38,6 +39,9 @@ CHARTS = [
 ]
 FILES = [("a/one.txt", "plain text é".encode()), ("a/two.TXT", b"caf\xe9"), ("b/none.txt", b" \n"), ("b/x.csv", b"a,b"), ("b/bad.docx", b"no zip")]
 
+#: Characters of a document that follow a planted question.
+OPENING = 100
+
 #: Fragments that occur in the driver's documents.
 DATA_SECTIONS = {"Endings": ["tion ", "ment ", "keit", "ble "], "Articles": [" the ", " le ", " der ", " el "], "Junk": ["###", "|", "$$$"], "Licences": ["licensed under", "copyright"], "Contact": ["@", "http", "phone"], "Absent": ["zzqx"]}
 DATA_SRS_SECTIONS = {"Openings": ["the ", "der ", "les "], "Closings": ["tion.", "ment.", "heit."], "Marks": ["?", "!"], "Absent": ["zzqx"]}
@@ -54,6 +58,17 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def dealt(key: Column, values: list[str]) -> Column:
+    """One of the values by the remainder of a key."""
+    return F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, text): all documents behind one of the texts of DOCUMENTS each; a blank one stands alone."""
+    kind, lead = (dealt(F.col("doc_id"), [d[i] for d in DOCUMENTS]) for i in (1, 2))
+    return docs.select("doc_id", kind.alias("kind"), F.when(F.trim(lead) == "", lead).otherwise(F.concat(lead, F.lit(" "), "text")).alias("text"))
+
+
 def literal(value: object) -> str:
     """A value as SQL."""
     if value is None:

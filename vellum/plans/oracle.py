@@ -103,8 +103,18 @@ def checklist(source: str, sections: dict[str, list[str]]) -> str:
         FROM (SELECT doc_id, pos::BIGINT AS pos, section, coalesce(list(keyword ORDER BY kpos) FILTER (contains(t, keyword)), []) AS e FROM (SELECT doc_id, lower({norm('text')}) AS t FROM ({source}) WHERE {norm('text')} <> ''), {section_rows(sections)} GROUP BY doc_id, pos, section)"""
 
 
-def review_fixture() -> str:
-    docs = f"SELECT doc_id, upper(trim(kind)) AS kind, text, {norm('text')} AS t FROM {fx.values(fx.DOCUMENTS, 'doc_id', 'kind', 'text')}"
+def _dealt(key: str, values: list) -> str:
+    return f"({strings(values)})[{key} % {len(values)} + 1]"
+
+
+def planted() -> str:
+    """All documents behind one of the planted texts each; a blank one stands alone."""
+    kind, text = (_dealt("doc_id", [d[i] for d in fx.DOCUMENTS]) for i in (1, 2))
+    return f"SELECT doc_id, kind, CASE WHEN trim(lead) = '' THEN lead ELSE lead || ' ' || text END AS text FROM (SELECT doc_id, {kind} AS kind, {text} AS lead, text FROM documents)"
+
+
+def planted_reviews() -> str:
+    docs = f"SELECT doc_id, upper(trim(kind)) AS kind, text, {norm('text')} AS t FROM ({planted()})"
     part = lambda kind, sections: checklist(f"SELECT doc_id, text FROM d WHERE kind = '{kind}'", sections)
     weak = lambda: f"list_concat(CASE WHEN contains(lower(s), 'should') THEN ['A requirement uses ''should'', which may be optional or unclear: ' || s] ELSE [] END, CASE WHEN {_words('s')} < 5 THEN ['A requirement may be too short or incomplete: ' || s] ELSE [] END)"
     return f"""WITH d AS ({docs}), c AS ({part('BRD', lex.BRD_SECTIONS)} UNION ALL {part('SRS', lex.SRS_SECTIONS)}),
@@ -112,7 +122,7 @@ def review_fixture() -> str:
         i AS (SELECT doc_id, list_concat(list_transform(list_filter({strings(lex.VAGUE_PHRASES)}, lambda p: contains(lower(t), p)), lambda p: 'Vague wording detected: ''' || p || '''. Replace it with a measurable or specific statement.'),
             flatten(list_transform(list_filter({sentences('text')}, lambda s: {any_of('lower(s)', lex.REQUIREMENT_TERMS)}), lambda s: {weak()}))) AS issues FROM d)
         SELECT d.doc_id, CASE WHEN t = '' THEN 'EMPTY_DOC' WHEN kind NOT IN ('BRD', 'SRS') THEN 'BAD_DOC_TYPE' END AS error_code, completeness, detected, missing,
-        CASE WHEN g.doc_id IS NULL THEN NULL WHEN length(issues) = 0 THEN 'No basic wording issues were detected by the rule-based review. Human review is still required.' ELSE array_to_string(issues, '|') END AS issues,
+        CASE WHEN g.doc_id IS NULL THEN NULL ELSE md5(CASE WHEN length(issues) = 0 THEN 'No basic wording issues were detected by the rule-based review. Human review is still required.' ELSE array_to_string(issues, '|') END) END AS issues_md5,
         CASE WHEN missing = '' THEN 'Review each section for accuracy, traceability, and formal approval.' ELSE array_to_string(list_transform(string_split(missing, '|'), lambda s: 'Add or clarify the ''' || s || ''' section.'), '|') END AS recommendations
         FROM d LEFT JOIN g USING (doc_id) JOIN i USING (doc_id)"""
 
@@ -122,26 +132,32 @@ def service_name(t: str) -> str:
     return f"coalesce((SELECT upper(trim(x)[1]) || lower(trim(x)[2:]) FROM (SELECT coalesce({every}) AS x)), {lit(lex.UNCONFIRMED)})"
 
 
-def outline_fixture() -> str:
+def planted_outlines() -> str:
     or_else = lambda x: f"CASE WHEN t = '' THEN NULL ELSE coalesce(nullif({x}, ''), {lit(lex.UNCONFIRMED)}) END"
-    some = lambda words: f"array_to_string(list_filter({sentences('text')}, lambda s, i: {any_of('lower(s)', words)} AND list_position({sentences('text')}, s) = i), '|')"
+    some = lambda words: f"array_to_string(list_filter(s, lambda x, i: {any_of('lower(x)', words)} AND list_position(s, x) = i), '|')"
     return f"""SELECT doc_id, CASE WHEN t = '' THEN 'EMPTY_SOURCE' END AS error_code, {or_else(labels('t', lex.STAKEHOLDERS))} AS stakeholders, {or_else(labels('t', lex.RECIPIENTS))} AS service_recipients,
-        {or_else(some(lex.FUNCTIONAL_VERBS))} AS functional_requirements, {or_else(some(lex.RULE_CUES))} AS business_rules, {or_else(labels('t', lex.REQUIRED_INFORMATION))} AS required_data_and_documents
-        FROM (SELECT doc_id, text, {norm('text')} AS t FROM {fx.values(fx.DOCUMENTS, 'doc_id', 'kind', 'text')})"""
+        md5({or_else(some(lex.FUNCTIONAL_VERBS))}) AS functional_md5, md5({or_else(some(lex.RULE_CUES))}) AS rules_md5, {or_else(labels('t', lex.REQUIRED_INFORMATION))} AS required_data_and_documents
+        FROM (SELECT doc_id, {norm('text')} AS t, {sentences('text')} AS s FROM ({planted()}))"""
 
 
 DEADLINE_CASES = ["Send it by tomorrow please now", "Due 2026-08-01 at the latest", "We took 3/4 of it", "by EOD is fine for us", "by Friday is fine for us", "end of week is fine too", "next week we meet", "by 5-6-26 or never", "no date in here at all", "Todayish is not one day"]
 
 
-def deadlines_fixture() -> str:
-    hit = " OR ".join(f"regexp_matches(s, {lit('(?i)' + p)})" for p in lex.DEADLINES)
-    return f"SELECT case_id, ({hit}) AS is_deadline FROM {fx.values(list(enumerate(DEADLINE_CASES)), 'case_id', 's')}"
+def planted_deadlines() -> str:
+    """Every sentence of all documents, every second one with a planted case behind it."""
+    hit = " OR ".join(f"regexp_matches(x, {lit('(?i)' + p)})" for p in lex.DEADLINES)
+    rows = f"SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)"
+    return f"SELECT doc_id, pos, ({hit}) AS is_deadline FROM (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN s || ' ' || {_dealt('(doc_id + pos // 2)', DEADLINE_CASES)} ELSE s END AS x FROM ({rows}))"
 
 
 def hints(t: str) -> str:
     return "concat_ws('|', " + ", ".join(f"CASE WHEN list_has_any({tokens(norm(t))}, {strings(words)}) THEN {lit(name)} END" for name, words in lex.QUESTION_HINTS.items()) + ")"
 
 
+def planted_hints() -> str:
+    return f"SELECT doc_id, {hints('q')} AS hints FROM (SELECT doc_id, {_dealt('doc_id', [q[2] for q in fx.QUESTIONS])} || ' ' || text[1:{fx.OPENING}] AS q FROM documents)"
+
+
 def overlaps() -> str:
     return f"""SELECT q_id, s_id, pos, terms, count(*) AS shared FROM (SELECT doc_id AS s_id, pos, unnest(list_distinct({tokens('x')})) AS term FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS pos FROM ({passages('SELECT doc_id, text FROM documents')})))
         JOIN (SELECT q_id, length(q) AS terms, unnest(q) AS term FROM (SELECT item_id AS q_id, list_distinct({tokens(norm('text'))}) AS q FROM benchmark)) USING (term) GROUP BY ALL"""
