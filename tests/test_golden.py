@@ -182,6 +182,18 @@ def test_items_in_chunks_are_compared_alike(spark, chunk):
     assert sorted(map(tuple, compare.compare_items(pairs, "pair_id", chunk=chunk).collect())) == sorted(map(tuple, whole.collect()))
 
 
+@pytest.mark.parametrize("weights", [{}, {"text_weight": 0.0, "keyword_weight": 1.0}])
+def test_comparisons_gathered_from_chunks(spark, monkeypatch, weights):
+    """Documents longer than a row of items, blank ones, ones without items: the same results as of one row a pair."""
+    many = " ".join(f"Number {i} of the rules holds for item {i % 7}." for i in range(90))
+    pairs = fx.frame(spark, [*fx.PAIRS, (9, A, B), (10, many, many.replace("holds for", "binds the")), (11, A, many)], "pair_id long, a_text string, b_text string")
+    whole = compare.compare_documents(pairs.selectExpr("*", "concat('A', pair_id) AS a_name", "cast(null as string) AS b_name"), **weights)
+    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_text").alias("text")), F.struct(F.lit("b").alias("side"), F.col("b_text").alias("text")))).alias("d")).select("d.text", F.array(F.struct("pair_id", "d.side")).alias("sides"))
+    dealt = compare.pair_comparisons(compare.item_sides(sides, F.col("sides")), "pair_id", a_name=F.concat(F.lit("A"), "pair_id"), b_name=F.lit(None).cast("string"), **weights)
+    shown = lambda df: sorted(map(str, df.select("pair_id", "error_code", "error_message", "comparison").collect()))
+    assert shown(dealt) == shown(whole) and dealt.count() == len(fx.PAIRS) + 3
+
+
 def test_golden_charts(spark):
     rows = fx.frame(spark, fx.CHARTS, "chart_id long, chart_type string, data_text string, title string").withColumn("x_label", F.lit("")).withColumn("y_label", F.lit(""))
     c = charts.chart_data(rows)
@@ -262,6 +274,12 @@ def test_word_reports_say_what_the_results_say(spark):
     assert lines[lines.index("Matched items") + 1] == "None detected" and f"• {c['additional_in_document_b'][0]}" in lines
 
 
+def test_word_reports_of_what_xml_cannot_hold():
+    """Characters that no Word file can have are left out; line breaks, marks of XML and wide characters stay."""
+    odd = "a\x00b\x0bc\x1fd\ufffe <&> \U0001f600 \ud800e\nf"
+    assert read_back(word.Report("T" + odd).bullets([odd]).table([(odd, "x")]).save()) == [*("Tabcd <&> \U0001f600 e\nf".split("\n")), *("• abcd <&> \U0001f600 e\nf".split("\n")), *("abcd <&> \U0001f600 e\nf | x".split("\n"))]
+
+
 def test_word_styles():
     """Headings, bullets and steps refer to styles that the file holds, of the font and sizes that reports have."""
     from xml.etree import ElementTree

@@ -14,7 +14,7 @@ from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, lexicon, metrics, outline, qa, review
 from vellum.plans import access, fixtures as fx, oracle as S
 from vellum.plans.catalog import documents, long, mails, neighbours, table
-from vellum.plans.derived import EVENTS, KEYWORDS, by_id, deadline, event_charts, order_plans
+from vellum.plans.derived import _MATCHES, EVENTS, KEYWORDS, by_id, deadline, event_charts, order_plans
 from vellum.plans.registry import ORACLE_SQL, query
 from vellum.sinks import pdf, png, reports
 from vellum.sources import files
@@ -99,6 +99,54 @@ def review_report_files(spark, sf_dir):
     return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
 
 
+_LISTED = lambda labels: f"{S.lit(_DOT)} || replace(coalesce(nullif({S.labels('t', labels)}, ''), {S.lit(lex.UNCONFIRMED)}), '|', {NL} || {S.lit(_DOT)})"
+_SAYING = lambda words: _told(f"list_filter(s, lambda x, i: {S.any_of('lower(x)', words)} AND list_position(s, x) = i)", lex.UNCONFIRMED, _DOT)
+_UNSURE = S.lit(_DOT + lex.UNCONFIRMED)
+_OUTLINED = {
+    "Stakeholders": _LISTED(fx.DATA_LABELS), "Service Recipients": _LISTED(fx.DATA_RECIPIENTS), "Functional Requirements": _SAYING(fx.DATA_WORDS), "Non Functional Requirements": _UNSURE, "Business Rules": _SAYING(fx.DATA_TERMS),
+    "Process Steps": f"array_to_string(list_transform(s, lambda x, i: i || '. ' || x), {NL})", "Required Data And Documents": _LISTED(fx.DATA_REQUIRED), "Integration Requirements": _UNSURE,
+    "Missing Information": _told(S.strings(outline.OPEN_POINTS), "", _DOT), "Human Review Notes": _told(S.strings(outline.NOTES), "", _DOT),
+}
+
+
+@query(f"""SELECT doc_id || '.docx' AS name, md5('Business Requirements Document' || {NL} || 'Source: ' || source || {NL} || 'Preliminary; human review is required.' || {NL} || {f' || {NL} || '.join(f"'{i}. {k}' || {NL} || {v}" for i, (k, v) in enumerate(_OUTLINED.items(), 2))}
+    || {NL} || 'Service name | ' || {S.service_name('t')} || {NL} || 'Service purpose | ' || s[1] || {NL} || 'Service scope | ' || {S.lit(lex.UNCONFIRMED)}) AS text_md5 FROM (SELECT doc_id, source, {S.norm('text')} AS t, {S.sentences('text')} AS s FROM documents) WHERE t <> ''""")
+def outline_report_files(spark, sf_dir):
+    """Word reports of the outlines of all documents, written by tasks and read again."""
+    access.register_sources(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(spark.sparkContext.defaultParallelism)
+    done = outline.draft_outline(docs, functional=fx.DATA_WORDS, rules=fx.DATA_TERMS, stakeholders=fx.DATA_LABELS, recipients=fx.DATA_RECIPIENTS, required=fx.DATA_REQUIRED).where("outline is not null")
+    folder = work_folder(spark, "outlines")
+    done.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "source", "outline").write.format("vellum_reports").option("report", "outline").mode("append").save(folder)
+    return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
+
+
+def _tables(name: str, kind: str, *more: str) -> str:
+    said = "".join(f" || {NL} || {S.lit(m)}" for m in more)
+    return f"coalesce(string_agg({NL} || '{name} ' || r || ' | ' || printf('%.0f', score * 100) || '%' || {NL} || 'A | ' || ax || {NL} || 'B | ' || bx{said}, '' ORDER BY ap) FILTER (class = '{kind}'), '') AS {kind}_told"
+
+
+_NONE = lambda n, title: f"{NL} || '{title}' || CASE WHEN {n} = 0 THEN {NL} || 'None detected' ELSE '' END"
+
+
+@query(f"""{_MATCHES}, w AS (SELECT pair_id, class, ap, a.items[ap] AS ax, b.items[bp] AS bx, printf('%.2f', share)::DOUBLE AS score, len(a.items) AS na, len(b.items) AS nb, row_number() OVER (PARTITION BY pair_id, class ORDER BY ap) AS r FROM c JOIN i a ON a.doc_id = pair_id JOIN i b ON b.doc_id = pair_id + 1),
+    g AS (SELECT pair_id, any_value(na) AS na, any_value(nb) AS nb, count(*) FILTER (class = 'matched') AS matched, count(*) FILTER (class = 'partial') AS partial, count(*) FILTER (class = 'missing') AS missing, count(*) FILTER (class = 'conflict') AS conflict, coalesce(list(ax ORDER BY ap) FILTER (class = 'missing'), []) AS lacking,
+        {_tables('Match', 'matched')}, {_tables('Partial match', 'partial', 'review_note | ' + compare.RELATED)}, {_tables('Conflict', 'conflict', 'reason | ' + compare.CONFLICT)} FROM w GROUP BY pair_id),
+    e AS (SELECT v.doc_id - 1 AS pair_id, list(v.x ORDER BY v.pos) AS extra FROM (SELECT doc_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM i) v LEFT JOIN (SELECT DISTINCT pair_id + 1 AS doc_id, bp AS pos FROM c WHERE class <> 'missing') q USING (doc_id, pos) WHERE q.pos IS NULL GROUP BY ALL)
+    SELECT pair_id || '.docx' AS name, md5('Document Comparison' || {NL} || 'Summary' || {_NONE('matched', 'Matched items')} || {_NONE('partial', 'Partial matches')} || {_NONE('conflict', 'Possible conflicts')} || {_NONE('missing', 'Missing in document b')} || CASE WHEN missing > 0 THEN {NL} || {_told('lacking', '', _DOT)} ELSE '' END
+    || {_NONE('coalesce(len(extra), 0)', 'Additional in document b')} || CASE WHEN len(extra) > 0 THEN {NL} || {_told('extra', '', _DOT)} ELSE '' END || {NL} || 'Notes' || {NL} || {_told(S.strings(compare.NOTES), '', _DOT)} || {NL} || 'Document A | Document ' || pair_id || {NL} || 'Document B | Document ' || (pair_id + 1)
+    || {NL} || 'Items in A | ' || na || {NL} || 'Items in B | ' || nb || {NL} || 'Coverage | ' || round_even(100.0 * (matched + partial + conflict) / na, 0)::BIGINT || '%' || {NL} || 'Matched count | ' || matched || {NL} || 'Partial match count | ' || partial || {NL} || 'Missing count | ' || missing || {NL} || 'Additional count | ' || coalesce(len(extra), 0)
+    || {NL} || 'Possible conflict count | ' || conflict || matched_told || partial_told || conflict_told) AS text_md5 FROM g LEFT JOIN e USING (pair_id)""")
+def comparison_report_files(spark, sf_dir):
+    """Word reports of all pairs of neighbouring documents compared by keywords, written by tasks and read again."""
+    access.register_sources(spark)
+    name = lambda n: F.concat(F.lit("Document "), (F.col("pair_id") + n).cast("string"))
+    done = compare.pair_comparisons(neighbours(spark, sf_dir), "pair_id", a_name=name(0), b_name=name(1), **KEYWORDS).where("comparison is not null")
+    folder = work_folder(spark, "comparisons")
+    done.select(F.concat(F.col("pair_id").cast("string"), F.lit(".docx")).alias("name"), "comparison").write.format("vellum_reports").option("report", "comparison").mode("append").save(folder)
+    return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
+
+
 @query(f"""SELECT doc_id || '.txt' AS name, strlen(text) AS bytes, CASE WHEN trim(text, chr(32) || chr(10)) = '' THEN 'NO_TEXT' END AS error_code, md5(nullif(trim(text, chr(32) || chr(10)), '')) AS text_md5 FROM documents WHERE doc_id % 3 = 0""")
 def source_files(spark, sf_dir):
     """Text files written by tasks, among files of another kind, and read again: the filter on the kind leaves those out before a task is made."""
@@ -139,18 +187,27 @@ _SQL = ORACLE_SQL
 _REVIEWED_ALL = f"SELECT d.doc_id, c.completeness, m.n FROM documents d LEFT JOIN ({_SQL['review_completeness']}) c USING (doc_id) LEFT JOIN (SELECT doc_id, {len(fx.DATA_SECTIONS)} - n_detected AS n FROM ({_SQL['review_missing_sections']})) m USING (doc_id)"
 _ASKED_ALL = f"SELECT d.doc_id, a.ok, a.score FROM documents d LEFT JOIN ({_SQL['qa_document_answers']}) a USING (doc_id)"
 
+_OUTLINED_ALL = f"SELECT doc_id, n_distinct, n_steps FROM ({_SQL['brd_functional']}) JOIN ({_SQL['brd_purpose_steps']}) USING (doc_id)"
+_SUMMARISED_ALL = f"""SELECT doc_id, s.n, a.n AS actions, d.n AS deadlines FROM ({S.mail_summary('SELECT doc_id, text FROM documents', [*fx.DATA_WORDS, *fx.DATA_TERMS])}) s JOIN ({_SQL['email_actions']}) a USING (doc_id)
+    JOIN (SELECT doc_id, length({_FIRST('t')}) AS n FROM (SELECT doc_id, {_SHORT(deadline('x'))} AS t FROM ({S.mail_sentences('SELECT doc_id, text FROM documents')}))) d USING (doc_id)"""
+
 
 @query(" UNION ALL ".join((
+    _sums("outline", _OUTLINED_ALL, "n_steps > 0", functional_requirements="CASE WHEN n_steps > 0 THEN greatest(n_distinct, 1) END", process_steps="n_steps"),
+    _sums("summary", _SUMMARISED_ALL, "TRUE", summary_bullets="n", action_items="greatest(actions, 1)", deadlines="deadlines"),
     _sums("review", _REVIEWED_ALL, "completeness IS NOT NULL", completeness="completeness", missing_sections="n"),
     _sums("comparison", _SQL["compare_figures"], "error_code IS NULL", coverage="coverage", matched="matched", missing="missing", conflict="conflict"),
     _sums("answer", _ASKED_ALL, "ok IS NOT NULL", supported="ok::INT", high_confidence="(score >= 0.65)::INT"),
     _sums("chart", _SQL["chart_rules"], "error_code IS NULL", rows="n_rows"))))
 def task_metrics(spark, sf_dir):
-    """The figures of four tasks in sum, told by the jobs that made the results."""
+    """The figures of all six tasks in sum, told by the jobs that made the results."""
     docs = documents(spark, sf_dir)
     asked = qa.answer_questions(docs.withColumn("question", F.substring(T.collapse(F.col("text")), 20, 101)), "text", "question", fx.DATA_HINTS)
     pairs = compare.pair_figures(neighbours(spark, sf_dir), "pair_id", **KEYWORDS)
+    drafted = outline.draft_outline(docs, functional=fx.DATA_WORDS)
+    told_mails = email.summarize_mails(mails(spark, sf_dir), actions=fx.DATA_WORDS, decisions=fx.DATA_TERMS, topics=[])
     jobs = {
+        "outline": (drafted, metrics.figures("outline")), "summary": (told_mails, metrics.figures("summary")),
         "review": (review.review_documents(docs, brd=fx.DATA_SECTIONS, vague=fx.DATA_PHRASES, terms=fx.DATA_TERMS), metrics.figures("review")),
         "comparison": (pairs, {c: F.col(c) for c in ("coverage", "matched", "missing", "conflict")}),
         "answer": (asked, metrics.figures("answer")), "chart": (charts.chart_data(event_charts(spark, sf_dir)), metrics.figures("chart")),

@@ -318,6 +318,18 @@ def chart_rules(spark, sf_dir):
     return c.select("doc_id", "error_code", message.alias("row_message"), long("chart.row_count").alias("n_rows"), "chart.title", F.concat_ws("|", "chart.x_label", "chart.y_label").alias("a"), total.alias("total"), joined(F.transform("chart.points", lambda p: p["category"])).alias("categories")).withColumn("axes", F.nullif("a", F.lit(""))).drop("a")
 
 
+@query("""SELECT doc_id, CASE WHEN k = 0 THEN 'EMPTY_CHART' WHEN n > 100 THEN 'TOO_MANY_ROWS' END AS error_code, CASE WHEN k = 0 THEN 'Structured chart data is required.' WHEN n > 100 THEN 'At most 100 data rows are supported.' END AS error_message, CASE WHEN k > 0 AND n <= 100 THEN n END AS n_rows,
+    CASE WHEN k > 0 AND n <= 100 THEN total END AS total, CASE WHEN k > 0 AND n <= 100 THEN 'Line Chart' END AS chart_type FROM (SELECT l_suppkey * 10000 + year(l_shipdate) AS doc_id, l_suppkey % 7 AS k, count(*) AS n, sum(l_quantity::BIGINT)::DOUBLE AS total FROM lineitem GROUP BY ALL)""")
+def chart_limits(spark, sf_dir):
+    """Charts of the quantities that a supplier ships in a year, all lines: what has no table, what has more rows than a chart may, and what just fits."""
+    line = F.struct("l_orderkey", "l_linenumber", F.concat_ws(",", F.concat_ws("-", "l_orderkey", "l_linenumber"), long("l_quantity")).alias("row"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.sort_array(F.collect_list(line)).alias("r"))
+    body = F.concat(F.lit("Line,Quantity\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"))
+    given = rows.select((F.col("l_suppkey") * 10000 + F.col("year")).alias("doc_id"), F.lit("Line Chart").alias("chart_type"), F.when(F.col("l_suppkey") % 7 == 0, " \n ").otherwise(body).alias("data_text"), *(F.lit("").alias(c) for c in ("title", "x_label", "y_label")))
+    c = charts.chart_data(given)
+    return c.select("doc_id", "error_code", "error_message", long("chart.row_count").alias("n_rows"), F.aggregate("chart.points", F.lit(0.0), lambda a, p: a + p["value"]).alias("total"), "chart.chart_type")
+
+
 @query(f"""SELECT doc_id, code AS error_code, row_number, category, value FROM (SELECT doc_id, CASE WHEN code IN ('NO_ROWS', 'BLANK_HEADER', 'ROW_WIDTH') THEN code END AS code, k, v, e FROM (SELECT *, {_EVENT_CODE} AS code FROM ({EVENTS})))
     LEFT JOIN (SELECT doc_id, i + 1 AS row_number, e[i] AS category, CASE WHEN k = 11 THEN NULL WHEN k = 1 AND i = 1 THEN '1,' || lpad(v[i]::VARCHAR, 3, '0') WHEN k = 2 AND i = len(v) THEN v[i] || 'd' WHEN k = 6 AND i = 1 THEN '-' || v[i] WHEN k = 8 THEN '0' ELSE v[i]::VARCHAR END AS value
     FROM (SELECT doc_id, k, v, e, unnest(range(1, len(v) + 1)) AS i FROM ({EVENTS}) WHERE k NOT IN (3, 4, 5))) USING (doc_id)""")

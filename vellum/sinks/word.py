@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterable
-from xml.sax.saxutils import escape
+from xml.sax import saxutils
 
 #: Fixed values of the format.
 MAIN = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -24,6 +25,15 @@ MARGINS, FONT, SIZE = (1008, 1152), "Arial", 21
 STYLES = [("Normal", "Normal", False, SIZE, 0), ("Title", "Title", True, 32, 0), ("Heading1", "heading 1", True, 26, 0), ("ListBullet", "List Bullet", False, SIZE, 360), ("ListNumber", "List Number", False, SIZE, 360)]
 
 
+#: Characters that XML cannot hold, escaped or not.
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+
+
+def escape(text: str) -> str:
+    """Text as XML; what XML cannot hold is left out, so that no text makes a file that cannot be read."""
+    return saxutils.escape(NOT_XML.sub("", text))
+
+
 def styles() -> str:
     one = lambda i, name, bold, size, indent: (
         f'<w:style w:type="paragraph" w:styleId="{i}"{" w:default=" + chr(34) + "1" + chr(34) if i == "Normal" else ""}><w:name w:val="{name}"/><w:pPr>{f"<w:ind w:left={chr(34)}{indent}{chr(34)} w:hanging={chr(34)}{indent}{chr(34)}/>" if indent else ""}</w:pPr>'
