@@ -439,3 +439,22 @@ def test_rows_without_ids_are_apart(spark):
     assert sum(r.doc_id is None for r in cut) == 333 and sum(r.n_removed > 0 for r in cut) >= 31 and {r.doc_id: r.n_removed for r in cut if r.doc_id}[5] == 60
     near = fingerprints.compare_with_edits(docs).collect()
     assert len(near) == len(rows) and {r.doc_id: r.edited_sha256 for r in near}[6] == brute.sha("alo" + base[:2])
+
+
+def test_rolling_hashes_tell_runs_apart_wherever_they_lie():
+    """Equal for equal runs and for no others, in one sequence and in another one with other values before them."""
+    from vellum.llm.quality_rules import Rolling
+
+    draw = np.random.default_rng(5)
+    words = draw.integers(1, 2**63, 3).astype(np.uint64)
+    for size in (0, 1, 2, 19, 20, 400):
+        x, y = draw.integers(0, 3, size), draw.integers(0, 3, 7)
+        sequences = [x, np.concatenate([y, x])]
+        for n in (3, 5, 10, 20):
+            found: dict[tuple, int] = {}
+            for s in sequences:
+                hashes = Rolling(words[s]).hashes(n).tolist()
+                assert len(hashes) == max(0, len(s) - n + 1)
+                for i, h in enumerate(hashes):
+                    assert found.setdefault(tuple(s[i : i + n].tolist()), h) == h
+            assert len(set(found.values())) == len(found)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import U64, Words, grams, lean, mix, slices, text_bytes, texts
+from vellum.llm.common import U64, Words, lean, mix, slices, text_bytes, texts
 
 #: Rules of the base verdict.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_NGRAM = 50, 50, 3
@@ -31,10 +31,34 @@ def _per_doc(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def covered_words(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """True for each word that lies in a window of ``n`` words found twice or more in its own text."""
-    out = np.zeros(len(h), bool)
-    g = grams(h, n)
+#: An odd number, so that it has an inverse: the base of the rolling hashes.
+BASE = 0xD1342543DE82EF95
+_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Rolling:
+    """Rolling hashes of the runs of any length of one sequence of values, from prefix sums that are made once.
+
+    The sum of value times BASE^-place up to each place; the difference of two such sums, times BASE^first, is the hash of
+    the run between them and does not depend on where it lies. All numbers wrap at 64 bits."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.prefix, self.up = np.zeros(n + 1, U64), np.full(n, BASE, U64)
+        down = np.full(n, _INVERSE, U64)
+        self.up[:1] = down[:1] = 1
+        np.cumprod(self.up, out=self.up)
+        np.cumsum(values * np.cumprod(down), out=self.prefix[1:])
+
+    def hashes(self, n: int) -> np.ndarray:
+        """One for each place where a run of ``n`` values begins, over the sequence as one (callers drop runs that cross texts)."""
+        m = len(self.up) - n + 1
+        return mix((self.prefix[n:] - self.prefix[:m]) * self.up[:m]) if m > 0 else np.zeros(0, U64)
+
+
+def covered_words(g: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """True for each word that lies in a window of ``n`` words found twice or more in its own text; ``g``: the windows' hashes."""
+    out = np.zeros(len(doc), bool)
     if not len(g):
         return out
     inside = doc[n - 1 :] == doc[: len(g)]
@@ -48,7 +72,7 @@ def covered_words(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     twice = same.copy()
     twice[:-1] |= same[1:]
     hits = at[order[twice]]
-    steps = np.zeros(len(h) + 1, np.int64)
+    steps = np.zeros(len(doc) + 1, np.int64)
     np.add.at(steps, hits, 1)
     np.add.at(steps, hits + n, -1)
     return np.cumsum(steps[:-1]) > 0
@@ -60,14 +84,14 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             text = batch.column("text")
             w = Words(text)
-            h = w.hashes()
+            rolling = Rolling(w.hashes())
             lead = (w.data & 0xC0) != 0x80
             chars = _per_doc(lead & w.solid, w.offsets)
             symbols = _per_doc(_SYMBOL[w.data], w.offsets)
             total = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
             size = total[w.ends] - total[w.starts]
-            repeat = _per_doc(covered_words(h, w.doc, REPEAT_NGRAM), w.first)
-            cover = [_per_doc(np.where(covered_words(h, w.doc, n), size, 0), w.first) for n, _ in COVERAGE_LIMITS]
+            repeat = _per_doc(covered_words(rolling.hashes(REPEAT_NGRAM), w.doc, REPEAT_NGRAM), w.first)
+            cover = [_per_doc(np.where(covered_words(rolling.hashes(n), w.doc, n), size, 0), w.first) for n, _ in COVERAGE_LIMITS]
             lines, dup, dup_chars, line_chars = (np.zeros(len(text), np.int64) for _ in range(4))
             for i, b in enumerate(text_bytes(text)):
                 own = [x for x in b.split(b"\n") if x.strip()]
