@@ -95,6 +95,49 @@ def test_stream_gives_what_a_batch_gives(formats, tmp_path):
     assert sorted(map(tuple, formats.read.parquet(out).collect())) == sorted((r["name"], r["text"]) for r in read(formats, folder).collect())
 
 
+def test_reports_from_a_stream(formats, tmp_path):
+    """Documents that arrive in two goes, reviewed as they come: the same reports as of a batch over all."""
+    given, out = folder_of(tmp_path / "in"), folder_of(tmp_path / "reports")
+    texts = [(i, f"The system must notify applicant {i}. Security is adequate. " * (1 + i % 3)) for i in range(17)]
+    reviewed = lambda docs: review.review_documents(docs).where("review is not null").select(F.concat("name", F.lit(".docx")).alias("name"), F.col("name").alias("source"), "review")
+
+    def run():
+        stream = reviewed(formats.readStream.format("vellum_files").option("taskBytes", "300").load(given))
+        stream.writeStream.format("vellum_reports").option("report", "review").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    for part in (texts[:9], texts[9:], []):
+        if part:
+            write(named(formats, part), given)
+        run()
+    write(reviewed(read(formats, given)), folder_of(tmp_path / "batch"), "review")
+    both = [sorted((r["name"], r["text"]) for r in read(formats, f).collect()) for f in (out, folder_of(tmp_path / "batch"))]
+    assert both[0] == both[1] and len(both[0]) == len(texts)
+    assert sorted(os.listdir(tmp_path / "reports" / "out")) == sorted(f"{i}.txt.docx" for i, _ in texts)
+
+
+def test_a_batch_of_a_stream_that_is_done_again(formats, tmp_path):
+    """A batch that dies after its commit, but before Spark notes it, is done again; one file is left of each row, and no attempt."""
+    from pyspark.sql import Row
+
+    on = lambda: files_sink.ReportStreamWriter(folder_of(tmp_path), "text")  # noqa: E731  tasks and the driver have one each
+    rows = [Row(name="a.txt", result="first"), Row(name="b.txt", result="second")]
+    for _ in range(2):
+        task = on()
+        with pytest.raises(ZeroDivisionError):
+            task.write(iter_then_fail(rows[:1]))
+        on().commit([task.write(iter(rows[:1])), None, task.write(iter(rows[1:])), task.write(iter([]))], 0)
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.txt": "first", "b.txt": "second"}
+    task = on()
+    with pytest.raises(ValueError, match="one file name"):
+        on().commit([task.write(iter(rows[:1])), task.write(iter(rows[:1]))], 1)
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt"]
+
+
+def iter_then_fail(rows):
+    yield from rows
+    raise ZeroDivisionError
+
+
 def test_an_attempt_that_dies_leaves_nothing(formats, tmp_path, monkeypatch):
     """The files of a first attempt, ended half-way, are no part of the result of a second."""
     writer = files_sink.ReportWriter(folder_of(tmp_path), "text", False)

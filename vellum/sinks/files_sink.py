@@ -6,6 +6,9 @@ two a ``source``. Tasks draw the files up and write them into a folder of their
 moves the files of the attempts that count to their place, so that a task that was tried twice leaves one file, and a job
 that fails leaves none. Two rows of one name are an error. Modes: append, which fails where a file is there already, and
 overwrite, which clears the folder first.
+
+``writeStream`` does the same batch by batch; there a file replaces one of its name, so that a batch that is done again
+after a failure leaves the files it left before.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 
 from pyarrow import fs
 from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from vellum.sinks import png, word
@@ -34,6 +37,7 @@ REPORTS: dict[str, tuple[str, Callable[[Row], bytes]]] = {
 
 @dataclass
 class Written(WriterCommitMessage):
+    job: str
     attempt: str
     names: list[str]
 
@@ -60,7 +64,7 @@ class ReportWriter(DataSourceWriter):
             with store.open_output_stream(f"{place}/{self.job}/{attempt}/{name}") as out:
                 out.write(make(row))
             names.append(name)
-        return Written(attempt, names)
+        return Written(self.job, attempt, names)
 
     def commit(self, messages: list[Written | None]) -> None:
         """On the driver: the files of the attempts that count take their places."""
@@ -89,16 +93,50 @@ class ReportWriter(DataSourceWriter):
             store.delete_dir(f"{place}/{self.job}")
 
 
+class ReportStreamWriter(ReportWriter, DataSourceStreamWriter):
+    """The writer that a task has is not the one that commits: messages name the folder of the attempts."""
+
+    def __init__(self, folder: str, report: str):
+        super().__init__(folder, report, False)
+
+    def commit(self, messages: list[Written | None], batch: int) -> None:
+        """On the driver: the files of a batch take their places, also those of a batch that did so before."""
+        store, place = self._place()
+        done = [(f"{m.job}/{m.attempt}", n) for m in messages if m is not None for n in m.names]
+        try:
+            if len({n for _, n in done}) < len(done):
+                raise ValueError("two rows of a batch have one file name")
+            store.create_dir(place)
+            for attempt, name in done:
+                if store.get_file_info(f"{place}/{name}").type == fs.FileType.File:  # not all stores move onto a file
+                    store.delete_file(f"{place}/{name}")
+                store.move(f"{place}/{attempt}/{name}", f"{place}/{name}")
+        finally:
+            self.abort(messages, batch)
+
+    def abort(self, messages: list[Written | None], batch: int) -> None:
+        store, place = self._place()
+        for job in {m.job for m in messages if m is not None}:
+            if store.get_file_info(f"{place}/{job}").type == fs.FileType.Directory:
+                store.delete_dir(f"{place}/{job}")
+
+
 class ReportSink(DataSource):
     @classmethod
     def name(cls) -> str:
         return "vellum_reports"
 
-    def writer(self, schema: StructType, overwrite: bool) -> ReportWriter:
+    def _checked(self, schema: StructType) -> tuple[str, str]:
         report = self.options.get("report", "")
         if report not in REPORTS:
             raise ValueError(f"option report: one of {', '.join(REPORTS)}")
         needed = {"name", REPORTS[report][0], *(["source"] if report in ("outline", "review") else [])}
         if lacking := needed - set(schema.names):
             raise ValueError(f"columns needed: {', '.join(sorted(lacking))}")
-        return ReportWriter(self.options["path"], report, overwrite)
+        return self.options["path"], report
+
+    def writer(self, schema: StructType, overwrite: bool) -> ReportWriter:
+        return ReportWriter(*self._checked(schema), overwrite)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> ReportStreamWriter:
+        return ReportStreamWriter(*self._checked(schema))
