@@ -4,6 +4,7 @@ import datetime
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,29 @@ def test_pruned_search_equals_the_full_one():
                 if s > score:
                     best, score = j, s
             assert compare.best_of(item, keys(item), other, [keys(o) for o in other]) == (best, score)
+
+
+def test_items_below_the_bar_are_left_without_a_full_search(monkeypatch):
+    """Texts are told apart by common subsequences with all others at once; blocks are looked for only where a pair may count."""
+    rng, steps = random.Random(3), []
+    plain = compare.Target.step
+    monkeypatch.setattr(compare.Target, "step", lambda *a: (steps.append(1), plain(*a)))
+    text = lambda: "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(1, 150)))
+    items, others = [text() for _ in range(20)], [text() for _ in range(40)] + ["", "x" * 300]
+    items[3], items[4] = others[7], others[9] + "y"
+    shares, ready = np.zeros((20, 42)), compare.Others(others)
+    full = compare.best_of_all(items, ready, shares, 0.65, 0.35)
+    many = len(steps)
+    barred = compare.best_of_all(items, ready, shares, 0.65, 0.35, 0.44)
+    assert len(steps) - many < many / 5
+    assert [b for b, f in zip(barred, full, strict=True) if f[1] >= 0.44] == [f for f in full if f[1] >= 0.44] != []
+    assert all(b in (f, (None, 0.0)) for b, f in zip(barred, full, strict=True))
+    for text in items[:5]:
+        common = compare.Meeting(ready, text).common.tolist()
+        for other, n in zip(others, common, strict=True):
+            row = [0] * (len(other) + 1)
+            for c in text:
+                last = 0
+                for j, o in enumerate(other, 1):
+                    last, row[j] = row[j], last + 1 if c == o else max(row[j], row[j - 1])
+            assert row[-1] == n
