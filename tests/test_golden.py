@@ -5,6 +5,7 @@ import json
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -314,3 +315,13 @@ def test_required_keys(spark):
     """The keys that results must have are there."""
     o = one(spark, (OUTLINE,), "text string", outline.draft_outline, "outline")
     assert {"service_overview", "stakeholders", "business_rules", "process_steps", "human_review_notes"} <= set(o.asDict())
+
+
+def test_pictures_hold_two_dots_to_a_byte():
+    chart = {"tasks": None, "points": [{"category": c, "value": v} for c, v in (("a", 3.0), ("b", 5.0))], "chart_type": "Pie Chart", "title": "Parts", "x_label": "", "y_label": ""}
+    image, canvas = png.chart_png(chart), png.draw(chart)
+    assert image[24:26] == bytes([4, 3])
+    start = image.index(b"IDAT")
+    lines = np.frombuffer(zlib.decompress(image[start + 4 : image.index(b"IEND") - 8]), np.uint8).reshape(canvas.h, -1)[:, 1:]
+    dots = np.stack([lines >> 4, lines & 15], axis=2).reshape(canvas.h, -1)[:, : canvas.w]
+    assert (png.PALETTE[dots] == canvas.image).all()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType
 
 from vellum.functions import lexicons as lex, text as T
 from vellum.operators import charts, compare, email, lexicon, metrics, outline, qa, review
@@ -234,27 +235,34 @@ def chart_table(spark, sf_dir):
 # pictures
 
 
-@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in ("width", "height", "colours")]))
-def _seen(png: pa.Array) -> pa.Array:
-    """Width, height and number of colours of pictures, read from their bytes."""
-    out = []
-    for body in png.to_pylist():
-        width, height = struct.unpack(">II", body[16:24])
-        data, at = b"", 8
-        while at < len(body):
-            size, kind = struct.unpack(">I4s", body[at : at + 8])
-            data += body[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
-            at += 12 + size
-        lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, -1)[:, 1:].reshape(-1, 3)
-        there = np.zeros(1 << 24, bool)
-        there[lines[:, 0].astype(np.int32) << 16 | lines[:, 1].astype(np.int32) << 8 | lines[:, 2]] = True
-        out.append({"width": width, "height": height, "colours": int(there.sum())})
-    return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("colours", pa.int32())]))
+#: Pictures that are held at once.
+PICTURES = 64
 
 
-@F.arrow_udf(BinaryType())
-def _drawn(chart: pa.Array) -> pa.Array:
-    return pa.array([png.chart_png(c) for c in chart.to_pylist()], pa.binary())
+def _seen(body: bytes) -> tuple[int, int, int]:
+    """Width, height and number of colours of a picture, read from its bytes."""
+    width, height, depth, kind = struct.unpack(">IIBB", body[16:26])
+    if (depth, kind) != (4, 3):
+        raise ValueError("not two numbers of colours to a byte")
+    parts, at = [], 8
+    while at < len(body):
+        size, name = struct.unpack(">I4s", body[at : at + 8])
+        parts += [body[at + 8 : at + 8 + size]] if name == b"IDAT" else []
+        at += 12 + size
+    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, -1)[:, 1:]
+    two = np.zeros(256, bool)
+    two[lines] = True
+    found = np.flatnonzero(two)
+    return width, height, len({*(found >> 4).tolist(), *((found & 15).tolist() if width > 1 else ())})
+
+
+def _pictured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws charts and reads the pictures, a few at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PICTURES):
+            part = batch.slice(lo, PICTURES)
+            seen = [_seen(png.chart_png(c)) for c in part.column("chart").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*seen, strict=True))], ["doc_id", "width", "height", "colours"])
 
 
 @query(f"""SELECT doc_id, 1800::BIGINT AS width, floor(greatest(5.5::DOUBLE, n_tasks * 0.55::DOUBLE + 2) * 180)::BIGINT AS height, TRUE AS drawn FROM ({_SQL['gantt_rules']}) WHERE error_code IS NULL
@@ -262,5 +270,5 @@ def _drawn(chart: pa.Array) -> pa.Array:
 def chart_pictures(spark, sf_dir):
     """Pictures of all valid charts and plans: their size, and that more than the ground is drawn."""
     both = [charts.chart_data(f(spark, sf_dir)).where("error_code is null").select("doc_id", "chart") for f in (order_plans, event_charts)]
-    rows = [b.repartition(spark.sparkContext.defaultParallelism).select("doc_id", _drawn("chart").alias("png")).select("doc_id", _seen("png").alias("s")) for b in both]
-    return rows[0].unionByName(rows[1]).select("doc_id", long("s.width").alias("width"), long("s.height").alias("height"), (F.col("s.colours") > 2).alias("drawn"))
+    rows = [b.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_pictured, f"doc_id {b.schema['doc_id'].dataType.simpleString()}, width long, height long, colours long") for b in both]
+    return rows[0].unionByName(rows[1]).select("doc_id", "width", "height", (F.col("colours") > 2).alias("drawn"))
