@@ -63,3 +63,13 @@ def test_answers_without_support(corpus):
     assert {r["q_id"] for r in rows} == {r["q"] for r in questions.collect()}
     none = [r for r in rows if r["q_id"] in (90, 91, 92, 94)]
     assert all(r["status"] == qa.NOT_FOUND and r["rank"] is None and r["s_id"] is None for r in none) and len(none) == 4
+
+
+def test_pairs_are_made_where_passages_lie(spark):
+    """All pairs need no shuffle, and questions in several groups give the same as in one."""
+    q = spark.createDataFrame([(1, "red apple tree"), (2, "apple pie, red apple pie"), (3, "of the"), (None, "red"), (4, "green")], "q int, question string")
+    d = spark.createDataFrame([(7, "A red apple apple apple apple fell. The tree is red tonight."), (8, None), (None, "Green pie for nobody here.")], "s int, body string")
+    told = lambda terms: sorted(map(str, qa.corpus_scores(q, d, "q", "question", "s", "body", {}, terms).collect()))
+    assert told(100) == told(2) and len(told(100)) == 6
+    for made in (qa.corpus_scores(q, d, "q", "question", "s", "body", {}), qa.corpus_overlap(q, d, "q", "question", "s", "body")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
