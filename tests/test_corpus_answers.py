@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import qa, topk
+from vellum.operators import compare, qa, topk
 
 HINTS = {"fees": ["fee", "cost", "price"], "time": ["days", "hours"], "place": ["office", "portal"]}
 
@@ -73,3 +73,16 @@ def test_pairs_are_made_where_passages_lie(spark):
     assert told(100) == told(2) and len(told(100)) == 6
     for made in (qa.corpus_scores(q, d, "q", "question", "s", "body", {}), qa.corpus_overlap(q, d, "q", "question", "s", "body")):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_and_figures_need_no_texts(spark):
+    """Comparisons by keywords that tell places and figures give the same without the texts of items, which are then not shuffled."""
+    docs = spark.createDataFrame([(1, "The fee is 5 dollars now. Apply for the permit online."), (2, "The fee is 7 dollars now. Nothing else matters here."), (3, "")], "doc_id long, text string")
+    sides = F.array(*(F.struct((F.col("doc_id") - n).alias("pair_id"), F.lit(x).alias("side")) for n, x in ((0, "a"), (1, "b"))))
+    by = {"text_weight": 0.0, "keyword_weight": 1.0}
+    full, bare = (compare.item_sides(docs, sides, texts=x) for x in (True, False))
+    assert {i for r in bare.collect() for i in [*r["a_items"], *r["b_items"]]} == {None}
+    assert sorted(compare.pair_figures(full, "pair_id", **by).collect()) == sorted(compare.pair_figures(bare, "pair_id", **by).collect()) != []
+    place = lambda x: sorted(map(str, compare.compare_items(x, "pair_id", **by).drop("a_item", "b_item").collect()))
+    assert place(full) == place(bare) != []
+    assert sorted(compare.extra_items(full, "pair_id", **by).select("pair_id", "b_pos").collect()) == sorted(compare.extra_items(bare, "pair_id", **by).select("pair_id", "b_pos").collect())
