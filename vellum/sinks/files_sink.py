@@ -53,7 +53,7 @@ class ReportWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         """On an executor: the files of one attempt at a task, in a folder of its own."""
         store, place = self._place()
-        attempt, names = uuid.uuid4().hex, []
+        attempt, names = uuid.uuid4().hex, {}  # a list would be searched for each row
         make = REPORTS[self.report][1]
         for row in iterator:
             name = row["name"]
@@ -63,8 +63,8 @@ class ReportWriter(DataSourceWriter):
                 store.create_dir(f"{place}/{self.job}/{attempt}")
             with store.open_output_stream(f"{place}/{self.job}/{attempt}/{name}") as out:
                 out.write(make(row))
-            names.append(name)
-        return Written(self.job, attempt, names)
+            names[name] = None
+        return Written(self.job, attempt, list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         """On the driver: the files of the attempts that count take their places."""
