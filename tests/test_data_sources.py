@@ -225,6 +225,19 @@ def test_large_lexicon(spark, sf_dir, limit):
     assert {d: sorted(v) for d, v in got.items()} == {d: v for d, v in by_id.items() if v}
 
 
+def test_lexicon_looks_words_up_once(spark):
+    """Texts meet the lexicon word by word where they lie: no shuffle, no row for each piece of a text; a full memory of words starts anew."""
+    docs = spark.createDataFrame([(1, "New york  is new"), (1, "York NEW"), (2, "w york\tise"), (None, "x" * 40)], "doc_id long, text string")
+    words = spark.createDataFrame([(k,) for k in ("new york", "york", "w y", " ", "is", "york new", "x" * 39)], "keyword string")
+    rows = lexicon.keyword_lists(docs, words, "doc_id")
+    assert sorted((r["doc_id"] or 0, r["keywords"]) for r in rows.collect()) == [(0, ["x" * 39]), (1, [" ", "is", "new york", "w y", "york"]), (1, [" ", "york", "york new"]), (2, [" ", "is", "w y", "york"])]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    few = lexicon.Pieces(["ab", "b"])
+    few.held = lexicon.KNOWN_CHARS
+    assert few.of_text("cab b cab") == [0, 1] and few.held == 4
+
+
 def test_lexicon_of_nothing(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert lexicon.found_keywords(docs, spark.createDataFrame([("",), (None,)], "keyword string"), "doc_id").count() == 0

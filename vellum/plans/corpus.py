@@ -37,8 +37,8 @@ def _told(values: str, instead: str, mark: str = "- ") -> str:
 def lexicon_words(spark, sf_dir):
     """The words of all benchmark items that occur in each document, within words too."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("keyword"))
-    found = lexicon.found_keywords(documents(spark, sf_dir), words, "doc_id")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("keyword")), "|")).alias("keywords_md5"))
+    found = lexicon.keyword_lists(documents(spark, sf_dir), words, "doc_id").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("keywords"))).alias("k"))
+    return found.select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", "|")).alias("keywords_md5"))
 
 
 # whole texts
