@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import charts, compare, lexicon, outline, review
-from vellum.plans import access, fixtures as fx
+from vellum.plans import access, catalog, derived, corpus, fixtures as fx  # noqa: F401  queries
 from vellum.sinks import files_sink, pdf
-from vellum.sources import files, files_source
+from vellum.sources import files, files_source, pdf as pdf_source, shared, tables
 from vellum.sources.pdf import pages_of, rc4, unpredicted
 
 TEXTS = [(i, f"text {i} é.\n" * (1 + i % 4)) for i in range(23)]
@@ -263,6 +263,37 @@ def test_pdf_forms(form):
     assert (b"line 1" in body, b"/Encrypt" in body, b"/ObjStm" in body) == (False, bool(form & 4), bool(form & 1))
 
 
+def test_pdf_codes_are_read_together(monkeypatch):
+    """A string whose codes are all of one length is read at once; of several lengths, code by code; RC4 by its known results."""
+    monkeypatch.setattr(pdf_source, "int", None, raising=False)
+    assert list(pdf_source.codes_of(b"a\xe9", [(1, 0, 255)])) == [97, 233] and list(pdf_source.codes_of(b"\0a\x4e\x2d", [(2, 0, 65535)])) == [97, 0x4E2D]
+    monkeypatch.undo()
+    assert pdf_source.codes_of(b"a\x81\x40b", [(1, 0, 127), (2, 0x8100, 0x9FFF)]) == [97, 0x8140, 98]
+    assert pdf_source.codes_of(b"\0ab", [(2, 0, 65535)]) == [97, 98]
+    assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and rc4(b"Wiki", b"") == b"" and rc4(b"k", rc4(b"k", bytes(range(256)) * 3)) == bytes(range(256)) * 3
+
+
+def test_tasks_grow_with_a_table_of_few_files(spark, tmp_path, monkeypatch):
+    """One file: as many tasks as its size asks for, not the number of cores whatever its size; many files stay as they lie."""
+    spark.range(20_000).selectExpr("id AS doc_id", "cast(id AS string) AS text").coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    spark.range(64).repartition(64).write.parquet(f"{tmp_path}/many.parquet")
+    tasks = lambda name: tables.spread(tables.read_table(spark, str(tmp_path), name)).rdd.getNumPartitions()
+    assert tasks("one") == spark.sparkContext.defaultParallelism
+    few = tables.spread(tables.read_table(spark, str(tmp_path), "many"))
+    assert "Repartition" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(tables, "TASK_BYTES", 4096)
+    assert 20 < tasks("one") < 100
+
+
+@pytest.mark.parametrize("name", ["source_word", "source_pdf", "source_documents"])
+def test_files_go_to_python_in_bounded_batches(spark, sf_dir, name):
+    """Batches of files are bounded by bytes, not by 10,000 rows alone, and a table of one file is no single task."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = catalog.QUERIES[name](spark, sf_dir)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(shared.BATCH_BYTES)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_pdf_that_needs_a_password():
     body = pdf.text_pdf("text", locked=True)
     mark = body.index(b"/U <") + 4

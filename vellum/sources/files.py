@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from vellum.functions.text import WS
 from vellum.sources.pdf import pages_of
+from vellum.sources.shared import bounded_batches
 
 #: Fixed value: the namespace of Word's markup.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -115,6 +116,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def documents_of(files: DataFrame) -> DataFrame:
     """The same for rows of (path, content)."""
+    bounded_batches(files.sparkSession)
     low = F.lower("path")
     is_text, is_binary = low.endswith(".txt"), low.endswith(".docx") | low.endswith(".pdf")
     read = _binary_text("path", F.when(is_binary, F.col("content")))  # one pass over the files; only these bytes go to Python
