@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import compare, qa, topk
+from vellum.plans import catalog, corpus as whole, derived  # noqa: F401  queries
 
 HINTS = {"fees": ["fee", "cost", "price"], "time": ["days", "hours"], "place": ["office", "portal"]}
 
@@ -86,3 +87,18 @@ def test_places_and_figures_need_no_texts(spark):
     place = lambda x: sorted(map(str, compare.compare_items(x, "pair_id", **by).drop("a_item", "b_item").collect()))
     assert place(full) == place(bare) != []
     assert sorted(compare.extra_items(full, "pair_id", **by).select("pair_id", "b_pos").collect()) == sorted(compare.extra_items(bare, "pair_id", **by).select("pair_id", "b_pos").collect())
+
+
+def test_no_filter_is_moved_before_the_shuffle(spark, sf_dir):
+    """A table of one file is dealt out before texts are read: a filter on results runs after it, in many tasks, and what it tests is made once."""
+    plan = catalog.QUERIES["qa_document_answers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Repartition" in line)
+    assert any("Filter" in line for line in plan[:at]) and not any("Filter" in line for line in plan[at:])
+    assert sum("؟" in line for line in plan) == 1  # the cut of passages
+
+
+def test_best_passage_beside_an_answer(spark):
+    rows = spark.createDataFrame([("The fee is five dinars. Forms are at the desk.", "which fee is asked"), ("no words alike in here", "zebra crossing"), (" ", "x")], "source_text string, question string")
+    told = [r["best"] and (r["best"]["passage"], r["best"]["shared_terms"]) for r in qa.answer_questions(rows, best="best").collect()]
+    assert told == [("The fee is five dinars.", ["fee"]), ("no words alike in here", []), None]
+    assert "best" not in qa.answer_questions(rows).columns
