@@ -77,3 +77,16 @@ def test_figures_of_a_stream(spark, sf_dir, tmp_path):
         assert totals.values == seen.get and seen.get["results"] > 0
     finally:
         spark.streams.removeListener(totals)
+
+
+def test_mail_fields_that_are_not_wanted_are_not_made(spark, sf_dir):
+    """Some fields of a summary are as they are among all; headers read no sentences."""
+    from vellum.plans import catalog
+
+    mails = spark.createDataFrame([("From: a\nTo: b\nPlease send it by tomorrow to us.\nWe agreed on 3/4 then.",), (" \n",), (None,)], "text string")
+    every, some = email.summarize_mails(mails).collect(), email.summarize_mails(mails, fields=("deadlines", "sender")).collect()
+    assert [r.summary and r.summary.asDict() for r in some] == [r.summary and {k: r.summary[k] for k in ("sender", "deadlines")} for r in every]
+    assert [r.error_code for r in some] == [None, "EMPTY_EMAIL", "EMPTY_EMAIL"]
+    assert "RLIKE" not in catalog.QUERIES["email_headers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="no such fields"):
+        email.summarize_mails(mails, fields=("sendr",))
