@@ -294,6 +294,15 @@ def test_files_go_to_python_in_bounded_batches(spark, sf_dir, name):
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_results_go_to_files_in_bounded_batches(spark, tmp_path):
+    """Batches that a task writes as files are bounded by bytes, and as many files are there in the end."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    access.register_sources(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(shared.BATCH_BYTES)
+    write(named(spark, [(i, "x" * 3_000_000) for i in range(5)], parts=1), folder_of(tmp_path))
+    assert read(spark, folder_of(tmp_path)).where("bytes = 3000000").count() == 5
+
+
 def test_pdf_that_needs_a_password():
     body = pdf.text_pdf("text", locked=True)
     mark = body.index(b"/U <") + 4

@@ -16,6 +16,7 @@ from vellum.operators.charts import parse_table
 from vellum.plans.registry import QUERIES
 from vellum.sinks.files_sink import ReportSink
 from vellum.sources.files_source import FileSource
+from vellum.sources.shared import bounded_batches
 
 
 @F.arrow_udf(DoubleType())
@@ -81,7 +82,9 @@ def register_functions(spark: SparkSession) -> None:
 
 
 def register_sources(spark: SparkSession) -> None:
-    """The formats ``vellum_files`` to read and ``vellum_reports`` to write; filters reach the former's list of files."""
+    """The formats ``vellum_files`` to read and ``vellum_reports`` to write; filters reach the former's list of files, and
+    results go to the latter in batches bounded by bytes."""
+    bounded_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileSource)
     spark.dataSource.register(ReportSink)
