@@ -58,6 +58,49 @@ def test_scores_rise_and_common_terms_drop_out():
     assert [r[:3] for r in best.rows[0]] == [(-1.0, (True, 0), 0), (-1.0, (True, 1), 1)]
 
 
+@pytest.mark.parametrize("first,dense,hints", [(1 << 11, 8, HINTS), (50, 0, HINTS), (1 << 11, 8, {})])
+def test_few_pairs_are_scored(monkeypatch, first, dense, hints):
+    """Pairs are added up by terms; only those that can still get in are scored one by one, and none is missed."""
+    np, rng = topk.np, random.Random(7)
+    words = [f"w{i}" for i in range(60)] + [w for x in HINTS.values() for w in x]
+    told = lambda n: rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=n)
+    questions = topk.Questions(list(range(40)), [sorted(set(told(rng.randint(1, 25)))) if i else [] for i in range(40)], hints, 3)
+    place, passages = {t: i for i, t in enumerate(questions.vocabulary)}, [told(rng.randint(3, 14)) for _ in range(6000)]
+    passages = [[t for t in x if t in place] for x in passages]
+    scored, score = [], topk.Best._score
+    monkeypatch.setattr(topk.Best, "_score", lambda self, p, *rest: (scored.append(len(p)), score(self, p, *rest))[1])
+    monkeypatch.setattr(topk, "FIRST", first, raising=False)
+    monkeypatch.setattr(topk, "DENSE", dense, raising=False)
+    best = topk.Best(questions, 3)
+    for lo in range(0, len(passages), 2000):
+        some = passages[lo : lo + 2000]
+        best.take([(True, lo + i) for i in range(len(some))], np.zeros(len(some), np.int64), np.array([place[t] for x in some for t in x], np.int64), np.repeat(np.arange(len(some)), [len(x) for x in some]))
+    got = {}
+    for q, source, _, value, shared in best.finish():
+        got.setdefault(q, []).append((-value, source[1], shared))
+    met = 0
+    for q in range(40):
+        asked = {questions.vocabulary[i] for i in questions.terms[questions.lo[q] : questions.lo[q + 1]]}
+        rows = []
+        for i, x in enumerate(passages):
+            common, both = asked & set(x), sum(bool(asked & set(w)) and bool(set(x) & set(w)) for w in hints.values())
+            met += bool(common)
+            if common or both:
+                rows.append((-float(questions.score(np.array([len(common)]), np.array([len(asked)]), np.array([both]), np.array([sum(min(3, x.count(t)) for t in common)]))[0]), i, len(common)))
+        assert sorted(got.get(q, [])) == sorted(rows)[:3]
+    assert sum(scored) < met / 10
+
+
+def test_tokens_of_passages_alone(spark):
+    """The same as with the passages, those that are equal but for case included; stop words are looked up in a set."""
+    texts = ["Fee for a new permit. fee FOR a new Permit.\n\n- Fee for a new permit.  Other words stand here!", "One two three four. One two three, four. One two; three four.", "İstanbul ΟΔΟΣ office fee. ΟΔΟΣ. İSTANBUL office fee K days.", "الرسوم خمسة دنانير؟ الرسوم خمسة دنانير؟ a b c", "", None, "too short. x y z"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    told = rows.select("i", T.passage_tokens(F.col("x")).alias("alone"), F.transform(T.passages_with_tokens(F.col("x")), lambda p: p["tokens"]).alias("beside")).collect()
+    assert all(r["alone"] == r["beside"] for r in told) and [len(r["alone"]) for r in sorted(told)] == [2, 3, 2, 1, 0, 0, 0]
+    plan = rows.select(T.tokens(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "array_contains" not in plan
+
+
 def test_answers_without_support(corpus):
     questions, sources = corpus
     rows = qa.corpus_answers(qa.corpus_top(questions, sources, "q", "question", "s", "body", HINTS), questions, "q").collect()
