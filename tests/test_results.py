@@ -90,3 +90,19 @@ def test_mail_fields_that_are_not_wanted_are_not_made(spark, sf_dir):
     assert "RLIKE" not in catalog.QUERIES["email_headers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError, match="no such fields"):
         email.summarize_mails(mails, fields=("sendr",))
+
+
+def test_mail_figures_count_what_was_planted(spark, tmp_path):
+    """Words of actions that a document has by itself, as in an address, and mails without lines are as the SQL says."""
+    import duckdb
+
+    from vellum.plans import derived  # noqa: F401  registers the query
+    from vellum.plans.registry import ORACLE_SQL, QUERIES
+
+    texts = ["Ask asendi.24@mail6.example.com for it. Then one more line.", "Please Send it by tomorrow to us. We must do it. All should review it.", "nothing of the kind here", "", " \n", None]
+    rows = [(8 * i + j, t) for i, t in enumerate(texts) for j in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = sorted(con.execute(f"SELECT doc_id, n_deadlines, deadlines_md5, n_actions_found, n_actions FROM ({ORACLE_SQL['email_metrics']})").fetchall())
+    assert sorted(map(tuple, QUERIES["email_metrics"](spark, str(tmp_path)).collect())) == expected and len(expected) == len(rows)
