@@ -246,3 +246,22 @@ def test_items_below_the_bar_are_left_without_a_full_search(monkeypatch):
                 for j, o in enumerate(other, 1):
                     last, row[j] = row[j], last + 1 if c == o else max(row[j], row[j - 1])
             assert row[-1] == n
+
+
+def test_blocks_are_those_of_the_library_in_few_steps(monkeypatch):
+    """Stretches without a run of three are gone through in one step; a stretch inside both texts has a closer bound than its length."""
+    rng, steps = random.Random(7), []
+    plain = compare.Target.step
+    monkeypatch.setattr(compare.Target, "step", lambda *a: (steps.append(1), plain(*a)))
+    for _ in range(300):
+        letters = rng.choice(["ab", "abc ", "abcdefghijklmnopqrstuvwxyz  "])
+        text = lambda: "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 3, 20, 90, 199, 200, 260])))
+        a, b = text(), text()
+        b += a[: rng.randint(0, 60)] if rng.random() < 0.4 else ""
+        assert compare.Target(b).matched(a) == sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        (a_lo, a_hi), (b_lo, b_hi) = (sorted(rng.randint(0, len(x)) for _ in "ab") for x in (a, b))
+        room = compare.Meeting(compare.Others([b]), a).room(0, a_lo, a_hi, b_lo, b_hi)
+        assert min(a_hi - a_lo, b_hi - b_lo) >= room >= sum(x.size for x in difflib.SequenceMatcher(None, a[a_lo:a_hi], b[b_lo:b_hi], False).get_matching_blocks())
+    steps.clear()
+    assert compare.Target("a-b-c-d-e-f-g-h").matched("a.b.c.d.e.f.g.h") == 8 and len(steps) == 1
+    assert compare.Meeting(compare.Others(["k" + "x" * 9 + "k"]), "k" + "y" * 9 + "k").room(0, 1, 10, 1, 10) == 0
