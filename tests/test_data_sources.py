@@ -343,3 +343,26 @@ def test_names_of_a_task_are_not_searched_one_by_one(tmp_path):
     assert len(done.names) == 300 and len(compared) < 300
     with pytest.raises(ValueError):
         writer.write(iter([{"name": "a", "result": "x"}, {"name": "a", "result": "y"}]))
+
+
+def test_files_in_folders_pass_the_driver_by_folder(formats, tmp_path, monkeypatch):
+    """The driver holds nothing of single files: tasks tell it their folder, and are told folders to read."""
+    from pyspark.sql import Row
+
+    rows = [Row(name=f"{i}.{'md' if i % 3 else 'txt'}", result=f"text {i} " * 20) for i in range(200)]
+    monkeypatch.setattr(files_sink, "FOLDER_BYTES", 2000)
+    writer = files_sink.ReportWriter(folder_of(tmp_path), "text", False, folders=True)
+    told = [writer.write(iter(part)) for part in (rows[:100], rows[100:], [])]
+    assert all(len(m.names) < 2 for m in told)
+    writer.commit([*told, None])
+    assert len(os.listdir(tmp_path / "out")) == 2 and len(glob.glob(f"{tmp_path}/out/*/*/*")) == len(rows)
+    reader = files_source.FileReader(folder_of(tmp_path), ["name", "text"], 8000)
+    parts = reader.partitions()
+    assert sum(len(p.files) for p in parts) < len(rows) / 3 and len(parts) > 3
+    assert sorted(r for p in parts for r in reader.read(p)) == sorted((r["name"], r["result"].strip() if r["name"].endswith("txt") else None) for r in rows)
+    reader.tests.append(("=", "kind", "txt"))
+    assert sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == sorted(r["name"] for r in rows if r["name"].endswith("txt"))
+    df = formats.createDataFrame([(r["name"], r["result"]) for r in rows], "name string, result string").repartition(3)
+    df.write.format("vellum_reports").option("report", "text").option("folders", "true").mode("append").save(folder_of(tmp_path / "b"))
+    assert sorted(r["name"] for r in read(formats, folder_of(tmp_path / "b")).collect()) == sorted(r["name"] for r in rows)
+    assert not glob.glob(f"{tmp_path}/b/out/_*")

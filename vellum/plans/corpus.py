@@ -20,6 +20,7 @@ from vellum.plans.registry import ORACLE_SQL, query
 from vellum.sinks import pdf, png, reports
 from vellum.sources import files
 from vellum.sources.shared import work_folder
+from vellum.sources.tables import spread
 
 NL = "chr(10)"
 
@@ -93,10 +94,10 @@ _DOT = "• "
 def review_report_files(spark, sf_dir):
     """Word reports of the reviews of all documents: written by tasks as files, read again as a data source."""
     access.register_sources(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    done = review.review_documents(docs.repartition(spark.sparkContext.defaultParallelism), brd=fx.DATA_SECTIONS, vague=fx.DATA_PHRASES, terms=fx.DATA_TERMS, optional="the").where("review is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    done = review.review_documents(docs, brd=fx.DATA_SECTIONS, vague=fx.DATA_PHRASES, terms=fx.DATA_TERMS, optional="the").where("review is not null")
     folder = work_folder(spark, "reports")
-    done.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "source", "review").write.format("vellum_reports").option("report", "review").mode("append").save(folder)
+    done.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "source", "review").write.format("vellum_reports").option("folders", "true").option("report", "review").mode("append").save(folder)
     return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
 
 
@@ -115,10 +116,10 @@ _OUTLINED = {
 def outline_report_files(spark, sf_dir):
     """Word reports of the outlines of all documents, written by tasks and read again."""
     access.register_sources(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(spark.sparkContext.defaultParallelism)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     done = outline.draft_outline(docs, functional=fx.DATA_WORDS, rules=fx.DATA_TERMS, stakeholders=fx.DATA_LABELS, recipients=fx.DATA_RECIPIENTS, required=fx.DATA_REQUIRED).where("outline is not null")
     folder = work_folder(spark, "outlines")
-    done.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "source", "outline").write.format("vellum_reports").option("report", "outline").mode("append").save(folder)
+    done.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), "source", "outline").write.format("vellum_reports").option("folders", "true").option("report", "outline").mode("append").save(folder)
     return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
 
 
@@ -144,7 +145,7 @@ def comparison_report_files(spark, sf_dir):
     name = lambda n: F.concat(F.lit("Document "), (F.col("pair_id") + n).cast("string"))
     done = compare.pair_comparisons(neighbours(spark, sf_dir), "pair_id", a_name=name(0), b_name=name(1), **KEYWORDS).where("comparison is not null")
     folder = work_folder(spark, "comparisons")
-    done.select(F.concat(F.col("pair_id").cast("string"), F.lit(".docx")).alias("name"), "comparison").write.format("vellum_reports").option("report", "comparison").mode("append").save(folder)
+    done.select(F.concat(F.col("pair_id").cast("string"), F.lit(".docx")).alias("name"), "comparison").write.format("vellum_reports").option("folders", "true").option("report", "comparison").mode("append").save(folder)
     return spark.read.format("vellum_files").load(folder).select("name", F.md5("text").alias("text_md5"))
 
 
@@ -154,7 +155,7 @@ def source_files(spark, sf_dir):
     access.register_sources(spark)
     folder = work_folder(spark, "files")
     kind = F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".md")
-    documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("result")).write.format("vellum_reports").option("report", "text").mode("append").save(folder)
+    documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), kind).alias("name"), F.col("text").alias("result")).write.format("vellum_reports").option("folders", "true").option("report", "text").mode("append").save(folder)
     return spark.read.format("vellum_files").load(folder).where("kind = 'txt'").select("name", "bytes", "error_code", F.md5("text").alias("text_md5"))
 
 

@@ -7,6 +7,9 @@ moves the files of the attempts that count to their place, so that a task that w
 that fails leaves none. Two rows of one name are an error. Modes: append, which fails where a file is there already, and
 overwrite, which clears the folder first.
 
+With the option ``folders`` files stay in folders of a few megabytes below one for each task, which the driver moves as a
+whole: it holds nothing of a single file, and names are told apart within a task only.
+
 ``writeStream`` does the same batch by batch; there a file replaces one of its name, so that a batch that is done again
 after a failure leaves the files it left before.
 """
@@ -35,6 +38,10 @@ REPORTS: dict[str, tuple[str, Callable[[Row], bytes]]] = {
 }
 
 
+#: Bytes of the files of one folder, or one file, where these stay in folders.
+FOLDER_BYTES = 4 << 20
+
+
 @dataclass
 class Written(WriterCommitMessage):
     job: str
@@ -43,8 +50,8 @@ class Written(WriterCommitMessage):
 
 
 class ReportWriter(DataSourceWriter):
-    def __init__(self, folder: str, report: str, overwrite: bool):
-        self.folder, self.report, self.overwrite = folder.rstrip("/"), report, overwrite
+    def __init__(self, folder: str, report: str, overwrite: bool, folders: bool = False):
+        self.folder, self.report, self.overwrite, self.folders = folder.rstrip("/"), report, overwrite, folders
         self.job = f"_unfinished-{uuid.uuid4().hex}"
 
     def _place(self) -> tuple[fs.FileSystem, str]:
@@ -55,21 +62,28 @@ class ReportWriter(DataSourceWriter):
         store, place = self._place()
         attempt, names = uuid.uuid4().hex, {}  # a list would be searched for each row
         make = REPORTS[self.report][1]
+        inner, size, made = f"{place}/{self.job}/{attempt}", 0, 0
         for row in iterator:
             name = row["name"]
             if not name or name.startswith((".", "_")) or "/" in name or name in names:
                 raise ValueError(f"no name for a file of its own: {name!r}")
-            if not names:
-                store.create_dir(f"{place}/{self.job}/{attempt}")
-            with store.open_output_stream(f"{place}/{self.job}/{attempt}/{name}") as out:
-                out.write(make(row))
+            body = make(row)
+            if not names or self.folders and size + len(body) > FOLDER_BYTES:
+                inner, size, made = f"{place}/{self.job}/{attempt}" + f"/{made}" * self.folders, 0, made + 1
+                store.create_dir(inner)
+            with store.open_output_stream(f"{inner}/{name}") as out:
+                out.write(body)
+            size += len(body)
             names[name] = None
-        return Written(self.job, attempt, list(names))
+        return Written(self.job, attempt, [""] if self.folders and names else [] if self.folders else list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
         """On the driver: the files of the attempts that count take their places."""
         store, place = self._place()
-        done = [(m.attempt, n) for m in messages if m is not None for n in m.names]
+        if self.folders:
+            done = [(m.attempt, f"tasks-{m.attempt}") for m in messages if m is not None and m.names]
+        else:
+            done = [(f"{m.attempt}/{n}", n) for m in messages if m is not None for n in m.names]
         names = [n for _, n in done]
         store.create_dir(place)
         there = {x.base_name for x in store.get_file_info(fs.FileSelector(place)) if x.base_name != self.job}
@@ -82,8 +96,8 @@ class ReportWriter(DataSourceWriter):
                     (store.delete_dir if kind == fs.FileType.Directory else store.delete_file)(f"{place}/{name}")
             elif clash := there & set(names):
                 raise FileExistsError(f"there already: {min(clash)}")
-            for attempt, name in done:
-                store.move(f"{place}/{self.job}/{attempt}/{name}", f"{place}/{name}")
+            for made, name in done:
+                store.move(f"{place}/{self.job}/{made}", f"{place}/{name}")
         finally:
             self.abort(messages)
 
@@ -136,7 +150,7 @@ class ReportSink(DataSource):
         return self.options["path"], report
 
     def writer(self, schema: StructType, overwrite: bool) -> ReportWriter:
-        return ReportWriter(*self._checked(schema), overwrite)
+        return ReportWriter(*self._checked(schema), overwrite, self.options.get("folders", "false").lower() == "true")
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> ReportStreamWriter:
         return ReportStreamWriter(*self._checked(schema))

@@ -1,8 +1,9 @@
 """Document files as a data source: ``spark.read.format("vellum_files").load(folder)``, and the same as a stream.
 
 Columns: path, name, kind (the ending, lower-case), bytes, text, error_code, error_message, with the rules of
-``sources.files``. The driver lists the folder and deals files out by size; tasks open and read them. With a schema of
-fewer columns only these are made: without the text and the errors no file is opened. Filters on path and kind are
+``sources.files``. The driver lists one folder after the other and deals files out by size; a folder below the given one
+whose files one task may read goes by its name alone, and its task lists it again, so that the driver does not hold
+every file of a tree. Tasks open and read them. With a schema of fewer columns only these are made: without the text and the errors no file is opened. Filters on path and kind are
 applied to the list, before a task is made (``spark.sql.python.filterPushdown.enabled``). A stream takes files in the
 order of their last change; its offset is the last file taken.
 
@@ -25,7 +26,7 @@ SCHEMA = "path string, name string, kind string, bytes long, text string, error_
 TASK_BYTES = 16 << 20
 
 
-@dataclass
+@dataclass(slots=True)
 class File:
     path: str
     size: int
@@ -35,25 +36,68 @@ class File:
         return {"path": self.path, "name": self.path.rsplit("/", 1)[-1], "kind": kind_of(self.path), "bytes": self.size}
 
 
+@dataclass(slots=True)
+class Folder:
+    """A folder's own files, by its name, with the bytes of those that are wanted."""
+
+    path: str
+    size: int
+
+
+Test = tuple[str, str, object]
+
+
 @dataclass
 class Files(InputPartition):
-    files: list[File]
+    files: list[File | Folder]
+    tests: tuple[Test, ...] = ()
+
+
+_TESTS: dict[str, Callable] = {"=": lambda x, v: x == v, "in": lambda x, v: x in v, "starts": lambda x, v: x.startswith(v), "ends": lambda x, v: x.endswith(v), "contains": lambda x, v: v in x}
+
+
+def wanted(f: File, tests: Iterable[Test]) -> bool:
+    """Whether a file passes the tests on path and kind."""
+    return all(_TESTS[op](f.listed()[c], v) for op, c, v in tests)
+
+
+def own_files(store: fs.FileSystem, place: str) -> tuple[list[File], list[str]]:
+    """The files of a folder, and the folders in it, in the order of their paths; none if there is no such folder. Names that begin with a dot or an underline are no documents."""
+    found = [x for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.base_name[0] not in "._"]
+    own = sorted((File(x.path, x.size, x.mtime_ns) for x in found if x.type == fs.FileType.File), key=lambda f: f.path)
+    return own, sorted(x.path for x in found if x.type == fs.FileType.Directory)
 
 
 def listed(folder: str) -> list[File]:
-    """The files below a folder, in the order of their paths; none if there is no such folder. Names that begin with a dot or an underline are no documents."""
+    """The files below a folder, in the order of their paths."""
+    store, place = fs.FileSystem.from_uri(folder)
+    out, todo = [], [place]
+    while todo:
+        own, inner = own_files(store, todo.pop())
+        out += own
+        todo += inner
+    return sorted(out, key=lambda f: f.path)
+
+
+def shares(folder: str, tests: Iterable[Test], task_bytes: int) -> Iterator[File | Folder]:
+    """What is dealt out: files, or a folder below the given one in place of its own files if one task may read them all."""
     store, place = fs.FileSystem.from_uri(folder)
-    found = store.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True))
-    inner = lambda p: p[len(place) :].lstrip("/").split("/")
-    return sorted((File(x.path, x.size, x.mtime_ns) for x in found if x.type == fs.FileType.File and not any(part[0] in "._" for part in inner(x.path))), key=lambda f: f.path)
+    todo = [place]
+    while todo:
+        at = todo.pop()
+        own, inner = own_files(store, at)
+        own = [f for f in own if wanted(f, tests)]
+        size = sum(f.size for f in own)
+        yield from [Folder(at, size)] if at != place and len(own) > 1 and size <= task_bytes else own
+        todo += reversed(inner)
 
 
-def dealt(files: list[File], task_bytes: int) -> list[Files]:
+def dealt(files: Iterable[File | Folder], task_bytes: int, tests: tuple[Test, ...] = ()) -> list[Files]:
     """Files in their order, as many to a task as its bytes allow."""
     out, size = [], 0
     for f in files:
         if not out or size + f.size > task_bytes:
-            out.append(Files([]))
+            out.append(Files([], tests))
             size = 0
         out[-1].files.append(f)
         size += f.size
@@ -63,7 +107,8 @@ def dealt(files: list[File], task_bytes: int) -> list[Files]:
 def rows(folder: str, part: Files, columns: list[str]) -> Iterator[tuple]:
     store, _ = fs.FileSystem.from_uri(folder)
     opened = bool({"text", "error_code", "error_message"} & set(columns))
-    for f in part.files:
+    own = lambda f: [f] if isinstance(f, File) else [x for x in own_files(store, f.path)[0] if wanted(x, part.tests)]
+    for f in (x for share in part.files for x in own(share)):
         row = f.listed()
         if opened:
             with store.open_input_stream(f.path) as source:
@@ -74,7 +119,7 @@ def rows(folder: str, part: Files, columns: list[str]) -> Iterator[tuple]:
 class FileReader(DataSourceReader):
     def __init__(self, folder: str, columns: list[str], task_bytes: int):
         self.folder, self.columns, self.task_bytes = folder, columns, task_bytes
-        self.tests: list[tuple[str, str, object]] = []
+        self.tests: list[Test] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Takes those on path and kind that the list of files can tell; Spark applies the others."""
@@ -86,8 +131,7 @@ class FileReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        test: dict[str, Callable] = {"=": lambda x, v: x == v, "in": lambda x, v: x in v, "starts": lambda x, v: x.startswith(v), "ends": lambda x, v: x.endswith(v), "contains": lambda x, v: v in x}
-        return dealt([f for f in listed(self.folder) if all(test[op](f.listed()[c], v) for op, c, v in self.tests)], self.task_bytes)
+        return dealt(shares(self.folder, self.tests, self.task_bytes), self.task_bytes, tuple(self.tests))
 
     def read(self, partition: Files) -> Iterator[tuple]:
         return rows(self.folder, partition, self.columns)
