@@ -325,3 +325,29 @@ def test_pictures_hold_two_dots_to_a_byte():
     lines = np.frombuffer(zlib.decompress(image[start + 4 : image.index(b"IEND") - 8]), np.uint8).reshape(canvas.h, -1)[:, 1:]
     dots = np.stack([lines >> 4, lines & 15], axis=2).reshape(canvas.h, -1)[:, : canvas.w]
     assert (png.PALETTE[dots] == canvas.image).all()
+
+
+@pytest.mark.parametrize("large", [20, 1 << 15])
+@pytest.mark.parametrize("weights", [{}, {"text_weight": 0.0, "keyword_weight": 1.0}])
+def test_pairs_are_compared_where_they_lie_or_dealt_out_alike(spark, monkeypatch, large, weights):
+    """A pair that is not large is shuffled no more. The results are those of one row a pair."""
+    monkeypatch.setattr(compare, "LARGE", large)
+    many = " ".join(f"Number {i} of the rules holds for item {i % 7}." for i in range(70))
+    given = [*fx.PAIRS, (9, A, B), (10, many, many.replace("holds for", "binds the")), (11, A, many), (12, None, A), (13, A, "")]
+    pairs = fx.frame(spark, given, "pair_id long, a_text string, b_text string")
+    side = lambda x: F.struct(F.lit(x).alias("side"), F.col(f"{x}_text").alias("text"))
+    docs = pairs.select("pair_id", F.explode(F.array(side("a"), side("b"))).alias("d")).select("d.text", F.array(F.struct("pair_id", "d.side")).alias("sides"))
+    sides = compare.item_sides(docs, F.col("sides"))
+    whole = compare.compare_documents(pairs.selectExpr("*", "concat('A', pair_id) AS a_name", "cast(null as string) AS b_name"), **weights).cache()
+    told = sorted(str(tuple(r)) for r in whole.select("pair_id", "error_code", "comparison").collect())
+    dealt = compare.pair_comparisons(sides, "pair_id", a_name=F.concat(F.lit("A"), "pair_id"), b_name=F.lit(None).cast("string"), **weights)
+    assert sorted(str(tuple(r)) for r in dealt.select("pair_id", "error_code", "comparison").collect()) == told
+    c = "comparison.summary."
+    figures = whole.select("pair_id", "error_code", "comparison.coverage_indicator", c + "matched_count", c + "missing_count", c + "possible_conflict_count", c + "additional_count")
+    got = compare.pair_figures(sides, "pair_id", **weights).select("pair_id", "error_code", "coverage", "matched", "missing", "conflict", "additional")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, figures.collect())))
+    extra = whole.where("comparison is not null").select("pair_id", F.explode("comparison.additional_in_document_b").alias("item"))
+    assert sorted(map(tuple, compare.extra_items(sides, "pair_id", **weights).select("pair_id", "item").collect())) == sorted(map(tuple, extra.collect()))
+    items = whole.where("error_code is null").select("pair_id", F.explode("matches").alias("m")).select("pair_id", "m.a_pos", "m.b_pos", "m.score", "m.class")
+    assert sorted(map(tuple, compare.compare_items(sides, "pair_id", **weights).select("pair_id", "a_pos", "b_pos", "score", "class").collect())) == sorted(map(tuple, items.collect()))
+    whole.unpersist()
