@@ -351,3 +351,24 @@ def test_pairs_are_compared_where_they_lie_or_dealt_out_alike(spark, monkeypatch
     items = whole.where("error_code is null").select("pair_id", F.explode("matches").alias("m")).select("pair_id", "m.a_pos", "m.b_pos", "m.score", "m.class")
     assert sorted(map(tuple, compare.compare_items(sides, "pair_id", **weights).select("pair_id", "a_pos", "b_pos", "score", "class").collect())) == sorted(map(tuple, items.collect()))
     whole.unpersist()
+
+
+def test_pictures_are_packed_by_lines_that_differ():
+    """Every dot is as drawn, also of odd widths and single lines; the fast level of compression, as its mark says."""
+    import struct
+    import zlib
+
+    from vellum.plans.corpus import _seen
+
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 1), (1, 2), (5, 7), (40, 30), (9, 101)):
+        cells = np.repeat(rng.integers(0, 10, (h, w), dtype=np.uint8), rng.integers(1, 5, h), axis=0)
+        body = png.encode(cells)
+        at = body.index(b"IDAT")
+        packed = body[at + 4 : at + 4 + struct.unpack(">I", body[at - 4 : at])[0]]
+        assert packed[1] >> 6 == 0
+        rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(len(cells), -1)
+        dots = np.stack([rows[:, 1:] >> 4, rows[:, 1:] & 15], axis=2).reshape(len(cells), -1)[:, :w]
+        assert (dots == cells).all() and not rows[:, 0].any()
+        if w % 2 == 0:
+            assert _seen(body) == (w, len(cells), len(np.unique(cells)))
